@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docweave.llm import decontaminate, mixing, quality_rules
 from docweave.llm.near_dedup import near_dedup
 
 
@@ -11,12 +12,31 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements, base failures and policy verdicts of all documents."""
+    return quality_rules.judged(_table(spark, sf_dir, "documents"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark hits of all documents."""
+    return decontaminate.digest(decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document."""
+    mixed = mixing.mix_sources(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document with its near-duplicate class."""
     return near_dedup(_table(spark, sf_dir, "documents")).drop("text_key")
 
 
 QUERIES = {
+    "op4_quality_rules": op4_quality_rules,
+    "op6_decontaminate": op6_decontaminate,
+    "op8_mix_sources": op8_mix_sources,
     "op10_near_dedup": op10_near_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_quality_rules": quality_rules.ORACLE_SQL}

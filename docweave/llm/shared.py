@@ -80,3 +80,25 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         raise RuntimeError("components did not settle")
     roots = cur.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
     return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
+
+
+#: Rows of at most this many bytes in all are sent to every executor.
+BROADCAST_BYTES = 16 << 20
+
+
+def maybe_broadcast(small: DataFrame, row_bytes: int) -> DataFrame:
+    """``small`` with a broadcast hint if a count proves that it is small;
+    otherwise unchanged, for a shuffle join whose hot keys AQE splits."""
+    return F.broadcast(small) if small.count() * row_bytes <= BROADCAST_BYTES else small
+
+
+def led_buckets(rows: DataFrame) -> DataFrame:
+    """(bucket, node, lead) of the rows (bucket, node) whose bucket has two
+    nodes or more and whose node is not the lead, its least node.
+
+    The lead comes from a partial aggregate, so a huge bucket is never
+    gathered; joined back, it is broadcast only if counted small.
+    """
+    leads = rows.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("most")).where("lead <> most").select("bucket", "lead")
+    leads = keep(leads, "leads")
+    return rows.join(maybe_broadcast(leads, 16), "bucket").where("node <> lead")
