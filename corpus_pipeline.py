@@ -1,19 +1,64 @@
-"""Corpus preparation: the stages in order, each over all its predecessor kept."""
+"""Corpus preparation: the stages in order, each over all its predecessor kept.
+
+Each stage takes (spark, docs, sf_dir); what it returns is written as Parquet
+and read again as the next one's documents. All but the last return the
+columns of documents; the last adds ``copies``, how often the mix repeats a
+document.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docweave.llm.near_dedup import keep_first_of_class
+from docweave.llm import decontaminate, line_dedup, mixing, near_dedup, toxicity
 from docweave.llm.shared import keep
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored at the toxicity threshold or above go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = toxicity.toxicity(docs, labels, use=~(toxicity.part_of("doc_id", 3) == 1), keep_cols=docs.columns)
+    return scored.where(F.col("score") < toxicity.THRESHOLD).select(*_columns(docs))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of lines that are alike one stays. A document goes only if it had text
+    and all of it went; the others keep their place with n_chars renewed."""
+    out = line_dedup.dedup_lines(docs)
+    emptied = (F.col("n_dropped") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return out.where(~emptied).withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*_columns(docs))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays."""
-    return keep_first_of_class(docs)
+    return near_dedup.keep_first_of_class(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a twentieth of their words inside benchmark windows go."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.decontaminate(docs.withColumn("doc_id", F.struct(*_columns(docs))), benchmark)
+    return found.where(~decontaminate.contaminated(F.col("n_words"), F.col("n_hit"))).select("doc_id.*")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, with their number of copies."""
+    return mixing.apply_mix(docs)
+
+
+def _columns(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
-STAGES = [("near_dedup", near_duplicates)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("near_dedup", drop_near_duplicates),
+    ("decontaminate", drop_contaminated),
+    ("mix", mix),
+]
+#: Learned scores and sketches have no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
