@@ -94,7 +94,8 @@ def gather(sample: DataFrame, extract: Callable) -> tuple[np.ndarray, np.ndarray
     x = np.asarray(rows.column("x").combine_chunks().flatten() if rows.num_rows else [], float)
     order = np.argsort(np.array(rows.column("id").to_pylist(), dtype=object).astype(str), kind="stable") if rows.num_rows else np.zeros(0, int)
     ids = np.array(rows.column("id").to_pylist(), dtype=object)[order] if rows.num_rows else np.zeros(0, object)
-    return ids, x.reshape(rows.num_rows, -1)[order], rows.column("label").to_numpy()[order]
+    x = x.reshape(rows.num_rows, -1) if rows.num_rows else np.zeros((0, 0))
+    return ids, x[order], rows.column("label").to_numpy()[order]
 
 
 def scored(docs: DataFrame, score: Callable, id_col: str, text_col: str, keep_cols: list[str] | None = None) -> DataFrame:
@@ -102,7 +103,7 @@ def scored(docs: DataFrame, score: Callable, id_col: str, text_col: str, keep_co
     from pyspark.sql import types as T
 
     rest = [c for c in (keep_cols or []) if c not in (id_col, "score")]
-    frame = docs.select(F.col(text_col).cast("string").alias("_text"), F.col(id_col), *[F.col(f"`{c}`") for c in rest])
+    frame = docs.select(F.col(text_col).cast("string").alias("__dw_text"), F.col(id_col), *[F.col(f"`{c}`") for c in rest])
     schema = T.StructType([*frame.schema.fields[1:], T.StructField("score", T.DoubleType())])
     names = [f.name for f in schema.fields]
 

@@ -127,9 +127,9 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     documents that it does not take are dropped."""
     drawn = mix_sources(docs.select(id_col, text_col, source_col), id_col, text_col, source_col, **options).where("copies > 0")
     # Repeated rows (equal id, text and source) share their copies evenly enough: numbered on both sides.
-    turn = Window.partitionBy("_id", "_key", "_source").orderBy(F.desc("copies"))
-    drawn = drawn.select(F.col(id_col).alias("_id"), F.col("text_key").alias("_key"), F.col("source").alias("_source"), "copies").withColumn("_turn", F.row_number().over(turn))
-    same = Window.partitionBy(id_col, "_text_key", source_col).orderBy(F.lit(0))
-    keyed = docs.withColumn("_text_key", F.xxhash64(F.col(text_col))).withColumn("_row", F.row_number().over(same))
-    on = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")) & F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_row") == F.col("_turn"))
-    return keyed.join(drawn, on).select(*[F.col(f"`{c}`") for c in docs.columns], "copies")
+    turn = Window.partitionBy("__dw_id", "__dw_key", "__dw_source").orderBy(F.desc("__dw_copies"))
+    drawn = drawn.select(F.col(id_col).alias("__dw_id"), F.col("text_key").alias("__dw_key"), F.col("source").alias("__dw_source"), F.col("copies").alias("__dw_copies")).withColumn("__dw_turn", F.row_number().over(turn))
+    same = Window.partitionBy(id_col, "__dw_text_key", source_col).orderBy(F.lit(0))
+    keyed = docs.withColumn("__dw_text_key", F.xxhash64(F.col(text_col))).withColumn("__dw_row", F.row_number().over(same))
+    on = F.col(id_col).eqNullSafe(F.col("__dw_id")) & (F.col("__dw_text_key") == F.col("__dw_key")) & F.col(source_col).eqNullSafe(F.col("__dw_source")) & (F.col("__dw_row") == F.col("__dw_turn"))
+    return keyed.join(drawn, on).select(*[F.col(f"`{c}`") for c in docs.columns if c != "copies"], F.col("__dw_copies").alias("copies"))
