@@ -11,23 +11,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import decontaminate, line_dedup, mixing, near_dedup, toxicity
+from docweave.llm import decontaminate, learned, line_dedup, mixing, near_dedup, toxicity
 from docweave.llm.shared import keep
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored at the toxicity threshold or above go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = toxicity.toxicity(docs, labels, use=~(toxicity.part_of("doc_id", 3) == 1), keep_cols=docs.columns)
-    return scored.where(F.col("score") < toxicity.THRESHOLD).select(*_columns(docs))
+    score = toxicity.train(docs.select("doc_id", "text"), labels, use=~(toxicity.part_of("doc_id", 3) == 1))
+    scored = learned.scored(_rows(docs), score, "row", "text")
+    return scored.where(F.col("score") < toxicity.THRESHOLD).select("row.*")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of lines that are alike one stays. A document goes only if it had text
     and all of it went; the others keep their place with n_chars renewed."""
-    out = line_dedup.dedup_lines(docs)
+    out = line_dedup.dedup_lines(_rows(docs))
     emptied = (F.col("n_dropped") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return out.where(~emptied).withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*_columns(docs))
+    row = F.when(F.col("n_dropped") > 0, F.col("row").withField("text", F.col("text")).withField("n_chars", F.length("text").cast("long"))).otherwise(F.col("row"))
+    return out.where(~emptied).select(row.alias("row")).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +40,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a twentieth of their words inside benchmark windows go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.decontaminate(docs.withColumn("doc_id", F.struct(*_columns(docs))), benchmark)
-    return found.where(~decontaminate.contaminated(F.col("n_words"), F.col("n_hit"))).select("doc_id.*")
+    found = decontaminate.decontaminate(_rows(docs), benchmark, "row")
+    return found.where(~decontaminate.contaminated(F.col("n_words"), F.col("n_hit"))).select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +49,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.apply_mix(docs)
 
 
-def _columns(docs: DataFrame) -> list:
-    return [F.col(f"`{c}`") for c in docs.columns]
+def _rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, row): the whole row rides along, so no column's name can
+    clash with an operator's."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
 
 STAGES = [
