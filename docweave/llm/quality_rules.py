@@ -57,34 +57,34 @@ def _without(text: Column, chars: str) -> Column:
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the measurements as columns."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    out = docs.withColumn("_t", text)
-    out = out.withColumn("_w", F.regexp_extract_all("_t", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
-    lines = F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = out.withColumn("_lines", lines)
-    size = F.length("_t")
+    out = docs.withColumn("__dw_t", text)
+    out = out.withColumn("__dw_w", F.regexp_extract_all("__dw_t", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    lines = F.filter(F.split("__dw_t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    out = out.withColumn("__dw_lines", lines)
+    size = F.length("__dw_t")
     out = out.select(
         *[F.col(f"`{c}`") for c in docs.columns if c not in MEASURES],
-        "_w",
-        F.size("_w").cast("long").alias("n_words"),
-        F.length(_without(F.col("_t"), SPACES)).cast("long").alias("word_chars"),
-        (size - F.length(_without(F.col("_t"), SYMBOLS))).cast("long").alias("n_symbols"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        ((size - F.length(F.replace("_t", F.lit("!!"), F.lit("")))) / 2).cast("long").alias("n_exclaim"),
+        "__dw_w",
+        F.size("__dw_w").cast("long").alias("n_words"),
+        F.length(_without(F.col("__dw_t"), SPACES)).cast("long").alias("word_chars"),
+        (size - F.length(_without(F.col("__dw_t"), SYMBOLS))).cast("long").alias("n_symbols"),
+        F.size("__dw_lines").cast("long").alias("n_lines"),
+        (F.size("__dw_lines") - F.size(F.array_distinct("__dw_lines"))).cast("long").alias("n_dup_lines"),
+        ((size - F.length(F.replace("__dw_t", F.lit("!!"), F.lit("")))) / 2).cast("long").alias("n_exclaim"),
     )
     # Window hashes; element i is the window from word i on.
-    window = f"transform(sequence(0, size(_w) - {SPAN}), i -> xxhash64({', '.join(f'_w[i + {j}]' for j in range(SPAN))}))"
-    out = out.withColumn("_h", F.expr(f"case when size(_w) >= {SPAN} then {window} else cast(array() as array<bigint>) end"))
-    out = out.withColumn("_bits", F.expr("cast(ceil(log2(size(_h) + 2)) as int)"))
+    window = f"transform(sequence(0, size(__dw_w) - {SPAN}), i -> xxhash64({', '.join(f'__dw_w[i + {j}]' for j in range(SPAN))}))"
+    out = out.withColumn("__dw_h", F.expr(f"case when size(__dw_w) >= {SPAN} then {window} else cast(array() as array<bigint>) end"))
+    out = out.withColumn("__dw_bits", F.expr("cast(ceil(log2(size(__dw_h) + 2)) as int)"))
     # (hash, position) in one long: equal hashes come to stand side by side.
-    packed = "sort_array(transform(_h, (x, i) -> shiftleft(x, _bits) | cast(i as bigint)))"
-    out = out.withColumn("_s", F.expr(f"case when size(array_distinct(_h)) < size(_h) then {packed} end"))
-    out = out.withColumn("_m", F.expr("shiftleft(1L, _bits) - 1"))
-    twin = "filter(_s, (x, j) -> coalesce(_h[cast(x & _m as int)] = _h[cast(get(_s, j - 1) & _m as int)], false) or coalesce(_h[cast(x & _m as int)] = _h[cast(get(_s, j + 1) & _m as int)], false))"
-    out = out.withColumn("_p", F.expr(f"case when _s is not null then sort_array(transform({twin}, x -> x & _m)) end"))
-    covered = f"aggregate(sequence(1, size(_p) - 1), {SPAN}L, (a, j) -> a + least({SPAN}L, _p[j] - _p[j - 1]))"
-    out = out.withColumn("n_repeat_words", F.expr(f"case when _p is null or size(_p) < 2 then 0L else {covered} end"))
-    return out.drop("_w", "_h", "_bits", "_s", "_m", "_p")
+    packed = "sort_array(transform(__dw_h, (x, i) -> shiftleft(x, __dw_bits) | cast(i as bigint)))"
+    out = out.withColumn("__dw_s", F.expr(f"case when size(array_distinct(__dw_h)) < size(__dw_h) then {packed} end"))
+    out = out.withColumn("__dw_m", F.expr("shiftleft(1L, __dw_bits) - 1"))
+    twin = "filter(__dw_s, (x, j) -> coalesce(__dw_h[cast(x & __dw_m as int)] = __dw_h[cast(get(__dw_s, j - 1) & __dw_m as int)], false) or coalesce(__dw_h[cast(x & __dw_m as int)] = __dw_h[cast(get(__dw_s, j + 1) & __dw_m as int)], false))"
+    out = out.withColumn("__dw_p", F.expr(f"case when __dw_s is not null then sort_array(transform({twin}, x -> x & __dw_m)) end"))
+    covered = f"aggregate(sequence(1, size(__dw_p) - 1), {SPAN}L, (a, j) -> a + least({SPAN}L, __dw_p[j] - __dw_p[j - 1]))"
+    out = out.withColumn("n_repeat_words", F.expr(f"case when __dw_p is null or size(__dw_p) < 2 then 0L else {covered} end"))
+    return out.drop("__dw_w", "__dw_h", "__dw_bits", "__dw_s", "__dw_m", "__dw_p")
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_exclaim", "n_repeat_words")
