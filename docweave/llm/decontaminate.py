@@ -279,3 +279,20 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.select(
         id_col, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated")
     )
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+#: The digest in SQL, by joining every window of the documents with the items' windows.
+ORACLE_SQL = f"""
+with i as (select item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') as w from benchmark),
+iw as (select distinct item_id, n, g from (select item_id, least(len(w), {WINDOW}) as n, array_to_string(w[k:k + least(len(w), {WINDOW}) - 1], ' ') as g
+  from (select item_id, w, unnest(range(1, greatest(len(w) - {WINDOW} + 1, 1) + 1)) as k from i where len(w) > 0))),
+d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') as w from documents),
+s as (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as k from d, (select distinct n from iw) where len(w) >= n),
+h as (select s.doc_id, k, s.n, item_id from s join iw on s.n = iw.n and array_to_string(w[k:k + s.n - 1], ' ') = iw.g),
+c as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(k, k + n)) as p from h) group by doc_id),
+m as (select doc_id, list_sort(list(distinct cast(item_id as varchar))) as ids from h group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, cast(coalesce(len(ids), 0) as bigint) as n_items,
+  sha256(coalesce(array_to_string(ids, ','), '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join c on d.doc_id = c.doc_id left join m on d.doc_id = m.doc_id"""

@@ -133,3 +133,25 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     keyed = docs.withColumn("__dw_text_key", F.xxhash64(F.col(text_col))).withColumn("__dw_row", F.row_number().over(same))
     on = F.col(id_col).eqNullSafe(F.col("__dw_id")) & (F.col("__dw_text_key") == F.col("__dw_key")) & F.col(source_col).eqNullSafe(F.col("__dw_source")) & (F.col("__dw_row") == F.col("__dw_turn"))
     return keyed.join(drawn, on).select(*[F.col(f"`{c}`") for c in docs.columns if c != "copies"], F.col("__dw_copies").alias("copies"))
+
+
+#: The query's rows in SQL: the sample by running sums in rank order, without the grid.
+ORACLE_SQL = f"""
+with s as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as size from documents),
+g as (select source, cast(sum(size) as bigint) as source_size from s group by source),
+r as (select *, row_number() over (order by source is null, source) - 1 as place from g),
+w as (select *, case place % {len(WEIGHTS)} {" ".join(f"when {i} then {float(x)}" for i, x in enumerate(WEIGHTS))} end::double as weight, source_size * {float(MOST)}::double as most from r),
+f as (select *, sum(source_size) over () * {float(SHARE)}::double as total,
+  coalesce(sum(most) over (order by most / weight, place rows between unbounded preceding and 1 preceding), 0) as full_words,
+  sum(weight) over (order by most / weight, place rows between current row and unbounded following) as open_weight from w),
+l as (select *, (total - full_words) / open_weight as level from f),
+a as (select *, first_value(case when level * weight < most then level end ignore nulls) over (order by most / weight, place rows between unbounded preceding and unbounded following) as lvl from l),
+t as (select source, source_size, case when lvl is null then most else least(most, lvl * weight) end as target from a),
+p as (select *, case when source_size > 0 then target / source_size else 0.0 end as rate from t),
+d as (select s.doc_id, s.size, s.source, source_size, target, cast(floor(rate) as bigint) as whole, rate - floor(rate) as part, target - floor(rate) * source_size as rest,
+  (cast('0x' || substr(md5(coalesce(cast(s.doc_id as varchar), '') || ':mix'), 1, 12) as bigint) + 0.5::double) / {float(1 << 48)}::double as u from s join p on s.source is not distinct from p.source),
+o as (select *, case when part > 0 then (u / (1 - u)) / (part / (1 - part)) end as odds from d),
+k as (select *, coalesce(odds / (1 + odds), 1.0) as rank from o),
+c as (select *, coalesce(sum(size) over (partition by source order by rank, doc_id rows between unbounded preceding and 1 preceding), 0) as ahead from k),
+n as (select *, case when size > 0 then whole + (case when part > 0 and ahead + size / 2 <= rest then 1 else 0 end) else least(whole, 1) end as copies from c)
+select doc_id, size, source_size, target, cast(copies * size as bigint) as taken, source, cast(copies as bigint) as copies from n"""

@@ -78,4 +78,9 @@ QUERIES = {
         op10_near_dedup,
     )
 }
-ORACLES: dict[str, str] = {"op3_url_filter": url_filter.ORACLE_SQL, "op4_quality_rules": quality_rules.ORACLE_SQL}
+ORACLES: dict[str, str] = {
+    "op3_url_filter": url_filter.ORACLE_SQL,
+    "op4_quality_rules": quality_rules.ORACLE_SQL,
+    "op6_decontaminate": decontaminate.ORACLE_SQL,
+    "op8_mix_sources": mixing.ORACLE_SQL,
+}
