@@ -458,6 +458,80 @@ def report_json(spark, sf_dir):
 
 _JSON = f"""with {_CHUNKS} select '{{"total_chunks":' || count(*) || ',"chapters_identified":' || count(distinct nullif(chapter, '')) || ',"sections_identified":' || count(distinct nullif(section, '')) || '}}' as json from scored"""
 
+def variant_texts(spark, sf_dir):
+    """Texts that come under different names, normalised; what is blank afterwards is marked."""
+    docs = _table(spark, sf_dir, "documents")
+    mixed = docs.select(
+        "doc_id",
+        F.when(F.col("doc_id") % 3 == 0, F.col("text")).alias("text"),
+        F.when(F.col("doc_id") % 3 == 1, F.col("text")).alias("content"),
+        F.when(F.col("doc_id") % 5 == 2, F.lit("  ")).alias("page_content"),
+        F.concat(F.lit("raw "), F.col("lang")).alias("raw"),
+    )
+    text = index.variant_text(mixed)
+    return mixed.select("doc_id", text.alias("chunk"), X.is_blank(text).alias("blank"))
+
+
+_VARIANTS = f"""with v as (select doc_id, coalesce(case when doc_id % 3 = 0 then text end, case when doc_id % 3 = 1 then text end, case when doc_id % 5 = 2 then '  ' end, 'raw ' || lang) as chunk from documents)
+select doc_id, chunk, {_strip("chunk")} = '' as blank from v"""
+
+
+def inspect_table(spark, sf_dir):
+    return index.inspect(_table(spark, sf_dir, "documents"))
+
+
+_INSPECTED = "select count(*) as rows, 'doc_id,text,lang,source,n_chars' as columns, min(text[1:200] || '...') as first_text from documents"
+
+
+def exit_words(spark, sf_dir):
+    """Lines of the conversations that would end or not reach an interactive session."""
+    t = _table(spark, sf_dir, "conversations")
+    line = F.when(F.col("conv_id") % 4 == 0, F.lit("Quit")).when(F.col("conv_id") % 4 == 1, F.lit(" \t")).otherwise(F.col("text"))
+    return t.select("conv_id", "turn", X.wants_exit(line).alias("ends"), X.is_blank(line).alias("skipped"))
+
+
+_EXITS = f"""with l as (select conv_id, turn, case when conv_id % 4 = 0 then 'Quit' when conv_id % 4 = 1 then ' ' || chr(9) else text end as t from conversations)
+select conv_id, turn, lower(t) in ('quit', 'exit', 'q') as ends, {_strip("t")} = '' as skipped from l"""
+
+
+def eval_cases(spark, sf_dir):
+    c = evaluate.cases_table(spark)
+    lists = [F.array_join(F.coalesce(n, F.array().cast("array<string>")), ",").alias(n) for n in ("expected_concepts", "expected_citations", "required_terms")]
+    return c.select("query_id", "query", *lists, "difficulty")
+
+
+_CASE_ROWS = f"select query_id, query, array_to_string(k, ',') as expected_concepts, array_to_string(c, ',') as expected_citations, array_to_string(t, ',') as required_terms, difficulty from ({_CASES})"
+
+
+def nested_result(spark, sf_dir):
+    """The batch search in its nested form: lists in rank order for each query."""
+    e = _table(spark, sf_dir, "embeddings")
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), X.preview(F.coalesce("text", F.lit("")), 100).alias("document"))
+    out = vector.nested_result(vector.top_k_batch(e.where("vec_id % 100 = 0"), e, 5), docs)
+    return out.select("query_id", F.array_join("ids", ",").alias("ids"), F.array_join("documents", " # ").alias("documents"))
+
+
+_NESTED = f"""with n as ({_KNN}), j as (select query_id, rank, vec_id, case when len(coalesce(text, '')) > 100 then text[1:100] || '...' else coalesce(text, '') end as d from n join documents on vec_id = doc_id)
+select query_id, string_agg(cast(vec_id as varchar), ',' order by rank) as ids, string_agg(d, ' # ' order by rank) as documents from j group by query_id"""
+
+
+def vector_collection(spark, sf_dir):
+    """Clean, split, number, embed and store all documents; the stored collection without its vectors."""
+    import uuid
+
+    from docweave.plans.lifecycles import build_corpus
+    from docweave.sources.store import scratch_dir
+
+    stored = build_corpus(_table(spark, sf_dir, "documents"), f"{scratch_dir(spark)}/docweave-collection-{uuid.uuid4().hex}")
+    return stored.select("id", F.length("document").alias("chars"), "metadata.chunk_index", F.size("embedding").alias("dim"))
+
+
+def page_chars(spark, sf_dir):
+    return legal_pages(spark, sf_dir).select("doc_id", "page_number", F.length("text").alias("chars"), F.size(F.split("text", "\n", -1)).alias("lines"))
+
+
+_PAGE_CHARS = f"with legal as ({LEGAL}) select doc_id, page_number, cast(len(text) as int) as chars, cast(len(string_split(text, chr(10))) as int) as lines from legal"
+
 QUERIES = {
     "r4_knn_batch": (knn_batch, _KNN),
     "r2_knn_single": (knn_single, _KNN_ONE),
@@ -486,4 +560,11 @@ QUERIES = {
     "a10_eval_rollup": (eval_rollup, _ROLLUP),
     "a14_ab_rows": (ab_rows, _AB),
     "a11_ab_summary": (ab_summary, _AB_SUM),
+    "p1_variant_text": (variant_texts, _VARIANTS),
+    "p7_inspect": (inspect_table, _INSPECTED),
+    "p11_exit_words": (exit_words, _EXITS),
+    "s13_eval_cases": (eval_cases, _CASE_ROWS),
+    "d10_nested_result": (nested_result, _NESTED),
+    "k5_vector_collection": (vector_collection, None),
+    "a16_page_chars": (page_chars, _PAGE_CHARS),
 }
