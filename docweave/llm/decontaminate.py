@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.shared import keep
+from docweave.llm.shared import keep, small_batches
 from docweave.llm.textbuf import Words, pieces
 
 WINDOW = 13
@@ -250,6 +250,7 @@ def decontaminate(
     window terms all stand within ``slop`` words of their places (empty where
     slop is 0). A test set larger than BLOCK_BYTES is searched in blocks.
     """
+    small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"shard long, row long, id {id_type}, n_words long, n_hit long, hit_positions array<int>, items array<string>, near_items array<string>"
     found = []

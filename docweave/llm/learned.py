@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.features import term_keys
+from docweave.llm.shared import small_batches
 from docweave.llm.textbuf import Words, pieces
 
 #: Labelled rows used for fitting at most; they are drawn by a hash of the id.
@@ -102,6 +103,7 @@ def scored(docs: DataFrame, score: Callable, id_col: str, text_col: str, keep_co
     """``docs``' id (and ``keep_cols``) with score(raw, off) of each text."""
     from pyspark.sql import types as T
 
+    small_batches(docs.sparkSession)
     rest = [c for c in (keep_cols or []) if c not in (id_col, "score")]
     frame = docs.select(F.col(text_col).cast("string").alias("__dw_text"), F.col(id_col), *[F.col(f"`{c}`") for c in rest])
     schema = T.StructType([*frame.schema.fields[1:], T.StructField("score", T.DoubleType())])

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docweave.llm.shared import small_batches
 from docweave.llm.textbuf import pieces
 
 #: The contract's patterns (fixed values), and each one's least length.
@@ -200,6 +201,7 @@ def _scan(model: CharModel):
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: CharModel | None = None) -> DataFrame:
     """(id, n_assign, n_access, n_hex, base_sha256, spans, n_markov) for each row."""
+    small_batches(docs.sparkSession)
     model = model or train(docs, text_col)
     frame = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"))
     longs = [T.StructField(c, T.LongType()) for c in ("n_assign", "n_access", "n_hex")]

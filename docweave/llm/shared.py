@@ -24,6 +24,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Rows of an Arrow batch between the JVM and Python.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the memory of Arrow batches of whole texts: Spark's default of
+    10,000 rows is lowered to BATCH_ROWS; another setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def keep(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back, which
     cuts the lineage: a lost executor costs only the tasks it was running."""
@@ -94,11 +106,19 @@ def maybe_broadcast(small: DataFrame, row_bytes: int) -> DataFrame:
 
 def led_buckets(rows: DataFrame) -> DataFrame:
     """(bucket, node, lead) of the rows (bucket, node) whose bucket has two
-    nodes or more and whose node is not the lead, its least node.
+    nodes or more and whose node is not the lead.
 
-    The lead comes from a partial aggregate, so a huge bucket is never
-    gathered; joined back, it is broadcast only if counted small.
+    The lead is the bucket's node that shares the most of its buckets, so that
+    the centre of a group of variants leads it; ties go by a hash of
+    node and bucket. Which buckets have several nodes comes from a partial
+    aggregate, so a huge bucket is never gathered; what is broadcast has been
+    counted small.
     """
-    leads = rows.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("most")).where("lead <> most").select("bucket", "lead")
-    leads = keep(leads, "leads")
-    return rows.join(maybe_broadcast(leads, 16), "bucket").where("node <> lead")
+    shared = rows.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket")
+    shared = keep(shared, "shared")
+    met = keep(rows.join(maybe_broadcast(shared, 8), "bucket").groupBy("bucket", "node").agg(F.lit(1).alias("one")).drop("one"), "met")
+    degree = met.groupBy("node").agg(F.count("*").alias("degree"))
+    ranked = met.join(degree, "node")
+    leads = ranked.groupBy("bucket").agg(F.max(F.struct("degree", F.xxhash64("node", "bucket").alias("turn"), "node")).alias("top"))
+    leads = leads.select("bucket", F.col("top.node").alias("lead"))
+    return met.join(leads, "bucket").where("node <> lead").select("bucket", "node", "lead")
