@@ -87,7 +87,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rank = odds / (1 + odds)
     rows = rows.withColumn("rank", F.coalesce(rank, F.lit(1.0)))
     fine = F.floor(F.col("rank") * (CELLS * CELLS)).cast("long")
-    rows = rows.withColumn("cell", F.floor(fine / CELLS)).withColumn("fine", fine)
+    rows = keep(rows.withColumn("cell", F.floor(fine / CELLS)).withColumn("fine", fine), "ranked")
 
     def until(cells: DataFrame, by: list[str], at: str) -> DataFrame:
         """Words before each cell, within the groups of ``by``."""
@@ -96,17 +96,19 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     coarse = until(rows.groupBy("source", "rest", "cell").agg(F.sum("size").alias("words")), ["source"], "cell")
     coarse = coarse.withColumn("state", F.when(F.col("ahead") + F.col("words") <= F.col("rest"), 1).when(F.col("ahead") >= F.col("rest"), 0))
+    coarse = keep(coarse, "coarse")
     split = coarse.where("state is null").select(F.col("source").alias("s"), F.col("cell").alias("c"), F.col("ahead").alias("base"))
     cut = rows.join(split, F.col("source").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("c"))).drop("s", "c")
     inner = until(cut.groupBy("source", "rest", "base", "cell", "fine").agg(F.sum("size").alias("words")), ["source"], "fine")
     inner = inner.withColumn("ahead", F.col("ahead") + F.col("base"))
     inner = inner.withColumn("state", F.when(F.col("ahead") + F.col("words") <= F.col("rest"), 1).when(F.col("ahead") >= F.col("rest"), 0))
+    inner = keep(inner, "inner")
     last = cut.join(inner.where("state is null").select(F.col("source").alias("s"), F.col("fine").alias("f"), "ahead"), F.col("source").eqNullSafe(F.col("s")) & (F.col("fine") == F.col("f"))).drop("s", "f")
     w = Window.partitionBy("source", "fine").orderBy("rank", "id", "text_key", "row").rowsBetween(Window.unboundedPreceding, -1)
     last = last.withColumn("ahead", F.col("ahead") + F.coalesce(F.sum("size").over(w), F.lit(0)))
     # The document in which the target is met is taken if that ends nearer to it.
     near = (F.col("ahead") + F.col("size") / 2) <= F.col("rest")
-    ends = last.select(F.col("row").alias("r"), near.alias("chosen"))
+    ends = keep(last.select(F.col("row").alias("r"), near.alias("chosen")), "ends")
 
     # Decisions: by cell, then by fine cell, then by row; each table is small
     # next to the documents and all are keyed, so no hot source is gathered.

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,9 +47,33 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     kept = spark.read.schema(schema).parquet(path)
     kept._docweave_path = path
+    if _SCOPES:
+        _SCOPES[-1].append(kept)
     return kept
 
 
+_SCOPES: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Collects the tables that :func:`keep` writes within; pass them to
+    :func:`release` once a last table holds what they led to."""
+    _SCOPES.append([])
+    try:
+        yield _SCOPES[-1]
+    finally:
+        _SCOPES.pop()
+
+
+def release(made: list[DataFrame], result: DataFrame) -> DataFrame:
+    """Deletes the tables of a scope but ``result``, which must be kept itself."""
+    drop_kept(*(t for t in made if t._docweave_path != result._docweave_path))
+    if _SCOPES:
+        _SCOPES[-1].append(result)
+    return result
+
+
 def drop_kept(*tables: DataFrame) -> None:
     """Deletes tables written by :func:`keep` that nothing reads any more."""
     for df in tables:
