@@ -10,9 +10,9 @@ which puts them into 8 cells by their high bits; a cell's band is made of the
 3 least hashes from its first on (2 in short lines; lines of about a dozen
 shingles have bands of both kinds). Lines at the threshold share one of 8
 bands with a probability of 0.997. Lines that share a band are compared with
-the band's lead by exact Jaccard; a bucket in which some fail is split into
-finer ones by the lines' other bands. Verified links are joined to components
-by distributed union-find, and one line of each component stays: the first by
+the band's lead by exact Jaccard, and what that leaves open is compared too, so
+that alike lines that share a band always meet (shared.linked). Verified links
+are joined to components by distributed union-find, and one line of each component stays: the first by
 document id, text and line number.
 
 Defined cases: lines under ``min_chars`` characters (blank ones too) and null
@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.shared import components, keep, led_buckets, maybe_broadcast, release, scratch
+from docweave.llm.shared import keep, linked, maybe_broadcast, release, scratch
 
 SHINGLE = 12
 CELL_BITS = 3
@@ -66,15 +66,12 @@ def _norm(line):
     return F.lower(F.trim(line))
 
 
-def _verified(edges: DataFrame, lines: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: float, sets: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """edges(a, b) that pass and that fail the exact comparison, and the lines' sets."""
-    if sets is None:
-        sets = _line_sets(edges, lines, docs, id_col, text_col)
+def _judged(edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """edges(a, b) with the exact Jaccard index of the lines' sets."""
     one, two = sets.select(F.col("key").alias("a"), F.col("h").alias("x")), sets.select(F.col("key").alias("b"), F.col("h").alias("y"))
     both = edges.join(one, "a").join(two, "b").withColumn("n", F.size(F.array_intersect("x", "y")))
     sim = F.col("n") / (F.size("x") + F.size("y") - F.col("n"))
-    out = keep(both.select("a", "b", sim.alias("similarity")), "line-judged")
-    return out.where(F.col("similarity") >= threshold), out.where(F.col("similarity") < threshold), sets
+    return keep(both.select("a", "b", sim.alias("similarity")), "line-judged")
 
 
 def _line_sets(edges: DataFrame, lines: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -101,25 +98,17 @@ def line_classes(docs: DataFrame, id_col: str, text_col: str, min_chars: int, th
     each = each.withColumn("at", F.expr(_band_starts("h")))
     lines = keep(each.select("doc", "id", "line_no", "key", F.expr(_band_keys("h", "at")).alias("bands")), "lines")
     rows = lines.select(F.col("key").alias("node"), F.explode("bands").alias("bucket"))
-    led = keep(led_buckets(rows), "line-buckets")
-    edges = keep(led.select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct(), "line-edges")
-    ok, bad, sets = _verified(edges, lines, docs, id_col, text_col, threshold)
-    links = ok
-    if not bad.isEmpty():
-        # A bucket in which some failed is split by each of its nodes' other
-        # bands; those that passed take part, as a failed one may resemble them.
-        failed = led.join(bad.select(F.col("a").alias("node"), F.col("b").alias("lead")), ["node", "lead"], "left_semi").select("bucket").distinct()
-        again = keep(led.join(maybe_broadcast(keep(failed, "line-failed"), 8), "bucket", "left_semi").select("bucket", "node"), "line-again")
-        nodes = again.select(F.col("node").alias("key")).distinct()
-        sig = lines.join(maybe_broadcast(keep(nodes, "line-nodes"), 8), "key", "left_semi").groupBy("key").agg(F.first("bands").alias("bands"))
-        split = again.join(sig, F.col("node") == F.col("key")).select("node", F.explode(F.expr("transform(filter(bands, b -> b <> bucket), b -> xxhash64(bucket, b))")).alias("bucket"))
-        fine = led_buckets(split)
-        fine = fine.select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
-        fine = keep(fine.join(ok.select("a", "b").union(bad.select("a", "b")), ["a", "b"], "left_anti"), "line-fine")
-        if not fine.isEmpty():
-            # These nodes have been compared before, so their sets are at hand.
-            links = ok.union(_verified(fine, lines, docs, id_col, text_col, threshold, sets)[0])
-    return lines.drop("bands"), components(links.select("a", "b"))
+    sets: list[DataFrame] = []
+
+    def judge(edges: DataFrame) -> DataFrame:
+        if not sets:  # all later edges are between nodes of the first ones
+            sets.append(_line_sets(edges, lines, docs, id_col, text_col))
+        return _judged(edges, sets[0])
+
+    def tokens(nodes: DataFrame) -> DataFrame:
+        return sets[0].join(nodes.withColumnRenamed("node", "key"), "key", "left_semi").select(F.col("key").alias("node"), F.explode("h").alias("token"))
+
+    return lines.drop("bands"), linked(rows, judge, tokens, threshold)[1]
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, threshold: float = THRESHOLD) -> DataFrame:

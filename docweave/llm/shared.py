@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -148,3 +148,94 @@ def led_buckets(rows: DataFrame) -> DataFrame:
     leads = ranked.groupBy("bucket").agg(F.max(F.struct("degree", F.xxhash64("node", "bucket").alias("turn"), "node")).alias("top"))
     leads = leads.select("bucket", F.col("top.node").alias("lead"))
     return met.join(leads, "bucket").where("node <> lead").select("bucket", "node", "lead")
+
+
+#: Rows of a bucket up to which what its lead has left open is compared in pairs.
+PAIRED = 64
+
+
+def _left_open(led: DataFrame, judged: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """(bucket, node, class, similarity, most, n) of the nodes that may have an
+    alike one of another class in their bucket; most is the bucket's largest
+    class, n counts such nodes.
+
+    One minus Jaccard is a metric: alike nodes are about equally far from the
+    lead, so those near to it need no comparison with those that are far.
+    """
+    sims = judged.select(F.col("a").alias("lo"), F.col("b").alias("hi"), "similarity")
+    each = led.withColumn("lo", F.least("node", "lead")).withColumn("hi", F.greatest("node", "lead")).join(sims, ["lo", "hi"]).select("bucket", "node", "similarity")
+    near = each.where(F.col("similarity") < threshold).groupBy("bucket").agg(F.max("similarity").alias("near"))
+    each = each.join(near, "bucket").where(F.col("similarity") <= F.col("near") + (1 - threshold + 1e-9))
+    each = each.join(classes.select("node", "root"), "node", "left").select("bucket", "node", "similarity", F.coalesce("root", "node").alias("class"))
+    each = keep(each, "apart")
+    sizes = each.groupBy("bucket", "class").agg(F.count("*").alias("size"))
+    sizes = sizes.groupBy("bucket").agg(F.max(F.struct("size", "class")).alias("top"), F.sum("size").alias("n"), F.count("*").alias("classes"))
+    return keep(each.join(sizes.where("classes > 1").select("bucket", F.col("top.class").alias("most"), "n"), "bucket"), "open")
+
+
+def _open_pairs(rest: DataFrame, judged: DataFrame, threshold: float) -> DataFrame:
+    """edges(a, b) not judged yet of the open nodes of one bucket and different
+    classes; the largest class is not compared with itself."""
+    one = rest.where("class <> most").select("bucket", F.col("node").alias("x"), F.col("class").alias("c"), F.col("similarity").alias("s"))
+    two = rest.select("bucket", F.col("node").alias("y"), F.col("class").alias("d"), F.col("similarity").alias("t"))
+    pairs = one.join(two, "bucket").where("c <> d").where(F.abs(F.col("s") - F.col("t")) <= 1 - threshold + 1e-9)
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(judged.select("a", "b"), ["a", "b"], "left_anti")
+
+
+def _by_rare_tokens(nodes: DataFrame, tokens: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
+    """(bucket, node): a bucket for each token among a node's rarest ones.
+
+    Prefix filter: of two sets whose Jaccard index reaches the threshold, the
+    rarest n - ceil(threshold * n) + 1 tokens of either have one in common.
+    """
+    each = keep(tokens(nodes), "tokens")
+    rare = each.join(each.groupBy("token").agg(F.count("*").alias("n")), "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("all"))
+    first = F.expr(f"slice(all, 1, size(all) - cast(ceil({threshold} * size(all) - 1e-9) as int) + 1)")
+    rare = rare.select("node", F.explode(first).alias("one")).where("one.n > 1")
+    return keep(rare.select(F.col("one.token").alias("bucket"), "node"), "rare")
+
+
+def _joined(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``classes`` after more links(a, b) between their nodes or new ones."""
+    root = classes.select("node", "root")
+    ends = links.select("a", "b").join(root.toDF("a", "u"), "a", "left").join(root.toDF("b", "v"), "b", "left")
+    over = components(ends.select(F.coalesce("u", "a").alias("a"), F.coalesce("v", "b").alias("b")))
+    over = over.toDF("old", "new")
+    moved = root.join(over, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
+    fresh = over.join(root, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("root"))
+    return keep(moved.union(fresh), "joined")
+
+
+def linked(rows: DataFrame, judge: Callable[[DataFrame], DataFrame], tokens: Callable[[DataFrame], DataFrame], threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(links, classes) of the rows (bucket, node): links (a, b, similarity)
+    that reach the threshold, classes (node, root) by them.
+
+    Any two alike nodes that share a bucket end in one class. A bucket's nodes
+    are compared with its lead; what that leaves open is compared pair by pair
+    in buckets of up to PAIRED nodes. Larger ones are split by their nodes'
+    rarest tokens, which loses no alike pair, and led once more; then what is
+    open is compared in pairs whatever its number. Pairs of one class are left
+    out. ``judge`` turns edges(a, b) into a kept table with their similarity;
+    ``tokens`` gives (node, token) of nodes(node), as sets.
+    """
+    judged = None
+    classes = None
+    for last in (False, True):
+        led = keep(led_buckets(rows), "led")
+        edges = led.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+        edges = keep(edges if judged is None else edges.join(judged.select("a", "b"), ["a", "b"], "left_anti"), "edges")
+        new = judge(edges)
+        judged = new if judged is None else judged.union(new)
+        good = new.where(F.col("similarity") >= threshold)
+        classes = keep(components(good), "classes") if classes is None else _joined(classes, good)
+        rest = _left_open(led, judged, classes, threshold)
+        new = judge(keep(_open_pairs(rest if last else rest.where(F.col("n") <= PAIRED), judged, threshold), "pairs"))
+        judged = judged.union(new)
+        good = new.where(F.col("similarity") >= threshold)
+        if not good.isEmpty():
+            classes = _joined(classes, good)
+        large = rest.where(F.col("n") > PAIRED)
+        if last or large.isEmpty():
+            break
+        rows = _by_rare_tokens(large.select("node").distinct(), tokens, threshold)
+    return judged.where(F.col("similarity") >= threshold), classes
