@@ -1,9 +1,9 @@
 """Fuzzy line deduplication by MinHash, with DataFrame functions only.
 
 A line is lower-cased and trimmed. Its shingles are the runs of 12 characters
-that begin at its words (an ideograph is a word; a longer word is anchored
-again every 12 characters; the line's end makes the last ones shorter). Two
-lines are alike if the Jaccard index of their shingle sets is 0.8 or more.
+that begin at its words (an ideograph is a word; in a longer word, such as a
+row with tabs, a url or a sentence of Thai, they begin at every character up
+to its last 12; the line's end makes the last ones shorter). Two lines are alike if the Jaccard index of their shingle sets is 0.8 or more.
 
 Signature: one permutation hashing. Shingle hashes are sorted within the row,
 which puts them into 8 cells by their high bits; a cell's band is made of the
@@ -34,9 +34,10 @@ THRESHOLD = 0.8
 MIN_CHARS = 20
 #: Shingles of a line up to which bands of 2 are made, and from which bands of 3.
 SHORT, LONG = 12, 10
-# An anchor: up to SHINGLE characters from here, then on to the next word. The
-# characters are spelt as single dots, which Java matches without a loop.
-_ANCHOR = rf"(?s)(?=({'.' * SHINGLE}|.+))(?:[^ ⺀-鿿]{{1,{SHINGLE}}}+|[⺀-鿿]) ?+"
+# An anchor: up to SHINGLE characters from here, then on to the next word, or by
+# one character where more than SHINGLE of the word are left. The characters are
+# spelt as single dots, which Java matches without a loop.
+_ANCHOR = rf"(?s)(?=({'.' * SHINGLE}|.+))(?:[^ ⺀-鿿]{{1,{SHINGLE}}}+(?![^ ⺀-鿿])|.) ?+"
 
 
 def _hashes(line: str) -> str:

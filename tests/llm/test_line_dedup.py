@@ -98,3 +98,21 @@ def test_alike_lines_within_half_alike_families(spark):
     want = brute(rows)
     assert sum(not t for t in want.values()) >= 300
     assert sum(got[i] != want[i] for i in got) == 0
+
+
+def test_copies_of_lines_without_spaces(spark):
+    # One character more or changed anywhere; other lines differ throughout.
+    rng = random.Random(3)
+    kinds = ["abcdefgh0123456789\t", "".join(map(chr, range(0x0E01, 0x0E2F))), "".join(map(chr, range(0x1780, 0x17A3))), "abcdef/?&=._-"]
+    pairs = []
+    for n in range(24):
+        letters = kinds[n % 4]
+        line = rng.choice(letters[:8]) + "".join(rng.choices(letters, k=300)) + rng.choice(letters[:8])
+        at = [0, 1, 150, 301][n // 4 % 4]
+        pairs.append((line, line[:at] + "x" + line[at + (n >= 12) :]))
+    rows = [(i, t) for i, t in enumerate(t for p in pairs for t in p)]
+    for a, b in pairs:
+        x, y = ({t[i : i + 12] for i in range(len(t) - 11)} for t in (a, b))
+        assert len(x & y) / len(x | y) >= 0.8
+    got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == (t if i % 2 == 0 else "") for i, t in rows)
