@@ -15,14 +15,13 @@ gives an empty table.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.llm.shared import components, keep, led_buckets, maybe_broadcast, release, scratch, small_batches
+from docweave.llm.shared import keep, linked, maybe_broadcast, release, scratch, small_batches
 from docweave.llm.textbuf import Words, mix, pieces, shingles
 
 ROWS, BANDS = 6, 20
@@ -165,11 +164,22 @@ def _bags_of(edges: DataFrame, by_text: DataFrame, sig: DataFrame, k: int) -> Da
     return keep(texts.mapInArrow(_bags(k), "node long, bag binary").dropDuplicates(["node"]), "bags")
 
 
-def _verified(edges: DataFrame, bags: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """edges(a, b) whose multisets are alike enough, and the others."""
+def _judged(edges: DataFrame, bags: DataFrame) -> DataFrame:
+    """edges(a, b) with the similarity of their multisets."""
     one, two = bags.select(F.col("node").alias("a"), F.col("bag").alias("x")), bags.select(F.col("node").alias("b"), F.col("bag").alias("y"))
-    out = keep(edges.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_judge, "a long, b long, similarity double"), "judged")
-    return out.where(F.col("similarity") >= threshold), out.where(F.col("similarity") < threshold)
+    return keep(edges.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_judge, "a long, b long, similarity double"), "judged")
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, token): a bag as a set, each repeat of a window a token of its own."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 200):
+            part = batch.slice(lo, 200)
+            bags = [np.frombuffer(x.as_buffer(), "<u8") for x in part.column(1)]
+            for node, bag in zip(part.column(0).to_pylist(), bags, strict=True):
+                turn = np.arange(len(bag)) - np.searchsorted(bag, bag)
+                token = mix(bag + turn.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bag), node, np.int64)), pa.array(token)], names=["node", "token"])
 
 
 def near_duplicate_classes(
@@ -181,11 +191,9 @@ def near_duplicate_classes(
     ``docs``; classes: (node, root) over the seq_keys that have a link; links:
     (a, b, similarity) between seq_keys, verified on the whole multisets.
 
-    Every bucket's nodes are compared with the bucket's lead. Those that
-    fail are dealt again into finer buckets, one for each pair of bands, so
-    that texts which share only a common passage part company and those that
-    resemble each other meet under another lead; no bucket is capped or
-    compared all with all.
+    Every bucket's nodes are compared with the bucket's lead, and what that
+    leaves open is compared too, so that alike texts that share a band end in
+    one class (shared.linked). Texts of one class are not all compared.
     """
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).cast("string").alias("text"))
@@ -196,34 +204,26 @@ def near_duplicate_classes(
     sig = keep(sig.select(F.col("seq_key").alias("node"), "text_key", "bands"), "nodes")
 
     by_text = texts.select("text_key", "text")
-    alone = keep(led_buckets(sig.select("node", F.explode("bands").alias("bucket"))), "buckets")
-    edges = keep(alone.select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct(), "edges")
-    bags = _bags_of(edges, by_text, sig, k)
-    ok, bad = _verified(edges, bags, threshold)
-    links = ok
-    if not bad.isEmpty():
-        again = alone.join(bad.select(F.col("a").alias("node"), F.col("b").alias("lead")), ["node", "lead"], "left_semi")
-        # Nodes that passed take part too: one that failed may resemble them.
-        back = again.select("bucket").distinct()
-        nodes2 = alone.join(back, "bucket", "left_semi").select("node").distinct()
-        at = list(combinations(range(bands), 2))
-        fine = sig.join(nodes2, "node", "left_semi").select(
-            "node", F.explode(F.array(*[F.xxhash64(F.col("bands")[i], F.col("bands")[j], F.lit(i * bands + j)) for i, j in at])).alias("bucket")
-        )
-        fine = led_buckets(fine).select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
-        known = ok.select("a", "b").union(bad.select("a", "b"))
-        fine = keep(fine.join(known, ["a", "b"], "left_anti"), "fine")
-        if not fine.isEmpty():
-            # These nodes have been compared before, so their bags are at hand.
-            links = ok.union(_verified(fine, bags, threshold)[0])
-    return member, components(links), links
+    bags: list[DataFrame] = []
+
+    def judge(edges: DataFrame) -> DataFrame:
+        if not bags:  # all later edges are between nodes of the first ones
+            bags.append(_bags_of(edges, by_text, sig, k))
+        return _judged(edges, bags[0])
+
+    def tokens(nodes: DataFrame) -> DataFrame:
+        return bags[0].join(nodes, "node", "left_semi").select("node", "bag").mapInArrow(_tokens, "node long, token long")
+
+    links, classes = linked(sig.select("node", F.explode("bands").alias("bucket")), judge, tokens, threshold)
+    return member, classes, links
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(id, class_id, class_size, n_links, kept, text_key) for each row of ``docs``.
 
     class_id is the least id of the class; n_links counts the verified links
-    of the row's text to different texts; kept is true for one row of each
+    of the row's text to different texts, those to leads and those that the
+    leads left open, not all pairs of its class; kept is true for one row of each
     class, the first by id, then by text; of repeated rows one is kept.
     text_key is xxhash64 of the text.
     """

@@ -119,3 +119,43 @@ def test_large_group_of_near_copies_is_one_class(spark):
         rows.append((i, " ".join(w)))
     got = near_dedup(spark.createDataFrame(rows, SCHEMA))
     assert got.where("kept").count() == 1 and got.agg(F.max("class_size")).first()[0] == 400
+
+
+def test_alike_texts_within_half_alike_families(spark):
+    # Families share a passage of 85 % of their windows (0.74 of each other),
+    # so that any text of the family may lead a bucket; bands of one slot make
+    # all alike texts share one.
+    rows, rng = [], random.Random(4)
+    for d in range(4):
+        shared = _words(170, 1000 + d)
+        for v in range(50):
+            own = _words(30, 5000 + 100 * d + v)
+            rows.append((len(rows), " ".join(shared + own)))
+            own[rng.randrange(12, 18)] = "edit"
+            own[5] = "edit"
+            rows.append((len(rows), " ".join(shared + own)))
+    got = {r.doc_id: r.class_id for r in near_dedup(spark.createDataFrame(rows, SCHEMA), band_rows=1, bands=6).collect()}
+    assert all(got[2 * i] == got[2 * i + 1] for i in range(len(rows) // 2))
+
+
+def test_what_a_lead_leaves_open_is_judged_whatever_its_number(spark):
+    # One bucket of 200 sets that are 0.5 alike, and pairs of 0.9 among them.
+    from docweave.llm import shared
+
+    sets = {}
+    for i in range(100):
+        sets[2 * i] = set(range(20)) | {1000 + 50 * i + k for k in range(10)}
+        sets[2 * i + 1] = (sets[2 * i] - {1000 + 50 * i}) | {1000 + 50 * i + 40}
+
+    def judge(edges):
+        rows = [(r.a, r.b, len(sets[r.a] & sets[r.b]) / len(sets[r.a] | sets[r.b])) for r in edges.collect()]
+        judged.append(len(rows))
+        return shared.keep(spark.createDataFrame(rows, "a long, b long, similarity double"), "judged")
+
+    def tokens(nodes):
+        return spark.createDataFrame([(r.node, t) for r in nodes.collect() for t in sets[r.node]], "node long, token long")
+
+    judged = []
+    _, classes = shared.linked(spark.createDataFrame([(1, n) for n in sets], "bucket long, node long"), judge, tokens, 0.8)
+    root = {r.node: r.root for r in classes.collect()}
+    assert root == {n: n // 2 * 2 for n in sets} and sum(judged) < 1000
