@@ -10,6 +10,8 @@ if its labelled purity, smoothed by one url of either kind, reaches PURITY.
 
 Per-url work is one pass; the tree is built from counts by template, joined by
 host, so a host that holds a third of all urls is never gathered in one task.
+The tree has a level for each segment of the longest path; branches are merged
+at the first segment only. ORACLE_SQL has three levels, as paths at hand do.
 
 Defined cases: a null url or one without :// has an empty host and path, which
 are judged like any other; repeated urls count each; urls without a labelled
@@ -29,6 +31,8 @@ KIDS = 20
 PURITY = 0.8
 LEAST_LABELS = 3
 LEAST_MERGE = 5
+#: Shorter paths are filled up to so many segments; longer ones keep all of theirs.
+LEVELS = 3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -60,35 +64,43 @@ def _kind(segment: Column) -> Column:
 
 
 def _generalise(counts: DataFrame, level: int) -> DataFrame:
-    """Replaces t<level> by g<level>: the segment, or * where a node has too many."""
-    above = ["host", *(f"g{i}" for i in range(1, level))]
-    kids = counts.groupBy(*above, f"t{level}").agg(F.sum("n").alias("kid_n"))
-    nodes = kids.groupBy(*above).agg(F.count("*").alias("kids"), F.sum("kid_n").alias("node_n"))
-    own = kids.join(nodes, above).withColumn(f"g{level}", F.when((F.col("kids") > KIDS) & (F.col("kid_n") * KIDS < F.col("node_n")), F.lit("*")).otherwise(F.col(f"t{level}")))
-    own = own.select(*above, f"t{level}", f"g{level}")
-    return counts.join(own, [*above, f"t{level}"])
+    """Adds to the array g the segment of this level, or * where a node has too many."""
+    counts = counts.withColumn("seg", F.get("t", F.lit(level - 1)))
+    kids = counts.groupBy("host", "g", "seg").agg(F.sum("n").alias("kid_n"))
+    nodes = kids.groupBy("host", "g").agg(F.count("*").alias("kids"), F.sum("kid_n").alias("node_n"))
+    own = kids.join(nodes, ["host", "g"]).withColumn("new", F.when((F.col("kids") > KIDS) & (F.col("kid_n") * KIDS < F.col("node_n")), F.lit("*")).otherwise(F.col("seg")))
+    own = own.select("host", "g", "seg", "new")
+    return counts.join(own, ["host", "g", "seg"]).select("host", "t", "n", "bad", "known", F.concat("g", F.array("new")).alias("g"))
 
 
 def path_templates(urls: DataFrame) -> DataFrame:
-    """(host, t1, t2, t3, deep, template, purity, labelled, rejected) from
-    urls(host, t1, t2, t3, deep, label); label is 1 for blocked, 0 for allowed, null for unknown."""
-    counts = urls.groupBy("host", "t1", "t2", "t3", "deep").agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad"), F.count("label").alias("known"))
+    """(host, t, template, purity, labelled, rejected) from urls(host, t, label);
+    t is the array of all segments, LEVELS at least; label is 1 for blocked, 0
+    for allowed, null for unknown."""
+    counts = urls.groupBy("host", "t").agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad"), F.count("label").alias("known"))
     counts = keep(counts, "paths")
-    for level in (1, 2, 3):
+    deepest = counts.agg(F.max(F.size("t"))).first()[0] or LEVELS
+    counts = counts.withColumn("g", F.array().cast("array<string>"))
+    for level in range(1, LEVELS + 1):
         counts = _generalise(counts, level)
+    for level in range(LEVELS + 1, deepest + 1):
+        counts = keep(counts, "tree")
+        ended = counts.where(F.size("t") < level).select("host", "t", "n", "bad", "known", "g")
+        counts = _generalise(counts.where(F.size("t") >= level), level).union(ended)
     counts = keep(counts, "tree")
-    below = F.concat_ws("/", "g2", "g3", F.col("deep").cast("string"))
+    counts = counts.select("host", "t", "bad", "known", F.get("g", F.lit(0)).alias("g1"), F.expr("slice(g, 2, size(g))").alias("rest"))
+    below = F.array_join("rest", "/")
     branches = counts.groupBy("host", "g1").agg(F.sum("bad").alias("bad"), F.sum("known").alias("known"), F.array_join(F.array_sort(F.collect_set(below)), "|").alias("shape"))
     usable = branches.where(F.col("known") >= LEAST_MERGE)
     pooled = usable.groupBy("host", "shape").agg((F.sum("bad") / F.sum("known")).alias("p"), F.count("*").alias("branches"), F.min("g1").alias("lead")).where("branches > 1")
     apart = F.abs(F.col("bad") / F.col("known") - F.col("p")) <= 2 * F.sqrt(F.col("p") * (1 - F.col("p")) / F.col("known"))
     merged = usable.join(pooled, ["host", "shape"]).where(apart).select("host", "g1", F.concat(F.lit("~"), "lead").alias("m1"))
     counts = counts.join(merged, ["host", "g1"], "left").withColumn("m1", F.coalesce("m1", "g1"))
-    whole = ["host", "m1", "g2", "g3", "deep"]
+    whole = ["host", "m1", "rest"]
     pure = counts.groupBy(*whole).agg(F.sum("bad").alias("b"), F.sum("known").alias("labelled")).withColumn("purity", (F.col("b") + 1) / (F.col("labelled") + 2)).drop("b")
-    out = counts.select("t1", "t2", "t3", *whole).join(pure, whole)
-    name = F.concat(F.col("host"), F.lit("/"), F.concat_ws("/", "m1", "g2", "g3"), F.when(F.col("deep"), "/**").otherwise(""))
-    return out.select("host", "t1", "t2", "t3", "deep", name.alias("template"), "purity", "labelled", ((F.col("purity") >= PURITY) & (F.col("labelled") >= LEAST_LABELS)).alias("rejected"))
+    out = counts.select("t", *whole).join(pure, whole)
+    name = F.concat_ws("/", "host", "m1", F.array_join("rest", "/"))
+    return out.select("host", "t", name.alias("template"), "purity", "labelled", ((F.col("purity") >= PURITY) & (F.col("labelled") >= LEAST_LABELS)).alias("rejected"))
 
 
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, labels: DataFrame | None = None) -> DataFrame:
@@ -98,21 +110,18 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     parsed = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), host.alias("host"), path.alias("path"))
 
     def shaped(df: DataFrame) -> DataFrame:
-        parts = F.filter(F.split(F.col("path"), "/", -1), lambda x: x != "")
-        df = df.withColumn("_parts", parts)
-        for i in (1, 2, 3):
-            df = df.withColumn(f"t{i}", _kind(F.coalesce(F.get("_parts", F.lit(i - 1)), F.lit(""))))
-        return df.withColumn("deep", F.size("_parts") > 3).drop("_parts")
+        parts = F.transform(F.filter(F.split(F.col("path"), "/", -1), lambda x: x != ""), _kind)
+        return df.withColumn("t", F.concat(parts, F.array_repeat(F.lit(""), F.greatest(F.lit(0), LEVELS - F.size(parts)))))
 
     judged = shaped(parsed).withColumn("_rule", rule_for(F.col("host"), F.col("path"), rules))
     judged = judged.select("*", F.col("_rule.rule").alias("rule"), F.col("_rule.verdict").alias("said")).drop("_rule")
-    seen = judged.select("host", "t1", "t2", "t3", "deep", F.when(F.col("said") == "block", 1).when(F.col("said") == "allow", 0).alias("label"))
+    seen = judged.select("host", "t", F.when(F.col("said") == "block", 1).when(F.col("said") == "allow", 0).alias("label"))
     if labels is not None:
         h, p = split_url(F.col("url"))
         more = shaped(labels.select(h.alias("host"), p.alias("path"), "label"))
-        seen = seen.union(more.select("host", "t1", "t2", "t3", "deep", F.col("label").cast("int")))
-    tree = keep(path_templates(seen), "templates").select("host", "t1", "t2", "t3", "deep", "template", "rejected")
-    out = judged.join(maybe_broadcast(tree, 256), ["host", "t1", "t2", "t3", "deep"], "left")
+        seen = seen.union(more.select("host", "t", F.col("label").cast("int")))
+    tree = keep(path_templates(seen), "templates").select("host", "t", "template", "rejected")
+    out = judged.join(maybe_broadcast(tree, 256), ["host", "t"], "left")
     verdict = F.coalesce("said", F.when(F.col("rejected"), "block").otherwise("allow"))
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "template")
 

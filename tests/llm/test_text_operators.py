@@ -244,3 +244,16 @@ def test_template_purity_rejects_unlabelled_neighbours(spark):
     rows = [(f"http://m.site/{b}/{i}", int(i % 4 > 0)) for b in ("p", "q") for i in range(12)]
     m = url_filter.filter_urls(spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string"), labels=spark.createDataFrame(rows, "url string, label int"))
     assert {r.template for r in m.collect()} == {"m.site/~p/{num}/"}
+
+
+def test_urls_that_differ_below_the_third_segment_part_company(spark):
+    from docweave.llm import url_filter
+
+    pages = spark.createDataFrame([(1, "http://h.example/a/b/c/bad/e/new"), (2, "http://h.example/a/b/c/good/e/new"), (3, "http://h.example/a/b/c")], "page_id long, url string")
+    labels = [(f"http://h.example/a/b/c/{kind}/e/{i}{i}x", int(kind == "bad")) for kind in ("bad", "good") for i in range(60)]
+    got = {r.page_id: r for r in url_filter.filter_urls(pages, labels=spark.createDataFrame(labels, "url string, label int")).collect()}
+    assert got[1].template.startswith("h.example/a/b/c/bad/e/") and got[2].template.startswith("h.example/a/b/c/good/e/") and got[3].template == "h.example/a/b/c"
+    pages = spark.createDataFrame([(1, "http://h.example/a/b/c/bad/e"), (2, "http://h.example/a/b/c/good/e")], "page_id long, url string")
+    labels = [(f"http://h.example/a/b/c/{kind}/e", int(kind == "bad")) for kind in ("bad", "good") for _ in range(60)]
+    got = {r.page_id: r for r in url_filter.filter_urls(pages, labels=spark.createDataFrame(labels, "url string, label int")).collect()}
+    assert got[1].verdict == "block" and got[2].verdict == "allow"
