@@ -71,6 +71,13 @@ def test_extraction_over_a_table(spark):
     assert html_extract.extract_pages(df.limit(0)).count() == 0
 
 
+def test_an_article_split_over_sibling_divs_stays_whole():
+    long = "".join(f"<p>Sentence {i} of the first part has quite a few words in it.</p>" for i in range(7))
+    short = "".join(f"<p>Sentence {i} of the second part has quite a few words too.</p>" for i in range(3))
+    text = main_text(f"<html><body><div><a href='/'>Start</a></div><div><div>{long}</div><div>{short}</div></div></body></html>")
+    assert text.count("first part") == 7 and text.count("second part") == 3 and "Start" not in text
+
+
 # --- boosted trees ---
 def test_trees_learn_and_flat_arrays_predict():
     rng = np.random.default_rng(0)
