@@ -77,8 +77,8 @@ def test_repeated_rows_and_empty_table(spark):
 
 
 def test_alike_lines_within_half_alike_families(spark):
-    # A template of 26 words and 14 of each line's own; each pair of lines
-    # differs by one word, and any line of the family may lead their bucket.
+    # A template of 31 words and 9 of each line's own; the two lines of a pair
+    # differ by two words, and any line of the family may lead their bucket.
     rng = random.Random(11)
 
     def some(n):
