@@ -1,115 +1,160 @@
 """Fuzzy line deduplication by MinHash, with DataFrame functions only.
 
-A line is lower-cased and trimmed. Its shingles are the runs of 12 characters
-that begin at its words (an ideograph is a word; in a longer word, such as a
-row with tabs, a url or a sentence of Thai, they begin at every character up
-to its last 12; the line's end makes the last ones shorter). Two lines are alike if the Jaccard index of their shingle sets is 0.8 or more.
-
-Signature: one permutation hashing. Shingle hashes are sorted within the row,
-which puts them into 8 cells by their high bits; a cell's band is made of the
-3 least hashes from its first on (2 in short lines; lines of about a dozen
-shingles have bands of both kinds). Lines at the threshold share one of 8
-bands with a probability of 0.997. Lines that share a band are compared with
-the band's lead by exact Jaccard, and what that leaves open is compared too, so
-that alike lines that share a band always meet (shared.linked). Verified links
-are joined to components by distributed union-find, and one line of each component stays: the first by
-document id, text and line number.
+A line is lower-cased and trimmed of spaces. Its shingles are all runs of
+SHINGLE characters (UTF-16 units). Two lines are alike if the Jaccard index of
+their shingle sets is 0.8 or more.
+
+Equal lines are one node, counted before anything is hashed. Signature: one
+permutation hashing; a shingle's hash falls into one of SLOTS cells, a cell's
+value is its least hash, and a cell without one borrows from the next ones.
+Bands are ROWS slots each, by GROUPS different divisions of the slots. Lines
+that share a band are compared with the band's lead by exact Jaccard, and what
+that leaves open is compared too (shared.linked); before any comparison, pairs
+whose signatures differ in more than APART slots are passed over. Verified
+links are joined to components by distributed union-find, and one line of each
+component stays: the first by document id, text and line number.
+
+Lines at exactly 0.8 share a band with a chance of 0.987 and pass the
+signatures with one of 0.999; lines of one language that are not alike share one
+with chances of some 10^-7.
 
 Defined cases: lines under ``min_chars`` characters (blank ones too) and null
-texts are left alone; a document's repeated rows (equal id and text) share one
-decision; null ids order last; a text whose lines all go becomes empty; other
-columns, whatever their names, are kept.
+texts are left alone; of a document's repeated rows (equal id and text) one
+keeps the lines that stay, the others lose all judged lines; null ids order
+last; a text whose lines all go becomes empty; other columns, whatever their
+names, are kept.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import random
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.shared import keep, linked, maybe_broadcast, release, scratch
+from docweave.llm.shared import Lanes, keep, linked, maybe_broadcast, release, scratch, split_repeats
 
-SHINGLE = 12
-CELL_BITS = 3
+SHINGLE = 6
+SLOTS = 25
+ROWS = 5
+GROUPS = 5
 THRESHOLD = 0.8
 MIN_CHARS = 20
-#: Shingles of a line up to which bands of 2 are made, and from which bands of 3.
-SHORT, LONG = 12, 10
-# An anchor: up to SHINGLE characters from here, then on to the next word, or by
-# one character where more than SHINGLE of the word are left. The characters are
-# spelt as single dots, which Java matches without a loop.
-_ANCHOR = rf"(?s)(?=({'.' * SHINGLE}|.+))(?:[^ ⺀-鿿]{{1,{SHINGLE}}}+(?![^ ⺀-鿿])|.) ?+"
+#: Slots in which lines may differ and still be compared.
+APART = 12
+#: Hashes kept for each slot, on average, before the least is taken: a slot
+#: loses its value with a chance of e to the minus this.
+SPARE = 6
+#: Slots that an empty slot looks through for a value.
+BORROW = 6
+_VALUE_BITS = 40
+LANES = Lanes(tuple(f"p{i}" for i in range(-(-SLOTS // 8))), 8, APART)
+
+
+def _divisions() -> list[list[int]]:
+    """The slots of each band: GROUPS divisions of all slots into bands of ROWS."""
+    draw, out = random.Random(1), []
+    for _ in range(GROUPS):
+        order = draw.sample(range(SLOTS), SLOTS)
+        out += [sorted(order[i : i + ROWS]) for i in range(0, SLOTS, ROWS)]
+    return out
+
+
+def _norm(line: Column) -> Column:
+    return F.lower(F.trim(line))
+
 
+def _doc_key(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col), F.col(text_col))
 
-def _hashes(line: str) -> str:
-    """Sorted shingle hashes as SQL."""
-    return rf"sort_array(transform(regexp_extract_all({line}, r'{_ANCHOR}', 1), x -> xxhash64(x)))"
 
+def _split_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+    """(doc, id, line_no, norm) of the judged lines; doc is the hash of id and text."""
+    lines = F.posexplode(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("line_no", "line")
+    each = docs.select(_doc_key(id_col, text_col).alias("doc"), F.col(id_col).alias("id"), lines)
+    return each.select("doc", "id", "line_no", _norm(F.col("line")).alias("norm")).where(F.length("norm") >= min_chars)
 
-def _band_starts(h: str) -> str:
-    """Indexes of each cell's first hash in the sorted array ``h``."""
-    bits = 64 - CELL_BITS
-    return f"filter(sequence(0, size({h}) - 1), i -> i = 0 or shiftright({h}[i], {bits}) <> shiftright({h}[i - 1], {bits}))"
 
+def distinct_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+    """(node, norm, n, first): each different line with its number and first place."""
+    each = _split_lines(docs, id_col, text_col, min_chars)
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "doc", "line_no")
+    return each.groupBy(F.xxhash64("norm").alias("node")).agg(F.min("norm").alias("norm"), F.count("*").alias("n"), F.min(place).alias("first"))
 
-def _band_keys(h: str, at: str) -> str:
-    """Band keys of the starts ``at``; the last ones run into the array's end."""
-    two = f"transform({at}, i -> xxhash64({h}[i], get({h}, i + 1), 2))"
-    three = f"transform({at}, i -> xxhash64({h}[i], get({h}, i + 1), get({h}, i + 2)))"
-    return f"case when size({h}) < {LONG} then {two} when size({h}) > {SHORT} then {three} else concat({two}, {three}) end"
 
+def signatures(lines: DataFrame) -> DataFrame:
+    """(node, s0, s1, ...): a slot's least hash, null where it has none.
 
-def _split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, id, lines); doc is the hash of id and text."""
-    return docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("doc"), F.col(id_col).alias("id"), F.split(F.col(text_col).cast("string"), "\n", -1).alias("lines"))
+    The shingles of a line are rows only within one task's generated code: a
+    line lies in one task, so one row of slots is all that is shuffled of it. A
+    hash that is too large to be its slot's least in all likelihood is left out
+    at once.
+    """
+    coded = lines.select("node", F.encode("norm", "UTF-16BE").alias("coded")).withColumn("size", F.greatest(F.expr(f"octet_length(coded) div 2 - {SHINGLE - 1}"), F.lit(1)))
+    each = coded.select("node", "size", F.explode(F.expr("sequence(1, 2 * size - 1, 2)")).alias("at"), "coded")
+    each = each.select("node", "size", F.expr(f"xxhash64(substring(coded, at, {2 * SHINGLE}))").alias("hash"))
+    each = each.select("node", "size", F.expr(f"cast(shiftright(shiftrightunsigned(hash, {_VALUE_BITS}) * {SLOTS}, {64 - _VALUE_BITS}) as int)").alias("slot"), F.expr(f"hash & {(1 << _VALUE_BITS) - 1}").alias("value"))
+    few = SPARE * SLOTS
+    each = each.where(f"size <= {few} or value < cast({float(few << _VALUE_BITS)}D / size as bigint)")
+    return each.groupBy("node").agg(*[F.expr(f"min(if(slot = {i}, value, null))").alias(f"s{i}") for i in range(SLOTS)])
 
 
-def _norm(line):
-    return F.lower(F.trim(line))
+def _filled(signed: DataFrame) -> DataFrame:
+    """Empty slots borrow from those after them; the loan is marked by its distance."""
+    full = [F.coalesce(F.col(f"s{i}"), *[F.col(f"s{(i + j) % SLOTS}") + (j << _VALUE_BITS) for j in range(1, BORROW + 1)], F.lit(0).cast("long")).alias(f"s{i}") for i in range(SLOTS)]
+    return signed.select("node", *full)
+
+
+def _banded(signed: DataFrame) -> DataFrame:
+    """(bucket, node, lanes)."""
+    lanes = [F.expr(" | ".join(f"shiftleft(xxhash64(s{8 * k + j}) & 255, {8 * j})" for j in range(min(8, SLOTS - 8 * k)))).alias(c) for k, c in enumerate(LANES.columns)]
+    bands = F.array(*[F.xxhash64(F.lit(n), *[F.col(f"s{i}") for i in slots]) for n, slots in enumerate(_divisions())])
+    return signed.select(F.explode(bands).alias("bucket"), "node", *lanes)
+
+
+def _shingle_sets(lines: DataFrame) -> DataFrame:
+    """(node, h): the distinct hashes of all shingles."""
+    coded = lines.select("node", F.encode("norm", "UTF-16BE").alias("coded"))
+    last = f"greatest(octet_length(coded) - {2 * SHINGLE - 1}, 1)"
+    return coded.select("node", F.expr(f"array_distinct(transform(sequence(1, {last}, 2), at -> xxhash64(substring(coded, at, {2 * SHINGLE}))))").alias("h"))
 
 
 def _judged(edges: DataFrame, sets: DataFrame) -> DataFrame:
     """edges(a, b) with the exact Jaccard index of the lines' sets."""
-    one, two = sets.select(F.col("key").alias("a"), F.col("h").alias("x")), sets.select(F.col("key").alias("b"), F.col("h").alias("y"))
+    one, two = sets.select(F.col("node").alias("a"), F.col("h").alias("x")), sets.select(F.col("node").alias("b"), F.col("h").alias("y"))
     both = edges.join(one, "a").join(two, "b").withColumn("n", F.size(F.array_intersect("x", "y")))
     sim = F.col("n") / (F.size("x") + F.size("y") - F.col("n"))
     return keep(both.select("a", "b", sim.alias("similarity")), "line-judged")
 
 
-def _line_sets(edges: DataFrame, lines: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(key, h): the shingle hashes of the edges' lines.
+class _Sets:
+    """Shingle sets of the lines that have been needed so far."""
 
-    Each line is read at one place where it stands: only the documents that
-    hold such a place are split again, and only those lines are hashed.
-    """
-    nodes = edges.select(F.col("a").alias("key")).union(edges.select("b")).distinct()
-    at = lines.join(maybe_broadcast(keep(nodes, "line-nodes"), 8), "key", "left_semi").groupBy("key").agg(F.first("doc").alias("doc"), F.first("line_no").alias("line_no"))
-    at = keep(at.groupBy("doc").agg(F.collect_list("line_no").alias("at")), "line-places")
-    texts = _split_lines(docs, id_col, text_col).join(maybe_broadcast(at, 48), "doc")
-    each = texts.select(F.explode(F.expr("transform(at, i -> lines[i])")).alias("line")).select(_norm(F.col("line")).alias("norm"))
-    each = each.select(F.xxhash64("norm").alias("key"), F.array_distinct(F.expr(_hashes("norm"))).alias("h"))
-    return keep(each.dropDuplicates(["key"]), "line-sets")
+    def __init__(self, lines: DataFrame):
+        self.lines, self.known = lines, None
 
+    def of(self, nodes: DataFrame) -> DataFrame:
+        if self.known is not None:
+            nodes = nodes.join(self.known.select("node"), "node", "left_anti")
+        nodes = keep(nodes, "line-nodes")
+        fresh = keep(_shingle_sets(self.lines.select("node", "norm").join(maybe_broadcast(nodes, 8), "node", "left_semi")), "line-sets")
+        self.known = fresh if self.known is None else self.known.union(fresh)
+        return self.known
 
-def line_classes(docs: DataFrame, id_col: str, text_col: str, min_chars: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(occurrences, classes): occurrences (doc, id, line_no, key) of the judged
-    lines, classes (node, root) of the keys that are linked to another."""
-    each = _split_lines(docs, id_col, text_col).select("doc", "id", F.posexplode("lines").alias("line_no", "line"))
-    each = each.select("doc", "id", "line_no", _norm(F.col("line")).alias("norm")).where(F.length("norm") >= min_chars)
-    each = each.withColumn("key", F.xxhash64("norm")).withColumn("h", F.expr(_hashes("norm"))).drop("norm")
-    each = each.withColumn("at", F.expr(_band_starts("h")))
-    lines = keep(each.select("doc", "id", "line_no", "key", F.expr(_band_keys("h", "at")).alias("bands")), "lines")
-    rows = lines.select(F.col("key").alias("node"), F.explode("bands").alias("bucket"))
-    sets: list[DataFrame] = []
+    def judge(self, edges: DataFrame) -> DataFrame:
+        return _judged(edges, self.of(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()))
 
-    def judge(edges: DataFrame) -> DataFrame:
-        if not sets:  # all later edges are between nodes of the first ones
-            sets.append(_line_sets(edges, lines, docs, id_col, text_col))
-        return _judged(edges, sets[0])
+    def tokens(self, nodes: DataFrame) -> DataFrame:
+        return self.of(nodes.distinct()).join(nodes, "node", "left_semi").select("node", F.explode("h").alias("token"))
 
-    def tokens(nodes: DataFrame) -> DataFrame:
-        return sets[0].join(nodes.withColumnRenamed("node", "key"), "key", "left_semi").select(F.col("key").alias("node"), F.explode("h").alias("token"))
 
-    return lines.drop("bands"), linked(rows, judge, tokens, threshold)[1]
+def line_classes(docs: DataFrame, id_col: str, text_col: str, min_chars: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(lines, classes): lines (node, norm, n, first) of the different judged
+    lines, classes (node, root) of those that are linked to another."""
+    lines = keep(distinct_lines(docs, id_col, text_col, min_chars), "lines")
+    rows = keep(_filled(signatures(lines)), "signed")
+    sets = _Sets(lines)
+    return lines, linked(_banded(rows), sets.judge, sets.tokens, threshold, LANES, 1024)[1]
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, threshold: float = THRESHOLD) -> DataFrame:
@@ -117,30 +162,42 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     doc is xxhash64 of id and text."""
     with scratch() as made:
         lines, classes = line_classes(docs, id_col, text_col, min_chars, threshold)
-        marked = lines.join(maybe_broadcast(classes, 16), F.col("key") == F.col("node"), "left").select("doc", "id", "line_no", F.coalesce("root", "key").alias("class"))
-        # Counting is cheap for all lines; only those that repeat are put in order.
-        many = keep(marked.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class"), "line-many")
-        again = keep(marked.join(maybe_broadcast(many, 8), "class"), "line-repeats")
-        order = F.struct(F.col("id").isNull(), F.col("id"), F.col("doc"), F.col("line_no"))
-        firsts = again.groupBy("class").agg(F.min(order).alias("first"))
-        firsts = keep(firsts.select("class", F.col("first.doc").alias("first_doc"), F.col("first.line_no").alias("first_no")), "line-firsts")
-        lost = again.join(maybe_broadcast(firsts, 32), "class").where("doc <> first_doc or line_no <> first_no")
+        met = lines.select("node", "n", "first").join(maybe_broadcast(classes, 16), "node", "left").where("n > 1 or root is not null")
+        met = keep(met.select("node", F.coalesce("root", "node").alias("class"), "first"), "line-met")
+        firsts = met.groupBy("class").agg(F.min("first").alias("first")).select("class", F.col("first.doc").alias("first_doc"), F.col("first.line_no").alias("first_no"))
+        told = keep(met.select("node", "class").join(maybe_broadcast(keep(firsts, "line-firsts"), 32), "class").drop("class"), "line-told")
+        places = _split_lines(docs, id_col, text_col, min_chars).select("doc", "line_no", F.xxhash64("norm").alias("node"))
+        lost = places.join(maybe_broadcast(told, 32), "node").where("doc <> first_doc or line_no <> first_no")
         out = keep(lost.groupBy("doc").agg(F.collect_set("line_no").alias("dropped")), "line-dropped")
     return release(made, out)
 
 
+def _without_lines(docs: DataFrame, lost: DataFrame, text_col: str, repeated: bool, min_chars: int) -> DataFrame:
+    """``docs`` (with __dw_doc) without the lines in ``lost``, and counts; of
+    repeated rows those that are not marked first lose all judged lines."""
+    out = docs.join(lost, "__dw_doc", "left")
+    dropped = F.col("__dw_dropped")
+    if repeated:
+        numbered = F.transform(F.split(F.col(text_col), "\n", -1), lambda x, i: F.when(F.length(_norm(x)) >= min_chars, i))
+        dropped = F.when(F.col("__dw_first"), dropped).otherwise(F.filter(numbered, lambda i: i.isNotNull()))
+    out = out.withColumn("__dw_dropped", F.when(F.size(dropped) > 0, dropped))
+    out = out.withColumn("__dw_lines", F.when(F.col("__dw_dropped").isNotNull(), F.split(F.col(text_col), "\n", -1)))
+    left = "array_join(transform(array_except(sequence(0, size(__dw_lines) - 1), __dw_dropped), i -> __dw_lines[i]), '\n')"
+    text = F.when(F.col("__dw_dropped").isNull(), F.col(text_col)).otherwise(F.expr(left))
+    n_lines = F.coalesce(F.octet_length(text_col) - F.octet_length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1, F.lit(0))
+    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "__dw_doc", "__dw_tag", "__dw_first")]
+    columns = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in names]
+    return out.select(*columns, n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("__dw_dropped"), F.lit(0)).cast("long").alias("n_dropped"))
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with the text without its dropped lines, and two columns:
     ``n_lines`` and ``n_dropped``."""
     lost = dropped_lines(docs, id_col, text_col, min_chars, threshold)
-    keyed = docs.withColumn("__dw_doc", F.xxhash64(F.col(id_col), F.col(text_col)))
     lost = lost.select(F.col("doc").alias("__dw_doc"), F.col("dropped").alias("__dw_dropped"))
     total = lost.agg(F.count("*"), F.coalesce(F.sum(F.size("__dw_dropped")), F.lit(0))).first()
-    small = 32 * total[0] + 4 * total[1] <= (16 << 20)
-    out = keyed.join(F.broadcast(lost) if small else lost, "__dw_doc", "left")
-    out = out.withColumn("__dw_lines", F.when(F.col("__dw_dropped").isNotNull(), F.split(F.col(text_col), "\n", -1)))
-    left = "array_join(transform(array_except(sequence(0, size(__dw_lines) - 1), __dw_dropped), i -> __dw_lines[i]), '\n')"
-    text = F.when(F.col("__dw_dropped").isNull(), F.col(text_col)).otherwise(F.expr(left))
-    n_lines = F.coalesce(F.octet_length(text_col) - F.octet_length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1, F.lit(0))
-    columns = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return out.select(*columns, n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("__dw_dropped"), F.lit(0)).cast("long").alias("n_dropped"))
+    if 32 * total[0] + 4 * total[1] <= (16 << 20):
+        lost = F.broadcast(lost)
+    alone, many = split_repeats(docs.withColumn("__dw_doc", _doc_key(id_col, text_col)), "__dw_doc")
+    out = _without_lines(alone, lost, text_col, False, min_chars)
+    return out if many is None else out.unionByName(_without_lines(many, lost, text_col, True, min_chars))

@@ -18,15 +18,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.shared import keep, linked, maybe_broadcast, release, scratch, small_batches
+from docweave.llm.shared import Lanes, keep, linked, maybe_broadcast, one_of_repeats, release, scratch, small_batches
 from docweave.llm.textbuf import Words, mix, pieces, shingles
 
 ROWS, BANDS = 6, 20
 SLOTS = ROWS * BANDS
 _EMPTY = np.float64(np.inf)
+#: Lanes of 4 bits, one for each slot. Texts at 0.8 differ in 22.5 of 120 on
+#: average, with a deviation of 4.3; those that differ in more than APART are
+#: taken as not alike, which loses two in a thousand at 0.8.
+LANE_BITS = 4
+APART = 35
 
 
 def _counted(doc: np.ndarray, shingle: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,6 +96,15 @@ def bag_signatures(rows: int, doc: np.ndarray, shingle: np.ndarray, count: np.nd
     return mark.reshape(rows, slots)
 
 
+def _lanes(sig: np.ndarray) -> np.ndarray:
+    """The slots' hashes cut to LANE_BITS, packed into longs."""
+    per = 64 // LANE_BITS
+    wide = np.zeros((len(sig), -(-sig.shape[1] // per) * per), np.uint64)
+    wide[:, : sig.shape[1]] = mix(sig) & np.uint64((1 << LANE_BITS) - 1)
+    at = np.arange(per, dtype=np.uint64) * np.uint64(LANE_BITS)
+    return np.bitwise_or.reduce(wide.reshape(len(sig), -1, per) << at, axis=2).view(np.int64)
+
+
 def _sketch(id_col: str, k: int, band_rows: int, bands: int):
     slots = band_rows * bands
     salt = mix(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x8CB92BA72F3D8DD7))
@@ -113,10 +127,10 @@ def _sketch(id_col: str, k: int, band_rows: int, bands: int):
                 total = np.zeros(len(each) + 1, np.uint64)
                 np.cumsum(each, out=total[1:])
                 seq = mix(total[words.first[1:]] - total[words.first[:-1]] + words.count.astype(np.uint64)).view(np.int64)
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, (hi - lo) * bands + 1, bands, dtype=np.int32)), pa.array(band.reshape(-1)))
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.reshape(-1))) for x in (band, _lanes(sig))]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo), keys.slice(lo, hi - lo), pa.array(seq), pa.array(words.count.astype(np.int64)), flat],
-                    names=["id", "text_key", "seq_key", "n_words", "bands"],
+                    [ids.slice(lo, hi - lo), keys.slice(lo, hi - lo), pa.array(seq), pa.array(words.count.astype(np.int64)), *lists],
+                    names=["id", "text_key", "seq_key", "n_words", "bands", "lanes"],
                 )
 
     return run
@@ -155,13 +169,29 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], names=["a", "b", "similarity"])
 
 
-def _bags_of(edges: DataFrame, by_text: DataFrame, sig: DataFrame, k: int) -> DataFrame:
-    """(node, bag) of the edges' nodes; their few keys go first, so the scan of
-    whole texts meets a small table."""
-    need = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    keys = keep(sig.join(need, "node", "left_semi").select("node", "text_key"), "keys")
-    texts = by_text.join(maybe_broadcast(keys, 16), "text_key").select("node", "text")
-    return keep(texts.mapInArrow(_bags(k), "node long, bag binary").dropDuplicates(["node"]), "bags")
+class _Bags:
+    """The multisets of the texts that have been needed so far."""
+
+    def __init__(self, by_text: DataFrame, sig: DataFrame, k: int):
+        self.by_text, self.sig, self.k, self.known = by_text, sig, k, None
+
+    def of(self, nodes: DataFrame) -> DataFrame:
+        """(node, bag); the few keys go first, so that the scan of whole texts
+        meets a small table."""
+        if self.known is not None:
+            nodes = nodes.join(self.known.select("node"), "node", "left_anti")
+        keys = keep(self.sig.select("node", "text_key").join(nodes, "node", "left_semi"), "keys")
+        # One text for each key, by an aggregate: copies are never gathered.
+        texts = self.by_text.join(maybe_broadcast(keys, 16), "text_key").groupBy("node").agg(F.min("text").alias("text"))
+        fresh = keep(texts.mapInArrow(_bags(self.k), "node long, bag binary"), "bags")
+        self.known = fresh if self.known is None else self.known.union(fresh)
+        return self.known
+
+    def judge(self, edges: DataFrame) -> DataFrame:
+        return _judged(edges, self.of(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()))
+
+    def tokens(self, nodes: DataFrame) -> DataFrame:
+        return self.of(nodes.distinct()).join(nodes, "node", "left_semi").select("node", "bag").mapInArrow(_tokens, "node long, token long")
 
 
 def _judged(edges: DataFrame, bags: DataFrame) -> DataFrame:
@@ -198,34 +228,26 @@ def near_duplicate_classes(
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).cast("string").alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
-    member = keep(texts.mapInArrow(_sketch("id", k, band_rows, bands), f"id {kind}, text_key long, seq_key long, n_words long, bands array<long>"), "members")
-    nodes = member.where("n_words > 0").groupBy("seq_key").agg(F.min("text_key").alias("text_key"))
-    sig = member.where("n_words > 0").select("seq_key", "text_key", "bands").join(nodes, ["seq_key", "text_key"]).dropDuplicates(["seq_key"])
-    sig = keep(sig.select(F.col("seq_key").alias("node"), "text_key", "bands"), "nodes")
-
-    by_text = texts.select("text_key", "text")
-    bags: list[DataFrame] = []
-
-    def judge(edges: DataFrame) -> DataFrame:
-        if not bags:  # all later edges are between nodes of the first ones
-            bags.append(_bags_of(edges, by_text, sig, k))
-        return _judged(edges, bags[0])
-
-    def tokens(nodes: DataFrame) -> DataFrame:
-        return bags[0].join(nodes, "node", "left_semi").select("node", "bag").mapInArrow(_tokens, "node long, token long")
-
-    links, classes = linked(sig.select("node", F.explode("bands").alias("bucket")), judge, tokens, threshold)
+    schema = f"id {kind}, text_key long, seq_key long, n_words long, bands array<long>, lanes array<long>"
+    member = keep(texts.mapInArrow(_sketch("id", k, band_rows, bands), schema), "members")
+    # Equal word sequences are one node, by a partial aggregate.
+    nodes = member.where("n_words > 0").groupBy(F.col("seq_key").alias("node")).agg(F.min(F.struct("text_key", "bands", "lanes")).alias("one"))
+    width = -(-band_rows * bands * LANE_BITS // 64)
+    lanes = Lanes(tuple(f"p{i}" for i in range(width)), LANE_BITS, round(APART * band_rows * bands / SLOTS) if band_rows * bands >= SLOTS else band_rows * bands)
+    sig = keep(nodes.select("node", "one.text_key", "one.bands", *[F.col("one.lanes")[i].alias(c) for i, c in enumerate(lanes.columns)]), "nodes")
+    have = _Bags(texts.select("text_key", "text"), sig, k)
+    links, classes = linked(sig.select("node", F.explode("bands").alias("bucket"), *lanes.columns), have.judge, have.tokens, threshold, lanes, 1024)
     return member, classes, links
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """(id, class_id, class_size, n_links, kept, text_key) for each row of ``docs``.
+    """(id, class_id, class_size, n_links, kept, text_key, worded) for each row of ``docs``.
 
     class_id is the least id of the class; n_links counts the verified links
     of the row's text to different texts, those to leads and those that the
     leads left open, not all pairs of its class; kept is true for one row of each
     class, the first by id, then by text; of repeated rows one is kept.
-    text_key is xxhash64 of the text.
+    text_key is xxhash64 of the text; worded tells whether it has a word.
     """
     with scratch() as made:
         member, classes, links = near_duplicate_classes(docs, id_col, text_col, **options)
@@ -238,18 +260,21 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     release(made, rows)
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("text_key"), F.col("rank"))
     firsts = rows.where("worded").groupBy("class_key").agg(F.min(order).alias("first"), F.count("*").alias("class_size"))
-    firsts = firsts.select("class_key", F.col("first.id").alias("class_id"), F.col("first.rank").alias("first_rank"), "class_size")
-    out = rows.where("worded").join(firsts, "class_key")
-    out = out.select("id", "class_id", "class_size", "n_links", (F.col("rank") == F.col("first_rank")).alias("kept"), "text_key")
-    lone = rows.where("not worded").select("id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), "n_links", F.lit(True).alias("kept"), "text_key")
+    firsts = keep(firsts.select("class_key", F.col("first.id").alias("class_id"), F.col("first.rank").alias("first_rank"), "class_size"), "class-firsts")
+    # A table of its own, so that the join can split the largest class.
+    out = rows.where("worded").join(maybe_broadcast(firsts, 40), "class_key")
+    out = out.select("id", "class_id", "class_size", "n_links", (F.col("rank") == F.col("first_rank")).alias("kept"), "text_key", "worded")
+    lone = rows.where("not worded").select("id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), "n_links", F.lit(True).alias("kept"), "text_key", "worded")
     return out.union(lone).withColumnRenamed("id", id_col)
 
 
 def keep_first_of_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each near-duplicate class, columns unchanged."""
+    """``docs`` with one row of each near-duplicate class, columns unchanged;
+    of repeated rows (equal id and text) that whose columns hash least."""
+    key = F.xxhash64(F.col(id_col), F.xxhash64(F.col(text_col)))
     chosen = near_dedup(docs.select(id_col, text_col), id_col, text_col, **options).where("kept")
-    chosen = chosen.groupBy(F.col(id_col).alias("__dw_id"), F.col("text_key").alias("__dw_key")).agg(F.count("*").alias("__dw_stay"))
-    keyed = docs.withColumn("__dw_text_key", F.xxhash64(F.col(text_col)))
-    both = keyed.join(chosen, F.col(id_col).eqNullSafe(F.col("__dw_id")) & (F.col("__dw_text_key") == F.col("__dw_key")))
-    turn = F.row_number().over(Window.partitionBy(id_col, "__dw_text_key").orderBy(F.lit(0)))
-    return both.withColumn("__dw_turn", turn).where("__dw_turn <= __dw_stay").select(*[F.col(f"`{c}`") for c in docs.columns])
+    chosen = keep(chosen.select(F.xxhash64(F.col(id_col), F.col("text_key")).alias("__dw_key"), F.col("worded").alias("__dw_worded")).distinct(), "chosen")
+    both = docs.withColumn("__dw_key", key).join(maybe_broadcast(chosen, 16), "__dw_key")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    # Rows without words are classes of their own, repeated ones too.
+    return one_of_repeats(both.where("__dw_worded"), "__dw_key").select(*names).union(both.where("not __dw_worded").select(*names))

@@ -60,7 +60,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document with its near-duplicate class."""
-    return near_dedup(_table(spark, sf_dir, "documents")).drop("text_key")
+    return near_dedup(_table(spark, sf_dir, "documents")).drop("text_key", "worded")
 
 
 QUERIES = {

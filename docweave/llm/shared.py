@@ -2,27 +2,29 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all machines share: ``spark.checkpoint.dir``.
 
-    Where it is unset (tests on one machine) a temporary folder is made once
-    and put into the session's settings.
+    Where it is unset, a run on one machine (tests) gets a temporary folder,
+    put into the session's settings once; a cluster gets an error.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("docweave.scratch.dir", None)
     if not path:
-        path = spark.conf.get("docweave.scratch.dir", None)
-        if not path:
-            path = tempfile.mkdtemp(prefix="docweave-")
-            spark.conf.set("docweave.scratch.dir", path)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        path = tempfile.mkdtemp(prefix="docweave-")
+        spark.conf.set("docweave.scratch.dir", path)
     return path.rstrip("/")
 
 
@@ -130,55 +132,110 @@ def maybe_broadcast(small: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(small) if small.count() * row_bytes <= BROADCAST_BYTES else small
 
 
-def led_buckets(rows: DataFrame) -> DataFrame:
-    """(bucket, node, lead) of the rows (bucket, node) whose bucket has two
-    nodes or more and whose node is not the lead.
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns but maps, which have none."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()])
+
+
+def split_repeats(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """(rows that are alone with their ``key``, the others or None).
+
+    The others, which are few where ids are unique, are kept with two columns:
+    ``__dw_tag`` tells rows apart, ``__dw_first`` marks one row of each key: that
+    whose columns hash least, whatever the order of rows. Counts and marks come
+    from partial aggregates, so no group of repeats is gathered.
+    """
+    often = keep(df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key), "often")
+    total = often.count()
+    if not total:
+        return df, None
+    known = F.broadcast(often) if total * 8 <= BROADCAST_BYTES else often
+    many = keep(df.withColumn("__dw_hash", row_hash(df)).join(known, key, "left_semi").withColumn("__dw_tag", F.monotonically_increasing_id()), "repeats")
+    first = many.groupBy(key).agg(F.min(F.struct("__dw_hash", "__dw_tag")).alias("__dw_least"))
+    first = keep(first.select(F.col("__dw_least.__dw_tag").alias("__dw_won")), "firsts")
+    many = many.drop("__dw_hash").join(maybe_broadcast(first, 8), F.col("__dw_tag") == F.col("__dw_won"), "left")
+    return df.join(known, key, "left_anti"), many.withColumn("__dw_first", F.col("__dw_won").isNotNull()).drop("__dw_won")
+
+
+def one_of_repeats(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with one row of those that share ``key``."""
+    alone, many = split_repeats(df, key)
+    return alone if many is None else alone.unionByName(many.where("__dw_first").drop("__dw_tag", "__dw_first"))
+
+
+@dataclass(frozen=True)
+class Lanes:
+    """Packed signatures that ride along with nodes, to skip comparisons.
+
+    ``columns`` are longs of 64 / ``bits`` lanes, one for each signature slot;
+    pairs that differ in more than ``most`` lanes are taken as not alike.
+    """
+
+    columns: tuple[str, ...] = ()
+    bits: int = 8
+    most: int = 0
+
+    def near(self, a: str, b: str) -> Column:
+        """Whether the columns with the prefixes ``a`` and ``b`` are near enough."""
+        if not self.columns:
+            return F.lit(True)
+        low, total = sum(1 << (self.bits * i) for i in range(64 // self.bits)), F.lit(0)
+        for c in self.columns:
+            x, step = F.col(a + c).bitwiseXOR(F.col(b + c)), self.bits // 2
+            while step:  # each lane's lowest bit becomes the union of its bits
+                x, step = x.bitwiseOR(F.shiftrightunsigned(x, step)), step // 2
+            total = total + F.bit_count(x.bitwiseAND(F.lit(low)))
+        return total <= self.most
+
+    def named(self, prefix: str) -> list[Column]:
+        return [F.col(c).alias(prefix + c) for c in self.columns]
+
+
+def led_buckets(rows: DataFrame, lanes: Lanes = Lanes()) -> tuple[DataFrame, DataFrame]:
+    """(met, led): met has the rows whose bucket has two nodes or more, led
+    (bucket, node, lead, near) those among them that are not their bucket's lead.
 
     The lead is the bucket's node that shares the most of its buckets, so that
     the centre of a group of variants leads it; ties go by a hash of
     node and bucket. Which buckets have several nodes comes from a partial
-    aggregate, so a huge bucket is never gathered; what is broadcast has been
-    counted small.
+    aggregate, and leads are a table of their own, so that a join can split a
+    huge bucket; what is broadcast has been counted small.
     """
     shared = rows.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket")
     shared = keep(shared, "shared")
-    met = keep(rows.join(maybe_broadcast(shared, 8), "bucket").groupBy("bucket", "node").agg(F.lit(1).alias("one")).drop("one"), "met")
+    met = keep(rows.join(maybe_broadcast(shared, 8), "bucket"), "met")
     degree = met.groupBy("node").agg(F.count("*").alias("degree"))
-    ranked = met.join(degree, "node")
-    leads = ranked.groupBy("bucket").agg(F.max(F.struct("degree", F.xxhash64("node", "bucket").alias("turn"), "node")).alias("top"))
-    leads = leads.select("bucket", F.col("top.node").alias("lead"))
-    return met.join(leads, "bucket").where("node <> lead").select("bucket", "node", "lead")
+    top = F.max(F.struct("degree", F.xxhash64("node", "bucket").alias("turn"), "node", *lanes.columns)).alias("top")
+    leads = met.join(degree, "node").groupBy("bucket").agg(top)
+    leads = keep(leads.select("bucket", F.col("top.node").alias("lead"), *[F.col(f"top.{c}").alias(f"lead_{c}") for c in lanes.columns]), "leads")
+    led = met.join(maybe_broadcast(leads, 16 + 8 * len(lanes.columns)), "bucket").where("node <> lead")
+    return met, led.select("bucket", "node", "lead", lanes.near("", "lead_").alias("near"))
 
 
-#: Rows of a bucket up to which what its lead has left open is compared in pairs.
+#: Open pairs of a bucket up to which they are compared without dealing them again: the square of this.
 PAIRED = 64
 
 
-def _left_open(led: DataFrame, judged: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """(bucket, node, class, similarity, most, n) of the nodes that may have an
-    alike one of another class in their bucket; most is the bucket's largest
-    class, n counts such nodes.
-
-    One minus Jaccard is a metric: alike nodes are about equally far from the
-    lead, so those near to it need no comparison with those that are far.
-    """
-    sims = judged.select(F.col("a").alias("lo"), F.col("b").alias("hi"), "similarity")
-    each = led.withColumn("lo", F.least("node", "lead")).withColumn("hi", F.greatest("node", "lead")).join(sims, ["lo", "hi"]).select("bucket", "node", "similarity")
-    near = each.where(F.col("similarity") < threshold).groupBy("bucket").agg(F.max("similarity").alias("near"))
-    each = each.join(near, "bucket").where(F.col("similarity") <= F.col("near") + (1 - threshold + 1e-9))
-    each = each.join(classes.select("node", "root"), "node", "left").select("bucket", "node", "similarity", F.coalesce("root", "node").alias("class"))
+def _left_open(met: DataFrame, classes: DataFrame, lanes: Lanes) -> DataFrame:
+    """(bucket, node, class, most, pairs, lanes) of the buckets with more than
+    one class; most is the bucket's largest class, pairs bounds the pairs of
+    different classes. Of two nodes one is the lead, so they are not open."""
+    each = met.join(classes.select("node", "root"), "node", "left").select("bucket", "node", *lanes.columns, F.coalesce("root", "node").alias("class"))
     each = keep(each, "apart")
     sizes = each.groupBy("bucket", "class").agg(F.count("*").alias("size"))
     sizes = sizes.groupBy("bucket").agg(F.max(F.struct("size", "class")).alias("top"), F.sum("size").alias("n"), F.count("*").alias("classes"))
-    return keep(each.join(sizes.where("classes > 1").select("bucket", F.col("top.class").alias("most"), "n"), "bucket"), "open")
+    sizes = sizes.where("classes > 1 and n > 2").select("bucket", F.col("top.class").alias("most"), ((F.col("n") - F.col("top.size")) * F.col("n")).alias("pairs"))
+    return keep(each.join(maybe_broadcast(keep(sizes, "sizes"), 24), "bucket"), "open")
 
 
-def _open_pairs(rest: DataFrame, judged: DataFrame, threshold: float) -> DataFrame:
+def _open_pairs(rest: DataFrame, judged: DataFrame, lanes: Lanes) -> DataFrame:
     """edges(a, b) not judged yet of the open nodes of one bucket and different
-    classes; the largest class is not compared with itself."""
-    one = rest.where("class <> most").select("bucket", F.col("node").alias("x"), F.col("class").alias("c"), F.col("similarity").alias("s"))
-    two = rest.select("bucket", F.col("node").alias("y"), F.col("class").alias("d"), F.col("similarity").alias("t"))
-    pairs = one.join(two, "bucket").where("c <> d").where(F.abs(F.col("s") - F.col("t")) <= 1 - threshold + 1e-9)
+    classes; the largest class is not compared with itself. Pairs whose lanes
+    are far apart never leave the join."""
+    one = rest.where("class <> most").select("bucket", F.col("node").alias("x"), F.col("class").alias("c"), *lanes.named("x_"))
+    two = rest.select("bucket", F.col("node").alias("y"), F.col("class").alias("d"), "most", *lanes.named("y_"))
+    ok = (F.col("c") != F.col("d")) & ((F.col("d") == F.col("most")) | (F.col("x") < F.col("y"))) & lanes.near("x_", "y_")
+    pairs = one.withColumnRenamed("bucket", "at").join(two, (F.col("at") == F.col("bucket")) & ok)
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(judged.select("a", "b"), ["a", "b"], "left_anti")
 
 
@@ -206,36 +263,43 @@ def _joined(classes: DataFrame, links: DataFrame) -> DataFrame:
     return keep(moved.union(fresh), "joined")
 
 
-def linked(rows: DataFrame, judge: Callable[[DataFrame], DataFrame], tokens: Callable[[DataFrame], DataFrame], threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(links, classes) of the rows (bucket, node): links (a, b, similarity)
-    that reach the threshold, classes (node, root) by them.
-
-    Any two alike nodes that share a bucket end in one class. A bucket's nodes
-    are compared with its lead; what that leaves open is compared pair by pair
-    in buckets of up to PAIRED nodes. Larger ones are split by their nodes'
-    rarest tokens, which loses no alike pair, and led once more; then what is
-    open is compared in pairs whatever its number. Pairs of one class are left
-    out. ``judge`` turns edges(a, b) into a kept table with their similarity;
-    ``tokens`` gives (node, token) of nodes(node), as sets.
+def linked(
+    rows: DataFrame, judge: Callable[[DataFrame], DataFrame], tokens: Callable[[DataFrame], DataFrame], threshold: float, lanes: Lanes = Lanes(), paired: int = PAIRED
+) -> tuple[DataFrame, DataFrame]:
+    """(links, classes) of the rows (bucket, node, lanes): links (a, b,
+    similarity) that reach the threshold, classes (node, root) by them.
+
+    Any two alike nodes that share a bucket, and whose lanes are near, end in
+    one class. A bucket's nodes are compared with its lead. Where that leaves
+    several classes in a bucket, nodes of different classes are compared pair
+    by pair, if that makes at most ``paired`` squared pairs. Larger buckets are
+    split by their nodes' rarest tokens, which loses no alike pair, and led once
+    more; then what is open is compared in pairs whatever its number. Pairs of
+    one class are left out. ``judge`` turns edges(a, b) into a kept table with
+    their similarity; ``tokens`` gives (node, token) of nodes(node), as sets.
     """
     judged = None
     classes = None
     for last in (False, True):
-        led = keep(led_buckets(rows), "led")
-        edges = led.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+        met, led = led_buckets(rows, lanes)
+        edges = led.where("near").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
         edges = keep(edges if judged is None else edges.join(judged.select("a", "b"), ["a", "b"], "left_anti"), "edges")
         new = judge(edges)
         judged = new if judged is None else judged.union(new)
         good = new.where(F.col("similarity") >= threshold)
         classes = keep(components(good), "classes") if classes is None else _joined(classes, good)
-        rest = _left_open(led, judged, classes, threshold)
-        new = judge(keep(_open_pairs(rest if last else rest.where(F.col("n") <= PAIRED), judged, threshold), "pairs"))
-        judged = judged.union(new)
-        good = new.where(F.col("similarity") >= threshold)
-        if not good.isEmpty():
-            classes = _joined(classes, good)
-        large = rest.where(F.col("n") > PAIRED)
+        rest = _left_open(met, classes, lanes)
+        pairs = keep(_open_pairs(rest if last else rest.where(F.col("pairs") <= paired**2), judged, lanes), "pairs")
+        if not pairs.isEmpty():
+            new = judge(pairs)
+            judged = judged.union(new)
+            good = new.where(F.col("similarity") >= threshold)
+            if not good.isEmpty():
+                classes = _joined(classes, good)
+        large = rest.where(F.col("pairs") > paired**2)
         if last or large.isEmpty():
             break
-        rows = _by_rare_tokens(large.select("node").distinct(), tokens, threshold)
+        nodes = large.groupBy("node").agg(*[F.min(c).alias(c) for c in lanes.columns], F.count("*").alias("n")).drop("n")
+        nodes = keep(nodes, "large")
+        rows = _by_rare_tokens(nodes.select("node"), tokens, threshold).join(nodes, "node").select("bucket", "node", *lanes.columns)
     return judged.where(F.col("similarity") >= threshold), classes
