@@ -50,7 +50,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of each document."""
     mixed = mixing.mix_sources(_table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "expected", "copies")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

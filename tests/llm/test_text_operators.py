@@ -120,6 +120,68 @@ def test_mix_meets_targets(spark):
     assert sum(len((r.text or "").split()) * r.copies for r in mixed.collect()) == sum(taken.values())
 
 
+def _copies(rows, seed="mix"):
+    """Copies by id of (id, text, source), with plain loops: a bisection for
+    each source's level, then ranks in order."""
+    size = lambda t: len((t or "").split())
+    sums = defaultdict(int)
+    for _, t, s in rows:
+        sums[s] += size(t)
+    goal, out, hoped = _targets(dict(sums)), {}, {}
+    for s in sums:
+        mine = [(i, t, size(t)) for i, t, x in rows if x == s]
+        weight = lambda n: 0.5 ** max((n.bit_length() - 8) // 2, 0)
+        lo, hi = 0.0, 1e9
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (lo, mid) if sum(min(2.0, mid * weight(n)) * n for _, _, n in mine) >= goal[s] else (mid, hi)
+        hope = {i: min(2.0, hi * weight(n)) if hi < 1e8 else 2.0 for i, _, n in mine if n}
+        rest = goal[s] - sum(int(hope[i] + 1e-9) * n for i, _, n in mine if n)
+        ranks = []
+        for i, t, n in mine:
+            part = hope.get(i, 0) % 1
+            if n and 1e-9 < part < 1 - 1e-9:
+                u = (int(hashlib.md5(f"{i}:{hashlib.md5((t or '').encode()).hexdigest()}:{seed}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+                ranks.append((u / (1 - u) / (part / (1 - part)), i, n))
+        ahead, more = 0, set()
+        for _, i, n in sorted(ranks):
+            if ahead + n / 2 <= rest:
+                more.add(i)
+            ahead += n
+        for i, _, n in mine:
+            out[i] = int(hope[i] + 1e-9) + (i in more) if n else 1
+        hoped |= hope
+    return out, hoped
+
+
+def test_mix_is_a_pareto_sample_with_unequal_odds(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(["w"] * rng.choice([1, 30, 200, 400, 700, 1500, 5000])), rng.choices("abc", [9, 2, 1])[0]) for i in range(4000)]
+    df = spark.createDataFrame(rows, DOCS + ", source string")
+    got = {r.doc_id: r for r in mixing.mix_sources(df).collect()}
+    want, hoped = _copies(rows)
+    assert {i: r.copies for i, r in got.items()} == want
+    assert all(abs(r.expected - hoped[i]) < 1e-6 for i, r in got.items())
+    # What is drawn follows the odds: by length class, within five deviations.
+    by = defaultdict(list)
+    for r in got.values():
+        by[r.source, r.expected].append(r.copies)
+    assert len({p for _, p in by}) >= 3
+    for (_, p), n in by.items():
+        assert abs(sum(n) / len(n) - p) <= 5 * (0.25 / len(n)) ** 0.5 + 1 / len(n)
+
+
+def test_mix_of_one_document_repeated(spark):
+    # Equal rows share a rank: the rest ends among them, and some are taken.
+    df = spark.createDataFrame([(None, "one two three", "a", k) for k in range(50)] + [(1, "x", "b", 0)], DOCS + ", source string, k int")
+    got = mixing.mix_sources(df).collect()
+    took = sorted(r.copies for r in got if r.source == "a")
+    want = next(r.target for r in got if r.source == "a")
+    assert abs(sum(took) * 3 - want) <= 2 and set(took) <= {1, 2}
+    mixed = mixing.apply_mix(df).collect()
+    assert sorted(r.copies for r in mixed if r.source == "a") == took and len(mixed) == 51
+
+
 def test_mix_of_nothing(spark):
     df = spark.createDataFrame([], DOCS + ", source string")
     assert mixing.mix_sources(df).count() == 0
