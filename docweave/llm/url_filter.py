@@ -4,18 +4,27 @@ Explicit rules (host, path, verdict) judge the urls that they fit, and serve
 as labels. For the others: per host, path segments become a tree. Segments that
 look variable (numbers, ids) become a wildcard of their kind; at a node with
 more than KIDS children, those with under a KIDS-th of its urls become one
-wildcard. Branches of a host that have the same shape below, and labelled
-shares no further apart than chance allows, are merged. A template is rejected
-if its labelled purity, smoothed by one url of either kind, reaches PURITY.
-
-Per-url work is one pass; the tree is built from counts by template, joined by
-host, so a host that holds a third of all urls is never gathered in one task.
-The tree has a level for each segment of the longest path; branches are merged
-at the first segment only. ORACLE_SQL has three levels, as paths at hand do.
+wildcard. Level by level, branches of one node that have the same shape below
+are merged, if their labelled shares are no further apart than chance allows;
+branches without labels have none to differ by, so they join the labelled ones
+of their shape.
+
+A template's labelled purity is smoothed along its path. At a host each labelled
+branch has one vote, its share of blocked labels, and the corpus' share has
+SMOOTH votes: one branch, however large, doesn't speak for its siblings of other
+shapes. The host's purity counts as SMOOTH labels at its branches, a branch's at
+its own branches, and so on down. So a template without labels of its own has
+the purity of those that it is merged with, or of its host. It is rejected from PURITY on, if
+its host has LEAST_LABELS labels at least.
+
+Per-url work is one pass; the tree is built from counts by template, so a host
+that holds a third of all urls is never gathered in one task. The tree has a
+level for each segment of the longest path; ORACLE_SQL has three levels, as
+paths at hand do.
 
 Defined cases: a null url or one without :// has an empty host and path, which
-are judged like any other; repeated urls count each; urls without a labelled
-neighbour are allowed; extra columns are ignored.
+are judged like any other; repeated urls count each; urls on a host without
+labels are allowed; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +40,7 @@ KIDS = 20
 PURITY = 0.8
 LEAST_LABELS = 3
 LEAST_MERGE = 5
+SMOOTH = 2
 #: Shorter paths are filled up to so many segments; longer ones keep all of theirs.
 LEVELS = 3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -67,45 +77,64 @@ def _generalise(counts: DataFrame, level: int) -> DataFrame:
     """Adds to the array g the segment of this level, or * where a node has too many."""
     counts = counts.withColumn("seg", F.get("t", F.lit(level - 1)))
     kids = counts.groupBy("host", "g", "seg").agg(F.sum("n").alias("kid_n"))
-    nodes = kids.groupBy("host", "g").agg(F.count("*").alias("kids"), F.sum("kid_n").alias("node_n"))
-    own = kids.join(nodes, ["host", "g"]).withColumn("new", F.when((F.col("kids") > KIDS) & (F.col("kid_n") * KIDS < F.col("node_n")), F.lit("*")).otherwise(F.col("seg")))
-    own = own.select("host", "g", "seg", "new")
-    return counts.join(own, ["host", "g", "seg"]).select("host", "t", "n", "bad", "known", F.concat("g", F.array("new")).alias("g"))
+    nodes = kids.groupBy("host", "g").agg(F.count("*").alias("kids"), F.sum("kid_n").alias("node_n")).where(F.col("kids") > KIDS)
+    # Only rare children of crowded nodes are renamed, so the join meets few rows.
+    rare = kids.join(maybe_broadcast(keep(nodes, "crowded"), 256), ["host", "g"]).where(F.col("kid_n") * KIDS < F.col("node_n")).select("host", "g", "seg", F.lit("*").alias("new"))
+    out = counts.join(rare, ["host", "g", "seg"], "left")
+    return out.select("host", "t", "n", "bad", "known", F.concat("g", F.array(F.coalesce("new", "seg"))).alias("g"))
+
+
+def _merged(leaves: DataFrame, level: int) -> DataFrame:
+    """``leaves`` (host, g, m, bad, known, purity) one level further: m gets the
+    segment's name after merging, purity the node's labels."""
+    seg = F.get("g", F.lit(level - 1))
+    here = leaves.where(seg != "").withColumn("seg", seg)
+    below = F.xxhash64(F.expr(f"slice(g, {level + 1}, size(g))"))
+    parts = here.groupBy("host", "m", "seg", below.alias("below")).agg(F.sum("bad").alias("bad"), F.sum("known").alias("known"))
+    kids = parts.groupBy("host", "m", "seg").agg(F.sum("bad").alias("bad"), F.sum("known").alias("known"), F.struct(F.count("*"), F.bit_xor("below")).alias("shape"))
+    labelled = F.col("known") >= LEAST_MERGE
+    pools = kids.groupBy("host", "m", "shape").agg(
+        F.count("*").alias("kids"), F.sum(F.when(labelled, F.col("bad"))).alias("pool_bad"), F.sum(F.when(labelled, F.col("known"))).alias("pool_known"), F.min(F.when(labelled, F.col("seg"))).alias("lead")
+    )
+    pools = pools.where("kids > 1 and pool_known > 0").select("host", "m", "shape", "lead", ((F.col("pool_bad") + 1) / (F.col("pool_known") + 2)).alias("p"))
+    near = (F.col("known") == 0) | (F.abs(F.col("bad") / F.col("known") - F.col("p")) <= 2 * F.sqrt(F.col("p") * (1 - F.col("p")) / F.col("known")))
+    names = kids.join(pools, ["host", "m", "shape"], "left").select("host", "m", "seg", F.when(near, F.concat(F.lit("~"), "lead")).otherwise(F.col("seg")).alias("name"))
+    here = here.join(keep(names, "names"), ["host", "m", "seg"]).select("host", "g", F.concat("m", F.array(F.coalesce("name", "seg"))).alias("m"), "bad", "known", "purity")
+    own = here.groupBy("host", "m").agg(F.sum("bad").alias("b"), F.sum("known").alias("k"))
+    here = here.join(own, ["host", "m"]).withColumn("purity", (F.col("b") + SMOOTH * F.col("purity")) / (F.col("k") + SMOOTH)).drop("b", "k")
+    return here.unionByName(leaves.where((seg == "") | seg.isNull()))
 
 
 def path_templates(urls: DataFrame) -> DataFrame:
     """(host, t, template, purity, labelled, rejected) from urls(host, t, label);
     t is the array of all segments, LEVELS at least; label is 1 for blocked, 0
-    for allowed, null for unknown."""
+    for allowed, null for unknown; labelled counts the host's labels."""
     counts = urls.groupBy("host", "t").agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad"), F.count("label").alias("known"))
     counts = keep(counts, "paths")
-    deepest = counts.agg(F.max(F.size("t"))).first()[0] or LEVELS
+    whole = counts.agg(F.max(F.size("t")), F.sum("bad"), F.sum("known")).first()
+    deepest, share = whole[0] or LEVELS, ((whole[1] or 0) + 1) / ((whole[2] or 0) + 2)
     counts = counts.withColumn("g", F.array().cast("array<string>"))
-    for level in range(1, LEVELS + 1):
-        counts = _generalise(counts, level)
-    for level in range(LEVELS + 1, deepest + 1):
-        counts = keep(counts, "tree")
-        ended = counts.where(F.size("t") < level).select("host", "t", "n", "bad", "known", "g")
-        counts = _generalise(counts.where(F.size("t") >= level), level).union(ended)
-    counts = keep(counts, "tree")
-    counts = counts.select("host", "t", "bad", "known", F.get("g", F.lit(0)).alias("g1"), F.expr("slice(g, 2, size(g))").alias("rest"))
-    below = F.array_join("rest", "/")
-    branches = counts.groupBy("host", "g1").agg(F.sum("bad").alias("bad"), F.sum("known").alias("known"), F.array_join(F.array_sort(F.collect_set(below)), "|").alias("shape"))
-    usable = branches.where(F.col("known") >= LEAST_MERGE)
-    pooled = usable.groupBy("host", "shape").agg((F.sum("bad") / F.sum("known")).alias("p"), F.count("*").alias("branches"), F.min("g1").alias("lead")).where("branches > 1")
-    apart = F.abs(F.col("bad") / F.col("known") - F.col("p")) <= 2 * F.sqrt(F.col("p") * (1 - F.col("p")) / F.col("known"))
-    merged = usable.join(pooled, ["host", "shape"]).where(apart).select("host", "g1", F.concat(F.lit("~"), "lead").alias("m1"))
-    counts = counts.join(merged, ["host", "g1"], "left").withColumn("m1", F.coalesce("m1", "g1"))
-    whole = ["host", "m1", "rest"]
-    pure = counts.groupBy(*whole).agg(F.sum("bad").alias("b"), F.sum("known").alias("labelled")).withColumn("purity", (F.col("b") + 1) / (F.col("labelled") + 2)).drop("b")
-    out = counts.select("t", *whole).join(pure, whole)
-    name = F.concat_ws("/", "host", "m1", F.array_join("rest", "/"))
-    return out.select("host", "t", name.alias("template"), "purity", "labelled", ((F.col("purity") >= PURITY) & (F.col("labelled") >= LEAST_LABELS)).alias("rejected"))
+    for level in range(1, deepest + 1):
+        ended = counts.where(F.size("t") < level)
+        counts = keep(_generalise(counts.where(F.size("t") >= level), level).unionByName(ended), "tree")
+    leaves = counts.groupBy("host", "g").agg(F.sum("bad").alias("bad"), F.sum("known").alias("known"))
+    branches = leaves.groupBy("host", F.get("g", F.lit(0)).alias("branch")).agg(F.sum("bad").alias("b"), F.sum("known").alias("k"))
+    vote = F.when(F.col("k") > 0, F.col("b") / F.col("k"))
+    hosts = branches.groupBy("host").agg(F.sum("k").alias("labelled"), F.coalesce(F.sum(vote), F.lit(0.0)).alias("votes"), F.count(vote).alias("voters"))
+    hosts = keep(hosts.select("host", "labelled", ((F.col("votes") + SMOOTH * F.lit(share)) / (F.col("voters") + SMOOTH)).alias("purity")), "hosts")
+    leaves = leaves.join(maybe_broadcast(hosts.drop("labelled"), 64), "host").withColumn("m", F.array().cast("array<string>"))
+    for level in range(1, deepest + 1):
+        leaves = keep(_merged(leaves, level), "leaves")
+    leaves = leaves.join(maybe_broadcast(hosts.drop("purity"), 64), "host")
+    name = F.concat_ws("/", F.col("host"), F.array_join(F.concat("m", F.array_repeat(F.lit(""), F.greatest(F.size("g") - F.size("m"), F.lit(0)))), "/"))
+    rejected = (F.col("purity") >= PURITY) & (F.col("labelled") >= LEAST_LABELS)
+    leaves = keep(leaves.select("host", "g", name.alias("template"), "purity", "labelled", rejected.alias("rejected")), "named")
+    return counts.join(maybe_broadcast(leaves, 256), ["host", "g"]).select("host", "t", "template", "purity", "labelled", "rejected")
 
 
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, labels: DataFrame | None = None) -> DataFrame:
-    """(id, host, path, rule, verdict, template) of each row. ``labels`` (url,
-    label) adds labelled urls to those that the rules label."""
+    """(id, host, path, rule, verdict, template, purity) of each row. ``labels``
+    (url, label) adds labelled urls to those that the rules label."""
     host, path = split_url(F.col(url_col))
     parsed = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), host.alias("host"), path.alias("path"))
 
@@ -120,10 +149,10 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         h, p = split_url(F.col("url"))
         more = shaped(labels.select(h.alias("host"), p.alias("path"), "label"))
         seen = seen.union(more.select("host", "t", F.col("label").cast("int")))
-    tree = keep(path_templates(seen), "templates").select("host", "t", "template", "rejected")
+    tree = keep(path_templates(seen), "templates").select("host", "t", "template", "purity", "rejected")
     out = judged.join(maybe_broadcast(tree, 256), ["host", "t"], "left")
     verdict = F.coalesce("said", F.when(F.col("rejected"), "block").otherwise("allow"))
-    return out.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "template")
+    return out.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
 
 
 _SQL_KIND = """case when regexp_matches({s}, '^[0-9]+$') then '{{num}}'
@@ -152,18 +181,27 @@ k{i} as (select {above}, t{i}, sum(n) as kid_n from c{i - 1} group by all),
 n{i} as (select {above}, count(*) as kids, sum(kid_n) as node_n from k{i} group by all),
 o{i} as (select {above}, t{i}, case when kids > {KIDS} and kid_n * {KIDS} < node_n then '*' else t{i} end as g{i} from k{i} join n{i} using ({above})),
 c{i} as (select * from c{i - 1} join o{i} using ({above}, t{i}))"""
+    sql += f""",
+tot as (select (sum(bad) + 1) / (sum(known) + 2) as share from c3),
+vo as (select host, g1, sum(bad) as b, sum(known) as k from c3 group by all),
+ho as (select host, sum(k) as labelled, (coalesce(sum(b / k) filter (k > 0), 0) + {SMOOTH} * any_value(share)) / (count(*) filter (k > 0) + {SMOOTH}) as p0 from vo, tot group by host),
+w0 as (select c3.*, labelled, p0 from c3 join ho using (host))"""
+    for i in (1, 2, 3):
+        above = ", ".join(["host", *(f"m{k}" for k in range(1, i))])
+        rest = ", ".join(["'/'", *(f"g{k}" for k in range(i + 1, 4)), "cast(deep as varchar)"])
+        sql += f""",
+b{i} as (select {above}, g{i}, sum(bad) as bad, sum(known) as known, array_to_string(list_sort(list_distinct(list(concat_ws({rest})))), '|') as shape from w{i - 1} where g{i} <> '' group by {above}, g{i}),
+p{i} as (select {above}, shape, (sum(bad) filter (known >= {LEAST_MERGE}) + 1) / (sum(known) filter (known >= {LEAST_MERGE}) + 2) as p, min(g{i}) filter (known >= {LEAST_MERGE}) as lead
+  from b{i} group by {above}, shape having count(*) > 1 and max(known) >= {LEAST_MERGE}),
+e{i} as (select {above}, g{i}, case when known = 0 or abs(bad / known - p) <= 2 * sqrt(p * (1 - p) / known) then coalesce('~' || lead, g{i}) else g{i} end as m{i} from b{i} left join p{i} using ({above}, shape)),
+x{i} as (select w{i - 1}.*, coalesce(m{i}, '') as m{i} from w{i - 1} left join e{i} using ({above}, g{i})),
+y{i} as (select {above}, m{i}, sum(bad) as nb, sum(known) as nk from x{i} group by {above}, m{i}),
+w{i} as (select x{i}.*, case when m{i} = '' then p{i - 1} else (nb + {SMOOTH} * p{i - 1}) / (nk + {SMOOTH}) end as p{i} from x{i} join y{i} using ({above}, m{i}))"""
     return (
         sql
         + f""",
-br as (select host, g1, sum(bad) as bad, sum(known) as known, array_to_string(list_sort(list_distinct(list(concat_ws('/', g2, g3, cast(deep as varchar))))), '|') as shape from c3 group by all),
-us as (select * from br where known >= {LEAST_MERGE}),
-po as (select host, shape, sum(bad) / sum(known) as p, min(g1) as lead from us group by all having count(*) > 1),
-me as (select us.host, g1, '~' || lead as m1 from us join po on us.host = po.host and us.shape = po.shape where abs(bad / known - p) <= 2 * sqrt(p * (1 - p) / known)),
-w as (select c3.*, coalesce(m1, c3.g1) as mm from c3 left join me on c3.host = me.host and c3.g1 = me.g1),
-pu as (select host, mm, g2, g3, deep, (sum(bad) + 1) / (sum(known) + 2) as purity, sum(known) as labelled from w group by all),
-tr as (select w.host, t1, t2, t3, w.deep, w.host || '/' || concat_ws('/', w.mm, w.g2, w.g3) || case when w.deep then '/**' else '' end as template, purity >= {PURITY} and labelled >= {LEAST_LABELS} as rejected
-  from w join pu on w.host = pu.host and w.mm = pu.mm and w.g2 = pu.g2 and w.g3 = pu.g3 and w.deep = pu.deep)
-select page_id, j.host, path, rule, coalesce(said, case when rejected then 'block' else 'allow' end) as verdict, template
+tr as (select host, t1, t2, t3, deep, host || '/' || m1 || '/' || m2 || '/' || m3 as template, p3 as purity, p3 >= {PURITY} and labelled >= {LEAST_LABELS} as rejected from w3)
+select page_id, j.host, path, rule, coalesce(said, case when rejected then 'block' else 'allow' end) as verdict, template, purity
 from j left join tr on j.host = tr.host and j.t1 = tr.t1 and j.t2 = tr.t2 and j.t3 = tr.t3 and j.deep = tr.deep"""
     )
 
