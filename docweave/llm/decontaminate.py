@@ -23,54 +23,66 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.llm.shared import keep, small_batches
 from docweave.llm.textbuf import Words, pieces
 
 WINDOW = 13
-#: Item text handled at once, in bytes: the bound of what is broadcast.
+#: Bytes of a block of test items as it is broadcast: for each item word 13, and its ids.
 BLOCK_BYTES = 16 << 20
+#: Different words of a test set that are broadcast, in bytes; more are refused.
+VOCABULARY_BYTES = 64 << 20
+#: Windows looked up at once.
+AT_ONCE = 50_000
 
 
 @dataclass
 class Terms:
-    """A block of test items: distinct term hashes, and windows as rows of term numbers."""
+    """A block of test items: their words as numbers of the vocabulary, one
+    window for each entry of ``start``."""
 
-    vocabulary: np.ndarray
-    windows: np.ndarray  # (n, width); -1 past the end of a short window
-    item: np.ndarray  # number of each window's item id
+    codes: np.ndarray  # int32, the items' words one after another
+    start: np.ndarray  # int32, a window's first word
+    width: np.ndarray  # uint8, its words
+    item: np.ndarray  # int32, number of its item's id
     ids: list  # item ids; None where the id is null
 
 
-def read_items(rows: list, width: int = WINDOW) -> Terms:
+def _words(rows: list) -> Iterator[tuple[int, int, Words]]:
+    for lo, hi, raw, off in pieces(pa.array([t for _, t in rows], pa.string())):
+        yield lo, hi, Words(raw, off)
+
+
+def read_vocabulary(blocks: Iterator[list]) -> np.ndarray:
+    """The sorted term hashes of all items."""
+    found = np.zeros(0, np.uint64)
+    for rows in blocks:
+        found = np.union1d(found, np.concatenate([np.zeros(0, np.uint64), *(w.hash for _, _, w in _words(rows))]))
+        if found.nbytes > VOCABULARY_BYTES:
+            raise ValueError(f"the test set has more than {VOCABULARY_BYTES // 8} different words")
+    return found
+
+
+def read_items(rows: list, vocabulary: np.ndarray, width: int = WINDOW) -> Terms:
     """Terms of (item_id, text) pairs."""
-    texts = pa.array([t for _, t in rows], pa.string())
-    hashes, wins, owners = [], [], []
+    codes, starts, widths, owners = [], [], [], []
     ids = list(dict.fromkeys(i for i, _ in rows))
     number = {i: n for n, i in enumerate(ids)}
     at = 0
-    for lo, hi, raw, off in pieces(texts):
-        words = Words(raw, off)
-        hashes.append(words.hash)
+    for lo, hi, words in _words(rows):
+        codes.append(np.searchsorted(vocabulary, words.hash).astype(np.int32))
         for r in range(hi - lo):
-            a, n = int(words.first[r]) + at, int(words.count[r])
+            first, n = int(words.first[r]) + at, int(words.count[r])
             if n:
-                starts = np.arange(max(n - width + 1, 1))
-                grid = starts[:, None] + np.arange(width)[None, :]
-                wins.append(np.where(grid < n, grid + a, -1))
-                owners.append(np.full(len(starts), number[rows[lo + r][0]]))
+                windows = max(n - width + 1, 1)
+                starts.append(np.arange(first, first + windows, dtype=np.int32))
+                widths.append(np.full(windows, min(n, width), np.uint8))
+                owners.append(np.full(windows, number[rows[lo + r][0]], np.int32))
         at += len(words.hash)
-    every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    vocabulary, code = np.unique(every, return_inverse=True)
-    grid = np.concatenate(wins) if wins else np.zeros((0, width), np.int64)
-    owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
-    grid = np.where(grid >= 0, code[grid] if len(code) else -1, -1)
-    if len(grid):
-        both = np.unique(np.column_stack([grid, owner]), axis=0)
-        grid, owner = both[:, :-1], both[:, -1]
-    return Terms(vocabulary, grid, owner, ids)
+    join = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
+    return Terms(join(codes, np.int32), join(starts, np.int32), join(widths, np.uint8), join(owners, np.int32), ids)
 
 
 INDEX = "shard long, ids binary, n_words array<long>, terms array<int>, ends array<long>, positions binary"
@@ -109,10 +121,10 @@ def _index(vocabulary):
     return run
 
 
-def build_index(docs: DataFrame, items: Terms, id_col: str, text_col: str) -> DataFrame:
+def build_index(docs: DataFrame, vocabulary: np.ndarray, id_col: str, text_col: str) -> DataFrame:
     """The index table: one row for each shard of about a MB of text."""
-    vocabulary = docs.sparkSession.sparkContext.broadcast(items.vocabulary)
-    return keep(docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(_index(vocabulary), INDEX), "postings")
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    return keep(docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(_index(sent), INDEX), "postings")
 
 
 def term_counts(index: DataFrame) -> DataFrame:
@@ -122,10 +134,10 @@ def term_counts(index: DataFrame) -> DataFrame:
     return each.groupBy(F.col("x.term").alias("term")).agg(F.sum("x.n").alias("n"))
 
 
-def _search(plan, slop: int, id_name: str):
+def _search(plan, slop: int, width: int, id_name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows, order, owner, size, ids = plan.value
-        step = np.arange(len(windows))
+        items, rare, counts_of = plan.value
+        rare_term = items.codes[items.start + rare]
         for batch in batches:
             for row in range(batch.num_rows):
                 counts = np.asarray(batch.column(2)[row].values, np.int64)
@@ -140,51 +152,55 @@ def _search(plan, slop: int, id_name: str):
                 stands = np.full(total + 1, -2, np.int64)
                 stands[pos] = np.repeat(terms, ends - begin)
                 doc_of = np.repeat(np.arange(len(counts)), counts)
-                posting = np.full(size, -1, np.int64)
+                posting = np.full(len(counts_of), -1, np.int64)
                 posting[terms] = np.arange(len(terms))
-                have = np.flatnonzero(posting[windows[step, order[:, 0]]] >= 0) if len(windows) else step
-                slot = posting[windows[have, order[have, 0]]] if len(have) else have
-                n = (ends - begin)[slot]
-                win = np.repeat(have, n)
-                inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                start = pos[np.repeat(begin[slot], n) + inner] - order[win, 0]
-                width = (windows >= 0).sum(axis=1)
-                near_win, near_start = win, start
-
-                def inside(w, s):
-                    ok = (s >= 0) & (s + width[w] <= total)
-                    w, s = w[ok], s[ok]
-                    same = doc_of[s] == doc_of[s + width[w] - 1]
-                    return w[same], s[same]
-
-                win, start = inside(win, start)
-                for j in range(1, windows.shape[1]):
-                    place = order[win, j]
-                    want = windows[win, place]
-                    ok = (want < 0) | (stands[np.minimum(start + place, total)] == want)
-                    win, start = win[ok], start[ok]
                 mark = np.zeros(total + 1, np.int64)
-                np.add.at(mark, start, 1)
-                np.add.at(mark, start + width[win], -1)
+                found = [(np.zeros(0, np.int64),) * 4]
+                have_all = np.flatnonzero(posting[rare_term] >= 0)
+                for at in range(0, len(have_all), AT_ONCE):
+                    have = have_all[at : at + AT_ONCE]
+                    wide = items.width[have].astype(np.int64)
+                    grid = items.start[have, None].astype(np.int64) + np.minimum(np.arange(width), wide[:, None] - 1)
+                    grid = np.where(np.arange(width) < wide[:, None], items.codes[grid], -1)
+                    # From the rarest term of a window to the commonest; what is past its end comes last.
+                    order = np.argsort(np.where(grid >= 0, counts_of[grid], np.iinfo(np.int64).max), axis=1, kind="stable")
+                    slot = posting[grid[np.arange(len(have)), order[:, 0]]]
+                    n = (ends - begin)[slot]
+                    win = np.repeat(np.arange(len(have)), n)
+                    inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                    start = pos[np.repeat(begin[slot], n) + inner] - order[win, 0]
+                    near_win, near_start = win, start
+                    ok = (start >= 0) & (start + wide[win] <= total)
+                    win, start = win[ok], start[ok]
+                    ok = doc_of[start] == doc_of[start + wide[win] - 1]
+                    win, start = win[ok], start[ok]
+                    for j in range(1, width):
+                        place = order[win, j]
+                        want = grid[win, place]
+                        ok = (want < 0) | (stands[np.minimum(start + place, total)] == want)
+                        win, start = win[ok], start[ok]
+                    np.add.at(mark, start, 1)
+                    np.add.at(mark, start + wide[win], -1)
+                    home = near_win[:0]
+                    if slop:
+                        # Proximity: the rarest term stands, every other within slop of its place.
+                        ok = (near_start >= 0) & (near_start < total)
+                        near_win, near_start = near_win[ok], near_start[ok]
+                        home = doc_of[near_start + order[near_win, 0]] if len(near_win) else near_win
+                        for j in range(1, width):
+                            place = order[near_win, j]
+                            want = grid[near_win, place]
+                            ok = want < 0
+                            for s in range(-slop, slop + 1):
+                                p = near_start + place + s
+                                fits = (p >= 0) & (p < total)
+                                p = np.clip(p, 0, max(total - 1, 0))
+                                ok |= fits & (stands[p] == want) & (doc_of[p] == home)
+                            near_win, near_start, home = near_win[ok], near_start[ok], home[ok]
+                    found.append((doc_of[start], items.item[have[win]], home, items.item[have[near_win]] if slop else home))
+                hit_doc, hit_item, near_doc, near_item = (np.concatenate(x) for x in zip(*found, strict=True))
                 covered = np.concatenate(([0], np.cumsum(np.cumsum(mark)[:total] > 0)))
                 n_hit = covered[first[1:]] - covered[first[:-1]]
-                near_doc, near_item = np.zeros(0, np.int64), np.zeros(0, np.int64)
-                if slop:
-                    # Proximity: the rarest term stands, every other within slop of its place.
-                    ok = (near_start >= 0) & (near_start < total)
-                    near_win, near_start = near_win[ok], near_start[ok]
-                    home = doc_of[near_start + order[near_win, 0]] if len(near_win) else near_win
-                    for j in range(1, windows.shape[1]):
-                        place = order[near_win, j]
-                        want = windows[near_win, place]
-                        ok = want < 0
-                        for s in range(-slop, slop + 1):
-                            p = near_start + place + s
-                            fits = (p >= 0) & (p < total)
-                            p = np.clip(p, 0, max(total - 1, 0))
-                            ok |= fits & (stands[p] == want) & (doc_of[p] == home)
-                        near_win, near_start, home = near_win[ok], near_start[ok], home[ok]
-                    near_doc, near_item = home, owner[near_win]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(len(counts), batch.column(0)[row].as_py()), pa.int64()),
@@ -193,8 +209,8 @@ def _search(plan, slop: int, id_name: str):
                         pa.array(counts),
                         pa.array(n_hit.astype(np.int64)),
                         _positions(covered, first),
-                        _lists(doc_of[start], owner[win], ids, len(counts)),
-                        _lists(near_doc, near_item, ids, len(counts)),
+                        _lists(hit_doc, hit_item, items.ids, len(counts)),
+                        _lists(near_doc, near_item, items.ids, len(counts)),
                     ],
                     names=["shard", "row", id_name, "n_words", "n_hit", "hit_positions", "items", "near_items"],
                 )
@@ -217,15 +233,23 @@ def _lists(doc: np.ndarray, item: np.ndarray, ids: list, rows: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array([str(ids[i]) for i in both[:, 1]], pa.string()))
 
 
-def _plan(index: DataFrame, items: Terms):
-    """Windows with their terms from the rarest to the commonest by corpus
-    counts. The counts are as many as the block's terms, which is bounded."""
-    n = np.zeros(len(items.vocabulary) + 1, np.int64)
+def _counts(index: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
+    """Corpus counts of the vocabulary's terms, which are bounded in number."""
+    n = np.zeros(len(vocabulary), np.int64)
     for r in term_counts(index).toLocalIterator():
         n[r.term] = r.n
-    n[-1] = np.iinfo(np.int64).max  # past the end of a short window
-    order = np.argsort(n[items.windows], axis=1, kind="stable")
-    return index.sparkSession.sparkContext.broadcast((items.windows, order, items.item, len(items.vocabulary) + 1, items.ids))
+    return n
+
+
+def _plan(spark: SparkSession, items: Terms, counts: np.ndarray):
+    """The block with the place of each window's rarest term, for the executors."""
+    rare = np.zeros(len(items.start), np.uint8)
+    for at in range(0, len(rare), AT_ONCE):
+        start, wide = items.start[at : at + AT_ONCE, None].astype(np.int64), items.width[at : at + AT_ONCE, None].astype(np.int64)
+        place = np.arange(int(wide.max()))
+        here = counts[items.codes[start + np.minimum(place, wide - 1)]]
+        rare[at : at + AT_ONCE] = np.where(place < wide, here, np.iinfo(np.int64).max).argmin(axis=1)
+    return spark.sparkContext.broadcast((items, rare, counts))
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list]:
@@ -233,11 +257,13 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list]:
     block, size = [], 0
     for r in benchmark.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).toLocalIterator():
         block.append((r.i, r.t))
-        size += len(r.t or "") + 8
+        # A word has two bytes at least with its space.
+        size += 13 * ((len((r.t or "").encode()) + 1) // 2) + 64
         if size > BLOCK_BYTES:
             yield block
             block, size = [], 0
-    yield block
+    if block:
+        yield block
 
 
 def decontaminate(
@@ -248,19 +274,26 @@ def decontaminate(
     n_hit counts the document's words inside exact occurrences of windows;
     items are the ids (as strings) of items with one; near_items those whose
     window terms all stand within ``slop`` words of their places (empty where
-    slop is 0). A test set larger than BLOCK_BYTES is searched in blocks.
+    slop is 0). A test set is searched in blocks of BLOCK_BYTES.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"shard long, row long, id {id_type}, n_words long, n_hit long, hit_positions array<int>, items array<string>, near_items array<string>"
+    vocabulary = read_vocabulary(_blocks(benchmark, item_col, item_text_col))
+    # The documents are read once; all blocks search the same shards.
+    index = build_index(docs, vocabulary, id_col, text_col)
+    counts = _counts(index, vocabulary)
     found = []
     for block in _blocks(benchmark, item_col, item_text_col):
-        items = read_items(block, width)
-        index = build_index(docs, items, id_col, text_col)
-        found.append(index.mapInArrow(_search(_plan(index, items), slop, "id"), schema))
+        items = read_items(block, vocabulary, width)
+        found.append(index.mapInArrow(_search(_plan(spark, items, counts), slop, width, "id"), schema))
+    if not found:
+        nothing = Terms(*(np.zeros(0, t) for t in (np.int32, np.int32, np.uint8, np.int32)), [])
+        found.append(index.mapInArrow(_search(_plan(spark, nothing, counts), slop, width, "id"), schema))
     if len(found) == 1:
         out = found[0]
-    else:  # the same documents in the same shards, searched for other items
+    else:
         out = found[0]
         for more in found[1:]:
             out = out.union(more)

@@ -14,7 +14,7 @@ whose signatures differ in more than APART slots are passed over. Verified
 links are joined to components by distributed union-find, and one line of each
 component stays: the first by document id, text and line number.
 
-Lines at exactly 0.8 share a band with a chance of 0.987 and pass the
+Lines at exactly 0.8 share a band with a chance of 0.98 and pass the
 signatures with one of 0.999; lines of one language that are not alike share one
 with chances of some 10^-7.
 
@@ -32,12 +32,12 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.shared import Lanes, keep, linked, maybe_broadcast, release, scratch, split_repeats
+from docweave.llm.shared import Lanes, keep, linked, maybe_broadcast, odd_sketches, release, scratch, split_repeats
 
 SHINGLE = 6
 SLOTS = 25
 ROWS = 5
-GROUPS = 5
+GROUPS = 4
 THRESHOLD = 0.8
 MIN_CHARS = 20
 #: Slots in which lines may differ and still be compared.
@@ -47,7 +47,7 @@ APART = 12
 SPARE = 6
 #: Slots that an empty slot looks through for a value.
 BORROW = 6
-_VALUE_BITS = 40
+_VALUE_BITS = 28
 LANES = Lanes(tuple(f"p{i}" for i in range(-(-SLOTS // 8))), 8, APART)
 
 
@@ -76,10 +76,9 @@ def _split_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
 
 
 def distinct_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """(node, norm, n, first): each different line with its number and first place."""
-    each = _split_lines(docs, id_col, text_col, min_chars)
-    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "doc", "line_no")
-    return each.groupBy(F.xxhash64("norm").alias("node")).agg(F.min("norm").alias("norm"), F.count("*").alias("n"), F.min(place).alias("first"))
+    """(node, norm, n): each different line with its number."""
+    each = _split_lines(docs, id_col, text_col, min_chars).select(F.xxhash64("norm").alias("node"), "norm")
+    return each.groupBy("node", "norm").agg(F.count("*").alias("n"))
 
 
 def signatures(lines: DataFrame) -> DataFrame:
@@ -93,15 +92,16 @@ def signatures(lines: DataFrame) -> DataFrame:
     coded = lines.select("node", F.encode("norm", "UTF-16BE").alias("coded")).withColumn("size", F.greatest(F.expr(f"octet_length(coded) div 2 - {SHINGLE - 1}"), F.lit(1)))
     each = coded.select("node", "size", F.explode(F.expr("sequence(1, 2 * size - 1, 2)")).alias("at"), "coded")
     each = each.select("node", "size", F.expr(f"xxhash64(substring(coded, at, {2 * SHINGLE}))").alias("hash"))
-    each = each.select("node", "size", F.expr(f"cast(shiftright(shiftrightunsigned(hash, {_VALUE_BITS}) * {SLOTS}, {64 - _VALUE_BITS}) as int)").alias("slot"), F.expr(f"hash & {(1 << _VALUE_BITS) - 1}").alias("value"))
+    slot, value = f"cast(shiftright(shiftrightunsigned(hash, 40) * {SLOTS}, 24) as int)", f"cast(hash & {(1 << _VALUE_BITS) - 1} as int)"
+    each = each.select("node", "size", F.expr(slot).alias("slot"), F.expr(value).alias("value"))
     few = SPARE * SLOTS
-    each = each.where(f"size <= {few} or value < cast({float(few << _VALUE_BITS)}D / size as bigint)")
+    each = each.where(f"size <= {few} or value < cast({float(few << _VALUE_BITS)}D / size as int)")
     return each.groupBy("node").agg(*[F.expr(f"min(if(slot = {i}, value, null))").alias(f"s{i}") for i in range(SLOTS)])
 
 
 def _filled(signed: DataFrame) -> DataFrame:
     """Empty slots borrow from those after them; the loan is marked by its distance."""
-    full = [F.coalesce(F.col(f"s{i}"), *[F.col(f"s{(i + j) % SLOTS}") + (j << _VALUE_BITS) for j in range(1, BORROW + 1)], F.lit(0).cast("long")).alias(f"s{i}") for i in range(SLOTS)]
+    full = [F.coalesce(F.col(f"s{i}"), *[F.col(f"s{(i + j) % SLOTS}") + (j << _VALUE_BITS) for j in range(1, BORROW + 1)], F.lit(0)).alias(f"s{i}") for i in range(SLOTS)]
     return signed.select("node", *full)
 
 
@@ -113,10 +113,11 @@ def _banded(signed: DataFrame) -> DataFrame:
 
 
 def _shingle_sets(lines: DataFrame) -> DataFrame:
-    """(node, h): the distinct hashes of all shingles."""
-    coded = lines.select("node", F.encode("norm", "UTF-16BE").alias("coded"))
-    last = f"greatest(octet_length(coded) - {2 * SHINGLE - 1}, 1)"
-    return coded.select("node", F.expr(f"array_distinct(transform(sequence(1, {last}, 2), at -> xxhash64(substring(coded, at, {2 * SHINGLE}))))").alias("h"))
+    """(node, h): the distinct hashes of all shingles. 32 bits hold them: with
+    some thousand shingles in a pair, one in thousands of pairs is off by one."""
+    # The line is bound as a lambda's variable: else each shingle would encode it anew.
+    hashes = f"transform(sequence(1, greatest(octet_length(coded) - {2 * SHINGLE - 1}, 1), 2), at -> hash(substring(coded, at, {2 * SHINGLE})))"
+    return lines.select("node", F.expr(f"array_distinct(transform(array(encode(norm, 'UTF-16BE')), coded -> {hashes})[0])").alias("h"))
 
 
 def _judged(edges: DataFrame, sets: DataFrame) -> DataFrame:
@@ -144,17 +145,19 @@ class _Sets:
     def judge(self, edges: DataFrame) -> DataFrame:
         return _judged(edges, self.of(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()))
 
+    def sketches(self, nodes: DataFrame) -> DataFrame:
+        return keep(odd_sketches(self.tokens(nodes)), "line-sketches")
+
     def tokens(self, nodes: DataFrame) -> DataFrame:
         return self.of(nodes.distinct()).join(nodes, "node", "left_semi").select("node", F.explode("h").alias("token"))
 
 
 def line_classes(docs: DataFrame, id_col: str, text_col: str, min_chars: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(lines, classes): lines (node, norm, n, first) of the different judged
-    lines, classes (node, root) of those that are linked to another."""
-    lines = keep(distinct_lines(docs, id_col, text_col, min_chars), "lines")
+    """(lines, classes): lines (node, norm, n) of the different judged lines, classes (node, root) of those that are linked to another."""
+    lines = keep(distinct_lines(docs, id_col, text_col, min_chars), "lines", "zstd")
     rows = keep(_filled(signatures(lines)), "signed")
     sets = _Sets(lines)
-    return lines, linked(_banded(rows), sets.judge, sets.tokens, threshold, LANES, 1024)[1]
+    return lines, linked(_banded(rows), sets.judge, sets.tokens, threshold, LANES, 1024, sets.sketches)[1]
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, threshold: float = THRESHOLD) -> DataFrame:
@@ -162,12 +165,14 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     doc is xxhash64 of id and text."""
     with scratch() as made:
         lines, classes = line_classes(docs, id_col, text_col, min_chars, threshold)
-        met = lines.select("node", "n", "first").join(maybe_broadcast(classes, 16), "node", "left").where("n > 1 or root is not null")
-        met = keep(met.select("node", F.coalesce("root", "node").alias("class"), "first"), "line-met")
-        firsts = met.groupBy("class").agg(F.min("first").alias("first")).select("class", F.col("first.doc").alias("first_doc"), F.col("first.line_no").alias("first_no"))
-        told = keep(met.select("node", "class").join(maybe_broadcast(keep(firsts, "line-firsts"), 32), "class").drop("class"), "line-told")
-        places = _split_lines(docs, id_col, text_col, min_chars).select("doc", "line_no", F.xxhash64("norm").alias("node"))
-        lost = places.join(maybe_broadcast(told, 32), "node").where("doc <> first_doc or line_no <> first_no")
+        met = lines.select("node", "n").join(maybe_broadcast(classes, 16), "node", "left").where("n > 1 or root is not null")
+        met = keep(met.select("node", F.coalesce("root", "node").alias("class")), "line-met")
+        # Where these lines stand: the others are of no further interest.
+        places = _split_lines(docs, id_col, text_col, min_chars).select(F.xxhash64("norm").alias("node"), "id", "doc", "line_no")
+        places = keep(places.join(maybe_broadcast(met, 16), "node").drop("node"), "line-places")
+        order = F.struct(F.col("id").isNull(), "id", "doc", "line_no")
+        firsts = places.groupBy("class").agg(F.min(order).alias("first")).select("class", F.col("first.doc").alias("first_doc"), F.col("first.line_no").alias("first_no"))
+        lost = places.join(maybe_broadcast(keep(firsts, "line-firsts"), 24), "class").where("doc <> first_doc or line_no <> first_no")
         out = keep(lost.groupBy("doc").agg(F.collect_set("line_no").alias("dropped")), "line-dropped")
     return release(made, out)
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.shared import Lanes, keep, linked, maybe_broadcast, one_of_repeats, release, scratch, small_batches
+from docweave.llm.shared import ODD, ODD_COLUMNS, Lanes, keep, linked, maybe_broadcast, one_of_repeats, release, scratch, small_batches
 from docweave.llm.textbuf import Words, mix, pieces, shingles
 
 ROWS, BANDS = 6, 20
@@ -190,6 +190,10 @@ class _Bags:
     def judge(self, edges: DataFrame) -> DataFrame:
         return _judged(edges, self.of(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()))
 
+    def sketches(self, nodes: DataFrame) -> DataFrame:
+        bags = self.of(nodes).join(nodes, "node", "left_semi").select("node", "bag")
+        return keep(bags.mapInArrow(_odd, "node long, size long, " + ", ".join(f"{c} long" for c in ODD_COLUMNS)), "sketches")
+
     def tokens(self, nodes: DataFrame) -> DataFrame:
         return self.of(nodes.distinct()).join(nodes, "node", "left_semi").select("node", "bag").mapInArrow(_tokens, "node long, token long")
 
@@ -212,6 +216,21 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bag), node, np.int64)), pa.array(token)], names=["node", "token"])
 
 
+def _odd(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """shared.odd_sketches of bags, by the same tokens as :func:`_tokens`."""
+    for batch in batches:
+        sizes, maps = [], np.zeros((batch.num_rows, ODD), np.uint64)
+        for row, x in enumerate(batch.column(1)):
+            bag = np.frombuffer(x.as_buffer(), "<u8")
+            turn = np.arange(len(bag)) - np.searchsorted(bag, bag)
+            at = mix(bag + turn.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(64 * ODD)
+            odd = np.bincount(at.astype(np.int64), minlength=64 * ODD) & 1
+            maps[row] = np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+            sizes.append(len(bag))
+        columns = [pa.array(maps[:, i].copy().view(np.int64)) for i in range(ODD)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), *columns], names=["node", "size", *ODD_COLUMNS])
+
+
 def near_duplicate_classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, band_rows: int = ROWS, bands: int = BANDS
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -236,7 +255,7 @@ def near_duplicate_classes(
     lanes = Lanes(tuple(f"p{i}" for i in range(width)), LANE_BITS, round(APART * band_rows * bands / SLOTS) if band_rows * bands >= SLOTS else band_rows * bands)
     sig = keep(nodes.select("node", "one.text_key", "one.bands", *[F.col("one.lanes")[i].alias(c) for i, c in enumerate(lanes.columns)]), "nodes")
     have = _Bags(texts.select("text_key", "text"), sig, k)
-    links, classes = linked(sig.select("node", F.explode("bands").alias("bucket"), *lanes.columns), have.judge, have.tokens, threshold, lanes, 1024)
+    links, classes = linked(sig.select("node", F.explode("bands").alias("bucket"), *lanes.columns), have.judge, have.tokens, threshold, lanes, 1024, have.sketches)
     return member, classes, links
 
 

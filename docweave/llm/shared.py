@@ -40,13 +40,27 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
-def keep(df: DataFrame, label: str) -> DataFrame:
+@contextmanager
+def _cleaned_up(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the writes within go once these have ended, not when
+    the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def keep(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back, which
     cuts the lineage: a lost executor costs only the tasks it was running."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docweave-{label}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    with _cleaned_up(spark):
+        df.write.option("compression", codec).parquet(path)
     kept = spark.read.schema(schema).parquet(path)
     kept._docweave_path = path
     if _SCOPES:
@@ -192,8 +206,9 @@ class Lanes:
 
 
 def led_buckets(rows: DataFrame, lanes: Lanes = Lanes()) -> tuple[DataFrame, DataFrame]:
-    """(met, led): met has the rows whose bucket has two nodes or more, led
-    (bucket, node, lead, near) those among them that are not their bucket's lead.
+    """(met, led) of rows (bucket, node, lanes) without repeats: met has the rows
+    whose bucket has two nodes or more, led (bucket, node, lead, near) those among
+    them that are not their bucket's lead.
 
     The lead is the bucket's node that shares the most of its buckets, so that
     the centre of a group of variants leads it; ties go by a hash of
@@ -201,7 +216,7 @@ def led_buckets(rows: DataFrame, lanes: Lanes = Lanes()) -> tuple[DataFrame, Dat
     aggregate, and leads are a table of their own, so that a join can split a
     huge bucket; what is broadcast has been counted small.
     """
-    shared = rows.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket")
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     shared = keep(shared, "shared")
     met = keep(rows.join(maybe_broadcast(shared, 8), "bucket"), "met")
     degree = met.groupBy("node").agg(F.count("*").alias("degree"))
@@ -228,14 +243,51 @@ def _left_open(met: DataFrame, classes: DataFrame, lanes: Lanes) -> DataFrame:
     return keep(each.join(maybe_broadcast(keep(sizes, "sizes"), 24), "bucket"), "open")
 
 
-def _open_pairs(rest: DataFrame, judged: DataFrame, lanes: Lanes) -> DataFrame:
+#: Longs of an odd sketch, and deviations by which it may be off.
+ODD, DEVIATIONS = 8, 3.0
+ODD_COLUMNS = tuple(f"o{i}" for i in range(ODD))
+
+
+def odd_sketches(tokens: DataFrame) -> DataFrame:
+    """(node, size, o0, o1, ...) of sets (node, token): for each set a bitmap in
+    which each token flips one bit."""
+    bits = 64 * ODD
+    at = F.pmod(F.col("token"), F.lit(bits)).cast("int")
+    each = tokens.select("node", at.alias("at"))
+    flips = [F.expr(f"bit_xor(if(shiftright(at, 6) = {i}, shiftleft(1L, at & 63), 0L))").alias(c) for i, c in enumerate(ODD_COLUMNS)]
+    return each.groupBy("node").agg(F.count("*").alias("size"), *flips)
+
+
+def _odd_near(a: str, b: str, threshold: float) -> Column:
+    """Whether two sketched sets may be alike.
+
+    Alike sets differ in at most m = (1 - t) / (1 + t) of the tokens of both. The
+    bits in which their sketches differ are then n / 2 (1 - exp(-2 m / n)) on
+    average, with a variance of n / 4 (1 - (1 + x) exp(-x)), x = 4 m / n; pairs
+    that lie DEVIATIONS above are taken as not alike.
+    """
+    n = float(64 * ODD)
+    differ = sum((F.bit_count(F.col(a + c).bitwiseXOR(F.col(b + c))) for c in ODD_COLUMNS), F.lit(0))
+    most = (F.col(a + "size") + F.col(b + "size")) * ((1 - threshold) / (1 + threshold))
+    x = most * (4 / n)
+    return differ <= n / 2 * (1 - F.exp(-x / 2)) + DEVIATIONS * F.sqrt(F.greatest(n / 4 * (1 - (1 + x) * F.exp(-x)), F.lit(0.0))) + 1
+
+
+def _open_pairs(rest: DataFrame, judged: DataFrame, lanes: Lanes, sketches: Callable[[DataFrame], DataFrame] | None, threshold: float) -> DataFrame:
     """edges(a, b) not judged yet of the open nodes of one bucket and different
-    classes; the largest class is not compared with itself. Pairs whose lanes
-    are far apart never leave the join."""
-    one = rest.where("class <> most").select("bucket", F.col("node").alias("x"), F.col("class").alias("c"), *lanes.named("x_"))
-    two = rest.select("bucket", F.col("node").alias("y"), F.col("class").alias("d"), "most", *lanes.named("y_"))
+    classes; the largest class is not compared with itself. Pairs whose lanes or
+    sketches are far apart never leave the join."""
+    extra: tuple[str, ...] = ()
+    if sketches is not None:
+        extra = ("size", *ODD_COLUMNS)
+        rest = rest.join(sketches(keep(rest.select("node").distinct(), "open-nodes")), "node")
+    named = lambda prefix: [*lanes.named(prefix), *[F.col(c).alias(prefix + c) for c in extra]]
+    one = rest.where("class <> most").select(F.col("bucket").alias("at"), F.col("node").alias("x"), F.col("class").alias("c"), *named("x_"))
+    two = rest.select("bucket", F.col("node").alias("y"), F.col("class").alias("d"), "most", *named("y_"))
     ok = (F.col("c") != F.col("d")) & ((F.col("d") == F.col("most")) | (F.col("x") < F.col("y"))) & lanes.near("x_", "y_")
-    pairs = one.withColumnRenamed("bucket", "at").join(two, (F.col("at") == F.col("bucket")) & ok)
+    if extra:
+        ok = ok & _odd_near("x_", "y_", threshold)
+    pairs = one.join(two, (F.col("at") == F.col("bucket")) & ok)
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(judged.select("a", "b"), ["a", "b"], "left_anti")
 
 
@@ -264,7 +316,8 @@ def _joined(classes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def linked(
-    rows: DataFrame, judge: Callable[[DataFrame], DataFrame], tokens: Callable[[DataFrame], DataFrame], threshold: float, lanes: Lanes = Lanes(), paired: int = PAIRED
+    rows: DataFrame, judge: Callable[[DataFrame], DataFrame], tokens: Callable[[DataFrame], DataFrame], threshold: float, lanes: Lanes = Lanes(), paired: int = PAIRED,
+    sketches: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(links, classes) of the rows (bucket, node, lanes): links (a, b,
     similarity) that reach the threshold, classes (node, root) by them.
@@ -276,7 +329,8 @@ def linked(
     split by their nodes' rarest tokens, which loses no alike pair, and led once
     more; then what is open is compared in pairs whatever its number. Pairs of
     one class are left out. ``judge`` turns edges(a, b) into a kept table with
-    their similarity; ``tokens`` gives (node, token) of nodes(node), as sets.
+    their similarity; ``tokens`` gives (node, token) of nodes(node), as sets;
+    ``sketches``, if given, the kept odd sketches of nodes(node).
     """
     judged = None
     classes = None
@@ -289,7 +343,7 @@ def linked(
         good = new.where(F.col("similarity") >= threshold)
         classes = keep(components(good), "classes") if classes is None else _joined(classes, good)
         rest = _left_open(met, classes, lanes)
-        pairs = keep(_open_pairs(rest if last else rest.where(F.col("pairs") <= paired**2), judged, lanes), "pairs")
+        pairs = keep(_open_pairs(rest if last else rest.where(F.col("pairs") <= paired**2), judged, lanes, sketches, threshold), "pairs")
         if not pairs.isEmpty():
             new = judge(pairs)
             judged = judged.union(new)
