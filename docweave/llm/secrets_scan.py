@@ -55,6 +55,7 @@ NAME_WORDS = (
     "memory storage data model view template style color background foreground border margin content header footer sidebar navigation button label title description content type encoded form "
     "www com org net usr bin lib python java script node modules dist main index utils helper common shared core base custom current previous next first last total average maximum minimum"
 ).split()
+KEYBOARD = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
 TOKEN_CHARS = string.ascii_letters + string.digits + "+/_-"
 #: A run of fewer characters is not judged: any of them can be a word.
 SHORTEST = 8
@@ -136,9 +137,16 @@ def numbers(n: int = 3000, seed: int = 11) -> list[str]:
 
 
 def rules(n: int = 1500, seed: int = 17) -> list[str]:
-    """Generated rules and fillers: one character again and again."""
+    """Generated rules and fillers: one character again and again, and pieces of
+    the alphabet and of keyboard rows."""
     rng = random.Random(seed)
-    return [rng.choice(TOKEN_CHARS) * rng.randint(8, 40) for _ in range(n)]
+    rows = [string.ascii_lowercase, string.ascii_uppercase, string.digits, *KEYBOARD]
+    out = [rng.choice(TOKEN_CHARS) * rng.randint(8, 40) for _ in range(n)]
+    for i in range(n):
+        row = rows[i % len(rows)] * 2
+        at = rng.randrange(len(row) // 2)
+        out.append(row[at : at + rng.randint(6, 20)])
+    return out
 
 
 def joined_names(words: list[str], n: int = 4000, seed: int = 13) -> list[str]:

@@ -266,6 +266,41 @@ def test_markov_models_tell_random_from_words(spark):
     assert secrets_scan.scan_secrets(df, model=model).first().spans == f"markov:4:{4 + len(fresh[1])}"
 
 
+def test_planted_secrets_of_kinds_that_no_pattern_covers(spark):
+    # Kinds that the training does not generate, alone in ordinary prose; numbers,
+    # names and fillers beside them are no secrets.
+    rng = random.Random(23)
+    draw = lambda letters, n: "".join(rng.choices(letters, k=n))
+    low, up, num = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    kinds = [lambda: "ghp_" + draw(low + up + num, 36), lambda: f"xoxb-{draw(num, 12)}-{draw(low + up + num, 24)}", lambda: draw(low + up + num + "+/", 40), lambda: draw("0123456789abcdef", 20), lambda: draw(low + up + num, 16)]
+    ordinary = ["4111-1111-1111-1111", "2353820953013749", "2024-01-15", "get_user_account", "MAX_RETRY_COUNT", "internationalization", "----------------", "abcdefghijkl", "application/json"]
+    words = ["".join(rng.choice(["ka", "lo", "min", "ter", "est", "ur"]) for _ in range(rng.randint(1, 4))) for _ in range(300)]
+    rows, want = [], {}
+    for i in range(400):
+        part = rng.choices(words, k=60)
+        part.insert(rng.randrange(60), rng.choice(ordinary))
+        if i % 4 == 0:
+            secret = kinds[i // 4 % len(kinds)]()
+            part.insert(rng.randrange(60), secret)
+        text = " ".join(part)
+        if i % 4 == 0:
+            want[i] = f"markov:{text.index(secret)}:{text.index(secret) + len(secret)}"
+        rows.append((i, "é " * (i % 3) + text))
+        if i % 4 == 0:
+            shift = 2 * (i % 3)
+            a, b = map(int, want[i].split(":")[1:])
+            want[i] = f"markov:{a + shift}:{b + shift}"
+    got = {r.doc_id: r.spans for r in secrets_scan.scan_secrets(spark.createDataFrame(rows, DOCS)).collect()}
+    found = sum(got[i] == w for i, w in want.items())
+    assert found >= 0.97 * len(want) and not any(s for i, s in got.items() if i not in want)
+
+
+def test_secrets_of_repeated_rows_and_many_spans(spark):
+    text = " ".join(f"token={'ab1' * 5}{i}" for i in range(3000))
+    got = secrets_scan.scan_secrets(spark.createDataFrame([(1, text), (1, text), (None, "x")], DOCS)).collect()
+    assert sorted(r.n_assign for r in got) == [0, 3000, 3000] and len({r.base_sha256 for r in got}) == 2
+
+
 # --- urls ---
 def test_url_rules_and_cases(spark):
     urls = [
@@ -308,6 +343,79 @@ def test_template_purity_rejects_unlabelled_neighbours(spark):
     assert {r.template for r in m.collect()} == {"m.site/~p/{num}/"}
 
 
+def _tree(urls, labels):
+    """Verdicts of unruled urls by nested dictionaries: the counts of every node,
+    the merged names level by level, the purity along the path."""
+    share = (sum(x for x in labels.values() if x) + 1) / (sum(x is not None for x in labels.values()) + 2)
+    out = {}
+    by_host = defaultdict(list)
+    for host, path in urls:
+        by_host[host].append(path)
+    for host, paths in by_host.items():
+        known = [(p, labels[host, p]) for p in paths if labels[host, p] is not None]
+        branches = defaultdict(list)
+        for p, x in known:
+            branches[p[0]].append(x)
+        votes = [sum(b) / len(b) for b in branches.values()]
+        base = (sum(votes) + 2 * share) / (len(votes) + 2)
+        names = {p: () for p in paths}
+        purity = {p: base for p in paths}
+        for level in range(max(map(len, paths))):
+            kids = defaultdict(lambda: defaultdict(list))
+            for p in paths:
+                if len(p) > level:
+                    kids[names[p]][p[level]].append(p)
+            for parent, group in kids.items():
+                shapes = defaultdict(list)
+                for seg, members in group.items():
+                    shapes[frozenset(m[level + 1 :] for m in members)].append(seg)
+                for segs in shapes.values():
+                    count = {s: [labels[host, p] for p in group[s] if labels[host, p] is not None] for s in segs}
+                    usable = [s for s in segs if len(count[s]) >= 5]
+                    pool = [x for s in usable for x in count[s]]
+                    p0 = (sum(pool) + 1) / (len(pool) + 2)
+                    for s in segs:
+                        n = len(count[s])
+                        near = not n or abs(sum(count[s]) / n - p0) <= 2 * (p0 * (1 - p0) / n) ** 0.5
+                        for p in group[s]:
+                            names[p] = (*parent, "~" + min(usable) if usable and len(segs) > 1 and near else s)
+            own = defaultdict(list)
+            for p in paths:
+                if len(p) > level and labels[host, p] is not None:
+                    own[names[p]].append(labels[host, p])
+            for p in paths:
+                if len(p) > level:
+                    x = own[names[p]]
+                    purity[p] = (sum(x) + 2 * purity[p]) / (len(x) + 2)
+        for p in paths:
+            out[host, p] = purity[p] >= 0.8 and len(known) >= 3, purity[p]
+    return out
+
+
+def test_url_tree_matches_brute_force(spark):
+    rng = random.Random(12)
+    urls, labels = [], {}
+    for h in range(12):
+        for _ in range(60):
+            path = tuple(rng.choice(["en", "de", "shop", "a"]) if k == 0 else rng.choice(["x", "y", "z"]) for k in range(rng.randint(1, 4)))
+            if (f"h{h}.site", path) not in labels:
+                urls.append((f"h{h}.site", path))
+                labels[urls[-1]] = rng.choice([None, None, int(rng.random() < [0.95, 0.1, 0.5][(h + (path[0] == "en")) % 3])])
+    want = _tree(urls, labels)
+    pages = [(i, "http://" + h + "/" + "/".join(p)) for i, (h, p) in enumerate(urls)]
+    known = [(pages[i][1], labels[u]) for i, u in enumerate(urls) if labels[u] is not None]
+    got = url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), rules=[], labels=spark.createDataFrame(known, "url string, label int")).collect()
+    blocked, purity = {urls[r.page_id]: r.verdict == "block" for r in got}, {urls[r.page_id]: r.purity for r in got}
+    assert all(abs(purity[u] - want[u][1]) < 1e-9 for u in urls)
+    assert blocked == {u: want[u][0] for u in urls} and any(blocked.values()) and not all(blocked.values())
+
+
+def test_a_very_long_url(spark):
+    long = "http://h.site/" + "/".join(f"s{i}" for i in range(40)) + "/" + "x" * 100_000
+    got = url_filter.filter_urls(spark.createDataFrame([(1, long), (2, "http://h.site/s0")], "page_id long, url string")).collect()
+    assert {r.verdict for r in got} == {"allow"} and max(len(r.path) for r in got) > 100_000
+
+
 def test_urls_that_differ_below_the_third_segment_part_company(spark):
     from docweave.llm import url_filter
 
