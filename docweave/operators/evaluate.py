@@ -23,25 +23,27 @@ def retrieval_metrics(cases: DataFrame, retrieved: DataFrame) -> DataFrame:
     chunks, at most 1; 0 without chunks or terms. Concept coverage: the share
     of expected concepts found in any chunk; 1 without expectation. Citation
     preservation: the share of expected citations that are part of a found
-    one; 1 without expectation, 0 if none is found.
+    one; 1 without expectation, 0 if none is found. Where a chunk has no list
+    of citations, those in its content count.
     """
-    strings = "array<string>"
-    none = F.array().cast(strings)
-    terms = F.coalesce("required_terms", none)
-    both = cases.join(retrieved, "query_id", "left")
+    none = F.array().cast("array<string>")
+    terms, want_k, want_c = (F.coalesce(c, none) for c in ("required_terms", "expected_concepts", "expected_citations"))
+    # A question's chunks leave what they share with its expectations, so lists
+    # never grow over them; sets of these are made by partial aggregates.
+    cited = F.col("citations") if "citations" in retrieved.columns else F.lit(None).cast("array<string>")
+    if "content" in retrieved.columns:  # without a list, the text is searched
+        cited = F.coalesce(cited, X.citations(F.coalesce("content", F.lit(""))))
+    both = cases.join(retrieved.withColumn("citations", cited), "query_id", "left")
     inside = F.size(F.filter(terms, lambda t: F.lower(F.col("content")).contains(F.lower(t))))
-    share = F.when(F.size(terms) > 0, inside / F.size(terms)).otherwise(0.0)
-    rows = both.withColumn("share", F.when(F.col("content").isNotNull(), share))
-    per = rows.groupBy("query_id").agg(
-        F.least(F.coalesce(F.avg("share"), F.lit(0.0)), F.lit(1.0)).alias("relevance"),
-        F.array_distinct(F.flatten(F.collect_list(F.coalesce("concepts", none)))).alias("seen_concepts"),
-        F.array_distinct(F.flatten(F.collect_list(F.coalesce("citations", none)))).alias("seen_citations"),
-    )
-    out = cases.join(per, "query_id")
-    want_k, want_c = F.coalesce("expected_concepts", none), F.coalesce("expected_citations", none)
-    coverage = F.when(F.size(want_k) == 0, 1.0).otherwise(F.size(F.array_intersect(want_k, "seen_concepts")) / F.size(want_k))
-    held = F.size(F.filter(want_c, lambda e: F.exists("seen_citations", lambda f: f.contains(e)))) / F.size(want_c)
-    kept = F.when(F.size(want_c) == 0, 1.0).when(F.size("seen_citations") == 0, 0.0).otherwise(held)
+    share = F.when(F.col("content").isNotNull(), F.when(F.size(terms) > 0, inside / F.size(terms)).otherwise(0.0))
+    held = F.filter(want_c, lambda e: F.exists(F.coalesce("citations", none), lambda f: f.contains(e)))
+    rows = both.select("query_id", share.alias("share"), F.array_intersect(want_k, F.coalesce("concepts", none)).alias("k"), held.alias("c"), (F.size("citations") > 0).alias("cited"))
+    means = rows.groupBy("query_id").agg(F.least(F.coalesce(F.avg("share"), F.lit(0.0)), F.lit(1.0)).alias("relevance"), F.coalesce(F.bool_or("cited"), F.lit(False)).alias("any_cited"))
+    items = rows.select("query_id", F.lit("k").alias("kind"), F.explode("k").alias("item")).union(rows.select("query_id", F.lit("c"), F.explode("c"))).distinct()
+    seen = items.groupBy("query_id").agg(F.count_if(F.col("kind") == "k").alias("seen_k"), F.count_if(F.col("kind") == "c").alias("seen_c"))
+    out = cases.join(means, "query_id").join(seen, "query_id", "left").fillna(0, ["seen_k", "seen_c"])
+    coverage = F.when(F.size(want_k) == 0, 1.0).otherwise(F.col("seen_k") / F.size(want_k))
+    kept = F.when(F.size(want_c) == 0, 1.0).when(~F.col("any_cited"), 0.0).otherwise(F.col("seen_c") / F.size(want_c))
     return out.select("query_id", "query", "difficulty", "relevance", coverage.alias("concept_coverage"), kept.alias("citation_preservation"))
 
 

@@ -50,8 +50,44 @@ def batches(records: DataFrame, position: str, size: int = 100) -> DataFrame:
     return records.withColumn("batch", F.floor(F.col(position) / size).cast("long"))
 
 
-def inspect(df: DataFrame) -> DataFrame:
-    """(rows, columns, first_text): row count, names, and the preview of one row."""
-    text = variant_text(df)
-    sample = F.min(X.preview_dots(text, 200)) if df.columns else F.lit(None)
-    return df.agg(F.count("*").alias("rows"), F.lit(",".join(df.columns)).alias("columns"), sample.alias("first_text"))
+def rendered_text(df: DataFrame, names=("text", "content", "page_content", "raw")) -> Column:
+    """A chunk's text if one of the columns holds it, else the whole row as JSON."""
+    return F.coalesce(variant_text(df, names), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+
+
+def cleaned_variants(df: DataFrame, names=("text", "content", "page_content")) -> DataFrame:
+    """``df`` with each text column cleaned where it stands; rows without one,
+    and other columns, pass unchanged."""
+    out = df
+    for n in names:
+        if n in df.columns:
+            out = out.withColumn(n, X.clean_text(F.col(f"`{n}`")))
+    return out
+
+
+def nested_records(chunks: DataFrame, position: str = "position", text_col: str = "text", source: str = "corpus") -> DataFrame:
+    """(id, text, metadata): metadata (source, chunk_index, char_count); blank chunks stay."""
+    meta = F.struct(F.lit(source).alias("source"), F.col(position).cast("long").alias("chunk_index"), F.length(text_col).alias("char_count"))
+    return chunks.select(F.concat(F.lit("chunk_"), F.col(position).cast("string")).alias("id"), F.col(text_col).alias("text"), meta.alias("metadata"))
+
+
+def page_records(chunks: DataFrame, position: str = "position", text_col: str = "content", page_col: str = "page") -> DataFrame:
+    """(id, document, metadata): ids ``id_0``, ``id_1``...; metadata (page)."""
+    return chunks.select(F.concat(F.lit("id_"), F.col(position).cast("string")).alias("id"), F.col(text_col).alias("document"), F.struct(F.col(page_col).alias("page")).alias("metadata"))
+
+
+def inspect(df: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """(container, rows, columns, first_type, first_keys, first_text): what a
+    table holds, and what its first row looks like: its kind (``str`` for a
+    single text column, else ``dict``), the names of its values that are not
+    null, and the preview of its text.
+
+    The first row is that by ``order``; without one, the first that is read.
+    """
+    keys = F.filter(F.array(*[F.when(F.col(f"`{c}`").isNotNull(), F.lit(c)) for c in df.columns]), lambda x: x.isNotNull())
+    text = F.concat_ws(",", keys)
+    one = df.orderBy(*order) if order else df
+    one = one.limit(1).select(text.alias("first_keys"), X.preview_dots(variant_text(df), 200).alias("first_text"))
+    kind = "str" if [t for _, t in df.dtypes] == ["string"] else "dict"
+    rows = df.agg(F.lit("table").alias("container"), F.count("*").alias("rows"), F.lit(",".join(df.columns)).alias("columns"), F.lit(kind).alias("first_type"))
+    return rows.join(one, F.lit(True), "left")  # two single rows

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.functions import text as X
+from docweave.sources import store
 
 TOKEN = r"[\p{L}\p{N}]+"
 K1, B = 1.5, 0.75
@@ -17,28 +19,57 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text", k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, rank, id, score): Okapi BM25 of queries(query_id, query).
+@dataclass
+class Bm25Index:
+    """An inverted index: postings (term, id, dl, tf) in ranges of terms, so that
+    a search reads little else than its terms' files, and the corpus' totals."""
 
-    Only tokens of the queries leave the scan: they are counted within each
-    row, so what is shuffled is one row for each document and query term.
-    Terms of a query count once; ties go by id.
-    """
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    wanted = F.array_sort(F.collect_set("term")).alias("wanted")
-    every = terms.agg(wanted)
+    postings: DataFrame
+    n: int
+    avgdl: float
+
+
+def bm25_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> Bm25Index:
+    """Tokenises the documents once and stores their postings, at ``path`` or in
+    scratch. What is shuffled is one row for each document and different term."""
     words = docs.select(F.col(id_col).alias("id"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
-    sizes = words.select("id", F.size("w").alias("dl"), "w").crossJoin(F.broadcast(every))
-    hits = sizes.select("id", "dl", F.explode(F.filter("w", lambda x: F.array_contains(F.col("wanted"), x))).alias("term"))
-    tf = hits.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    total = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    # One row of totals, and one row for each query term.
-    scored = tf.join(F.broadcast(df), "term").join(F.broadcast(terms), "term").crossJoin(F.broadcast(total))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    sums = scored.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
-    sums = sums.withColumn("score", F.round("score", 6))
+    words = words.withColumn("row", F.monotonically_increasing_id())
+    each = words.select("id", "row", F.size("w").alias("dl"), F.explode_outer("w").alias("term"))
+    tf = each.groupBy("row", "id", "dl", "term").agg(F.count("*").alias("tf")).drop("row")
+    ordered = tf.repartitionByRange("term").sortWithinPartitions("term")
+    if path is None:
+        postings = store.keep(ordered, "postings")
+    else:
+        store.write_table(ordered, path)
+        postings = docs.sparkSession.read.parquet(path)
+    return open_bm25(postings)
+
+
+def open_bm25(postings: DataFrame) -> Bm25Index:
+    """A stored index with its totals. A document without a token has one row
+    with a null term, so it counts; each document's length is read at one row."""
+    sums = postings.agg(F.sum(F.when(F.col("term").isNull(), 0).otherwise(F.col("tf"))).alias("length"), F.sum(F.when(F.col("term").isNull(), 1.0).otherwise(F.col("tf") / F.col("dl"))).alias("n")).first()
+    n = round(sums["n"] or 0)  # a document's shares of its length add up to one
+    return Bm25Index(postings, n, (sums["length"] or 0) / n if n else 0.0)
+
+
+def bm25(queries: DataFrame, docs: DataFrame | Bm25Index, k: int = 5, id_col: str = "doc_id", text_col: str = "text", k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, rank, id, score): Okapi BM25 of queries(query_id, query) over
+    documents or their stored index.
+
+    Only postings of the queries' terms leave the scan. Terms of a query count
+    once; repeated ids are documents of their own for the totals and one for
+    the rank; ties go by id.
+    """
+    index = docs if isinstance(docs, Bm25Index) else bm25_index(docs, id_col, text_col)
+    terms = store.keep(queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term")), "query-terms")
+    hits = index.postings.join(store.maybe_broadcast(terms.select("term").distinct(), 64), "term", "left_semi")
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (F.lit(index.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighed = terms.join(df, "term").select("query_id", "term", idf.alias("idf"))
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(index.avgdl)))
+    scored = hits.join(store.maybe_broadcast(store.keep(weighed, "query-weights"), 96), "term")
+    sums = scored.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return sums.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
 
@@ -86,3 +117,11 @@ def search_cards(found: DataFrame, n: int = 300) -> DataFrame:
         "*", X.preview_dots(F.col("document"), n).alias("highlighted_content"), F.slice("citations", 1, 3).alias("top_citations"), F.slice("concepts", 1, 5).alias("legal_terms"),
         F.format_string("rank %d of the fused lists", F.col("rank")).alias("relevance_explanation"),
     )
+
+
+def search_result(found: DataFrame, took: float = 0.0, kind: str = "hybrid") -> DataFrame:
+    """(query_id, results, total_found, search_time, search_type): the envelope
+    of a search, its cards as a list in rank order."""
+    card = F.struct("rank", *[c for c in found.columns if c not in ("query_id", "rank")])
+    lists = found.groupBy("query_id").agg(F.array_sort(F.collect_list(card)).alias("results"))
+    return lists.select("query_id", "results", F.size("results").alias("total_found"), F.lit(took).alias("search_time"), F.lit(kind).alias("search_type"))

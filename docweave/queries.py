@@ -315,7 +315,7 @@ select 'chunk_' || p as chunk_id, text, p as chunk_index, 'corpus' as source fro
 
 
 def bm25_search(spark, sf_dir):
-    """BM25 over all documents for all user turns that open a conversation."""
+    """BM25 over all documents for the opening user turns of each hundredth conversation."""
     asked = _table(spark, sf_dir, "conversations").where("role = 'user' and turn = 0 and conv_id % 100 = 0")
     return retrieval.bm25(asked.select(F.col("conv_id").alias("query_id"), F.col("text").alias("query")), _table(spark, sf_dir, "documents"))
 
@@ -477,10 +477,66 @@ select doc_id, chunk, {_strip("chunk")} = '' as blank from v"""
 
 
 def inspect_table(spark, sf_dir):
-    return index.inspect(_table(spark, sf_dir, "documents"))
+    """Size, columns and the first row's kind, keys and text."""
+    return index.inspect(_table(spark, sf_dir, "documents"), ["doc_id"])
 
 
-_INSPECTED = "select count(*) as rows, 'doc_id,text,lang,source,n_chars' as columns, min(text[1:200] || '...') as first_text from documents"
+_INSPECTED = """with f as (select * from documents order by doc_id limit 1) select 'table' as container, (select count(*) from documents) as rows, 'doc_id,text,lang,source,n_chars' as columns, 'dict' as first_type,
+  array_to_string(list_filter([case when doc_id is not null then 'doc_id' end, case when text is not null then 'text' end, case when lang is not null then 'lang' end,
+  case when source is not null then 'source' end, case when n_chars is not null then 'n_chars' end], lambda x: x is not null), ',') as first_keys, text[1:200] || '...' as first_text from f"""
+
+
+def rendered_chunks(spark, sf_dir):
+    """Texts that come under different names or none, rendered; those with a text cleaned in place."""
+    docs = _table(spark, sf_dir, "documents")
+    mixed = docs.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("text")).alias("text"), F.when(F.col("doc_id") % 3 == 1, F.col("text")).alias("content"), "lang")
+    clean = index.cleaned_variants(mixed)
+    return clean.select("doc_id", "content", index.rendered_text(clean).alias("chunk"))
+
+
+_RENDERED = f"""with m as (select doc_id, {_clean("case when doc_id % 3 = 0 then text end")} as text, {_clean("case when doc_id % 3 = 1 then text end")} as content, lang from documents)
+select doc_id, content, coalesce(text, content, '{{"doc_id":' || doc_id || case when lang is not null then ',"lang":"' || lang || '"' else '' end || '}}') as chunk from m"""
+
+
+def record_shapes(spark, sf_dir):
+    """The other two shapes of records: nested metadata, and pages with their numbers."""
+    pages = index.with_position(legal_pages(spark, sf_dir), ["doc_id", "page_number"])
+    one = index.nested_records(pages).select("id", "text", F.col("metadata.chunk_index").alias("n"), F.col("metadata.char_count").alias("size"), F.col("metadata.source").alias("source"))
+    two = index.page_records(pages, text_col="text", page_col="page_number")
+    return one.unionByName(two.select("id", F.col("document").alias("text"), F.col("metadata.page").cast("long").alias("n"), F.length("document").alias("size"), F.lit("page").alias("source")))
+
+
+_SHAPES = f"""with legal as ({LEGAL}), c as (select *, row_number() over (order by doc_id, page_number) - 1 as p from legal)
+select 'chunk_' || p as id, text, p as n, cast(len(text) as int) as size, 'corpus' as source from c
+union all select 'id_' || p, text, cast(page_number as bigint), cast(len(text) as int), 'page' from c"""
+
+
+def search_envelope(spark, sf_dir):
+    """The search's cards as a list for each question, with how many were found."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("document"))
+    found = bm25_search(spark, sf_dir).join(docs, "doc_id")
+    found = found.withColumn("citations", X.citations(F.col("document"))).withColumn("concepts", X.concepts(F.col("document")))
+    out = retrieval.search_result(retrieval.search_cards(found).select("query_id", "rank", "doc_id", "highlighted_content", "legal_terms"), kind="lexical")
+    return out.select("query_id", "total_found", "search_type", "search_time", F.array_join(F.transform("results", lambda r: F.concat_ws("|", r["doc_id"].cast("string"), F.array_join(r["legal_terms"], ","), r["highlighted_content"])), " # ").alias("results"))
+
+
+_ENVELOPE = f"""with {_BM25_CTE},
+j as (select query_id, rank, cast(doc_id as varchar) || '|' || array_to_string(list_slice({_concepts("coalesce(text, '')")}, 1, 5), ',') || '|' || coalesce(text, '')[1:300] || '...' as r from bm join documents using (doc_id) where rank <= 5)
+select query_id, cast(count(*) as int) as total_found, 'lexical' as search_type, cast(0 as double) as search_time, string_agg(r, ' # ' order by rank) as results from j group by query_id"""
+
+
+def concept_changes(spark, sf_dir):
+    """Concepts of a map of keywords after additions and removals, as values found by key with a default."""
+    t = _table(spark, sf_dir, "documents")
+    words = F.create_map(*[F.lit(x) for pair in (("and", "joins"), ("the", "article"), ("zzz", "never")) for x in pair])
+    counts = F.map_from_arrays(F.map_keys(words), F.transform(F.map_keys(words), lambda w: F.size(F.split(F.lower(F.coalesce("text", F.lit(""))), w)) - 1))
+    some = F.map_filter(counts, lambda k, v: v > 0)
+    return t.select("doc_id", F.array_join(F.array_sort(F.map_keys(some)), ",").alias("seen"), F.coalesce(F.element_at(some, F.lit("and")), F.lit(0)).alias("n_and"), F.coalesce(F.element_at(words, F.lit("missing")), F.lit("none")).alias("fallback"))
+
+
+_CHANGES = """with c as (select doc_id, lower(coalesce(text, '')) as t from documents)
+select doc_id, array_to_string(list_filter([case when contains(t, 'and') then 'and' end, case when contains(t, 'the') then 'the' end, case when contains(t, 'zzz') then 'zzz' end], lambda x: x is not null), ',') as seen,
+  cast(len(string_split(t, 'and')) - 1 as int) as n_and, 'none' as fallback from c"""
 
 
 def exit_words(spark, sf_dir):
@@ -562,6 +618,10 @@ QUERIES = {
     "a11_ab_summary": (ab_summary, _AB_SUM),
     "p1_variant_text": (variant_texts, _VARIANTS),
     "p7_inspect": (inspect_table, _INSPECTED),
+    "p1_rendered_chunks": (rendered_chunks, _RENDERED),
+    "p4_record_shapes": (record_shapes, _SHAPES),
+    "x3_search_envelope": (search_envelope, _ENVELOPE),
+    "d8_map_functions": (concept_changes, _CHANGES),
     "p11_exit_words": (exit_words, _EXITS),
     "s13_eval_cases": (eval_cases, _CASE_ROWS),
     "d10_nested_result": (nested_result, _NESTED),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,15 +13,28 @@ from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, which all machines share; where it is unset a
-    temporary folder, once for the session."""
+    """``spark.checkpoint.dir``, which all machines share. Where it is unset, a
+    run on one machine (tests) gets a temporary folder, once for the session; a
+    cluster gets an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("docweave.scratch.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         path = tempfile.mkdtemp(prefix="docweave-")
         spark.conf.set("docweave.scratch.dir", path)
     return path.rstrip("/")
 
 
+#: Rows of at most this many bytes in all are sent to every executor.
+BROADCAST_BYTES = 16 << 20
+
+
+def maybe_broadcast(small: DataFrame, row_bytes: int) -> DataFrame:
+    """``small`` with a broadcast hint if a count proves that it is small;
+    otherwise unchanged, for a shuffle join whose hot keys AQE splits."""
+    return F.broadcast(small) if small.count() * row_bytes <= BROADCAST_BYTES else small
+
+
 def keep(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to shared scratch and read back, which cuts its lineage."""
     spark = df.sparkSession
@@ -70,6 +84,12 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFr
     return files.select("path", (F.col("length") / 1024 / 1024).alias("megabytes"))
 
 
+def first_file(spark: SparkSession, path: str, pattern: str = "*.pdf") -> str | None:
+    """The first file's path by name, or None if there is none."""
+    row = list_files(spark, path, pattern).agg(F.min("path").alias("path")).first()
+    return row.path
+
+
 def page_texts(pages: DataFrame, doc_col: str = "doc_id") -> DataFrame:
     """(doc, text): a document's page texts in page order, without a separator."""
     rows = F.array_sort(F.collect_list(F.struct("page_number", "text")))
@@ -110,6 +130,18 @@ def report_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("json"))
 
 
+def report_text(df: DataFrame, title: str = "Report") -> str:
+    """A report of one row or few as lines for a console: a title, a rule, and
+    each column's name and value; numbers below 1 as they are, others rounded."""
+    out = [title, "=" * len(title)]
+    for n, row in enumerate(df.limit(100).collect()):
+        out += [""] * bool(n)
+        for name, value in row.asDict(recursive=True).items():
+            shown = f"{value:.3f}" if isinstance(value, float) else ", ".join(map(str, value)) if isinstance(value, list) else str(value)
+            out.append(f"{name.replace('_', ' ')}: {shown}")
+    return "\n".join(out)
+
+
 def build_collection(records: DataFrame, path: str, embed: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Replaces the collection at ``path`` by records (id, document, metadata)
     with the ``embedding`` that ``embed`` adds; returns it."""
