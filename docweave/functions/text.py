@@ -81,15 +81,19 @@ def citations(text: Column) -> Column:
 
 def concepts(text: Column, dictionary: dict[str, list[str]] | None = None) -> Column:
     """Concepts with a keyword in the text (any case, within words too), in dictionary order."""
-    low = F.lower(text)
-    found = []
-    for name, words in (dictionary or P.CONCEPTS).items():
-        hit = None
-        for w in words:
-            one = low.contains(w.lower())
-            hit = one if hit is None else hit | one
-        found.append(F.when(hit, F.lit(name)))
-    return F.filter(F.array(*found), lambda x: x.isNotNull())
+
+    def held(low: Column) -> Column:
+        found = []
+        for name, words in (dictionary or P.CONCEPTS).items():
+            hit = None
+            for w in words:
+                one = low.contains(w.lower())
+                hit = one if hit is None else hit | one
+            found.append(F.when(hit, F.lit(name)))
+        return F.filter(F.array(*found), lambda x: x.isNotNull())
+
+    # The folded text is bound as a variable: else each keyword would fold it anew.
+    return F.transform(F.array(F.lower(text)), held)[0]
 
 
 def coherent(text: Column, concepts_col: Column, citations_col: Column) -> Column:

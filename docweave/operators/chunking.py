@@ -69,14 +69,15 @@ def recursive_split(text: str, size: int = SIZE, overlap: int = OVERLAP, separat
     return [c for c in out if c]
 
 
-def recursive_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, overlap: int = OVERLAP, separators: tuple[str, ...] = SEPARATORS) -> DataFrame:
-    """(id, chunk_index, text) by :func:`recursive_split`, in Arrow batches."""
+def recursive_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, overlap: int = OVERLAP, separators: tuple[str, ...] = SEPARATORS, length=len) -> DataFrame:
+    """(id, chunk_index, text) by :func:`recursive_split`, in Arrow batches.
+    ``length`` measures a text, for instance in a model's tokens."""
     frame = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = frame.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, n, c) for i, t in zip(b["id"], b["text"], strict=True) if t for n, c in enumerate(recursive_split(t, size, overlap, separators))]
+            rows = [(i, n, c) for i, t in zip(b["id"], b["text"], strict=True) if t for n, c in enumerate(recursive_split(t, size, overlap, separators, length))]
             yield pd.DataFrame(rows, columns=["id", "chunk_index", "text"])
 
     return frame.mapInPandas(run, f"id {kind}, chunk_index long, text string").withColumnRenamed("id", id_col)

@@ -53,11 +53,14 @@ def _nearest(k: int):
                 q = np.frombuffer(batch.column(1)[row].as_buffer(), "<f8").reshape(len(q_ids), -1)
                 x = np.frombuffer(batch.column(3)[row].as_buffer(), "<f8").reshape(len(ids), -1)
                 out_q, out_i, out_d = [], [], []
-                near = (q**2).sum(axis=1)[:, None] + (x**2).sum(axis=1)[None, :] - 2 * q @ x.T
+                q_norm, x_norm = (q**2).sum(axis=1), (x**2).sum(axis=1)
+                near = q_norm[:, None] + x_norm[None, :] - 2 * q @ x.T
+                # The fast form cancels: its error follows the norms, not the distance.
+                slack = 1e-9 + 64 * np.finfo(float).eps * q.shape[1] * (q_norm + x_norm.max(initial=0.0))
                 for i in range(len(q_ids)):
                     # A few more than k by the fast form, then exactly, then ties by id.
                     take = min(len(ids), k + 8)
-                    edge = np.partition(near[i], take - 1)[take - 1] + 1e-9
+                    edge = np.partition(near[i], take - 1)[take - 1] + 2 * slack[i]
                     at = np.flatnonzero(near[i] <= edge)
                     exact = ((x[at] - q[i]) ** 2).sum(axis=1)
                     best = np.lexsort((ids[at], exact))[:k]

@@ -26,6 +26,28 @@ def build_corpus(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     return store.build_collection(index.index_records(chunks, source=source), f"{path}/vectors", lambda r: with_embedding(r, embed=embed))
 
 
+def build_system(docs: DataFrame, path: str, force_rebuild: bool = False, **options) -> dict:
+    """Builds the collection at ``path`` unless it is there; returns the status
+    (``built`` or ``present``), the path and the number of records."""
+    spark = docs.sparkSession
+    there = store.exists(spark, f"{path}/vectors")
+    if force_rebuild or not there:
+        build_corpus(docs, path, **options)
+    return {"status": "present" if there and not force_rebuild else "built", "path": path, "records": store.open_collection(spark, f"{path}/vectors").count()}
+
+
+def add_records(records: DataFrame, path: str, embed: Callable[[Column], Column] = hashed) -> DataFrame:
+    """Embeds records (id, document, metadata) and appends them to a collection."""
+    store.write_table(with_embedding(records, embed=embed), path, mode="append")
+    return store.open_collection(records.sparkSession, path)
+
+
+def index_smoke(search: Search, spark, query: str = "What is in this collection?", k: int = 3) -> dict:
+    """One query after a build: whether anything comes back, and the previews of what does."""
+    rows = search(spark.createDataFrame([(0, query)], "query_id int, query string"), k).orderBy("rank").select("id", X.preview_dots(F.col("document"), 100).alias("preview")).collect()
+    return {"ok": bool(rows), "found": len(rows), "ids": [r.id for r in rows], "previews": [r.preview for r in rows]}
+
+
 def vector_search(collection: DataFrame, embed: Callable[[Column], Column] = hashed) -> Search:
     """Nearest stored vectors of the embedded query."""
 
@@ -60,8 +82,10 @@ def hybrid_search(collection: DataFrame, embed: Callable[[Column], Column] = has
 
 
 def ask(search: Search, questions: DataFrame, k: int = 5, generate=retrieval.extractive) -> DataFrame:
-    """(query_id, question, prompt, answer, sources)."""
-    return retrieval.answer(questions, search(questions, k), generate)
+    """(query_id, question, prompt, answer, sources, legal_citations): the
+    citations of the sources and the answer, each once."""
+    out = retrieval.answer(questions, search(questions, k), generate)
+    return out.withColumn("legal_citations", F.array_distinct(X.citations(F.concat_ws("\n\n", F.array_join("sources", "\n\n"), "answer"))))
 
 
 def evaluate_search(search: Search, cases: DataFrame, k: int = 5) -> DataFrame:

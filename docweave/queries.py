@@ -45,6 +45,7 @@ def legal_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- SQL spellings for the oracles (RE2 has no lookaround; \w is spelt out) ---
 _W = r"[\p{L}\p{N}_]"
+# The patterns in the SQL dialect.
 _SQL = {
     "chapter": r"(?im)^CHAPTER\s+(\d+)[:\-]?\s*(.+)$",
     "section": r"(?im)^(?:Section|§)\s*([\d.]+)[:\-]?\s*(.+)$",
@@ -54,6 +55,7 @@ _SQL = {
     "elements": r"(?i)(?:elements?|requirements?|conditions?).*?(?:are|include)?:?\s*$",
     "numbered": r"(?m)^\s*(\d+)\.?\s+(.+)$",
 }
+# The cleaning rules in the SQL dialect.
 _CLEAN_SQL = [
     (r"(?i)Page\s+\d+\s*(of\s+\d+)?", "''"),
     (r"(?m)^\s*\d+\s*$", "''"),

@@ -183,3 +183,102 @@ def test_stream(spark, tmp_path):
     out = spark.read.parquet(f"{tmp_path}/out")
     assert out.count() == 2
     assert {r.concept: r.n for r in ingest.concept_counts(out).collect()} == {"oui_dui": 1, "search_warrant": 1}
+
+
+def test_system_build_smoke_and_reports(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "Arrest needs probable cause. M.G.L. c. 276, § 28."), (2, "Consent to search a car.")], "doc_id long, text string")
+    path = str(tmp_path / "s")
+    assert lifecycles.build_system(docs, path)["status"] == "built" and lifecycles.build_system(docs, path) == {"status": "present", "path": path, "records": 2}
+    assert lifecycles.build_system(docs.limit(1), path, force_rebuild=True) == {"status": "built", "path": path, "records": 1}
+    more = index.page_records(spark.createDataFrame([(5, "A page on warrants.", 9)], "position int, content string, page int"))
+    assert more.first().asDict(True) == {"id": "id_5", "document": "A page on warrants.", "metadata": {"page": 9}}
+    pages = str(tmp_path / "p")
+    assert lifecycles.add_records(more, pages).count() == 1 and lifecycles.add_records(more, pages).count() == 2
+    stored = store.open_collection(spark, f"{path}/vectors")
+    smoke = lifecycles.index_smoke(lifecycles.lexical_search(stored), spark, "probable cause")
+    assert smoke["ok"] and smoke["found"] == 1 and smoke["previews"][0].startswith("Arrest")
+    assert not lifecycles.index_smoke(lifecycles.lexical_search(stored), spark, "zzz")["ok"]
+    got = lifecycles.ask(lifecycles.lexical_search(stored), spark.createDataFrame([(0, "arrest")], "query_id int, query string")).first()
+    assert got.legal_citations == ["M.G.L. c. 276, § 28."]
+    text = store.report_text(evaluate.corpus_report(chunking.legal_chunks(spark.createDataFrame([(1, 1, "CHAPTER 1: A\nArrest.")], "doc_id long, page_number int, text string"))), "Corpus")
+    assert text.startswith("Corpus\n======\n") and "total chunks: 1" in text
+    (tmp_path / "b.pdf").write_bytes(b"x")
+    (tmp_path / "a.pdf").write_bytes(b"x")
+    assert store.first_file(spark, str(tmp_path)).endswith("a.pdf") and store.first_file(spark, str(tmp_path), "*.none") is None
+
+
+def test_stored_index_gives_the_same_scores(spark, tmp_path):
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(i, " ".join(rng.choices("abcdefgh", k=rng.randint(0, 30)))) for i in range(200)] + [(500, None)], "doc_id long, text string")
+    asked = spark.createDataFrame([(0, "a b b"), (1, "H zz"), (2, "")], "query_id int, query string")
+    stored = retrieval.bm25_index(docs, path=str(tmp_path / "i"))
+    again = retrieval.open_bm25(spark.read.parquet(str(tmp_path / "i")))
+    assert (stored.n, stored.avgdl) == (again.n, again.avgdl) == (201, pytest.approx(docs.selectExpr("sum(size(regexp_extract_all(coalesce(text, ''), '[a-z]+', 0))) / 201").first()[0]))
+    one, two = (sorted(map(tuple, retrieval.bm25(asked, x, 5).collect())) for x in (docs, again))
+    assert one == two and {r[0] for r in one} == {0, 1}
+
+
+def test_recursive_split_by_another_length(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(100)))], "doc_id long, text string")
+    rows = chunking.recursive_chunks(docs, size=10, overlap=2, length=lambda t: len(t.split())).collect()
+    assert all(len(r.text.split()) <= 10 for r in rows) and len(rows) > 9
+
+
+def test_chunks_without_a_citation_list_are_searched(spark):
+    cases = spark.createDataFrame([(0, "q", [], ["M.G.L. c. 90"], [], "basic")], "query_id int, query string, expected_concepts array<string>, expected_citations array<string>, required_terms array<string>, difficulty string")
+    found = spark.createDataFrame([(0, "See M.G.L. c. 90, § 24 now", [])], "query_id int, content string, concepts array<string>")
+    assert evaluate.retrieval_metrics(cases, found).first().citation_preservation == 1.0
+
+
+def test_variants_are_rendered_and_cleaned_in_place(spark):
+    df = spark.createDataFrame([("Page 1 of 2 a", None, 3), (None, "b  c", 4), (None, None, 5)], "text string, content string, n int")
+    got = index.cleaned_variants(df)
+    assert [(r.text, r.content, r.n) for r in got.orderBy("n").collect()] == [("a", None, 3), (None, "b c", 4), (None, None, 5)]
+    assert [r.t for r in got.orderBy("n").select(index.rendered_text(got).alias("t")).collect()] == ["a", "b c", '{"n":5}']
+    assert index.inspect(got, ["n"]).first().asDict() == {"container": "table", "rows": 3, "columns": "text,content,n", "first_type": "dict", "first_keys": "text,n", "first_text": "a..."}
+
+
+def _split_plainly(text, size, overlap, marks):
+    """Pieces by repeated searching and joining, character positions first: the
+    text is cut before each mark, long cuts are cut again by the next marks, and
+    runs of short cuts are joined greedily, each chunk going back over whole cuts
+    of up to ``overlap`` characters."""
+    mark = next((m for m in marks if not m or m in text), marks[-1])
+    later = marks[marks.index(mark) + 1 :]
+    edges = [0]
+    at = text.find(mark, 0) if mark else -1
+    while at >= 0:
+        edges.append(at)
+        at = text.find(mark, at + len(mark))
+    cuts = [text[a:b] for a, b in zip(edges, [*edges[1:], len(text)]) if text[a:b]] if mark else list(text)
+    out, run = [], []
+
+    def join():
+        first, end, n = 0, 0, 0
+        while end < len(run):
+            if n + len(run[end]) > size and end > first:
+                out.append("".join(run[first:end]).strip())
+                while n > overlap or (n and n + len(run[end]) > size):
+                    n -= len(run[first])
+                    first += 1
+            n += len(run[end])
+            end += 1
+        out.append("".join(run[first:end]).strip())
+        run.clear()
+
+    for c in cuts:
+        if len(c) < size:
+            run.append(c)
+        else:
+            join()
+            out.extend(_split_plainly(c, size, overlap, later) if later else [c])
+    join()
+    return [c for c in out if c]
+
+
+def test_recursive_split_matches_a_plain_one():
+    rng = random.Random(17)
+    for _ in range(300):
+        text = "".join(rng.choice(["word", "a", " ", " ", "\n", "\n\n", "longer-part", "x" * 25]) for _ in range(rng.randint(0, 120)))
+        for size, overlap in ((40, 10), (20, 0), (100, 30)):
+            assert chunking.recursive_split(text, size, overlap) == _split_plainly(text, size, overlap, ["\n\n", "\n", " ", ""])
