@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.features import term_keys
-from docweave.llm.shared import small_batches
-from docweave.llm.textbuf import Words, pieces
+from docweave.llm.shared import keep, maybe_broadcast, small_batches
+from docweave.llm.textbuf import Words, give_back, pieces
 
 #: Labelled rows used for fitting at most; they are drawn by a hash of the id.
 SAMPLE_ROWS = 20_000
@@ -23,8 +23,9 @@ def part_of(id_col, parts: int):
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, use, id_col: str, text_col: str, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(id, label, text) of the labelled documents that satisfy ``use``; above
-    ``rows`` of them, a sample by a hash of the id, about that many."""
+    """(id, label, text) of the labelled documents that satisfy ``use``, one row
+    for each id (of repeated ids the least text); above ``rows`` of them, a
+    sample by a hash of the id, about that many."""
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).where(use)
     known = known.groupBy(id_col).agg(F.max(F.col(label).cast("int")).alias("label"))
     total = known.count()
@@ -32,7 +33,10 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, use, id_col: str, t
         known = known.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * rows / total))
     known = known.withColumnRenamed(id_col, "id").limit(int(rows * 1.1))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return texts.join(F.broadcast(known), "id").select("id", "label", "text")
+    # One row for each id, by a partial aggregate: repeated ids don't widen the
+    # sample. It is kept, so that the corpus is read for it once.
+    sample = texts.join(maybe_broadcast(keep(known, "labels"), 64), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+    return keep(sample, "labelled")
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,5 +118,6 @@ def scored(docs: DataFrame, score: Callable, id_col: str, text_col: str, keep_co
             for lo, hi, raw, off in pieces(batch.column(0)):
                 others = [batch.column(i).slice(lo, hi - lo) for i in range(1, batch.num_columns)]
                 yield pa.RecordBatch.from_arrays([*others, pa.array(score(raw, off))], names=names)
+        give_back()
 
     return frame.mapInArrow(run, schema)

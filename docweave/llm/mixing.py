@@ -179,11 +179,11 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     drawn = keep(drawn.withColumn("__dw_more", F.col("__dw_sum") - F.col("__dw_copies") * F.col("__dw_n")).drop("__dw_sum", "__dw_n"), "drawn")
     keyed = docs.withColumn("__dw_key", key(F.xxhash64(F.col(text_col))))
     names = [F.col(f"`{c}`") for c in docs.columns if c != "copies"]
-    even = keyed.join(drawn.where("__dw_more = 0 and __dw_copies > 0"), "__dw_key").select(*names, F.col("__dw_copies").alias("copies"))
+    even = keyed.join(maybe_broadcast(drawn.where("__dw_more = 0 and __dw_copies > 0"), 24), "__dw_key").select(*names, F.col("__dw_copies").alias("copies"))
     uneven = keep(drawn.where("__dw_more > 0"), "uneven")
     if uneven.isEmpty():
         return even
-    part = keep(keyed.join(F.broadcast(uneven) if uneven.count() < 10_000 else uneven, "__dw_key").withColumn("__dw_tag", F.monotonically_increasing_id()), "part")
+    part = keep(keyed.join(maybe_broadcast(uneven, 24), "__dw_key").withColumn("__dw_tag", F.monotonically_increasing_id()), "part")
     file = F.shiftrightunsigned("__dw_tag", 33)
     before = part.groupBy("__dw_key", file.alias("__dw_file")).agg(F.count("*").alias("__dw_own"))
     before = before.withColumn("__dw_before", F.sum("__dw_own").over(Window.partitionBy("__dw_key").orderBy("__dw_file").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__dw_own"))

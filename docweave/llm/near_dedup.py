@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.shared import ODD, ODD_COLUMNS, Lanes, keep, linked, maybe_broadcast, one_of_repeats, release, scratch, small_batches
-from docweave.llm.textbuf import Words, mix, pieces, shingles
+from docweave.llm.textbuf import Words, give_back, mix, pieces, shingles
 
 ROWS, BANDS = 6, 20
 SLOTS = ROWS * BANDS
@@ -132,6 +132,7 @@ def _sketch(id_col: str, k: int, band_rows: int, bands: int):
                     [ids.slice(lo, hi - lo), keys.slice(lo, hi - lo), pa.array(seq), pa.array(words.count.astype(np.int64)), *lists],
                     names=["id", "text_key", "seq_key", "n_words", "bands", "lanes"],
                 )
+        give_back()
 
     return run
 
@@ -272,7 +273,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         member, classes, links = near_duplicate_classes(docs, id_col, text_col, **options)
         degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
         known = classes.join(degree, "node", "left").select(F.col("node").alias("seq_key"), "root", "n_links")
-        rows = member.join(known, "seq_key", "left").select(
+        # A table of its own, so that the join can split the largest group of copies.
+        known = keep(known, "linked")
+        rows = member.join(maybe_broadcast(known, 24), "seq_key", "left").select(
             "id", "text_key", (F.col("n_words") > 0).alias("worded"), F.coalesce("root", "seq_key").alias("class_key"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.monotonically_increasing_id().alias("rank")
         )
         rows = keep(rows, "classed")

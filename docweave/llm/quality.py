@@ -4,8 +4,11 @@ The statistics are shape only (lengths, character classes, repetition, lines,
 distinct words), so the score does not follow topics. The trees lie in flat
 arrays and all rows of a piece walk down together in numpy.
 
-Defined cases: as in the toxicity scores: null is an empty text, every row has
-a score, without labels of both kinds all scores are the smoothed base rate.
+Defined cases: a null text is scored as an empty one, an empty text has a
+score like any other; repeated rows are scored each on their own, equal texts
+alike; a very long text is one row of statistics; without labels of both kinds
+all scores are the smoothed base rate; an empty table gives an empty one; extra
+columns are ignored.
 """
 
 from __future__ import annotations

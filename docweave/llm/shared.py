@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -12,20 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: ``spark.checkpoint.dir``.
-
-    Where it is unset, a run on one machine (tests) gets a temporary folder,
-    put into the session's settings once; a cluster gets an error.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("docweave.scratch.dir", None)
-    if not path:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
-        path = tempfile.mkdtemp(prefix="docweave-")
-        spark.conf.set("docweave.scratch.dir", path)
-    return path.rstrip("/")
+from docweave.sources.store import BROADCAST_BYTES, maybe_broadcast, scratch_dir
 
 
 #: Rows of an Arrow batch between the JVM and Python.
@@ -34,7 +19,8 @@ BATCH_ROWS = 1000
 
 def small_batches(spark: SparkSession) -> None:
     """Bounds the memory of Arrow batches of whole texts: Spark's default of
-    10,000 rows is lowered to BATCH_ROWS; another setting stays."""
+    10,000 rows is lowered to BATCH_ROWS for the session, since plans read it
+    when they run; another setting stays."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name) == "10000":
         spark.conf.set(name, str(BATCH_ROWS))
@@ -53,14 +39,14 @@ def _cleaned_up(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def keep(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
+def keep(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back, which
     cuts the lineage: a lost executor costs only the tasks it was running."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/docweave-{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/docweave-{label}-{uuid.uuid4().hex}"
     schema = df.schema
     with _cleaned_up(spark):
-        df.write.option("compression", codec).parquet(path)
+        df.write.parquet(path)
     kept = spark.read.schema(schema).parquet(path)
     kept._docweave_path = path
     if _SCOPES:
@@ -136,16 +122,6 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
 
 
-#: Rows of at most this many bytes in all are sent to every executor.
-BROADCAST_BYTES = 16 << 20
-
-
-def maybe_broadcast(small: DataFrame, row_bytes: int) -> DataFrame:
-    """``small`` with a broadcast hint if a count proves that it is small;
-    otherwise unchanged, for a shuffle join whose hot keys AQE splits."""
-    return F.broadcast(small) if small.count() * row_bytes <= BROADCAST_BYTES else small
-
-
 def row_hash(df: DataFrame) -> Column:
     """A hash of all columns but maps, which have none."""
     return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()])
@@ -244,7 +220,7 @@ def _left_open(met: DataFrame, classes: DataFrame, lanes: Lanes) -> DataFrame:
 
 
 #: Longs of an odd sketch, and deviations by which it may be off.
-ODD, DEVIATIONS = 8, 3.0
+ODD, DEVIATIONS = 16, 3.0
 ODD_COLUMNS = tuple(f"o{i}" for i in range(ODD))
 
 

@@ -8,6 +8,8 @@ piece of its own.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +46,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     have = _TABLES.get("up")
     if have is None or len(have) < n:
-        size = max(n, 2 * PIECE_BYTES)
+        size = max(n, PIECE_BYTES + 4096)
         up, down = np.full(size, _P, np.uint64), np.full(size, _P_INV, np.uint64)
         up[0] = down[0] = 1
         up, down = np.cumprod(up), np.cumprod(down)
@@ -54,6 +56,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _TABLES["up"], _TABLES["down"]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system. Spark keeps its Python workers for
+    later stages, and what they hold is missing there."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def string_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null is an empty text."""
     if pa.types.is_large_string(col.type) or not pa.types.is_string(col.type):

@@ -1,9 +1,11 @@
+import os
 import random
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
-from docweave.llm.line_dedup import MIN_CHARS, SHINGLE, THRESHOLD, dedup_lines
+from docweave.llm.line_dedup import MIN_CHARS, SHINGLE, THRESHOLD, dedup_lines, line_classes
 
 
 def shingles(line):
@@ -125,3 +127,49 @@ def test_copies_of_lines_without_spaces(spark):
         assert len(x & y) / len(x | y) >= 0.8
     got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[i] == (t if i % 2 == 0 else "") for i, t in rows)
+
+
+def alike_pairs(lines):
+    """All pairs of different lines with a Jaccard index of THRESHOLD or more."""
+    sets = sorted(((shingles(x), x) for x in set(lines)), key=lambda p: len(p[0]))
+    out = []
+    for i, (a, x) in enumerate(sets):
+        for b, y in sets[i + 1 :]:
+            if len(a) < THRESHOLD * len(b):
+                break
+            n = len(a & b)
+            if n / (len(a) + len(b) - n) >= THRESHOLD:
+                out.append((x, y))
+    return out
+
+
+def recall(spark, lines):
+    """(share of the alike pairs that end in one class, their number)."""
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    found, classes = line_classes(df, "doc_id", "text", MIN_CHARS, THRESHOLD)
+    root = {r.norm: r.root for r in found.join(classes, "node").select("norm", "root").collect()}
+    pairs = alike_pairs(lines)
+    return sum(root.get(x, x) == root.get(y, y) for x, y in pairs) / len(pairs), len(pairs)
+
+
+def test_recall_on_lines_with_one_character_changed(spark):
+    rng = random.Random(31)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(2000)]
+    lines = []
+    for _ in range(400):
+        line = " ".join(rng.choices(words, k=60))[: rng.randint(40, 200)].strip()
+        at = rng.randrange(len(line))
+        lines += [line, line[:at] + ("x" if line[at] != "x" else "y") + line[at + 1 :]]
+    share, n = recall(spark, lines)
+    assert n > 300 and share >= 0.98
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_recall_on_the_tables_lines(spark):
+    texts = [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    lines = [x.strip(" ").lower() for t in texts for x in t.split("\n")]
+    share, n = recall(spark, [x for x in lines if len(x) >= MIN_CHARS])
+    assert n > 50 and share >= 0.98

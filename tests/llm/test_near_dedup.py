@@ -1,4 +1,6 @@
+import os
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -159,3 +161,36 @@ def test_what_a_lead_leaves_open_is_judged_whatever_its_number(spark):
     _, classes = shared.linked(spark.createDataFrame([(1, n) for n in sets], "bucket long, node long"), judge, tokens, 0.8)
     root = {r.node: r.root for r in classes.collect()}
     assert root == {n: n // 2 * 2 for n in sets} and sum(judged) < 1000
+
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_alike_texts_of_the_tables_share_a_class(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    bags = []
+    for r in docs.collect():
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or ""))
+        if w:
+            bags.append((r.doc_id, Counter(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1)))))
+    bags = sorted(((sum(b.values()), i, b) for i, b in bags), key=lambda x: x[:2])
+    pairs = []
+    for k, (n, i, a) in enumerate(bags):
+        for m, j, b in bags[k + 1 :]:
+            if n < 0.8 * m:
+                break
+            if len(a.keys() & b.keys()) >= 0.5 * len(a):
+                both = sum((a & b).values())
+                if both / (n + m - both) >= 0.8:
+                    pairs.append((i, j))
+    got = {r.doc_id: r.class_id for r in near_dedup(docs).collect()}
+    assert len(pairs) > 50 and sum(got[i] == got[j] for i, j in pairs) >= 0.99 * len(pairs)
+
+
+def test_repeated_rows_keep_one_whatever_their_order(spark):
+    rows = [(1, "a b c d e f g", k) for k in "xyz"] + [(2, "a b c d e f g", "w"), (None, None, "n"), (None, None, "n")]
+    df = spark.createDataFrame(rows, SCHEMA + ", kind string")
+    one = sorted(map(str, keep_first_of_class(df).collect()))
+    two = sorted(map(str, keep_first_of_class(df.orderBy(F.desc("kind")).repartition(3)).collect()))
+    assert one == two and len(one) == 3 and sum("doc_id=1" in r for r in one) == 1

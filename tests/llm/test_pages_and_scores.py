@@ -78,6 +78,67 @@ def test_an_article_split_over_sibling_divs_stays_whole():
     assert text.count("first part") == 7 and text.count("second part") == 3 and "Start" not in text
 
 
+def _layouts(rng, host, n):
+    """Pages of a host without telling names, each with its true main text."""
+    words = ["".join(rng.choices("abcdefghijklm", k=rng.randint(2, 9))) for _ in range(300)]
+    say = lambda lo, hi: " ".join(rng.choices(words, k=rng.randint(lo, hi)))
+    notice = say(40, 50)  # a long text that stands on every page
+    for _ in range(n):
+        title, parts = say(3, 8), [say(10, 60) for _ in range(rng.randint(2, 9))]
+        links = "".join(f"<li><a href='/{say(1, 1)}'>{say(1, 2)}</a></li>" for _ in range(5))
+        body = "".join(f"<p>{p}</p>" for p in parts)
+        blocks = [f"<div class='x1'><ul>{links}</ul></div>", f"<div class='x2'>{say(6, 9)}</div>", f"<div class='x3-{rng.randint(1, 999)}'><h2>{title}</h2>{body}<div class='x5'>{notice}</div></div>", f"<div class='x4'>{say(5, 8)}</div>"]
+        if host % 2:
+            blocks[2] = f"<table><tr><td>{blocks[0]}</td><td>{blocks[2]}</td></tr></table>"
+        yield "<html><body>" + "".join(blocks) + "</body></html>", " ".join([title, *parts])
+
+
+def test_wrappers_find_the_content_where_no_name_tells_it(spark):
+    rng = random.Random(21)
+    rows, want = [], {}
+    for host in range(6):
+        for page, text in _layouts(rng, host, 40):
+            want[len(rows)] = text
+            rows.append((len(rows), f"https://h{host}.site/{len(rows)}", page))
+    rows += [(10_000, rows[3][1], rows[3][2])] * 2  # repeated rows
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract_pages(df).collect()}
+    assert html_extract.extract_pages(df).count() == len(rows) and got[10_000] == got[3]
+    assert {i: got[i] for i in want} == want
+
+
+def test_wrappers_agree_with_marked_articles():
+    # The ablation: without what names and elements tell, the wrapper alone
+    # finds the article's text.
+    rng = random.Random(22)
+    pages = []
+    for page, text in _layouts(rng, 0, 30):
+        pages.append(page.replace("<div class='x3", "<article><div class='x3", 1).replace("</div></div><div class='x4'", "</div></div></article><div class='x4'", 1))
+    w = html_extract.wrapper(pages[:8])
+    assert w.content and sum(main_text(p, w) == main_text(p, w, marked=False) for p in pages) == len(pages)
+
+
+def test_large_pages_take_little_time_and_memory():
+    import time
+
+    began = time.process_time()
+    table = lambda i: "<table>" + "".join("<tr>" + "".join(f"<td>{i}.{r}.{c}</td>" for c in range(90)) for r in range(90)) + "</table>"
+    html_extract.wrapper([table(i) for i in range(3)])
+    assert main_text("<div class='a b'>" * 50_000 + "deep") == "deep"
+    html_extract.wrapper(["".join(f"<div class='x{j % 7}'>t{i}{j}" for j in range(20_000)) for i in range(3)])
+    main_text("<div>" * 3000 + "</section>" * 100_000 + "x")
+    assert time.process_time() - began < 30
+
+
+def test_template_texts_are_counted_over_all_pages(spark):
+    # A text that stands on the drawn pages only by chance is content elsewhere.
+    rng = random.Random(24)
+    say = lambda k: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(k))
+    rows = [(i, "http://t.site/", f"<body><article><p>{say(30)}</p><p>{'Now and then' if i % 10 else 'Always here'}</p><div>Printed by all</div></article></body>") for i in range(60)]
+    got = [r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    assert not any("Printed by all" in t for t in got) and sum("Always here" in t for t in got) == 6
+
+
 # --- boosted trees ---
 def test_trees_learn_and_flat_arrays_predict():
     rng = np.random.default_rng(0)
@@ -107,6 +168,59 @@ def test_statistics_of_odd_texts():
     assert x[5][names.index("obfuscated")] == 1.0
 
 
+def _counted(t):
+    """The statistics of an ASCII text, by plain loops."""
+    import math
+    import re
+
+    words, tokens, size = re.findall("[A-Za-z]+", t), re.findall(r"[^\x20\x09-\x0D]+", t), max(len(t), 1)
+    low = [w.lower() for w in words]
+    n, m = max(len(words), 1), max(len(tokens), 1)
+    lengths = [len(w) for w in words]
+    mean = sum(lengths) / n
+    share = lambda letters: sum(c in letters for c in t) / size
+    windows = [tuple(low[i : i + 5]) for i in range(len(low) - 4)]
+    odd = lambda w: any(w[i].isalpha() and not w[i + 1].isalpha() and w[i + 2].isalpha() for i in range(len(w) - 2))
+    upper, punctuation = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "\"'()+,-./:;=?@[\\]^_`{}~"
+    return {
+        "log_words": math.log1p(len(words)), "log_chars": math.log1p(len(t)), "chars_per_word": size / m, "mean_word": mean,
+        "spread_word": max(sum(x * x for x in lengths) / n - mean**2, 0) ** 0.5, "capitals": share(upper), "digits": share("0123456789"), "punctuation": share(punctuation),
+        "symbols": share("#*$%&|<>"), "exclamation": share("!"), "spaces": share(" "), "non_ascii": 0.0, "words_per_line": len(words) / (t.count("\n") + 1), "distinct": len(set(low)) / n,
+        "doubled": sum(a == b for a, b in zip(low, low[1:])) / n, "repeats": (len(windows) - len(set(windows))) / n, "title_words": sum(w[0] in upper for w in words) / n,
+        "capital_words": sum(len(w) > 1 and w[0] in upper and w[-1] in upper for w in words) / n, "obfuscated": sum(map(odd, tokens)) / m, "bare_tokens": len(words) / m,
+    }
+
+
+def test_statistics_match_plain_counts():
+    rng = random.Random(41)
+    bits = ["you", "You", "IDIOT", "f*ck", "a1b", "...", "#1", "no!", "x", "\n", "end.", "(so)", "AbC", "7", "$5", "-"]
+    texts = [" ".join(rng.choices(bits, k=rng.randint(0, 60))) for _ in range(80)] + ["a b c d e " * 9, "!!", "\n\n"]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    x, names, _ = statistics(raw, np.concatenate(([0], np.cumsum([len(t) for t in texts]))))
+    for i, t in enumerate(texts):
+        want = _counted(t)
+        assert {n: round(v, 9) for n, v in zip(names, x[i].tolist(), strict=True)} == {n: round(want[n], 9) for n in names}, t
+
+
+def test_toxic_features_match_plain_counts():
+    import re
+
+    from docweave.llm import features as feats
+
+    rng = random.Random(43)
+    bits = ["you", "idiot", "moron", "1d1ot", "tree", "your", "house", "STUPID", "river", "ur"]
+    texts = [" ".join(rng.choices(bits, k=rng.randint(0, 40))) for _ in range(60)]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    none = [(np.zeros(0, np.uint64), np.zeros(0))] * 6
+    x = toxicity.extractor(none)(raw, np.concatenate(([0], np.cumsum([len(t) for t in texts]))))
+    bad, second = set(feats.INSULTS.split()), set(feats.SECOND_PERSON.split())
+    for i, t in enumerate(texts):
+        w = re.findall("[a-z]+", t.lower())
+        n, hit = max(len(w), 1), [v in bad for v in w]
+        close = sum(any(v in second for v in w[max(k - 3, 0) : k + 4]) for k, h in enumerate(hit) if h)
+        assert np.allclose([x[i, 0], x[i, 8], x[i, 9]], [sum(hit) / n, sum(v in second for v in w) / n, close / n]), t
+
+
 @pytest.fixture(scope="module")
 def scored_corpus(spark):
     rng = random.Random(8)

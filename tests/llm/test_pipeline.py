@@ -82,6 +82,30 @@ def test_stages_on_empty_tables_and_clashing_columns(spark, tables):
             assert out.columns == wide.columns and {r.score for r in out.collect()} == {1}
 
 
+@pytest.mark.parametrize("name", [n for n, _ in P.STAGES])
+def test_nulls_and_repeated_rows_in_every_stage(spark, tables, name):
+    d, rows, _ = tables
+    stage = dict(P.STAGES)[name]
+    line = rows[1][1].split("\n")[0]
+    odd = [(None, None, None, None, None), (None, line, None, None, None), (5000, None, "en", "s1", 0), (5001, "", "en", None, 0), (5002, rows[5][1], "en", "s1", 7), (5002, rows[5][1], "en", "s1", 7), (5002, rows[5][1], "de", "s1", 8)]
+    df = spark.createDataFrame(odd + [rows[i] for i in (1, 2, 5, 7)], SCHEMA)
+    got = stage(spark, df, d).collect()
+    again = stage(spark, df.orderBy("n_chars").repartition(3), d).collect()
+    plain = lambda rs: sorted(str(tuple(r)) for r in rs)
+    ids = Counter(r.doc_id for r in got)
+    # Texts without words are clean; nothing else is lost but copies.
+    assert {5000, 5001} <= set(ids) and any(r.doc_id is None and r.text is None for r in got)
+    if name in ("toxicity", "decontaminate"):
+        assert plain(got) == plain(again) and len(got) == df.count()
+    if name == "line_dedup":
+        # 5 comes first; the repeated rows have its lines only, so all of them go.
+        assert plain(got) == plain(again) and ids[5] == 1 and ids[5002] == 0 and ids[None] == 1
+    if name == "near_dedup":
+        assert plain(got) == plain(again) and ids[5] + ids[5002] == 1 and ids[None] == 2
+    if name == "mix":
+        assert all(1 <= r.copies <= 2 for r in got) and sorted((r.doc_id or 0, r.copies) for r in got) == sorted((r.doc_id or 0, r.copies) for r in again)
+
+
 SF = "/root/testdata/sf0.001"
 
 

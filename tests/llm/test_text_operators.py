@@ -217,6 +217,14 @@ def test_ledger_matches_brute_force(spark):
     assert set(df.columns) <= set(quality_rules.ledger(df).columns)
 
 
+def test_repeated_rows_are_judged_each_on_their_own(spark):
+    df = spark.createDataFrame([(1, "a b c d e f g h i j k")] * 3 + [(None, None)] * 2, DOCS)
+    assert sorted(str(tuple(r)[1:]) for r in quality_rules.judged(df).collect()) == sorted(str(tuple(r)[1:]) for r in quality_rules.judged(df).distinct().collect() for _ in range(3 if r[1] else 2))
+    item = spark.createDataFrame([(7, "c d e")], "item_id long, text string")
+    got = decontaminate.digest(decontaminate.decontaminate(df, item)).collect()
+    assert sorted((r.n_words, r.n_hit, r.n_items) for r in got) == [(0, 0, 0)] * 2 + [(11, 3, 1)] * 3
+
+
 def test_policies_and_ablation(spark):
     assert quality_rules.mask("base") == 3
     led = spark.createDataFrame([(0,), (1,), (3,), (2,), (4,)], "failed_bits long")
