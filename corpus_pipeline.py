@@ -4,6 +4,15 @@ Each stage takes (spark, docs, sf_dir); what it returns is written as Parquet
 and read again as the next one's documents. All but the last return the
 columns of documents; the last adds ``copies``, how often the mix repeats a
 document.
+
+Defined cases, for all stages: a null or empty text is a clean document: it is
+scored as an empty one, has no lines to lose, resembles nothing, is not
+contaminated, and the mix gives it one copy (it takes no words). Null ids are
+ids like any other that order last. Of repeated rows (equal id and text) one
+keeps its lines and stays; which one follows from a hash of the rows' columns.
+Ties (equal lines, equal members of a class) go to the least id, then text. Very
+long texts are taken whole. Empty tables give empty tables; extra columns,
+whatever their names, are carried.
 """
 
 from __future__ import annotations
@@ -12,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.llm import decontaminate, learned, line_dedup, mixing, near_dedup, toxicity
-from docweave.llm.shared import keep
+from docweave.llm.shared import drop_kept, keep
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,8 +76,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
+    """All stages over the documents of ``sf_dir``; a stage's table goes once
+    the next one's is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = keep(stage(spark, docs, sf_dir), name)
+        done = keep(stage(spark, docs, sf_dir), name)
+        drop_kept(docs)
+        docs = done
     return docs
