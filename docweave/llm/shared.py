@@ -253,16 +253,19 @@ def _open_pairs(rest: DataFrame, judged: DataFrame, lanes: Lanes, sketches: Call
     """edges(a, b) not judged yet of the open nodes of one bucket and different
     classes; the largest class is not compared with itself. Pairs whose lanes or
     sketches are far apart never leave the join."""
-    extra: tuple[str, ...] = ()
+    # A pair meets in the least of its common buckets only; a node has as many as bands.
+    rest = rest.join(rest.groupBy("node").agg(F.collect_set("bucket").alias("open")), "node")
+    extra: tuple[str, ...] = ("open",)
     if sketches is not None:
-        extra = ("size", *ODD_COLUMNS)
+        extra += ("size", *ODD_COLUMNS)
         rest = rest.join(sketches(keep(rest.select("node").distinct(), "open-nodes")), "node")
     named = lambda prefix: [*lanes.named(prefix), *[F.col(c).alias(prefix + c) for c in extra]]
     one = rest.where("class <> most").select(F.col("bucket").alias("at"), F.col("node").alias("x"), F.col("class").alias("c"), *named("x_"))
     two = rest.select("bucket", F.col("node").alias("y"), F.col("class").alias("d"), "most", *named("y_"))
     ok = (F.col("c") != F.col("d")) & ((F.col("d") == F.col("most")) | (F.col("x") < F.col("y"))) & lanes.near("x_", "y_")
-    if extra:
+    if sketches is not None:
         ok = ok & _odd_near("x_", "y_", threshold)
+    ok = ok & (F.array_min(F.array_intersect("x_open", "y_open")) == F.col("at"))
     pairs = one.join(two, (F.col("at") == F.col("bucket")) & ok)
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(judged.select("a", "b"), ["a", "b"], "left_anti")
 
