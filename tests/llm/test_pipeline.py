@@ -101,7 +101,7 @@ def test_nulls_and_repeated_rows_in_every_stage(spark, tables, name):
         # 5 comes first; the repeated rows have its lines only, so all of them go.
         assert plain(got) == plain(again) and ids[5] == 1 and ids[5002] == 0 and ids[None] == 1
     if name == "near_dedup":
-        assert plain(got) == plain(again) and ids[5] + ids[5002] == 1 and ids[None] == 2
+        assert plain(got) == plain(again) and ids[5] + ids[5002] == 1 and ids[None] == (2 if "\n" in rows[1][1] else 1)
     if name == "mix":
         assert all(1 <= r.copies <= 2 for r in got) and sorted((r.doc_id or 0, r.copies) for r in got) == sorted((r.doc_id or 0, r.copies) for r in again)
 
