@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docweave.llm import decontaminate, html_extract, line_dedup, mixing, quality, quality_rules, secrets_scan, toxicity, url_filter
+from docweave.llm import decontaminate, html_extract, line_dedup, mixing, nearest, quality, quality_rules, secrets_scan, toxicity, url_filter, whitening
 from docweave.llm.near_dedup import near_dedup
 
 
@@ -63,6 +64,16 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents")).drop("text_key", "worded")
 
 
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty nearest vectors found for every twentieth vector, among all others."""
+    return nearest.nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight whitened components of all vectors."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -76,6 +87,8 @@ QUERIES = {
         op8_mix_sources,
         op9_quality,
         op10_near_dedup,
+        op11_nearest,
+        op12_whitening,
     )
 }
 ORACLES: dict[str, str] = {
