@@ -116,8 +116,9 @@ def _quality(x: str, cits: str, cons: str) -> str:
   + (case when len({cons}) between 1 and 3 then cast(0.1 as double) else 0 end), cast(1.0 as double))"""
 
 
+_LEGAL_CTE = f"legal as ({LEGAL})"
 _SECTIONS = rf"""
-legal as ({LEGAL}),
+{_LEGAL_CTE},
 parts as (select doc_id, page_number, list_filter(list_transform(string_split(
     regexp_replace(regexp_replace(text, '\n(CHAPTER\s+\d+)', chr(1) || '\1', 'g'), '\n(Section\s+[\d.]+)', chr(1) || '\1', 'g'), chr(1)),
     lambda z: {_strip("z")}), lambda z: z <> '') as s from legal),
@@ -145,6 +146,16 @@ chunks as (select *, {_citations("content")} as citations, {_concepts("content")
 scored as (select *, {_quality("content", "citations", "legal_concepts")} as confidence_score from chunks)"""
 
 
+def clean_sql(x: str) -> str:
+    """The cleaned text of an SQL expression."""
+    return _clean(x)
+
+
+def chunks_sql(pages: str) -> str:
+    """The CTEs up to ``scored`` (annotated chunks) over ``pages``, a CTE named legal."""
+    return _CHUNKS.replace(_LEGAL_CTE, pages)
+
+
 def _joined(c: str) -> str:
     return f"array_to_string({c}, ' ; ')"
 

@@ -49,6 +49,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
 
 
+def stream_path(spark: SparkSession, path: str) -> str:
+    """A path as file streams take it: folders as they are, a single file as a
+    pattern that only it matches (a stream's plain path has to be a folder)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return f"{path[:-1]}[{path[-1]}]" if fs.exists(p) and fs.getFileStatus(p).isFile() else path
+
+
 def first_existing(spark: SparkSession, *paths: str) -> str:
     """The first path that is there; FileNotFoundError if none is."""
     for path in paths:

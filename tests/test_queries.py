@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__
 from docweave import queries
+from jobs import queries as jobs
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -20,9 +21,12 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", [n for n, (_, sql) in queries.QUERIES.items() if sql])
+ALL = queries.QUERIES | jobs.QUERIES
+
+
+@pytest.mark.parametrize("name", [n for n, (_, sql) in ALL.items() if sql])
 def test_matches_oracle(spark, duck, name):
-    query, sql = queries.QUERIES[name]
+    query, sql = ALL[name]
     got, want = query(spark, SF).toPandas(), duck.sql(sql).df()
     cols = sorted(want.columns)
     assert sorted(got.columns) == cols
