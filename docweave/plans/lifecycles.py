@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions import text as X
 from docweave.functions.embed import hashed, with_embedding
-from docweave.operators import chunking, evaluate, index, retrieval, vector
+from docweave.operators import chunking, evaluate, index, retrieval, vector, vector_index
 from docweave.sources import store
 
 #: A search takes queries(query_id, query) and k and returns (query_id, rank, id, document).
@@ -48,13 +48,22 @@ def index_smoke(search: Search, spark, query: str = "What is in this collection?
     return {"ok": bool(rows), "found": len(rows), "ids": [r.id for r in rows], "previews": [r.preview for r in rows]}
 
 
-def vector_search(collection: DataFrame, embed: Callable[[Column], Column] = hashed) -> Search:
-    """Nearest stored vectors of the embedded query."""
+def index_collection(collection: DataFrame, path: str, lists: int | None = None) -> vector_index.VectorIndex:
+    """Stores the inverted lists of a collection's vectors at ``path``."""
+    return vector_index.build_index(collection.select(F.xxhash64("id").alias("vec_id"), "embedding"), path, lists)
+
+
+def vector_search(collection: DataFrame, embed: Callable[[Column], Column] = hashed, lists: vector_index.VectorIndex | None = None, probes: int = 8) -> Search:
+    """Nearest stored vectors of the embedded query: all are compared, or, with
+    the collection's inverted ``lists``, those on the lists that are probed."""
 
     def search(queries: DataFrame, k: int = 5) -> DataFrame:
         numbered = collection.select(F.xxhash64("id").alias("vec_id"), "id", "document", "embedding")
         asked = queries.select(F.col("query_id").cast("long").alias("vec_id"), embed(F.col("query")).alias("embedding"))
-        found = vector.top_k_batch(asked, numbered.select("vec_id", "embedding"), k)
+        if lists is None:
+            found = vector.top_k_batch(asked, numbered.select("vec_id", "embedding"), k)
+        else:
+            found = vector_index.search(asked, lists, k, probes)
         return found.join(numbered.drop("embedding"), "vec_id").select("query_id", "rank", "id", "document", "distance")
 
     return search

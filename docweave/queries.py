@@ -7,12 +7,15 @@ by the same SQL text in both engines, as two pages for each document.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.functions import patterns as P
 from docweave.functions import text as X
-from docweave.operators import chunking, evaluate, index, retrieval, vector
+from docweave.operators import chunking, evaluate, index, retrieval, vector, vector_index
+from docweave.sources import store
 
 _NL = "chr(10)"
 _PAGE_1 = f"""
@@ -171,6 +174,33 @@ _KNN = f"""with d as (select q.vec_id as query_id, e.vec_id, {_DIST.format(a="e.
 r as (select *, row_number() over (partition by query_id order by d, vec_id) as rank from d) select query_id, cast(rank as int) as rank, vec_id, round(d, 6) as distance from r where rank <= 5"""
 
 
+def _vector_index(spark, sf_dir):
+    """The embeddings' inverted lists, built in a new scratch folder."""
+    return vector_index.build_index(_table(spark, sf_dir, "embeddings"), f"{store.scratch_dir(spark)}/docweave-lists-{uuid.uuid4().hex}")
+
+
+def knn_from_index(spark, sf_dir):
+    """The rows of the exact batch search, from the inverted lists."""
+    asked = _table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0")
+    found = vector_index.search(asked, _vector_index(spark, sf_dir), 5, exact=True)
+    return found.select("query_id", "rank", "vec_id", F.round("distance", 6).alias("distance"))
+
+
+def index_recall(spark, sf_dir):
+    """Whether as many probes as calibrated find 95 % of the ten nearest of every
+    hundredth vector, and whether they compare fewer pairs than all."""
+    e = _table(spark, sf_dir, "embeddings")
+    asked, stored = e.where("vec_id % 100 = 0"), _vector_index(spark, sf_dir)
+    probes = vector_index.calibrated_probes(stored, 0.97)
+    found = vector_index.search(asked, stored, 10, probes).select("query_id", "vec_id")
+    same = vector.top_k_batch(asked, e, 10).select("query_id", "vec_id").join(found, ["query_id", "vec_id"], "left_semi")
+    fewer = F.lit(vector_index.share_compared(asked, stored, probes) < 1)
+    return asked.agg(F.count("*").alias("queries")).join(same.agg(F.count("*").alias("same")), F.lit(True)).select("queries", (F.col("same") >= 9.5 * F.col("queries")).alias("recall_reached"), fewer.alias("fewer_pairs"))
+
+
+_RECALLED = "select count(*) as queries, true as recall_reached, true as fewer_pairs from embeddings where vec_id % 100 = 0"
+
+
 def _first_vector(spark, sf_dir):
     return list(_table(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").first()[0])
 
@@ -586,12 +616,9 @@ select query_id, string_agg(cast(vec_id as varchar), ',' order by rank) as ids,
 
 def vector_collection(spark, sf_dir):
     """Clean, split, number, embed and store all documents; the stored collection without its vectors."""
-    import uuid
-
     from docweave.plans.lifecycles import build_corpus
-    from docweave.sources.store import scratch_dir
 
-    stored = build_corpus(_table(spark, sf_dir, "documents"), f"{scratch_dir(spark)}/docweave-collection-{uuid.uuid4().hex}")
+    stored = build_corpus(_table(spark, sf_dir, "documents"), f"{store.scratch_dir(spark)}/docweave-collection-{uuid.uuid4().hex}")
     return stored.select("id", F.length("document").alias("chars"), "metadata.chunk_index", F.size("embedding").alias("dim"))
 
 
@@ -603,6 +630,8 @@ _PAGE_CHARS = f"with legal as ({LEGAL}) select doc_id, page_number, cast(len(tex
 
 QUERIES = {
     "r4_knn_batch": (knn_batch, _KNN),
+    "r3_knn_from_index": (knn_from_index, _KNN),
+    "r3_index_recall": (index_recall, _RECALLED),
     "r2_knn_single": (knn_single, _KNN_ONE),
     "p9_page_structure": (page_structure, _STRUCTURE),
     "t1_clean_text": (text_clean, _CLEANED),
