@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docweave.functions import text as X
@@ -19,40 +23,103 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+#: Folders that an index deals its terms to.
+BUCKETS = 64
+#: Words of a passage.
+PASSAGE = 40
+_SPACES = r"[ \t\n\r\f]+"
+
+
 @dataclass
 class Bm25Index:
-    """An inverted index: postings (term, id, dl, tf) in ranges of terms, so that
-    a search reads little else than its terms' files, and the corpus' totals."""
+    """An inverted index: postings (term, id, dl, tf, bucket) in folders by the
+    hash of the term, so that a search opens its terms' folders only; the terms
+    (term, df, bucket), likewise, if they are stored; and the corpus' totals."""
 
     postings: DataFrame
     n: int
     avgdl: float
+    terms: DataFrame | None = None
+
+    def of(self, table: DataFrame, terms: DataFrame) -> DataFrame:
+        """The rows of postings or terms whose term is among kept terms (term)."""
+        if "bucket" in table.columns:
+            wanted = [r[0] for r in terms.select(_bucket(F.col("term")).alias("b")).distinct().collect()]  # BUCKETS numbers at most
+            table = table.where(F.col("bucket").isin(wanted))
+        return table.join(store.maybe_broadcast(terms.select("term").distinct(), 64), "term", "left_semi")
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, dl, term, tf): each text's different words (id, w) with their counts;
+    a text without words has one row with a null term."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            words = part.column(1)
+            size = np.asarray(pa.compute.list_value_length(words)).astype(np.int32)
+            coded = words.flatten().dictionary_encode()
+            row = np.repeat(np.arange(len(size)), size)
+            key, tf = np.unique(row * max(len(coded.dictionary), 1) + np.asarray(coded.indices), return_counts=True)
+            row, code = np.divmod(key, max(len(coded.dictionary), 1))
+            bare = np.flatnonzero(size == 0)
+            row, tf = np.concatenate([row, bare]), np.concatenate([tf, np.ones(len(bare), np.int64)])
+            term = pa.concat_arrays([coded.dictionary.take(pa.array(code)), pa.nulls(len(bare), coded.dictionary.type)])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(size[row]), term, pa.array(tf)], names=["id", "dl", "term", "tf"])
 
 
 def bm25_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> Bm25Index:
     """Tokenises the documents once and stores their postings, at ``path`` or in
-    scratch. What is shuffled is one row for each document and different term."""
+    scratch, with the terms and totals beside them. What is shuffled is one row
+    for each document and different term."""
+    path = path or f"{store.scratch_dir(docs.sparkSession)}/docweave-postings-{uuid.uuid4().hex}"
     words = docs.select(F.col(id_col).alias("id"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
-    words = words.withColumn("row", F.monotonically_increasing_id())
-    each = words.select("id", "row", F.size("w").alias("dl"), F.explode_outer("w").alias("term"))
-    tf = each.groupBy("row", "id", "dl", "term").agg(F.count("*").alias("tf")).drop("row")
-    ordered = tf.repartitionByRange("term").sortWithinPartitions("term")
-    if path is None:
-        postings = store.keep(ordered, "postings")
-    else:
-        store.write_table(ordered, path)
-        postings = docs.sparkSession.read.parquet(path)
-    return open_bm25(postings)
+    tf = words.mapInArrow(_counted, f"id {words.schema['id'].dataType.simpleString()}, dl int, term string, tf long")
+    # Frequent terms' folders are written by several tasks, each in the order of terms.
+    dealt = tf.withColumn("bucket", _bucket(F.col("term"))).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "id")
+    store.write_table(dealt, path, partition_by=["bucket"])
+    postings = docs.sparkSession.read.parquet(path)
+    df = postings.where("term is not null").groupBy("bucket", "term").agg(F.count("*").alias("df"))
+    store.write_table(df.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term"), f"{path}.terms", partition_by=["bucket"])
+    found = open_bm25(postings)
+    store.write_table(docs.sparkSession.createDataFrame([(found.n, float(found.avgdl))], "n long, avgdl double"), f"{path}.totals")
+    return open_bm25_index(docs.sparkSession, path)
+
+
+def open_bm25_index(spark: SparkSession, path: str) -> Bm25Index:
+    """A stored index; FileNotFoundError if it isn't there or wasn't finished."""
+    totals = spark.read.parquet(store.first_existing(spark, f"{path}.totals")).first()
+    terms = spark.read.schema("term string, df long, bucket int").parquet(f"{path}.terms")
+    return Bm25Index(spark.read.parquet(path), totals.n, totals.avgdl, terms)
 
 
 def open_bm25(postings: DataFrame) -> Bm25Index:
-    """A stored index with its totals. A document without a token has one row
+    """Stored postings with their totals. A document without a token has one row
     with a null term, so it counts; each document's length is read at one row."""
     sums = postings.agg(F.sum(F.when(F.col("term").isNull(), 0).otherwise(F.col("tf"))).alias("length"), F.sum(F.when(F.col("term").isNull(), 1.0).otherwise(F.col("tf") / F.col("dl"))).alias("n")).first()
     n = round(sums["n"] or 0)  # a document's shares of its length add up to one
     return Bm25Index(postings, n, (sums["length"] or 0) / n if n else 0.0)
 
 
+def _parts(queries: DataFrame, index: Bm25Index, k1: float, b: float) -> DataFrame:
+    """(query_id, id, term, part): what each term adds to a document's score."""
+    terms = store.keep(queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term")), "query-terms")
+    hits = index.of(index.postings, terms)
+    df = index.of(index.terms, terms) if index.terms is not None else hits.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (F.lit(index.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighed = store.keep(terms.join(df, "term").select("query_id", "term", idf.alias("idf")), "query-weights")
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(index.avgdl)))
+    return hits.join(store.maybe_broadcast(weighed, 96), "term").select("query_id", "id", "term", part.alias("part"))
+
+
+def _ranked(sums: DataFrame, k: int, id_col: str) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return sums.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+
+
 def bm25(queries: DataFrame, docs: DataFrame | Bm25Index, k: int = 5, id_col: str = "doc_id", text_col: str = "text", k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, rank, id, score): Okapi BM25 of queries(query_id, query) over
     documents or their stored index.
@@ -62,16 +129,45 @@ def bm25(queries: DataFrame, docs: DataFrame | Bm25Index, k: int = 5, id_col: st
     the rank; ties go by id.
     """
     index = docs if isinstance(docs, Bm25Index) else bm25_index(docs, id_col, text_col)
-    terms = store.keep(queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term")), "query-terms")
-    hits = index.postings.join(store.maybe_broadcast(terms.select("term").distinct(), 64), "term", "left_semi")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.lit(index.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = terms.join(df, "term").select("query_id", "term", idf.alias("idf"))
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(index.avgdl)))
-    scored = hits.join(store.maybe_broadcast(store.keep(weighed, "query-weights"), 96), "term")
-    sums = scored.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return sums.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+    sums = _parts(queries, index, k1, b).groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))
+    return _ranked(sums, k, id_col)
+
+
+def explained_bm25(queries: DataFrame, index: Bm25Index, k: int = 5, id_col: str = "doc_id", n_terms: int = 3) -> DataFrame:
+    """The rows of :func:`bm25` with ``total_found``, the number of documents
+    with a word of the query, and ``relevance_explanation``: the ``n_terms``
+    terms that add most to the score, with their shares of it."""
+    parts = _parts(queries, index, K1, B)
+    sums = store.keep(parts.groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score")), "scores")
+    totals = sums.groupBy("query_id").agg(F.count("*").alias("total_found"))
+    top = store.keep(_ranked(sums, k, id_col).join(totals, "query_id"), "top")
+    own = parts.join(store.maybe_broadcast(top.select("query_id", F.col(id_col).alias("id")).distinct(), 32), ["query_id", "id"], "left_semi")
+    each = own.groupBy("query_id", "id", "term").agg(F.round(F.sum("part"), 6).alias("part"))
+    lists = each.groupBy("query_id", "id").agg(F.sum("part").alias("all"), F.sort_array(F.collect_list(F.struct((-F.col("part")).alias("less"), "term"))).alias("terms"))
+    share = lambda t: F.concat(t["term"], F.lit(" "), F.round(-100 * t["less"] / F.col("all")).cast("int").cast("string"), F.lit(" %"))
+    said = lists.select("query_id", F.col("id").alias(id_col), F.array_join(F.transform(F.slice("terms", 1, n_terms), share), ", ").alias("relevance_explanation"))
+    return top.join(said, ["query_id", id_col])
+
+
+def best_passages(found: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "document", words: int = PASSAGE, before: str = "**", after: str = "**") -> DataFrame:
+    """``found`` (query_id, id, document) with ``highlighted_content``: the run of
+    ``words`` words that holds most different terms of the query (ties: most
+    words that hold one, then the first), each such word between marks.
+
+    A passage begins with a word that holds a term; a document without one
+    shows its first words.
+    """
+    terms = queries.select("query_id", F.array_distinct(tokens(F.col("query"))).alias("__terms"))
+    both = found.join(terms, "query_id", "left").withColumn("__words", F.split(F.coalesce(F.col(text_col), F.lit("")), _SPACES, -1))
+    each = both.select("query_id", id_col, "__terms", F.posexplode("__words").alias("at", "word"))
+    hits = each.select("query_id", id_col, "at", F.explode(F.array_intersect(tokens(F.col("word")), "__terms")).alias("term"))
+    ahead = Window.partitionBy("query_id", id_col).orderBy("at").rangeBetween(0, words - 1)
+    scored = hits.select("query_id", id_col, F.struct(F.size(F.collect_set("term").over(ahead)).alias("terms"), F.count("*").over(ahead).alias("hits"), (-F.col("at")).alias("first")).alias("run"))
+    best = scored.groupBy("query_id", id_col).agg((-F.max("run")["first"]).alias("__start"))
+    held = lambda w: F.arrays_overlap(tokens(w), F.coalesce("__terms", F.array().cast("array<string>")))
+    shown = F.transform(F.slice("__words", F.coalesce("__start", F.lit(0)) + 1, words), lambda w: F.when(held(w), F.concat(F.lit(before), w, F.lit(after))).otherwise(w))
+    out = both.join(best, ["query_id", id_col], "left")
+    return out.withColumn("highlighted_content", F.array_join(shown, " ")).drop("__terms", "__words", "__start")
 
 
 def reciprocal_rank_fusion(*ranked: DataFrame, k: int = 5, id_col: str = "doc_id", c: float = 60.0) -> DataFrame:

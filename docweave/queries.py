@@ -357,10 +357,29 @@ _FLAT = f"""with legal as ({LEGAL}), c as (select text, row_number() over (order
 select 'chunk_' || p as chunk_id, text, p as chunk_index, 'corpus' as source from c"""
 
 
+#: Stored indexes by session and tables: searches of one session share one.
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def _documents_index(spark, sf_dir):
+    """The inverted index of all documents, built by the first search that needs it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES or not store.exists(spark, f"{_INDEXES[key]}.totals"):
+        path = f"{store.scratch_dir(spark)}/docweave-postings-{uuid.uuid4().hex}"
+        retrieval.bm25_index(_table(spark, sf_dir, "documents"), path=path)
+        _INDEXES[key] = path
+    return retrieval.open_bm25_index(spark, _INDEXES[key])
+
+
+def _questions(spark, sf_dir):
+    """The opening user turns of each hundredth conversation."""
+    asked = _table(spark, sf_dir, "conversations").where("role = 'user' and turn = 0 and conv_id % 100 = 0")
+    return asked.select(F.col("conv_id").alias("query_id"), F.col("text").alias("query"))
+
+
 def bm25_search(spark, sf_dir):
     """BM25 over all documents for the opening user turns of each hundredth conversation."""
-    asked = _table(spark, sf_dir, "conversations").where("role = 'user' and turn = 0 and conv_id % 100 = 0")
-    return retrieval.bm25(asked.select(F.col("conv_id").alias("query_id"), F.col("text").alias("query")), _table(spark, sf_dir, "documents"))
+    return retrieval.bm25(_questions(spark, sf_dir), _documents_index(spark, sf_dir))
 
 
 _BM25_CTE = """
@@ -379,9 +398,8 @@ _BM25 = f"with {_BM25_CTE} select query_id, rank, doc_id, score from bm where ra
 
 def hybrid_search(spark, sf_dir):
     """BM25 and vector ranks fused; vectors are taken as the documents' by number."""
-    docs, e = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "embeddings")
-    asked = _table(spark, sf_dir, "conversations").where("role = 'user' and turn = 0 and conv_id % 100 = 0").select(F.col("conv_id").alias("query_id"), F.col("text").alias("query"))
-    lexical = retrieval.bm25(asked, docs, 20)
+    e, asked = _table(spark, sf_dir, "embeddings"), _questions(spark, sf_dir)
+    lexical = retrieval.bm25(asked, _documents_index(spark, sf_dir), 20)
     near = vector.top_k_batch(e.join(asked.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi"), e, 20)
     return retrieval.reciprocal_rank_fusion(lexical, near.withColumnRenamed("vec_id", "doc_id"))
 
@@ -399,8 +417,7 @@ def answer_context(spark, sf_dir):
     """Context, prompt length, offline answer and sources for the searched questions."""
     found = bm25_search(spark, sf_dir)
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("document"))
-    asked = _table(spark, sf_dir, "conversations").where("role = 'user' and turn = 0 and conv_id % 100 = 0").select(F.col("conv_id").alias("query_id"), F.col("text").alias("query"))
-    out = retrieval.answer(asked, found.join(docs, "doc_id").select("query_id", "rank", "document"))
+    out = retrieval.answer(_questions(spark, sf_dir), found.join(docs, "doc_id").select("query_id", "rank", "document"))
     return out.select("query_id", "question", F.length("prompt").alias("prompt_chars"), "answer", F.array_join("sources", " # ").alias("sources"))
 
 
@@ -568,6 +585,32 @@ j as (select query_id, rank, cast(doc_id as varchar) || '|' || array_to_string(l
 select query_id, cast(count(*) as int) as total_found, 'lexical' as search_type, cast(0 as double) as search_time, string_agg(r, ' # ' order by rank) as results from j group by query_id"""
 
 
+def search_page(spark, sf_dir):
+    """What a result page shows: the number found, the best passage with its
+    marks, and what made the document relevant."""
+    asked = _table(spark, sf_dir, "conversations").where("role = 'user' and turn = 0 and conv_id % 20 = 0").select(F.col("conv_id").alias("query_id"), F.col("text").alias("query"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("document"))
+    found = retrieval.explained_bm25(asked, _documents_index(spark, sf_dir)).join(docs, "doc_id")
+    return retrieval.best_passages(found, asked).select("query_id", "rank", "doc_id", "total_found", "relevance_explanation", "highlighted_content")
+
+
+_TOKENS_OF = "list_distinct(regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}]+'))"
+_PAGE = f"""with {_BM25_CTE.replace("conv_id % 100 = 0", "conv_id % 20 = 0")},
+pt as (select query_id, doc_id, term, round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl)), 6) as part
+  from tf join df using (term) join terms using (term), stat),
+why as (select query_id, doc_id, sum(part) as total, list(struct_pack(part := part, term := term) order by part desc, term) as t from pt group by all),
+top as (select query_id, rank, bm.doc_id, text, {_TOKENS_OF.format(x="query")} as qt from bm join q using (query_id) join documents d on d.doc_id = bm.doc_id where rank <= 5),
+ws as (select *, regexp_split_to_array(coalesce(text, ''), '[ \t\n\r\f]+') as w from top),
+ex as (select query_id, doc_id, qt, unnest(w) as word, cast(unnest(generate_series(0, len(w) - 1)) as int) as pos from ws),
+hit as (select query_id, doc_id, pos, unnest(list_intersect({_TOKENS_OF.format(x="word")}, qt)) as term from ex),
+run as (select query_id, doc_id, pos, count(distinct term) over w as terms, count(*) over w as hits from hit window w as (partition by query_id, doc_id order by pos range between current row and 39 following)),
+best as (select query_id, doc_id, first(pos order by terms desc, hits desc, pos) as start from run group by all),
+totals as (select query_id, count(*) as total_found from bm group by query_id)
+select query_id, rank, doc_id, total_found, array_to_string(list_transform(t[1:3], lambda z: z.term || ' ' || cast(cast(round(100 * z.part / total) as int) as varchar) || ' %'), ', ') as relevance_explanation,
+  array_to_string(list_transform(list_slice(w, start + 1, start + 40), lambda z: case when list_has_any({_TOKENS_OF.format(x="z")}, qt) then '**' || z || '**' else z end), ' ') as highlighted_content
+from ws join best using (query_id, doc_id) join why using (query_id, doc_id) join totals using (query_id)"""
+
+
 def concept_changes(spark, sf_dir):
     """Concepts of a map of keywords after additions and removals, as values found by key with a default."""
     t = _table(spark, sf_dir, "documents")
@@ -663,6 +706,7 @@ QUERIES = {
     "p1_rendered_chunks": (rendered_chunks, _RENDERED),
     "p4_record_shapes": (record_shapes, _SHAPES),
     "x3_search_envelope": (search_envelope, _ENVELOPE),
+    "x3_search_page": (search_page, _PAGE),
     "d8_map_functions": (concept_changes, _CHANGES),
     "p11_exit_words": (exit_words, _EXITS),
     "s13_eval_cases": (eval_cases, _CASE_ROWS),
