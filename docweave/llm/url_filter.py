@@ -18,9 +18,10 @@ the purity of those that it is merged with, or of its host. It is rejected from
 its host has LEAST_LABELS labels at least.
 
 Per-url work is one pass; the tree is built from counts by template, so a host
-that holds a third of all urls is never gathered in one task. The tree has a
-level for each segment of the longest path; ORACLE_SQL has three levels, as
-paths at hand do.
+that holds a third of all urls is never gathered in one task. Nodes are hashes of
+the segments above them, and all levels are counted together: the number of jobs
+follows from how often wildcards or merges lie one below the other, not from the
+length of paths. ORACLE_SQL has three levels, as paths at hand do.
 
 Defined cases: a null url or one without :// has an empty host and path, which
 are judged like any other; repeated urls count each; urls on a host without
@@ -73,36 +74,84 @@ def _kind(segment: Column) -> Column:
     )
 
 
-def _generalise(counts: DataFrame, level: int) -> DataFrame:
-    """Adds to the array g the segment of this level, or * where a node has too many."""
-    counts = counts.withColumn("seg", F.get("t", F.lit(level - 1)))
-    kids = counts.groupBy("host", "g", "seg").agg(F.sum("n").alias("kid_n"))
-    nodes = kids.groupBy("host", "g").agg(F.count("*").alias("kids"), F.sum("kid_n").alias("node_n")).where(F.col("kids") > KIDS)
-    # Only rare children of crowded nodes are renamed, so the join meets few rows.
-    rare = kids.join(maybe_broadcast(keep(nodes, "crowded"), 256), ["host", "g"]).where(F.col("kid_n") * KIDS < F.col("node_n")).select("host", "g", "seg", F.lit("*").alias("new"))
-    out = counts.join(rare, ["host", "g", "seg"], "left")
-    return out.select("host", "t", "n", "bad", "known", F.concat("g", F.array(F.coalesce("new", "seg"))).alias("g"))
-
-
-def _merged(leaves: DataFrame, level: int) -> DataFrame:
-    """``leaves`` (host, g, m, bad, known, purity) one level further: m gets the
-    segment's name after merging, purity the node's labels."""
-    seg = F.get("g", F.lit(level - 1))
-    here = leaves.where(seg != "").withColumn("seg", seg)
-    below = F.xxhash64(F.expr(f"slice(g, {level + 1}, size(g))"))
-    parts = here.groupBy("host", "m", "seg", below.alias("below")).agg(F.sum("bad").alias("bad"), F.sum("known").alias("known"))
-    kids = parts.groupBy("host", "m", "seg").agg(F.sum("bad").alias("bad"), F.sum("known").alias("known"), F.struct(F.count("*"), F.bit_xor("below")).alias("shape"))
+def _keys(path: str) -> str:
+    """The nodes along a path: the host's, then one after each segment."""
+    return f"aggregate(transform({path}, x -> xxhash64(x)), array(xxhash64(host)), (a, x) -> concat(a, array(xxhash64(element_at(a, -1), x))))"
+
+
+#: Hashes of what is left of g after each segment.
+_BELOW = "reverse(slice(aggregate(reverse(transform(g, x -> xxhash64(x))), array(0L), (a, x) -> concat(a, array(xxhash64(element_at(a, -1), x)))), 1, size(g)))"
+
+
+def _zipped(**arrays: str) -> Column:
+    """Arrays of one length as one array of structs."""
+    return F.arrays_zip(*[F.expr(e).alias(name) for name, e in arrays.items()])
+
+
+def _renamed(rows: DataFrame, hit: DataFrame, key: str, path: str) -> DataFrame:
+    """``rows`` with the segment at one level of ``path`` renamed where ``hit`` (key, level, new) says so."""
+    out = rows.join(maybe_broadcast(hit, 128), key, "left")
+    return out.withColumn(path, F.expr(f"if(level is null, {path}, transform({path}, (x, i) -> if(i = level, new, x)))")).drop("level", "new")
+
+
+def _generalised(counts: DataFrame) -> DataFrame:
+    """``counts`` (row, host, t, n, bad, known) with g: t with * for the rare
+    children of crowded nodes, from the top down.
+
+    A round counts the children of all nodes of all paths at once, and renames
+    below the uppermost crowded node of each path; there are as many rounds as
+    crowded nodes lie one below the other, whatever the length of paths.
+    """
+    cur = counts.withColumn("g", F.col("t"))
+    while True:
+        each = cur.select("row", "n", F.posexplode(_zipped(node=f"slice({_keys('g')}, 1, size(g))", seg="g")).alias("level", "at")).select("row", "n", "level", "at.node", "at.seg")
+        kids = each.groupBy("node", "seg").agg(F.sum("n").alias("kid_n"))
+        crowded = keep(kids.groupBy("node").agg(F.count("*").alias("kids"), F.sum("kid_n").alias("node_n")).where(F.col("kids") > KIDS).drop("kids"), "crowded")
+        if crowded.isEmpty():
+            return cur
+        rare = kids.join(maybe_broadcast(crowded, 16), "node").where((F.col("kid_n") * KIDS < F.col("node_n")) & (F.col("seg") != "*"))
+        hit = each.join(maybe_broadcast(keep(rare.select("node", "seg"), "rare"), 128), ["node", "seg"]).groupBy("row").agg(F.min("level").alias("level"))
+        hit = keep(hit.withColumn("new", F.lit("*")), "renamed")
+        if hit.isEmpty():
+            return cur
+        cur = keep(_renamed(cur, hit, "row", "g"), "tree")
+
+
+def _merged(leaves: DataFrame) -> DataFrame:
+    """``leaves`` (leaf, host, g, bad, known) with m: g with one name for branches
+    that are merged, from the top down, in rounds like those above."""
+    leaves = leaves.withColumn("m", F.col("g"))
     labelled = F.col("known") >= LEAST_MERGE
-    pools = kids.groupBy("host", "m", "shape").agg(
-        F.count("*").alias("kids"), F.sum(F.when(labelled, F.col("bad"))).alias("pool_bad"), F.sum(F.when(labelled, F.col("known"))).alias("pool_known"), F.min(F.when(labelled, F.col("seg"))).alias("lead")
-    )
-    pools = pools.where("kids > 1 and pool_known > 0").select("host", "m", "shape", "lead", ((F.col("pool_bad") + 1) / (F.col("pool_known") + 2)).alias("p"))
-    near = (F.col("known") == 0) | (F.abs(F.col("bad") / F.col("known") - F.col("p")) <= 2 * F.sqrt(F.col("p") * (1 - F.col("p")) / F.col("known")))
-    names = kids.join(pools, ["host", "m", "shape"], "left").select("host", "m", "seg", F.when(near, F.concat(F.lit("~"), "lead")).otherwise(F.col("seg")).alias("name"))
-    here = here.join(keep(names, "names"), ["host", "m", "seg"]).select("host", "g", F.concat("m", F.array(F.coalesce("name", "seg"))).alias("m"), "bad", "known", "purity")
-    own = here.groupBy("host", "m").agg(F.sum("bad").alias("b"), F.sum("known").alias("k"))
-    here = here.join(own, ["host", "m"]).withColumn("purity", (F.col("b") + SMOOTH * F.col("purity")) / (F.col("k") + SMOOTH)).drop("b", "k")
-    return here.unionByName(leaves.where((seg == "") | seg.isNull()))
+    while True:
+        zipped = _zipped(node=f"slice({_keys('m')}, 1, size(m))", seg="g", name="m", below=_BELOW)
+        each = leaves.select("leaf", "bad", "known", F.posexplode(zipped).alias("level", "at")).select("leaf", "bad", "known", "level", "at.*").where("seg <> ''")
+        parts = each.groupBy("node", "seg", "below").agg(F.sum("bad").alias("bad"), F.sum("known").alias("known"))
+        kids = parts.groupBy("node", "seg").agg(F.sum("bad").alias("bad"), F.sum("known").alias("known"), F.struct(F.count("*"), F.bit_xor("below")).alias("shape"))
+        pools = kids.groupBy("node", "shape").agg(
+            F.count("*").alias("kids"), F.sum(F.when(labelled, F.col("bad"))).alias("pool_bad"), F.sum(F.when(labelled, F.col("known"))).alias("pool_known"), F.min(F.when(labelled, F.col("seg"))).alias("lead")
+        )
+        pools = pools.where("kids > 1 and pool_known > 0").select("node", "shape", "lead", ((F.col("pool_bad") + 1) / (F.col("pool_known") + 2)).alias("p"))
+        pools = keep(pools, "pools")
+        if pools.isEmpty():
+            return leaves
+        near = (F.col("known") == 0) | (F.abs(F.try_divide("bad", "known") - F.col("p")) <= 2 * F.sqrt(F.try_divide(F.col("p") * (1 - F.col("p")), F.col("known"))))
+        names = kids.join(maybe_broadcast(pools, 128), ["node", "shape"]).where(near).select("node", "seg", F.concat(F.lit("~"), "lead").alias("new"))
+        hit = each.join(maybe_broadcast(keep(names, "names"), 192), ["node", "seg"]).where("new <> name")
+        hit = keep(hit.groupBy("leaf").agg(F.min_by("new", "level").alias("new"), F.min("level").alias("level")), "renamed")
+        if hit.isEmpty():
+            return leaves
+        leaves = keep(_renamed(leaves, hit, "leaf", "m"), "leaves")
+
+
+def _smoothed(leaves: DataFrame) -> DataFrame:
+    """``leaves`` (with the host's purity) with that of their template: counts of
+    all nodes at once, folded along each path."""
+    each = leaves.select("leaf", "bad", "known", F.posexplode(_zipped(node=f"slice({_keys('m')}, 2, size(m))", seg="g")).alias("level", "at"))
+    each = each.select("leaf", "bad", "known", "level", "at.*").where("seg <> ''")
+    own = keep(each.groupBy("node").agg(F.sum("bad").alias("b"), F.sum("known").alias("k")), "shares")
+    met = each.select("leaf", "level", "node").join(maybe_broadcast(own, 24), "node").groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("level", "b", "k"))).alias("walk"))
+    down = F.expr(f"aggregate(coalesce(walk, array()), purity, (p, x) -> (x.b + {SMOOTH} * p) / (x.k + {SMOOTH}))")
+    return leaves.join(met, "leaf", "left").withColumn("purity", down).drop("walk")
 
 
 def path_templates(urls: DataFrame) -> DataFrame:
@@ -110,26 +159,22 @@ def path_templates(urls: DataFrame) -> DataFrame:
     t is the array of all segments, LEVELS at least; label is 1 for blocked, 0
     for allowed, null for unknown; labelled counts the host's labels."""
     counts = urls.groupBy("host", "t").agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad"), F.count("label").alias("known"))
-    counts = keep(counts, "paths")
-    whole = counts.agg(F.max(F.size("t")), F.sum("bad"), F.sum("known")).first()
-    deepest, share = whole[0] or LEVELS, ((whole[1] or 0) + 1) / ((whole[2] or 0) + 2)
-    counts = counts.withColumn("g", F.array().cast("array<string>"))
-    for level in range(1, deepest + 1):
-        ended = counts.where(F.size("t") < level)
-        counts = keep(_generalise(counts.where(F.size("t") >= level), level).unionByName(ended), "tree")
+    counts = keep(counts.withColumn("row", F.xxhash64("host", "t")), "paths")
+    whole = counts.agg(F.sum("bad"), F.sum("known")).first()
+    share = ((whole[0] or 0) + 1) / ((whole[1] or 0) + 2)
+    counts = _generalised(counts)
     leaves = counts.groupBy("host", "g").agg(F.sum("bad").alias("bad"), F.sum("known").alias("known"))
     branches = leaves.groupBy("host", F.get("g", F.lit(0)).alias("branch")).agg(F.sum("bad").alias("b"), F.sum("known").alias("k"))
     vote = F.when(F.col("k") > 0, F.col("b") / F.col("k"))
     hosts = branches.groupBy("host").agg(F.sum("k").alias("labelled"), F.coalesce(F.sum(vote), F.lit(0.0)).alias("votes"), F.count(vote).alias("voters"))
     hosts = keep(hosts.select("host", "labelled", ((F.col("votes") + SMOOTH * F.lit(share)) / (F.col("voters") + SMOOTH)).alias("purity")), "hosts")
-    leaves = leaves.join(maybe_broadcast(hosts.drop("labelled"), 64), "host").withColumn("m", F.array().cast("array<string>"))
-    for level in range(1, deepest + 1):
-        leaves = keep(_merged(leaves, level), "leaves")
-    leaves = leaves.join(maybe_broadcast(hosts.drop("purity"), 64), "host")
-    name = F.concat_ws("/", F.col("host"), F.array_join(F.concat("m", F.array_repeat(F.lit(""), F.greatest(F.size("g") - F.size("m"), F.lit(0)))), "/"))
+    leaves = keep(leaves.join(maybe_broadcast(hosts, 64), "host").withColumn("leaf", F.xxhash64("host", "g")), "leaves")
+    leaves = _smoothed(_merged(leaves))
+    # A template's name has the merged segments that aren't filled up, then a mark for each that is.
+    name = F.expr("concat_ws('/', host, array_join(transform(m, (x, i) -> if(g[i] = '', '', x)), '/'))")
     rejected = (F.col("purity") >= PURITY) & (F.col("labelled") >= LEAST_LABELS)
-    leaves = keep(leaves.select("host", "g", name.alias("template"), "purity", "labelled", rejected.alias("rejected")), "named")
-    return counts.join(maybe_broadcast(leaves, 256), ["host", "g"]).select("host", "t", "template", "purity", "labelled", "rejected")
+    leaves = keep(leaves.select("leaf", name.alias("template"), "purity", "labelled", rejected.alias("rejected")), "named")
+    return counts.withColumn("leaf", F.xxhash64("host", "g")).join(maybe_broadcast(leaves, 256), "leaf").select("host", "t", "template", "purity", "labelled", "rejected")
 
 
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, labels: DataFrame | None = None) -> DataFrame:
@@ -155,6 +200,23 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
 
 
+def held_out(pages: DataFrame, share: int = 5, url_col: str = "url", rules=RULES) -> DataFrame:
+    """One row (hidden, blocked, found, wrong): the tree against labels that it
+    hasn't seen. Of the urls that a rule judges, a hash hides one in ``share``
+    from it: hidden counts them, blocked those that the rules block, found those
+    of them that the tree blocks too, wrong those that it blocks alone."""
+    host, path = split_url(F.col(url_col))
+    said = pages.select(F.col(url_col).cast("string").alias("url"), rule_for(host, path, rules)["verdict"].alias("said"))
+    hide = F.pmod(F.xxhash64("url"), F.lit(share)) == 0
+    known = said.where(F.col("said").isNotNull() & ~hide).select("url", (F.col("said") == "block").cast("int").alias("label"))
+    judged = filter_urls(said.withColumn("hidden", hide), "said", rules=[], labels=known, url_col="url")
+    pairs = judged.select("host", "path", F.col("said"), (F.col("verdict") == "block").alias("tree"))
+    full = said.where(hide).select(*[c.alias(n) for c, n in zip(split_url(F.col("url")), ("host", "path"), strict=True)]).distinct()
+    pairs = pairs.where(F.col("said").isNotNull()).join(full, ["host", "path"], "left_semi")
+    block = F.col("said") == "block"
+    return pairs.agg(F.count("*").alias("hidden"), F.count_if(block).alias("blocked"), F.count_if(block & F.col("tree")).alias("found"), F.count_if(~block & F.col("tree")).alias("wrong"))
+
+
 _SQL_KIND = """case when regexp_matches({s}, '^[0-9]+$') then '{{num}}'
   when regexp_matches({s}, '^[0-9]+\\.[a-z]+$') then '{{num}}' || regexp_extract({s}, '(\\.[a-z]+)$', 1)
   when regexp_matches({s}, '^[0-9a-f-]{{8,}}$') or (regexp_matches({s}, '[0-9]') and len({s}) >= 12) then '{{id}}' else {s} end"""

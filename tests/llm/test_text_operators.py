@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import re
 from collections import defaultdict
 
@@ -424,6 +425,38 @@ def test_a_very_long_url(spark):
     assert {r.verdict for r in got} == {"allow"} and max(len(r.path) for r in got) > 100_000
 
 
+def test_urls_of_thousands_of_segments(spark):
+    """The number of jobs doesn't follow the length of a path."""
+    deep = [f"s{i}" for i in range(4000)]
+    urls = ["/".join(deep), "/".join(deep[:-1] + ["other"]), "s0", *("/".join(["trap"] * n) for n in range(1, 60))]
+    pages = spark.createDataFrame([(i, "http://h.site/" + u) for i, u in enumerate(urls)], "page_id long, url string")
+    began = time.perf_counter()
+    got = {r.page_id: r for r in url_filter.filter_urls(pages, labels=spark.createDataFrame([("http://h.site/" + urls[0], 1)] * 50 + [("http://h.site/s0", 0)] * 50, "url string, label int")).collect()}
+    assert time.perf_counter() - began < 60
+    assert got[0].verdict == "block" and got[1].verdict == "block" and got[2].verdict == "allow"
+    # The last segments have one shape, one of them has no labels: they are merged.
+    assert got[0].template == got[1].template == "h.site/" + "/".join([*deep[:-1], "~s3999"]) and got[40].template == "h.site/" + urls[40]
+
+
+def test_crowded_nodes_below_one_another(spark):
+    """Rare users become one wildcard, and then the posts of all of them together."""
+    urls = [f"u/name{chr(97 + i % 26)}{chr(97 + i // 26)}/post-{chr(97 + j)}/v" for i in range(60) for j in range(i % 2 + 1)] + [f"u/star/{w}/v" for w in ("one", "two") for _ in range(40)]
+    pages = spark.createDataFrame([(i, f"http://b.site/{u}") for i, u in enumerate(urls)], "page_id long, url string")
+    got = {urls[r.page_id]: r.template for r in url_filter.filter_urls(pages).collect()}
+    assert {t for u, t in got.items() if "star" in u} == {"b.site/u/star/one/v", "b.site/u/star/two/v"}
+    assert {t for u, t in got.items() if "name" in u} == {"b.site/u/*/post-a/v", "b.site/u/*/post-b/v"}
+    many = [f"u/name{chr(97 + i % 26)}{chr(97 + i // 26)}/p{chr(97 + j)}{chr(97 + i % 26)}/v" for i in range(78) for j in range(2)]
+    pages = spark.createDataFrame([(i, f"http://b.site/{u}") for i, u in enumerate(many)], "page_id long, url string")
+    assert {r.template for r in url_filter.filter_urls(pages).collect()} == {"b.site/u/*/*/v"}
+
+
+def test_labels_that_the_tree_has_not_seen(spark):
+    pages = [(i, f"http://h{i % 5}.com/{'en' if i % 2 else 'ok'}/{i}") for i in range(300)]
+    rules = [("com", "/en/", "block"), ("com", "/ok/", "allow")]
+    row = url_filter.held_out(spark.createDataFrame(pages, "page_id long, url string"), rules=rules).first()
+    assert 30 < row.hidden < 100 and row.found == row.blocked > 10 and row.wrong == 0
+
+
 def test_urls_that_differ_below_the_third_segment_part_company(spark):
     from docweave.llm import url_filter
 
