@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docweave.sources.store import BROADCAST_BYTES, maybe_broadcast, scratch_dir
@@ -249,12 +249,20 @@ def _odd_near(a: str, b: str, threshold: float) -> Column:
     return differ <= n / 2 * (1 - F.exp(-x / 2)) + DEVIATIONS * F.sqrt(F.greatest(n / 4 * (1 - (1 + x) * F.exp(-x)), F.lit(0.0))) + 1
 
 
-def _open_pairs(rest: DataFrame, judged: DataFrame, lanes: Lanes, sketches: Callable[[DataFrame], DataFrame] | None, threshold: float) -> DataFrame:
+#: Groups of the buckets of rare tokens: of these a row carries its node's own group.
+GROUPS = 256
+
+
+def _open_pairs(rest: DataFrame, judged: DataFrame, lanes: Lanes, sketches: Callable[[DataFrame], DataFrame] | None, threshold: float, groups: int = 1) -> DataFrame:
     """edges(a, b) not judged yet of the open nodes of one bucket and different
     classes; the largest class is not compared with itself. Pairs whose lanes or
-    sketches are far apart never leave the join."""
-    # A pair meets in the least of its common buckets only; a node has as many as bands.
-    rest = rest.join(rest.groupBy("node").agg(F.collect_set("bucket").alias("open")), "node")
+    sketches are far apart never leave the join.
+
+    A pair meets only in the least of its common buckets of a group, so a row
+    carries its node's buckets of that group: all of a node's bands, but of a long
+    text's thousands of tokens a ``groups``-th."""
+    rest = rest.withColumn("group", F.pmod("bucket", F.lit(groups)))
+    rest = rest.join(rest.groupBy("node", "group").agg(F.collect_set("bucket").alias("open")), ["node", "group"]).drop("group")
     extra: tuple[str, ...] = ("open",)
     if sketches is not None:
         extra += ("size", *ODD_COLUMNS)
@@ -277,10 +285,11 @@ def _by_rare_tokens(nodes: DataFrame, tokens: Callable[[DataFrame], DataFrame],
     rarest n - ceil(threshold * n) + 1 tokens of either have one in common.
     """
     each = keep(tokens(nodes), "tokens")
-    rare = each.join(each.groupBy("token").agg(F.count("*").alias("n")), "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("all"))
-    first = F.expr(f"slice(all, 1, size(all) - cast(ceil({threshold} * size(all) - 1e-9) as int) + 1)")
-    rare = rare.select("node", F.explode(first).alias("one")).where("one.n > 1")
-    return keep(rare.select(F.col("one.token").alias("bucket"), "node"), "rare")
+    own = Window.partitionBy("node")
+    told = each.join(each.groupBy("token").agg(F.count("*").alias("n")), "token")
+    told = told.withColumn("place", F.row_number().over(own.orderBy("n", "token"))).withColumn("size", F.count("*").over(own))
+    rare = told.where(f"place <= size - cast(ceil({threshold} * size - 1e-9) as int) + 1 and n > 1")
+    return keep(rare.select(F.col("token").alias("bucket"), "node"), "rare")
 
 
 def _joined(classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -322,7 +331,7 @@ def linked(
         good = new.where(F.col("similarity") >= threshold)
         classes = keep(components(good), "classes") if classes is None else _joined(classes, good)
         rest = _left_open(met, classes, lanes)
-        pairs = keep(_open_pairs(rest if last else rest.where(F.col("pairs") <= paired**2), judged, lanes, sketches, threshold), "pairs")
+        pairs = keep(_open_pairs(rest if last else rest.where(F.col("pairs") <= paired**2), judged, lanes, sketches, threshold, GROUPS if last else 1), "pairs")
         if not pairs.isEmpty():
             new = judge(pairs)
             judged = judged.union(new)

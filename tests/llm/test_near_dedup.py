@@ -194,3 +194,32 @@ def test_repeated_rows_keep_one_whatever_their_order(spark):
     one = sorted(map(str, keep_first_of_class(df).collect()))
     two = sorted(map(str, keep_first_of_class(df.orderBy(F.desc("kind")).repartition(3)).collect()))
     assert one == two and len(one) == 3 and sum("doc_id=1" in r for r in one) == 1
+
+
+def test_long_sets_that_one_hot_bucket_leaves_open(spark):
+    """Thousands of tokens a set: no row holds a set's tokens or all its rare ones."""
+    from docweave.llm import shared
+
+    rng = np.random.default_rng(6)
+    families = [rng.integers(0, 1 << 40, 1200) for _ in range(3)]
+    sets = {}
+    for i in range(90):
+        own = np.concatenate([families[i % 3], rng.integers(0, 1 << 40, 700)])
+        sets[2 * i] = set(own.tolist())
+        sets[2 * i + 1] = (set(own.tolist()) - set(own[: 100 if i % 2 else 300].tolist())) | set(rng.integers(0, 1 << 40, 100 if i % 2 else 300).tolist())
+    pairs = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    table = spark.createDataFrame([(n, list(v)) for n, v in sets.items()], "node long, set array<long>")
+    table = shared.keep(table, "sets")
+
+    def judge(edges):
+        one, two = table.toDF("a", "x"), table.toDF("b", "y")
+        both = edges.join(one, "a").join(two, "b").withColumn("n", F.size(F.array_intersect("x", "y")))
+        return shared.keep(both.select("a", "b", (F.col("n") / (F.size("x") + F.size("y") - F.col("n"))).alias("similarity")), "judged")
+
+    def tokens(nodes):
+        return table.join(nodes, "node", "left_semi").select("node", F.explode("set").alias("token"))
+
+    links, classes = shared.linked(spark.createDataFrame([(1, n) for n in sets], "bucket long, node long"), judge, tokens, 0.8, paired=4)
+    assert {(r.a, r.b) for r in links.collect()} == pairs and len(pairs) == 45
+    root = {r.node: r.root for r in classes.collect()}
+    assert all(root[a] == root[b] for a, b in pairs) and len(root) == 90
