@@ -5,7 +5,8 @@ table with the postings (term, positions) of the terms that occur in the test
 items. A window of 13 consecutive item words (an item of fewer words is one
 window) is looked up from its rarest term: that term's positions, less the
 term's place in the window, are the candidate starts, and each further term's
-positions, from rare to common, are intersected with them.
+positions, from rare to common, are intersected with them. A near match has the
+rarest term in its place and each other one within ``slop`` words of its own.
 
 Words: A-Z lowered, runs of other bytes than ASCII punctuation and spaces.
 
@@ -30,9 +31,12 @@ from docweave.llm.shared import keep, small_batches
 from docweave.llm.textbuf import Words, pieces
 
 WINDOW = 13
+#: Places by which a term may stand off in a near match, in the registered query.
+SLOP = 1
 #: Bytes of a block of test items as it is broadcast: for each item word 13, and its ids.
 BLOCK_BYTES = 16 << 20
-#: Different words of a test set that are broadcast, in bytes; more are refused.
+#: Different words of the test items that share an index, in bytes; a larger test
+#: set is searched in groups, each with an index of its own.
 VOCABULARY_BYTES = 64 << 20
 #: Windows looked up at once.
 AT_ONCE = 50_000
@@ -55,14 +59,23 @@ def _words(rows: list) -> Iterator[tuple[int, int, Words]]:
         yield lo, hi, Words(raw, off)
 
 
-def read_vocabulary(blocks: Iterator[list]) -> np.ndarray:
-    """The sorted term hashes of all items."""
-    found = np.zeros(0, np.uint64)
+def read_vocabulary(rows: list) -> np.ndarray:
+    """The sorted term hashes of (item_id, text) pairs."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *(w.hash for _, _, w in _words(rows))]))
+
+
+def read_groups(blocks: Iterator[list]) -> list[tuple[int, np.ndarray]]:
+    """(blocks, vocabulary) of each group: as many blocks, in their order, as
+    have few enough different words; one block always has."""
+    groups: list[tuple[int, np.ndarray]] = []
     for rows in blocks:
-        found = np.union1d(found, np.concatenate([np.zeros(0, np.uint64), *(w.hash for _, _, w in _words(rows))]))
-        if found.nbytes > VOCABULARY_BYTES:
-            raise ValueError(f"the test set has more than {VOCABULARY_BYTES // 8} different words")
-    return found
+        own = read_vocabulary(rows)
+        both = np.union1d(groups[-1][1], own) if groups else own
+        if groups and both.nbytes <= VOCABULARY_BYTES:
+            groups[-1] = groups[-1][0] + 1, both
+        else:
+            groups.append((1, own))
+    return groups
 
 
 def read_items(rows: list, vocabulary: np.ndarray, width: int = WINDOW) -> Terms:
@@ -134,9 +147,9 @@ def term_counts(index: DataFrame) -> DataFrame:
     return each.groupBy(F.col("x.term").alias("term")).agg(F.sum("x.n").alias("n"))
 
 
-def _search(plan, slop: int, width: int, id_name: str):
+def _search(plan, corpus_counts, slop: int, width: int, id_name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, rare, counts_of = plan.value
+        (items, rare), counts_of = plan.value, corpus_counts.value
         rare_term = items.codes[items.start + rare]
         for batch in batches:
             for row in range(batch.num_rows):
@@ -152,11 +165,11 @@ def _search(plan, slop: int, width: int, id_name: str):
                 stands = np.full(total + 1, -2, np.int64)
                 stands[pos] = np.repeat(terms, ends - begin)
                 doc_of = np.repeat(np.arange(len(counts)), counts)
-                posting = np.full(len(counts_of), -1, np.int64)
-                posting[terms] = np.arange(len(terms))
+                # Where a window's rarest term has its postings in this shard, if it does.
+                posting = np.minimum(np.searchsorted(terms, rare_term), max(len(terms) - 1, 0))
                 mark = np.zeros(total + 1, np.int64)
                 found = [(np.zeros(0, np.int64),) * 4]
-                have_all = np.flatnonzero(posting[rare_term] >= 0)
+                have_all = np.flatnonzero(terms[posting] == rare_term) if len(terms) else posting[:0]
                 for at in range(0, len(have_all), AT_ONCE):
                     have = have_all[at : at + AT_ONCE]
                     wide = items.width[have].astype(np.int64)
@@ -164,7 +177,7 @@ def _search(plan, slop: int, width: int, id_name: str):
                     grid = np.where(np.arange(width) < wide[:, None], items.codes[grid], -1)
                     # From the rarest term of a window to the commonest; what is past its end comes last.
                     order = np.argsort(np.where(grid >= 0, counts_of[grid], np.iinfo(np.int64).max), axis=1, kind="stable")
-                    slot = posting[grid[np.arange(len(have)), order[:, 0]]]
+                    slot = posting[have]
                     n = (ends - begin)[slot]
                     win = np.repeat(np.arange(len(have)), n)
                     inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
@@ -184,9 +197,7 @@ def _search(plan, slop: int, width: int, id_name: str):
                     home = near_win[:0]
                     if slop:
                         # Proximity: the rarest term stands, every other within slop of its place.
-                        ok = (near_start >= 0) & (near_start < total)
-                        near_win, near_start = near_win[ok], near_start[ok]
-                        home = doc_of[near_start + order[near_win, 0]] if len(near_win) else near_win
+                        home = doc_of[near_start + order[near_win, 0]]
                         for j in range(1, width):
                             place = order[near_win, j]
                             want = grid[near_win, place]
@@ -249,7 +260,7 @@ def _plan(spark: SparkSession, items: Terms, counts: np.ndarray):
         place = np.arange(int(wide.max()))
         here = counts[items.codes[start + np.minimum(place, wide - 1)]]
         rare[at : at + AT_ONCE] = np.where(place < wide, here, np.iinfo(np.int64).max).argmin(axis=1)
-    return spark.sparkContext.broadcast((items, rare, counts))
+    return spark.sparkContext.broadcast((items, rare))
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list]:
@@ -280,21 +291,17 @@ def decontaminate(
     small_batches(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"shard long, row long, id {id_type}, n_words long, n_hit long, hit_positions array<int>, items array<string>, near_items array<string>"
-    vocabulary = read_vocabulary(_blocks(benchmark, item_col, item_text_col))
-    # The documents are read once; all blocks search the same shards.
-    index = build_index(docs, vocabulary, id_col, text_col)
-    counts = _counts(index, vocabulary)
-    found = []
-    for block in _blocks(benchmark, item_col, item_text_col):
-        items = read_items(block, vocabulary, width)
-        found.append(index.mapInArrow(_search(_plan(spark, items, counts), slop, width, "id"), schema))
-    if not found:
-        nothing = Terms(*(np.zeros(0, t) for t in (np.int32, np.int32, np.uint8, np.int32)), [])
-        found.append(index.mapInArrow(_search(_plan(spark, nothing, counts), slop, width, "id"), schema))
-    if len(found) == 1:
-        out = found[0]
-    else:
-        out = found[0]
+    found, blocks = [], _blocks(benchmark, item_col, item_text_col)
+    for size, vocabulary in read_groups(_blocks(benchmark, item_col, item_text_col)) or [(1, np.zeros(0, np.uint64))]:
+        # The documents are read once for a group: its blocks search the same shards.
+        index = build_index(docs, vocabulary, id_col, text_col)
+        counts = _counts(index, vocabulary)
+        sent = spark.sparkContext.broadcast(counts)
+        for _ in range(size):
+            items = read_items(next(blocks, []), vocabulary, width)
+            found.append(index.mapInArrow(_search(_plan(spark, items, counts), sent, slop, width, "id"), schema))
+    out = found[0]
+    if len(found) > 1:
         for more in found[1:]:
             out = out.union(more)
         flat = [F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("hit_positions", "items", "near_items")]
@@ -307,11 +314,12 @@ def contaminated(n_words, n_hit):
     return (n_hit > 0) & (n_hit * 20 >= n_words)
 
 
-def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The contract's columns."""
-    items = F.array_join(F.array_sort("items"), ",")
+def digest(found: DataFrame, id_col: str = "doc_id", near: bool = False) -> DataFrame:
+    """The contract's columns, and with ``near`` the items of near matches, likewise."""
+    listed = lambda c: F.sha2(F.array_join(F.array_sort(c), ","), 256)
+    more = [F.size("near_items").cast("long").alias("n_near"), listed("near_items").alias("near_sha256")] if near else []
     return found.select(
-        id_col, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated")
+        id_col, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), listed("items").alias("items_sha256"), contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated"), *more
     )
 
 
@@ -326,7 +334,17 @@ d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}'
 s as (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as k from d, (select distinct n from iw) where len(w) >= n),
 h as (select s.doc_id, k, s.n, item_id from s join iw on s.n = iw.n and array_to_string(w[k:k + s.n - 1], ' ') = iw.g),
 c as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(k, k + n)) as p from h) group by doc_id),
-m as (select doc_id, list_sort(list(distinct cast(item_id as varchar))) as ids from h group by doc_id)
+m as (select doc_id, list_sort(list(distinct cast(item_id as varchar))) as ids from h group by doc_id),
+pt as (select doc_id, pos, w[pos] as term from (select doc_id, w, unnest(range(1, len(w) + 1)) as pos from d) where w[pos] in (select unnest(w) from i)),
+cn as (select term, count(*) as c from pt group by term),
+wn as (select row_number() over () as wid, item_id, n, string_split(g, ' ') as t from iw),
+wt as (select wid, item_id, n, j, t[j] as term from (select *, unnest(range(1, n + 1)) as j from wn)),
+ra as (select wid, item_id, n, first(j order by coalesce(c, 0), j) as r, first(term order by coalesce(c, 0), j) as term from wt left join cn using (term) group by wid, item_id, n),
+ca as (select wid, item_id, n, doc_id, pos - r as start from ra join pt using (term)),
+ne as (select ca.wid, ca.item_id, ca.doc_id, ca.start from ca join wt on ca.wid = wt.wid join pt on pt.doc_id = ca.doc_id and pt.term = wt.term
+  and pt.pos between ca.start + wt.j - {SLOP} and ca.start + wt.j + {SLOP} group by ca.wid, ca.item_id, ca.doc_id, ca.start, ca.n having count(distinct wt.j) = ca.n),
+nm as (select doc_id, list_sort(list(distinct cast(item_id as varchar))) as near from ne group by doc_id)
 select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, cast(coalesce(len(ids), 0) as bigint) as n_items,
-  sha256(coalesce(array_to_string(ids, ','), '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
-from d left join c on d.doc_id = c.doc_id left join m on d.doc_id = m.doc_id"""
+  sha256(coalesce(array_to_string(ids, ','), '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated,
+  cast(coalesce(len(near), 0) as bigint) as n_near, sha256(coalesce(array_to_string(near, ','), '')) as near_sha256
+from d left join c on d.doc_id = c.doc_id left join m on d.doc_id = m.doc_id left join nm on d.doc_id = nm.doc_id"""
