@@ -10,8 +10,8 @@ Both models are trained on labelled samples. Secrets: generated random strings
 over usual alphabets, and the values that the base patterns find in a sample of
 the corpus. Identifiers: that sample's other tokens that stand in two documents
 or more (a secret hardly does, so those that the patterns miss don't count as
-identifiers), joins of them as programmers write names, and numbers. The cut
-lies above the ratios of the identifiers that are held out from training.
+identifiers), joins of them as programmers write names, numbers, and product and
+ticket ids. The cut lies above the ratios of the identifiers that are held out from training.
 
 Defined cases: a null or empty text has no spans; overlapping spans of
 different base kinds all stay; a method span that touches a base span is left
@@ -57,8 +57,9 @@ NAME_WORDS = (
 ).split()
 KEYBOARD = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
 TOKEN_CHARS = string.ascii_letters + string.digits + "+/_-"
-#: A run of fewer characters is not judged: any of them can be a word.
-SHORTEST = 8
+#: A run of fewer characters is not judged: product, media and ticket ids are as
+#: random as a secret of their length.
+SHORTEST = 14
 TOKEN = re.compile(f"[{re.escape(TOKEN_CHARS)}]{{{SHORTEST},}}")
 #: How far the cut lies above the ratios of the held-out identifiers, in nats:
 #: the prior odds, of one run in ten thousand being a secret.
@@ -87,7 +88,7 @@ class CharModel:
     """Log-likelihood ratio of two first-order Markov models over a whole run."""
 
     def __init__(self, secrets: list[str], identifiers: list[str]):
-        ordinary = identifiers + joined_names(identifiers) + joined_names(NAME_WORDS, 8000) + numbers() + rules()
+        ordinary = identifiers + joined_names(identifiers) + joined_names(NAME_WORDS, 8000) + numbers() + rules() + codes()
         held = [w for w in ordinary if _held_out(w)]
         self.table = self._logs([w for w in secrets if not _held_out(w)]) - self._logs([w for w in ordinary if not _held_out(w)])
         # Of the held-out identifiers one in a thousand may be mislabelled.
@@ -149,6 +150,21 @@ def rules(n: int = 1500, seed: int = 17) -> list[str]:
     return out
 
 
+def codes(n: int = 4000, seed: int = 19) -> list[str]:
+    """Generated product, part and ticket ids: short groups of letters or digits,
+    joined by marks, and groups with a prefix that is a word."""
+    rng = random.Random(seed)
+    letters = lambda k: "".join(rng.choices(string.ascii_uppercase, k=k))
+    digits = lambda k: "".join(rng.choices(string.digits, k=k))
+    out = []
+    for i in range(n):
+        groups = [rng.choice((letters, digits))(rng.randint(2, 5)) for _ in range(rng.randint(2, 5))]
+        groups = [letters(rng.randint(2, 4)), *groups] if i % 2 else [rng.choice(NAME_WORDS), *groups]
+        code = rng.choice("--_/").join(groups)
+        out.append(code.lower() if i % 5 == 0 else code)
+    return out
+
+
 def joined_names(words: list[str], n: int = 4000, seed: int = 13) -> list[str]:
     """Names of two or three words, joined as in programs and paths."""
     plain = sorted({w for w in words if w.isalpha() and len(w) <= 12})
@@ -202,7 +218,8 @@ def train(docs: DataFrame, text_col: str = "text") -> CharModel:
     total = texts.count()
     if total > SAMPLE_DOCS:
         texts = texts.where(F.pmod("key", F.lit(1 << 30)) < int((1 << 30) * SAMPLE_DOCS / total))
-    texts = texts.groupBy("key").agg(F.min("text").alias("text")).limit(2 * SAMPLE_DOCS)  # copies are one document
+    # Copies are one document; the least keys, so that a rerun reads the same ones.
+    texts = texts.groupBy("key").agg(F.min("text").alias("text")).orderBy("key").limit(2 * SAMPLE_DOCS)
     words = texts.select("text").mapInArrow(_samples, "word string, label long").groupBy("word", "label").agg(F.count("*").alias("n"))
     words = words.where("label = 1 or n > 1")
     drawn = [words.where(F.col("label") == k).orderBy(F.xxhash64("word"), "word").limit(SAMPLE_STRINGS).collect() for k in (1, 0)]
