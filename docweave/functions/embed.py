@@ -8,8 +8,10 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _TOKEN = re.compile(r"[^\W_]+")
 
@@ -32,6 +34,27 @@ def hashed(text: Column, dim: int = 64) -> Column:
     return embed(text)
 
 
+def batched(load: Callable[[], Callable[[list[str]], np.ndarray]], dim: int, batch_size: int = 32) -> Callable[[Column], Column]:
+    """A column function around a model: ``load`` runs once for each Python
+    worker and gives a function from a list of texts to an array of vectors,
+    which is called with ``batch_size`` texts at most (settings: embedding)."""
+
+    def make():
+        model = load()
+
+        def predict(texts: np.ndarray) -> np.ndarray:
+            return np.asarray(model(["" if t is None else str(t) for t in texts.reshape(-1)]), np.float32).reshape(-1, dim)
+
+        return predict
+
+    return predict_batch_udf(make, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
+
+
+def hashed_model(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
+    """The offline stand-in in a model's form."""
+    return lambda texts: np.stack([hashed_vector(t, dim) for t in texts])
+
+
 def with_embedding(df: DataFrame, text_col: str = "document", embed: Callable[[Column], Column] = hashed) -> DataFrame:
     """``embed`` may be a pandas UDF around a model; Arrow batches bound its calls."""
     return df.withColumn("embedding", embed(F.col(text_col)))

@@ -110,27 +110,42 @@ def semantic_split(text: Column, small: int = 1500, large: int = 1000) -> Column
     paragraphs, joined until the text would be longer than ``large`` and the
     next paragraph has no concept in common. There is no upper bound.
 
-    Concepts of the text so far are the union of its paragraphs' (no keyword
-    spans a paragraph's end), so each paragraph is looked up once.
+    Paragraphs are looked at once and never joined before the end: of the text so
+    far the fold carries its length, its concepts (no keyword spans a paragraph's
+    end), whether it holds a defining word, and its last paragraph's number, so
+    it is linear in the paragraphs.
     """
     units = F.filter(F.transform(F.split(text, "\n\n", -1), X.strip), lambda p: p != "")
-    marked = F.transform(units, lambda p: F.struct(p.alias("p"), X.concepts(p).alias("k")))
-    strings = "array<string>"
-    start = F.struct(F.array().cast(strings).alias("done"), F.lit("").alias("cur"), F.array().cast(strings).alias("k"))
+    strings, numbers = "array<string>", "array<int>"
+    seen = F.transform(
+        units,
+        lambda p: F.struct(
+            F.length(p).alias("n"), X.concepts(p).alias("k"), p.rlike(P.ELEMENTS).alias("lists"), p.rlike(P.NUMBERED).alias("numbered"),
+            (p.contains("means") | p.contains("defined as")).alias("defines"), F.lower(p).contains("example").alias("example"),
+        ),
+    )
+    start = F.struct(F.array().cast(numbers).alias("cuts"), F.lit(0).alias("at"), F.lit(0).alias("n"), F.array().cast(strings).alias("k"), F.lit(False).alias("lists"), F.lit(False).alias("defines"))
 
     def step(acc: Column, u: Column) -> Column:
-        test = F.when(acc["cur"] == "", u["p"]).otherwise(F.concat(acc["cur"], F.lit("\n\n"), u["p"]))
-        cut = (F.length(test) > large) & X.breaks_unity(acc["cur"], u["p"], acc["k"], u["k"])
-        done = F.when(cut & (acc["cur"] != ""), F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"])
-        k = F.when(cut, u["k"]).otherwise(F.array_union(acc["k"], u["k"]))
-        return F.struct(done.alias("done"), F.when(cut, u["p"]).otherwise(test).alias("cur"), k.alias("k"))
+        first = acc["at"] == 0
+        joined = F.when(first, u["n"]).otherwise(acc["n"] + 2 + u["n"])
+        # As text.breaks_unity has it, from what is known of both.
+        apart = ~(acc["lists"] & u["numbered"]) & ~(acc["defines"] & u["example"]) & ~F.arrays_overlap(acc["k"], u["k"])
+        cut = (joined > large) & apart & ~first
+        return F.struct(
+            F.when(cut, F.concat(acc["cuts"], F.array(acc["at"]))).otherwise(acc["cuts"]).alias("cuts"), (acc["at"] + 1).alias("at"), F.when(cut, u["n"]).otherwise(joined).alias("n"),
+            F.when(cut, u["k"]).otherwise(F.array_union(acc["k"], u["k"])).alias("k"), u["lists"].alias("lists"), F.when(cut, u["defines"]).otherwise(acc["defines"] | u["defines"]).alias("defines"),
+        )
+
+    ends = F.aggregate(seen, start, step, lambda acc: F.when(acc["at"] > 0, F.concat(acc["cuts"], F.array(acc["at"]))).otherwise(acc["cuts"]))
+    bounds = F.transform(F.array(F.struct(ends.alias("ends"), units.alias("units"))), lambda b: F.transform(b["ends"], lambda e, i: F.array_join(F.slice(b["units"], _before(b["ends"], i) + 1, e - _before(b["ends"], i)), "\n\n")))
+    whole = (F.length(text) < small) & X.coherent(text, X.concepts(text), X.citations(text))
+    return F.when(whole, F.array(text)).otherwise(bounds[0])
 
-    def finish(acc: Column) -> Column:
-        return F.when(acc["cur"] != "", F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"])
 
-    folded = F.aggregate(marked, start, step, finish)
-    whole = (F.length(text) < small) & X.coherent(text, X.concepts(text), X.citations(text))
-    return F.when(whole, F.array(text)).otherwise(folded)
+def _before(ends: Column, i: Column) -> Column:
+    """The end before the i-th one."""
+    return F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1))
 
 
 def legal_chunks(pages: DataFrame, doc_col: str = "doc_id", page_col: str = "page_number", text_col: str = "text") -> DataFrame:

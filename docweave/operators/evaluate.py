@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.functions import patterns as P
 from docweave.functions import text as X
+from docweave.sources.store import exists, keep
 
 
 def cases_table(spark) -> DataFrame:
@@ -24,7 +27,7 @@ def retrieval_metrics(cases: DataFrame, retrieved: DataFrame) -> DataFrame:
     of expected concepts found in any chunk; 1 without expectation. Citation
     preservation: the share of expected citations that are part of a found
     one; 1 without expectation, 0 if none is found. Where a chunk has no list
-    of citations, those in its content count.
+    of citations or concepts, those in its content count.
     """
     none = F.array().cast("array<string>")
     terms, want_k, want_c = (F.coalesce(c, none) for c in ("required_terms", "expected_concepts", "expected_citations"))
@@ -33,7 +36,10 @@ def retrieval_metrics(cases: DataFrame, retrieved: DataFrame) -> DataFrame:
     cited = F.col("citations") if "citations" in retrieved.columns else F.lit(None).cast("array<string>")
     if "content" in retrieved.columns:  # without a list, the text is searched
         cited = F.coalesce(cited, X.citations(F.coalesce("content", F.lit(""))))
-    both = cases.join(retrieved.withColumn("citations", cited), "query_id", "left")
+    named = F.col("concepts") if "concepts" in retrieved.columns else F.lit(None).cast("array<string>")
+    if "content" in retrieved.columns:
+        named = F.coalesce(named, X.concepts(F.coalesce("content", F.lit(""))))
+    both = cases.join(retrieved.withColumn("citations", cited).withColumn("concepts", named), "query_id", "left")
     inside = F.size(F.filter(terms, lambda t: F.lower(F.col("content")).contains(F.lower(t))))
     share = F.when(F.col("content").isNotNull(), F.when(F.size(terms) > 0, inside / F.size(terms)).otherwise(0.0))
     held = F.filter(want_c, lambda e: F.exists(F.coalesce("citations", none), lambda f: f.contains(e)))
@@ -71,10 +77,50 @@ def compare_variants(baseline: DataFrame, challenger: DataFrame) -> DataFrame:
     )
 
 
+#: Cells of a selection's histogram.
+CELLS = 1024
+
+
+def ranked_value(values: DataFrame, rank: int, col: str) -> float | None:
+    """The value of 0-based ``rank`` among a column's doubles (no nulls or NaNs).
+
+    A histogram of the range shows the cell that holds the rank, then one of
+    that cell, until a cell has one value: a few passes of partial counts, and
+    no sort or set of all values in one place.
+    """
+    v = F.col(col)
+    n, lo, hi = values.agg(F.count(v), F.min(v), F.max(v)).first()
+    if not 0 <= rank < n:
+        return None
+    while lo < hi:
+        width = hi / CELLS - lo / CELLS
+        cell = F.least(F.floor((v - lo) / width), F.lit(CELLS - 1)) if width > 0 and math.isfinite(width) else (v > lo).cast("long")
+        cells = values.where(v.between(lo, hi)).groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi")).orderBy("cell").collect()
+        for c in cells:  # CELLS rows at most
+            if rank < c.n:
+                lo, hi = c.lo, c.hi
+                break
+            rank -= c.n
+    return lo
+
+
+def exact_median(df: DataFrame, col: str) -> float | None:
+    """The median of a column's doubles, the mean of the middle two; nulls don't
+    count, and a NaN counts as the largest value."""
+    values = keep(df.select(F.col(col).cast("double").alias(col)).where(F.col(col).isNotNull()), "values")
+    total = values.count()
+    if not total:
+        return None
+    real = values.where(~F.isnan(col))
+    middle = [ranked_value(real, r, col) for r in {(total - 1) // 2, total // 2}]
+    return float("nan") if None in middle else sum(middle) / len(middle)
+
+
 def comparison_summary(rows: DataFrame) -> DataFrame:
     """Median speed-up in ms, mean citation gain, share of identical answers; nulls if empty."""
+    p50 = exact_median(rows, "latency_delta")
     return rows.agg(
-        (F.median("latency_delta") * 1000).alias("p50_speedup_ms"), F.avg("citation_gain").alias("avg_citation_gain"), F.avg(F.col("identical_answer").cast("double")).alias("identical_ratio")
+        F.lit(None if p50 is None else p50 * 1000).cast("double").alias("p50_speedup_ms"), F.avg("citation_gain").alias("avg_citation_gain"), F.avg(F.col("identical_answer").cast("double")).alias("identical_ratio")
     )
 
 
@@ -119,6 +165,44 @@ def system_stats(chunks: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return sizes.crossJoin(F.broadcast(cited))  # two single rows
 
 
+def add_statistics(chunks: DataFrame, path: str, id_col: str = "doc_id") -> None:
+    """Adds annotated chunks to the stored statistics at ``path``.
+
+    Sums are one row for each call; of what is counted once (chapters, sections,
+    citations, pages) the different values are stored, each by the call that
+    first had it. Chunks are read by this call alone.
+    """
+    spark = chunks.sparkSession
+    own = keep(chunks.select("chapter", "section", "citations", "legal_concepts", "confidence_score", "page_number", F.col(id_col).cast("string").alias("doc"), F.length("content").alias("chars")), "annotated")
+    page = F.concat_ws(":", F.col("page_number").cast("string"), F.coalesce("doc", F.lit("")))
+    kinds = {"chapter": F.nullif("chapter", F.lit("")), "section": F.nullif("section", F.lit("")), "page": page}
+    named = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in kinds.items()])
+    cited = F.transform("citations", lambda c: F.struct(F.lit("citation").alias("kind"), c.alias("value")))
+    values = own.select(F.explode(F.concat(named, cited)).alias("v")).select("v.*").where("value is not null").distinct()
+    if exists(spark, f"{path}/values"):
+        values = values.join(spark.read.parquet(f"{path}/values").select("kind", "value"), ["kind", "value"], "left_anti")
+    values.write.mode("append").partitionBy("kind").parquet(f"{path}/values")
+    sums = own.agg(
+        F.count("*").alias("chunks"), F.count("confidence_score").alias("scored"), F.sum("confidence_score").alias("quality"), F.count_if(F.size("citations") > 0).alias("cited"),
+        F.count_if(F.size("legal_concepts") > 0).alias("tagged"), F.sum("chars").alias("chars"),
+    )
+    sums.write.mode("append").parquet(f"{path}/sums")
+
+
+def stored_statistics(spark: SparkSession, path: str) -> DataFrame:
+    """The columns of :func:`corpus_report` and :func:`system_stats` from stored
+    statistics; no chunk is read."""
+    total = F.sum("chunks")
+    share = lambda c: F.try_divide(F.sum(c), total)
+    sums = spark.read.parquet(f"{path}/sums").agg(
+        F.coalesce(total, F.lit(0)).alias("total_chunks"), F.try_divide(F.sum("quality"), F.sum("scored")).alias("average_quality"), F.coalesce(F.sum("cited"), F.lit(0)).alias("chunks_with_citations"),
+        F.coalesce(F.sum("tagged"), F.lit(0)).alias("chunks_with_concepts"), share("cited").alias("citation_coverage"), share("tagged").alias("concept_coverage"), share("chars").alias("average_chars"),
+    )
+    values = spark.read.schema("value string, kind string").parquet(f"{path}/values")
+    once = values.agg(*[F.count_if(F.col("kind") == k).alias(n) for k, n in (("chapter", "chapters_identified"), ("section", "sections_identified"), ("page", "total_pages"), ("citation", "unique_citations"))])
+    return sums.join(once, F.lit(True))  # two single rows
+
+
 def page_sizes(pages: DataFrame, doc_col: str = "doc_id", first: int = 3, n: int = 200) -> DataFrame:
     """(doc, pages, chars, head): page count, characters of the first pages, and the start of their joined text."""
     early = F.when(F.col("page_number") <= first, F.struct("page_number", "text"))

@@ -12,9 +12,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docweave.functions import dictionary, embed
 from docweave.functions import patterns as P
 from docweave.functions import text as X
-from docweave.operators import chunking, evaluate, index, retrieval, vector, vector_index
+from docweave.operators import cached, chunking, evaluate, index, retrieval, vector, vector_index
+from docweave.plans import lifecycles
 from docweave.sources import store
 
 _NL = "chr(10)"
@@ -625,6 +627,124 @@ select doc_id, array_to_string(list_filter([case when contains(t, 'and') then 'a
   cast(len(string_split(t, 'and')) - 1 as int) as n_and, 'none' as fallback from c"""
 
 
+def dictionary_tags(spark, sf_dir):
+    """The concepts of all pages by a stored dictionary, in one pass."""
+    path = f"{store.scratch_dir(spark)}/docweave-dictionary-{uuid.uuid4().hex}"
+    dictionary.from_mapping(spark).write.parquet(path)
+    pages = dictionary.tagged(legal_pages(spark, sf_dir), dictionary.read_dictionary(spark, path), name="concepts")
+    return pages.select("doc_id", "page_number", F.array_join("concepts", ",").alias("concepts"))
+
+
+def keyword_items(spark, sf_dir):
+    """Which benchmark items' longer words stand in which documents: a dictionary of thousands."""
+    words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{6,}"), F.lit(0)))).alias("keyword")
+    known = _table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("concept"), words, F.col("item_id").alias("place"))
+    found = dictionary.tagged(_table(spark, sf_dir, "documents"), known, name="items")
+    return found.select("doc_id", F.size("items").alias("n_items"), F.array_join("items", ",").alias("items"))
+
+
+_KEYWORDS = """with k as (select distinct item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}]{6,}')) as word from benchmark),
+w as (select word, list(item_id) as those from k group by word),
+h as (select distinct doc_id, unnest(those) as item_id from documents join w on contains(lower(text), word)),
+g as (select doc_id, count(*) as n, string_agg(cast(item_id as varchar), ',' order by item_id) as items from h group by doc_id)
+select d.doc_id, cast(coalesce(n, 0) as int) as n_items, coalesce(items, '') as items from documents d left join g on d.doc_id = g.doc_id"""
+
+
+def _chunk_records(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return chunking.sliding_chunks(docs).select(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")).alias("id"), F.col("text").alias("document"))
+
+
+def embedding_cache(spark, sf_dir):
+    """How many chunks and different texts there are, and how many the first and
+    a second call embed."""
+    path = f"{store.scratch_dir(spark)}/docweave-cache-{uuid.uuid4().hex}"
+    records = _chunk_records(spark, sf_dir)
+    rows = cached.cached_embeddings(records, path).count()
+    first = cached.made_in_last_run(records, path)
+    again = cached.cached_embeddings(records, path).where(F.size("embedding") == 64).count()
+    made = spark.read.parquet(path).count()
+    return records.agg(F.count_distinct("document").alias("texts")).select(F.lit(rows).cast("long").alias("chunks"), "texts", F.lit(first).cast("long").alias("made_first"), F.lit(made - first).cast("long").alias("made_again"), F.lit(again).cast("long").alias("chunks_again"))
+
+
+_CACHED = f"""with s as ({_SLIDING}) select count(*) as chunks, count(distinct text) as texts, count(distinct text) as made_first, cast(0 as bigint) as made_again, count(*) as chunks_again from s"""
+
+
+def model_batches(spark, sf_dir):
+    """Vectors by a model in batches beside those of the column function."""
+    t = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    both = t.select("doc_id", embed.hashed(F.col("text")).alias("one"), embed.batched(embed.hashed_model, 64)(F.col("text")).alias("two"))
+    return both.agg(F.count("*").alias("documents"), F.count_if(F.col("one") == F.col("two")).alias("equal"))
+
+
+_BATCHED = "select count(*) as documents, count(*) as equal from documents"
+
+
+def answer_cache(spark, sf_dir):
+    """Answers to all opening turns, asked twice; how many runs it took to make each."""
+    path = f"{store.scratch_dir(spark)}/docweave-answers-{uuid.uuid4().hex}"
+    asked = _table(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", F.col("text").alias("prompt"))
+    speak = cached.guarded(lambda t: t[:80] + "...")
+    cached.cached_answers(asked, path, speak).count()
+    again = cached.cached_answers(asked, path, speak)
+    return again.select("conv_id", "answer", F.lit(spark.read.parquet(path).select("key").distinct().count() == spark.read.parquet(path).count()).alias("made_once"))
+
+
+_ANSWERS = "select conv_id, substr(coalesce(text, ''), 1, 80) || '...' as answer, true as made_once from conversations where turn = 0"
+
+
+def collection_upsert(spark, sf_dir):
+    """A collection after a change of every fifth record, ten new ones and the end of every seventh."""
+    path = f"{store.scratch_dir(spark)}/docweave-upsert-{uuid.uuid4().hex}"
+    docs = _table(spark, sf_dir, "documents")
+    record = lambda text: [F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("id"), text.alias("document"), F.struct(F.col("lang").alias("source")).alias("metadata")]
+    text = F.coalesce("text", F.lit(""))
+    store.upsert_collection(docs.select(*record(text)), path, embed.with_embedding)
+    changed = docs.where("doc_id % 5 = 0").select(*record(F.concat(F.lit("new "), text)))
+    added = docs.where("doc_id < 10").withColumn("doc_id", F.col("doc_id") + 1_000_000).select(*record(text))
+    out = store.upsert_collection(changed.union(added), path, embed.with_embedding, docs.where("doc_id % 7 = 0").select(record(text)[0]))
+    return out.select("id", "document", F.col("metadata.source").alias("source"), F.size("embedding").alias("dim"))
+
+
+_UPSERTED = """select 'doc_' || doc_id as id, case when doc_id % 5 = 0 then 'new ' else '' end || coalesce(text, '') as document, lang as source, cast(64 as int) as dim from documents where doc_id % 7 <> 0
+union all select 'doc_' || (doc_id + 1000000), coalesce(text, ''), lang, 64 from documents where doc_id < 10"""
+
+
+def stored_statistics(spark, sf_dir):
+    """The corpus report and the system's figures from statistics that were kept
+    while chunks arrived in three parts."""
+    path = f"{store.scratch_dir(spark)}/docweave-statistics-{uuid.uuid4().hex}"
+    chunks = store.keep(chunking.legal_chunks(legal_pages(spark, sf_dir)), "chunks")
+    for part in range(3):
+        evaluate.add_statistics(chunks.where(F.pmod("doc_id", F.lit(3)) == part), path)
+    r = evaluate.stored_statistics(spark, path)
+    return r.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in r.dtypes])
+
+
+_STORED = f"""with {_CHUNKS} select count(*) as total_chunks, round(avg(confidence_score), 6) as average_quality,
+  count(*) filter (len(citations) > 0) as chunks_with_citations, count(*) filter (len(legal_concepts) > 0) as chunks_with_concepts,
+  round(avg(cast(len(citations) > 0 as double)), 6) as citation_coverage, round(avg(cast(len(legal_concepts) > 0 as double)), 6) as concept_coverage,
+  count(distinct nullif(chapter, '')) as chapters_identified, count(distinct nullif(section, '')) as sections_identified, round(avg(len(content)), 6) as average_chars,
+  count(distinct (doc_id, page_number)) as total_pages, (select count(distinct c) from (select unnest(citations) as c from scored)) as unique_citations from scored"""
+
+
+def searched_eval(spark, sf_dir):
+    """The three metrics of each evaluation case for what the lexical search returns."""
+    stored = _documents_index(spark, sf_dir)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("document"))
+
+    def search(queries: DataFrame, k: int) -> DataFrame:
+        return retrieval.bm25(queries, stored, k).join(docs, "doc_id")
+
+    m = lifecycles.evaluate_search(search, evaluate.cases_table(spark), 20)
+    return m.select("query_id", "difficulty", *[F.round(c, 6).alias(c) for c in evaluate.METRICS])
+
+
+_SEARCHED = f"""with cases as ({_CASES}), {_BM25_CTE.replace("select conv_id as query_id, text as query from conversations where role = 'user' and turn = 0 and conv_id % 100 = 0", "select query_id, query from cases")},
+r as (select query_id, coalesce(text, '') as text, {_concepts("coalesce(text, '')")} as cons, {_citations("coalesce(text, '')")} as cits from bm join documents using (doc_id) where rank <= 20),
+{_METRICS[_METRICS.index("j as (select cases"):]} select query_id, difficulty, round(relevance, 6) as relevance, round(concept_coverage, 6) as concept_coverage, round(citation_preservation, 6) as citation_preservation from g"""
+
+
 def exit_words(spark, sf_dir):
     """Lines of the conversations that would end or not reach an interactive session."""
     t = _table(spark, sf_dir, "conversations")
@@ -659,9 +779,7 @@ select query_id, string_agg(cast(vec_id as varchar), ',' order by rank) as ids,
 
 def vector_collection(spark, sf_dir):
     """Clean, split, number, embed and store all documents; the stored collection without its vectors."""
-    from docweave.plans.lifecycles import build_corpus
-
-    stored = build_corpus(_table(spark, sf_dir, "documents"), f"{store.scratch_dir(spark)}/docweave-collection-{uuid.uuid4().hex}")
+    stored = lifecycles.build_corpus(_table(spark, sf_dir, "documents"), f"{store.scratch_dir(spark)}/docweave-collection-{uuid.uuid4().hex}")
     return stored.select("id", F.length("document").alias("chars"), "metadata.chunk_index", F.size("embedding").alias("dim"))
 
 
@@ -709,6 +827,14 @@ QUERIES = {
     "x3_search_page": (search_page, _PAGE),
     "d8_map_functions": (concept_changes, _CHANGES),
     "p11_exit_words": (exit_words, _EXITS),
+    "u5_dictionary_tags": (dictionary_tags, _TAGGED),
+    "u5_keyword_items": (keyword_items, _KEYWORDS),
+    "u1_embedding_cache": (embedding_cache, _CACHED),
+    "u1_model_batches": (model_batches, _BATCHED),
+    "r8_answer_cache": (answer_cache, _ANSWERS),
+    "k6_collection_upsert": (collection_upsert, _UPSERTED),
+    "x2_stored_statistics": (stored_statistics, _STORED),
+    "a7_searched_eval": (searched_eval, _SEARCHED),
     "s13_eval_cases": (eval_cases, _CASE_ROWS),
     "d10_nested_result": (nested_result, _NESTED),
     "k5_vector_collection": (vector_collection, None),

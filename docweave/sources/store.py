@@ -160,3 +160,41 @@ def build_collection(records: DataFrame, path: str, embed: Callable[[DataFrame],
 def open_collection(spark: SparkSession, path: str) -> DataFrame:
     """A stored collection; FileNotFoundError if it isn't there."""
     return spark.read.parquet(first_existing(spark, path))
+
+
+#: Folders of a collection that is changed by id.
+ID_BUCKETS = 64
+
+
+def _by_id(records: DataFrame) -> DataFrame:
+    return records.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(ID_BUCKETS)).cast("int"))
+
+
+def upsert_collection(records: DataFrame, path: str, embed: Callable[[DataFrame], DataFrame], deleted: DataFrame | None = None) -> DataFrame:
+    """Puts records (id, document, metadata), with the embedding that ``embed``
+    adds, into the collection at ``path``: those of known ids replace the stored
+    ones, others are added, and ids in ``deleted`` (id) go. Returns the collection.
+
+    Records lie in folders by the hash of their ids, and only folders that change
+    are written again, so the same call again gives the same collection. Of
+    records with one id the one with the greatest document stays.
+    """
+    spark = records.sparkSession
+    one = records.groupBy("id").agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in records.columns]), F.coalesce("document", F.lit(""))).alias("r")).select("r.*")
+    fresh = keep(_by_id(embed(one)), "upserts")
+    if not exists(spark, path):
+        fresh.write.partitionBy("bucket").parquet(path)
+        if deleted is None:
+            return open_collection(spark, path)
+    gone = fresh.select("id", "bucket") if deleted is None else fresh.select("id", "bucket").union(_by_id(deleted.select("id")))
+    stored = open_collection(spark, path)
+    changed = [r.bucket for r in gone.select("bucket").distinct().collect()]
+    old = stored.where(F.col("bucket").isin(changed)).join(maybe_broadcast(keep(gone.select("id").distinct(), "gone"), 64), "id", "left_anti")
+    # The old rows are kept first: a write can't read the folders that it replaces.
+    new = keep(old.unionByName(fresh if deleted is None else fresh.join(deleted.select("id"), "id", "left_anti")), "merged")
+    emptied = set(changed) - {r.bucket for r in new.select("bucket").distinct().collect()}
+    new.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    for bucket in emptied:  # a folder that no row goes to isn't replaced by the writer
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={bucket}")
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return spark.read.schema(stored.schema).parquet(path)
