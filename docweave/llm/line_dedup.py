@@ -112,33 +112,35 @@ def _banded(signed: DataFrame) -> DataFrame:
     return signed.select(F.explode(bands).alias("bucket"), "node", *lanes)
 
 
-def _shingle_sets(lines: DataFrame) -> DataFrame:
-    """(node, h): the distinct hashes of all shingles. 32 bits hold them: with
-    some thousand shingles in a pair, one in thousands of pairs is off by one."""
+def _shingle_set(line: str) -> Column:
+    """The distinct hashes of a line's shingles. 32 bits hold them: with some
+    thousand shingles in a pair, one in thousands of pairs is off by one."""
     # The line is bound as a lambda's variable: else each shingle would encode it anew.
     hashes = f"transform(sequence(1, greatest(octet_length(coded) - {2 * SHINGLE - 1}, 1), 2), at -> hash(substring(coded, at, {2 * SHINGLE})))"
-    return lines.select("node", F.expr(f"array_distinct(transform(array(encode(norm, 'UTF-16BE')), coded -> {hashes})[0])").alias("h"))
+    return F.expr(f"array_distinct(transform(array(encode({line}, 'UTF-16BE')), coded -> {hashes})[0])")
 
 
-def _judged(edges: DataFrame, sets: DataFrame) -> DataFrame:
-    """edges(a, b) with the exact Jaccard index of the lines' sets."""
-    one, two = sets.select(F.col("node").alias("a"), F.col("h").alias("x")), sets.select(F.col("node").alias("b"), F.col("h").alias("y"))
-    both = edges.join(one, "a").join(two, "b").withColumn("n", F.size(F.array_intersect("x", "y")))
-    sim = F.col("n") / (F.size("x") + F.size("y") - F.col("n"))
-    return keep(both.select("a", "b", sim.alias("similarity")), "line-judged")
+def _judged(edges: DataFrame, texts: DataFrame) -> DataFrame:
+    """edges(a, b) with the exact Jaccard index of the lines' sets: what is
+    shuffled are lines, and their sets are made where both are."""
+    one, two = texts.toDF("a", "one"), texts.toDF("b", "two")
+    both = edges.join(one, "a").join(two, "b").select("a", "b", _shingle_set("one").alias("x"), _shingle_set("two").alias("y"))
+    both = both.select("a", "b", F.size("x").alias("m"), F.size("y").alias("k"), F.size(F.array_intersect("x", "y")).alias("n"))
+    return keep(both.select("a", "b", (F.col("n") / (F.col("m") + F.col("k") - F.col("n"))).alias("similarity")), "line-judged")
 
 
-class _Sets:
-    """Shingle sets of the lines that have been needed so far."""
+class _Texts:
+    """The lines that have been needed so far."""
 
     def __init__(self, lines: DataFrame):
         self.lines, self.known = lines, None
 
     def of(self, nodes: DataFrame) -> DataFrame:
+        """(node, norm)."""
         if self.known is not None:
             nodes = nodes.join(self.known.select("node"), "node", "left_anti")
         nodes = keep(nodes, "line-nodes")
-        fresh = keep(_shingle_sets(self.lines.select("node", "norm").join(maybe_broadcast(nodes, 8), "node", "left_semi")), "line-sets")
+        fresh = keep(self.lines.select("node", "norm").join(maybe_broadcast(nodes, 8), "node", "left_semi"), "line-texts")
         self.known = fresh if self.known is None else self.known.union(fresh)
         return self.known
 
@@ -149,15 +151,16 @@ class _Sets:
         return keep(odd_sketches(self.tokens(nodes)), "line-sketches")
 
     def tokens(self, nodes: DataFrame) -> DataFrame:
-        return self.of(nodes.distinct()).join(nodes, "node", "left_semi").select("node", F.explode("h").alias("token"))
+        own = self.of(nodes.distinct()).join(nodes, "node", "left_semi")
+        return own.select("node", F.explode(_shingle_set("norm")).alias("token"))
 
 
 def line_classes(docs: DataFrame, id_col: str, text_col: str, min_chars: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(lines, classes): lines (node, norm, n) of the different judged lines, classes (node, root) of those that are linked to another."""
     lines = keep(distinct_lines(docs, id_col, text_col, min_chars), "lines")
     rows = keep(_filled(signatures(lines)), "signed")
-    sets = _Sets(lines)
-    return lines, linked(_banded(rows), sets.judge, sets.tokens, threshold, LANES, 1024, sets.sketches)[1]
+    texts = _Texts(lines)
+    return lines, linked(_banded(rows), texts.judge, texts.tokens, threshold, LANES, 1024, texts.sketches)[1]
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, threshold: float = THRESHOLD) -> DataFrame:
