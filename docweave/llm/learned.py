@@ -31,7 +31,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, use, id_col: str, t
     total = known.count()
     if total > rows:
         known = known.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * rows / total))
-    known = known.withColumnRenamed(id_col, "id").limit(int(rows * 1.1))
+    # In the order of a hash, so that a rerun fits the same rows.
+    known = known.withColumnRenamed(id_col, "id").orderBy(F.xxhash64("id", F.lit("order")), "id").limit(int(rows * 1.1))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     # One row for each id, by a partial aggregate: repeated ids don't widen the
     # sample. It is kept, so that the corpus is read for it once.

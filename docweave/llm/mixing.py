@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.llm.shared import keep, maybe_broadcast
+from docweave.llm.shared import keep, maybe_broadcast, row_hash
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -169,7 +169,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """``docs`` with a column ``copies``: how often the mix repeats the row;
     documents that it does not take are dropped. Of repeated rows (equal id,
-    text and source) that get different copies, any get the more."""
+    text and source) that get different copies, those whose columns hash least get
+    the more, whatever the order of rows."""
     key = lambda text_key: F.xxhash64(F.col(id_col), text_key, F.col(source_col))
     drawn = mix_sources(docs.select(id_col, text_col, source_col), id_col, text_col, source_col, **options)
     source = F.col("source")
@@ -183,13 +184,21 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     uneven = keep(drawn.where("__dw_more > 0"), "uneven")
     if uneven.isEmpty():
         return even
-    part = keep(keyed.join(maybe_broadcast(uneven, 24), "__dw_key").withColumn("__dw_tag", F.monotonically_increasing_id()), "part")
+    part = keyed.join(maybe_broadcast(uneven, 24), "__dw_key").withColumn("__dw_hash", row_hash(docs))
+    part = keep(part.withColumn("__dw_tag", F.monotonically_increasing_id()), "part")
+    # Those whose columns hash least get the more; rows that are equal in all columns are one group.
+    groups = part.groupBy("__dw_key", "__dw_hash", "__dw_more").agg(F.count("*").alias("__dw_n"))
+    ahead = F.sum("__dw_n").over(Window.partitionBy("__dw_key").orderBy("__dw_hash").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__dw_n")
+    room = F.least(F.greatest(F.col("__dw_more") - ahead, F.lit(0)), F.col("__dw_n"))
+    groups = keep(groups.select("__dw_key", "__dw_hash", room.alias("__dw_room")), "rooms")
+    # Equal rows are numbered within the partition that they were read in, from its offset.
     file = F.shiftrightunsigned("__dw_tag", 33)
-    before = part.groupBy("__dw_key", file.alias("__dw_file")).agg(F.count("*").alias("__dw_own"))
-    before = before.withColumn("__dw_before", F.sum("__dw_own").over(Window.partitionBy("__dw_key").orderBy("__dw_file").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__dw_own"))
-    turn = F.row_number().over(Window.partitionBy("__dw_key", "__dw_file").orderBy("__dw_tag"))
-    told = part.withColumn("__dw_file", file).withColumn("__dw_turn", turn).join(before.drop("__dw_own"), ["__dw_key", "__dw_file"])
-    copies = F.col("__dw_copies") + F.when(F.col("__dw_before") + F.col("__dw_turn") <= F.col("__dw_more"), 1).otherwise(0)
+    before = part.groupBy("__dw_key", "__dw_hash", file.alias("__dw_file")).agg(F.count("*").alias("__dw_own"))
+    up_to = Window.partitionBy("__dw_key", "__dw_hash").orderBy("__dw_file").rowsBetween(Window.unboundedPreceding, 0)
+    before = before.withColumn("__dw_before", F.sum("__dw_own").over(up_to) - F.col("__dw_own")).drop("__dw_own")
+    turn = F.row_number().over(Window.partitionBy("__dw_key", "__dw_hash", "__dw_file").orderBy("__dw_tag"))
+    told = part.withColumn("__dw_file", file).withColumn("__dw_turn", turn).join(before, ["__dw_key", "__dw_hash", "__dw_file"]).join(maybe_broadcast(groups, 24), ["__dw_key", "__dw_hash"])
+    copies = F.col("__dw_copies") + F.when(F.col("__dw_before") + F.col("__dw_turn") <= F.col("__dw_room"), 1).otherwise(0)
     return even.unionByName(told.select(*names, copies.alias("copies")).where("copies > 0"))
 
 

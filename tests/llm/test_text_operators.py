@@ -1,8 +1,8 @@
 import hashlib
 import random
-import time
 import re
-from collections import defaultdict
+import time
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -183,6 +183,13 @@ def test_mix_of_one_document_repeated(spark):
     assert sorted(r.copies for r in mixed if r.source == "a") == took and len(mixed) == 51
 
 
+def test_mix_of_repeated_rows_gives_the_same_rows_again(spark):
+    rows = [(None, "one two three", "a", k // 2) for k in range(50)] + [(7, "four five", "b", k) for k in range(9)] + [(7, "four five", "b", 3)] * 30
+    df = spark.createDataFrame(rows, DOCS + ", source string, k int")
+    counted = lambda d: sorted(Counter(map(str, mixing.apply_mix(d).collect())).items())
+    assert counted(df) == counted(df.orderBy(F.desc("k")).repartition(5)) == counted(df.repartition(3, "k"))
+
+
 def test_mix_of_nothing(spark):
     df = spark.createDataFrame([], DOCS + ", source string")
     assert mixing.mix_sources(df).count() == 0
