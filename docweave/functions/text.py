@@ -96,6 +96,20 @@ def concepts(text: Column, dictionary: dict[str, list[str]] | None = None) -> Co
     return F.transform(F.array(F.lower(text)), held)[0]
 
 
+def keyword_counts(text: Column, dictionary: dict[str, list[str]] | None = None) -> Column:
+    """A map from each concept that is found to how often its keywords stand in
+    the text (any case, occurrences of one keyword apart from each other)."""
+
+    def counted(low: Column) -> Column:
+        every = []
+        for name, words in (dictionary or P.CONCEPTS).items():
+            n = sum((F.size(F.split(low, r"\Q" + w.lower() + r"\E", -1)) - 1 for w in words), F.lit(0))
+            every.append(F.struct(F.lit(name).alias("key"), n.alias("value")))
+        return F.map_filter(F.map_from_entries(F.array(*every)), lambda _, n: n > 0)
+
+    return F.transform(F.array(F.lower(F.coalesce(text, F.lit("")))), counted)[0]
+
+
 def coherent(text: Column, concepts_col: Column, citations_col: Column) -> Column:
     """Whether a short text is one unit: a definition, an element list, or few concepts with a citation."""
     listed = text.rlike(P.ELEMENTS) & (F.regexp_count(text, F.lit(P.NUMBERED)) >= 2)

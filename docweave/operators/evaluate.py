@@ -18,6 +18,19 @@ def cases_table(spark) -> DataFrame:
     return spark.createDataFrame(rows, "query_id int, query string, expected_concepts array<string>, expected_citations array<string>, required_terms array<string>, difficulty string")
 
 
+def cases_from(asked: DataFrame, terms: int = 3) -> DataFrame:
+    """Evaluation cases, as :func:`cases_table` has them, from asked(query_id,
+    query, answer) with known answers: the concepts and citations of the answer
+    are expected, and the query's ``terms`` longest words (ties: the first by
+    name) are required. The difficulty follows from what is expected."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("query", F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    ranked = F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
+    answer = F.coalesce("answer", F.lit(""))
+    out = asked.select("query_id", "query", X.concepts(answer).alias("expected_concepts"), X.citations(answer).alias("expected_citations"), F.transform(F.slice(ranked, 1, terms), lambda r: r["w"]).alias("required_terms"))
+    n = F.size("expected_concepts") + F.size("expected_citations")
+    return out.withColumn("difficulty", F.when(n == 0, "basic").when(n <= 2, "intermediate").otherwise("advanced"))
+
+
 def retrieval_metrics(cases: DataFrame, retrieved: DataFrame) -> DataFrame:
     """(query_id, query, difficulty, relevance, concept_coverage,
     citation_preservation) from retrieved(query_id, content, concepts, citations).

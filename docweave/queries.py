@@ -274,7 +274,7 @@ def recursive_chunks(spark, sf_dir):
     return chunking.recursive_chunks(_table(spark, sf_dir, "documents"))
 
 
-def _recursive(docs: str) -> str:
+def _recursive(docs: str, size: int = chunking.SIZE, overlap: int = chunking.OVERLAP) -> str:
     """CTEs from ``docs`` (doc_id, text) to ``chunked`` (doc_id, chunk_index, text).
 
     Each of four rounds splits what is too long at the first separator that it
@@ -289,16 +289,16 @@ def _recursive(docs: str) -> str:
     for r in range(4):
         out += f""",
 a{r} as (select doc_id, path, text, sep, {mark} as mark from (select *, {at} as sep from q{r})),
-c{r} as (select doc_id, list_append(path, cast(p as int)) as path, 0 as n, substr(text, cast(800 * p + 1 as bigint), 1000) as chunk
-  from (select *, unnest(range(0, 1 + cast(ceil(greatest(len(text) - 1000, 0) / 800.0) as bigint))) as p from a{r} where sep = 3)),
+c{r} as (select doc_id, list_append(path, cast(p as int)) as path, 0 as n, substr(text, cast({size - overlap} * p + 1 as bigint), {size}) as chunk
+  from (select *, unnest(range(0, 1 + cast(ceil(greatest(len(text) - {size}, 0) / {size - overlap}.0) as bigint))) as p from a{r} where sep = 3)),
 s{r} as (select doc_id, path, sep, mark, string_split(text, mark) as parts from a{r} where sep < 3),
 u{r} as (select doc_id, path, sep, unnest(generate_series(1, len(parts))) as k, unnest(list_transform(generate_series(1, len(parts)), lambda i: case when i = 1 then parts[1] else mark || parts[i] end)) as unit from s{r}),
-v{r} as (select *, len(unit) >= 1000 as long, cast(sum(cast(len(unit) >= 1000 as int)) over (partition by doc_id, path order by k) as int) as g from u{r} where unit <> ''),
+v{r} as (select *, len(unit) >= {size} as long, cast(sum(cast(len(unit) >= {size} as int)) over (partition by doc_id, path order by k) as int) as g from u{r} where unit <> ''),
 g{r} as (select doc_id, list_append(path, 2 * g) as path, list(unit order by k) as u from v{r} where not long group by doc_id, path, g),
 p{r} as (select *, list_transform(generate_series(0, len(u)), lambda i: coalesce(list_sum(list_transform(u[1:i], lambda x: len(x))), 0)) as ps from g{r}),
 f{r} as (select *, list_reduce(list_prepend({{'cuts': cast([] as bigint[][]), 's': cast(0 as bigint), 'i': cast(0 as bigint)}}, list_transform(generate_series(1, len(u)), lambda i: {{'cuts': cast([] as bigint[][]), 's': cast(0 as bigint), 'i': cast(i as bigint)}})),
-  lambda a, x: case when x.i - 1 > a.s and ps[x.i + 1] - ps[a.s + 1] > 1000 then {{'cuts': list_append(a.cuts, [a.s, x.i - 1]),
-      's': greatest(a.s, cast(len(list_filter(ps, lambda t: t < ps[x.i] - least(200, 1000 - (ps[x.i + 1] - ps[x.i])))) as bigint)), 'i': x.i}} else {{'cuts': a.cuts, 's': a.s, 'i': x.i}} end) as f from p{r}),
+  lambda a, x: case when x.i - 1 > a.s and ps[x.i + 1] - ps[a.s + 1] > {size} then {{'cuts': list_append(a.cuts, [a.s, x.i - 1]),
+      's': greatest(a.s, cast(len(list_filter(ps, lambda t: t < ps[x.i] - least({overlap}, {size} - (ps[x.i + 1] - ps[x.i])))) as bigint)), 'i': x.i}} else {{'cuts': a.cuts, 's': a.s, 'i': x.i}} end) as f from p{r}),
 d{r} as (select doc_id, path, unnest(generate_series(0, len(f.cuts))) as n, unnest(list_transform(list_append(f.cuts, [f.s, cast(len(u) as bigint)]), lambda c: array_to_string(u[c[1] + 1:c[2]], ''))) as chunk from f{r}),
 q{r + 1} as (select doc_id, list_append(path, 2 * g - 1) as path, unit as text, sep + 1 as lv from v{r} where long)"""
     every = " union all ".join(f"select doc_id, path, n, chunk from {x}{r}" for r in range(4) for x in "cd")
@@ -310,6 +310,14 @@ chunked as (select doc_id, row_number() over (partition by doc_id order by path,
 _RECURSIVE = f"with {_recursive('select doc_id, text from documents')} select doc_id, chunk_index, text from chunked"
 
 
+def short_recursive_chunks(spark, sf_dir):
+    """The recursive splitter with other lengths than its own."""
+    return chunking.recursive_chunks(_table(spark, sf_dir, "documents"), size=300, overlap=60)
+
+
+_SHORT = f"with {_recursive('select doc_id, text from documents', 300, 60)} select doc_id, chunk_index, text from chunked"
+
+
 def structure_sections(spark, sf_dir):
     return chunking.sections(legal_pages(spark, sf_dir))
 
@@ -764,6 +772,70 @@ _STORED = f"""with {_CHUNKS} select count(*) as total_chunks, round(avg(confiden
   count(distinct (doc_id, page_number)) as total_pages, (select count(distinct c) from (select unnest(citations) as c from scored)) as unique_citations from scored"""
 
 
+def joined_pages(spark, sf_dir):
+    """Each document's page texts in page order, without a separator."""
+    return store.page_texts(legal_pages(spark, sf_dir))
+
+
+_JOINED = f"with legal as ({LEGAL}) select doc_id, string_agg(text, '' order by page_number) as text from legal group by doc_id"
+
+
+def fallback_scan(spark, sf_dir):
+    """Two columns of chunks in JSON lines, found after a Parquet path that isn't there."""
+    path = f"{store.scratch_dir(spark)}/docweave-chunks-{uuid.uuid4().hex}"
+    _chunk_records(spark, sf_dir).withColumn("source", F.lit("corpus")).write.json(f"{path}.jsonl")
+    return store.read_chunks(spark, f"{path}.parquet", f"{path}.jsonl", columns=["id", "document"])
+
+
+_SCANNED = f"with s as ({_SLIDING}) select doc_id || ':' || chunk_index as id, text as document from s"
+
+
+def text_dump(spark, sf_dir):
+    """All texts written as lines, and how often each line that is read back stands there."""
+    path = f"{store.scratch_dir(spark)}/docweave-dump-{uuid.uuid4().hex}"
+    store.write_texts(_table(spark, sf_dir, "documents").where("text is not null"), path)
+    return spark.read.text(path, lineSep="\n").groupBy("value").agg(F.count("*").alias("n"))
+
+
+_DUMPED = "select value, count(*) as n from (select unnest(string_split(text, chr(10))) as value from documents where text is not null) group by value"
+
+
+def keyword_counts(spark, sf_dir):
+    """How often the keywords of each concept stand in the pages, from the maps' entries."""
+    counts = F.map_entries(X.keyword_counts(F.col("text")))
+    said = F.transform(F.array_sort(counts), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
+    return legal_pages(spark, sf_dir).select("doc_id", "page_number", F.array_join(said, ",").alias("counts"))
+
+
+def _counted_sql(x: str) -> str:
+    parts = []
+    for name, words in P.CONCEPTS.items():
+        n = " + ".join(f"(len(string_split(lower({x}), '{w.lower()}')) - 1)" for w in words)
+        parts.append(f"{{'k': '{name}', 'n': {n}}}")
+    kept = f"list_sort(list_filter([{', '.join(parts)}], lambda z: z.n > 0))"
+    return f"array_to_string(list_transform({kept}, lambda z: z.k || '=' || cast(z.n as varchar)), ',')"
+
+
+_KEYWORD_COUNTS = f"with legal as ({LEGAL}) select doc_id, page_number, {_counted_sql('text')} as counts from legal"
+
+
+def derived_cases(spark, sf_dir):
+    """Evaluation cases from all conversations' opening turns and their answers."""
+    t = _table(spark, sf_dir, "conversations")
+    asked = t.where("turn = 0").select(F.col("conv_id").alias("query_id"), F.col("text").alias("query"))
+    answers = t.where("turn = 1").select(F.col("conv_id").alias("query_id"), F.concat(F.coalesce("text", F.lit("")), F.when(F.col("conv_id") % 4 == 0, F.lit(" A warrant: M.G.L. c. 276, § 1.")).otherwise("")).alias("answer"))
+    c = evaluate.cases_from(asked.join(answers, "query_id", "left"))
+    return c.select("query_id", "query", *[F.array_join(n, ",").alias(n) for n in ("expected_concepts", "expected_citations", "required_terms")], "difficulty")
+
+
+_DERIVED = f"""with a as (select conv_id, coalesce(text, '') || case when conv_id % 4 = 0 then ' A warrant: M.G.L. c. 276, § 1.' else '' end as answer from conversations where turn = 1),
+j as (select o.conv_id as query_id, o.text as query, coalesce(answer, '') as answer from conversations o left join a on o.conv_id = a.conv_id where o.turn = 0),
+m as (select *, {_concepts("answer")} as k, {_citations("answer")} as c, list_distinct(regexp_extract_all(lower(coalesce(query, '')), '[\\p{{L}}\\p{{N}}]+')) as w from j)
+select query_id, query, array_to_string(k, ',') as expected_concepts, array_to_string(c, ',') as expected_citations,
+  array_to_string(list_transform(list_sort(list_transform(w, lambda z: {{'n': -len(z), 'w': z}}))[1:3], lambda z: z.w), ',') as required_terms,
+  case when len(k) + len(c) = 0 then 'basic' when len(k) + len(c) <= 2 then 'intermediate' else 'advanced' end as difficulty from m"""
+
+
 def searched_eval(spark, sf_dir):
     """The three metrics of each evaluation case for what the lexical search returns."""
     stored = _documents_index(spark, sf_dir)
@@ -868,6 +940,12 @@ QUERIES = {
     "x3_search_page": (search_page, _PAGE),
     "d8_map_functions": (concept_changes, _CHANGES),
     "p11_exit_words": (exit_words, _EXITS),
+    "s1_joined_pages": (joined_pages, _JOINED),
+    "s4_fallback_scan": (fallback_scan, _SCANNED),
+    "s13_derived_cases": (derived_cases, _DERIVED),
+    "k1_text_dump": (text_dump, _DUMPED),
+    "u3_short_recursive_chunks": (short_recursive_chunks, _SHORT),
+    "d8_keyword_counts": (keyword_counts, _KEYWORD_COUNTS),
     "u5_dictionary_tags": (dictionary_tags, _TAGGED),
     "u5_keyword_items": (keyword_items, _KEYWORDS),
     "u1_embedding_cache": (embedding_cache, _CACHED),
