@@ -217,7 +217,9 @@ def search_cards(found: DataFrame, n: int = 300) -> DataFrame:
 
 def search_result(found: DataFrame, took: float = 0.0, kind: str = "hybrid") -> DataFrame:
     """(query_id, results, total_found, search_time, search_type): the envelope
-    of a search, its cards as a list in rank order."""
-    card = F.struct("rank", *[c for c in found.columns if c not in ("query_id", "rank")])
-    lists = found.groupBy("query_id").agg(F.array_sort(F.collect_list(card)).alias("results"))
-    return lists.select("query_id", "results", F.size("results").alias("total_found"), F.lit(took).alias("search_time"), F.lit(kind).alias("search_type"))
+    of a search, its cards as a list in rank order. What was found in all is the
+    cards' ``total_found`` if they have it, else their number."""
+    card = F.struct("rank", *[c for c in found.columns if c not in ("query_id", "rank", "total_found")])
+    total = F.max("total_found") if "total_found" in found.columns else F.count("*").cast("int")
+    lists = found.groupBy("query_id").agg(F.array_sort(F.collect_list(card)).alias("results"), total.alias("total_found"))
+    return lists.select("query_id", "results", "total_found", F.lit(took).alias("search_time"), F.lit(kind).alias("search_type"))

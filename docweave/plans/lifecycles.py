@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -90,6 +91,20 @@ def hybrid_search(collection: DataFrame, embed: Callable[[Column], Column] = has
     return search
 
 
+def search_response(stored: retrieval.Bm25Index, docs: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "doc_id") -> DataFrame:
+    """(query_id, results, total_found, search_time, search_type) of a lexical
+    search of docs(id, document) by their stored index: each result with its
+    score, best passage, citations, terms and what made it relevant; the time is
+    that of the whole batch of queries, in seconds, until the results were stored."""
+    began = time.perf_counter()
+    found = retrieval.explained_bm25(queries, stored, k, id_col).join(docs.select(id_col, F.coalesce("document", F.lit("")).alias("document")), id_col)
+    cards = retrieval.best_passages(found, queries, id_col)
+    text = F.col("document")
+    cards = cards.select("query_id", "rank", id_col, "score", "total_found", "highlighted_content", F.slice(X.citations(text), 1, 3).alias("citations"), F.slice(X.concepts(text), 1, 5).alias("legal_terms"), "relevance_explanation")
+    cards = store.keep(cards, "cards")
+    return retrieval.search_result(cards, time.perf_counter() - began, "lexical")
+
+
 def ask(search: Search, questions: DataFrame, k: int = 5, generate=retrieval.extractive) -> DataFrame:
     """(query_id, question, prompt, answer, sources, legal_citations): the
     citations of the sources and the answer, each once."""
@@ -113,8 +128,6 @@ def compare_searches(baseline: DataFrame, challenger: DataFrame) -> tuple[DataFr
 def timed_answers(search: Search, questions: DataFrame, k: int = 5, generate=retrieval.extractive) -> DataFrame:
     """Answers with the wall-clock seconds that each question took; questions
     are asked one by one, as a latency needs, so this is for a short list."""
-    import time
-
     spark, rows = questions.sparkSession, []
     for q in questions.orderBy("query_id").toLocalIterator():
         began = time.perf_counter()

@@ -657,6 +657,21 @@ select query_id, rank, doc_id, total_found, array_to_string(list_transform(t[1:3
 from ws join best using (query_id, doc_id) join why using (query_id, doc_id) join totals using (query_id)"""
 
 
+def search_response(spark, sf_dir):
+    """The search's whole answer, its results flattened; the time is told as positive."""
+    asked = _table(spark, sf_dir, "conversations").where("role = 'user' and turn = 0 and conv_id % 20 = 0").select(F.col("conv_id").alias("query_id"), F.col("text").alias("query"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("document"))
+    out = lifecycles.search_response(_documents_index(spark, sf_dir), docs, asked)
+    flat = F.transform("results", lambda r: F.concat_ws("|", r["doc_id"].cast("string"), F.format_string("%.4f", r["score"]), r["highlighted_content"], F.array_join(r["citations"], ","), F.array_join(r["legal_terms"], ","), r["relevance_explanation"]))
+    return out.select("query_id", "total_found", "search_type", (F.col("search_time") > 0).alias("timed"), F.array_join(flat, " # ").alias("results"))
+
+
+_RESPONSE = f"""with p as ({_PAGE}), s as (with {_BM25_CTE.replace("conv_id % 100 = 0", "conv_id % 20 = 0")} select query_id, doc_id, score from bm where rank <= 5),
+c as (select p.*, s.score, {_citations("coalesce(text, '')")} as cits, {_concepts("coalesce(text, '')")} as cons from p join s using (query_id, doc_id) join documents using (doc_id))
+select query_id, any_value(total_found) as total_found, 'lexical' as search_type, true as timed,
+  string_agg(doc_id || '|' || printf('%.4f', score) || '|' || highlighted_content || '|' || array_to_string(cits[1:3], ',') || '|' || array_to_string(cons[1:5], ',') || '|' || relevance_explanation, ' # ' order by rank) as results from c group by query_id"""
+
+
 def concept_changes(spark, sf_dir):
     """Concepts of a map of keywords after additions and removals, as values found by key with a default."""
     t = _table(spark, sf_dir, "documents")
@@ -938,6 +953,7 @@ QUERIES = {
     "p4_record_shapes": (record_shapes, _SHAPES),
     "x3_search_envelope": (search_envelope, _ENVELOPE),
     "x3_search_page": (search_page, _PAGE),
+    "x3_search_response": (search_response, _RESPONSE),
     "d8_map_functions": (concept_changes, _CHANGES),
     "p11_exit_words": (exit_words, _EXITS),
     "s1_joined_pages": (joined_pages, _JOINED),
