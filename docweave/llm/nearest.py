@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.llm.shared import keep, maybe_broadcast
+from docweave.llm.shared import BROADCAST_BYTES, keep, maybe_broadcast
 
 #: Nodes of a shard, about: a bound of what one task holds, and of the products that its graph takes.
 SHARD_ROWS = 8192
@@ -47,9 +47,9 @@ LINKS = 16
 #: Candidates from the whole layer, and from each shrinking prefix.
 NEAR, FAR = 48, 8
 #: Width of the beam in the lowest layer and in the others; nodes opened in one step.
-BEAM, NARROW, STEP = 160, 8, 4
-#: Query vectors of a block, rows of a product.
-BLOCK, ROWS = 256, 1024
+BEAM, NARROW, STEP = 256, 8, 4
+#: Query vectors of a block, rows of a product, and numbers that one gathers at most.
+BLOCK, ROWS, GATHERED = 256, 1024, 1 << 23
 _SHARD = "dim int, shard int, n int, vectors binary, ids array<long>, ends array<int>, sizes array<int>, links array<binary>"
 
 
@@ -60,6 +60,12 @@ def usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(wide, lambda x: x != 0), F.lit(False))
 
 
+def _slices(n: int, most: int, width: int) -> Iterator[tuple[int, int]]:
+    """Runs of up to ``most`` rows that gather ``width`` numbers each."""
+    step = max(1, min(most, GATHERED // max(width, 1)))
+    return ((lo, min(lo + step, n)) for lo in range(0, n, step))
+
+
 # --- graph of a shard ---
 
 
@@ -113,23 +119,24 @@ def _candidates(x: np.ndarray, lo: int, hi: int) -> np.ndarray:
 
 def layer_links(x: np.ndarray, most: int) -> np.ndarray:
     """The links of a layer of nodes ``x``: a row of ``most`` places for each, -1 where free."""
-    n = len(x)
+    n, dim = x.shape
     out = np.full((n, most), -1, np.int32)
-    for lo in range(0, n, ROWS):
-        hi = min(lo + ROWS, n)
+    for lo, hi in _slices(n, ROWS, 2 * NEAR * dim):
         out[lo:hi] = _thinned(x, np.arange(lo, hi), _candidates(x, lo, hi), most)
     # Every link is offered to its other end.
     start, place = np.nonzero(out >= 0)
     end = out[start, place]
-    order = np.lexsort((start, -(x[start] * x[end]).sum(axis=1), end))
+    sim = np.zeros(len(start), np.float32)
+    for lo, hi in _slices(len(start), len(start), 2 * dim):
+        sim[lo:hi] = np.einsum("ij,ij->i", x[start[lo:hi]], x[end[lo:hi]])
+    order = np.lexsort((start, -sim, end))
     start, end = start[order], end[order]
     first = np.searchsorted(end, np.arange(n))
     rank = np.arange(len(end)) - first[end]
     offered = np.full((n, 2 * most), -1, np.int32)
     offered[end[rank < 2 * most], rank[rank < 2 * most]] = start[rank < 2 * most]
     both = np.concatenate([out, offered], axis=1)
-    for lo in range(0, n, ROWS):
-        hi = min(lo + ROWS, n)
+    for lo, hi in _slices(n, ROWS, 3 * most * dim):
         out[lo:hi] = _thinned(x, np.arange(lo, hi), both[lo:hi], most)
     return out
 
@@ -248,6 +255,25 @@ def exact_scores(asked: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return out
 
 
+def _best_ids(asked, vectors, x, sizes, links, ids, ends, most: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of asked, id, score): up to ``most`` ids for each row, best first."""
+    unit = asked / np.abs(asked).max(axis=1, keepdims=True)
+    at = walk(x, sizes, links, np.column_stack([unit, np.zeros(len(unit))]).astype(np.float32), width)
+    score = np.where(at >= 0, exact_scores(asked, vectors[at]), np.nan)
+    # Nodes become their ids; the best of each query stay.
+    starts = np.concatenate([[0], ends[:-1]])
+    q, c = np.nonzero(~np.isnan(score))
+    node, s = at[q, c], score[q, c]
+    count = ends[node] - starts[node]
+    inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    found = ids[np.repeat(starts[node], count) + inside]
+    q, s = np.repeat(q, count), np.repeat(s, count)
+    order = np.lexsort((found, -s, q))
+    q, s, found = q[order], s[order], found[order]
+    ok = np.arange(len(q)) - np.searchsorted(q, q) < most
+    return q[ok], found[ok], s[ok]
+
+
 def _searched(most: int, width: int):
     """(k1, k2, id, score): up to ``most`` ids of a shard for each query of a block."""
 
@@ -264,23 +290,10 @@ def _searched(most: int, width: int):
                 links = [np.frombuffer(b.as_buffer(), "<i4").reshape(s, -1) for b, s in zip(row["links"], sizes, strict=True)]
                 keys = np.asarray(row["keys"].values).reshape(-1, 2)
                 asked = np.frombuffer(row["block"].as_buffer(), "<f8").reshape(len(keys), dim)
-                unit = asked / np.abs(asked).max(axis=1, keepdims=True)
-                at = walk(x, sizes, links, np.column_stack([unit, np.zeros(len(unit))]).astype(np.float32), width)
-                score = np.where(at >= 0, exact_scores(asked, vectors[at]), np.nan)
-                # Nodes become their ids; the best of each query stay.
-                ends = np.asarray(row["ends"].values)
-                starts = np.concatenate([[0], ends[:-1]])
-                q, c = np.nonzero(~np.isnan(score))
-                node, s = at[q, c], score[q, c]
-                count = ends[node] - starts[node]
-                inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                ids = np.asarray(row["ids"].values)[np.repeat(starts[node], count) + inside]
-                q, s = np.repeat(q, count), np.repeat(s, count)
-                order = np.lexsort((ids, -s, q))
-                q, s, ids = q[order], s[order], ids[order]
-                turn = np.arange(len(q)) - np.searchsorted(q, q)
-                ok = turn < most
-                yield pa.RecordBatch.from_arrays([pa.array(a) for a in (keys[q[ok], 0], keys[q[ok], 1], ids[ok], s[ok])], names=["k1", "k2", "id", "score"])
+                ids, ends = np.asarray(row["ids"].values), np.asarray(row["ends"].values)
+                for lo, hi in _slices(len(keys), BLOCK, width * dim):
+                    q, found, s = _best_ids(asked[lo:hi], vectors, x, sizes, links, ids, ends, most, width)
+                    yield pa.RecordBatch.from_arrays([pa.array(a) for a in (keys[lo + q, 0], keys[lo + q, 1], found, s)], names=["k1", "k2", "id", "score"])
 
     return run
 
@@ -315,7 +328,8 @@ def search(queries: DataFrame, shards: DataFrame, k: int, width: int = BEAM) ->
     asked = queries.groupBy("k1", "k2").agg(F.min("vector").alias("vector"))
     blocks = asked.mapInArrow(_packed, "dim int, keys array<long>, block binary")
     numbers = shards.groupBy("dim").agg(F.collect_list("shard").alias("shard"))
-    met = blocks.join(F.broadcast(numbers), "dim").withColumn("shard", F.explode("shard"))
+    numbers = F.broadcast(numbers) if 8 * shards.count() <= BROADCAST_BYTES else numbers
+    met = blocks.join(numbers, "dim").withColumn("shard", F.explode("shard"))
     met = met.join(shards, ["dim", "shard"])
     found = met.select("dim", "shard", "n", "vectors", "ids", "ends", "sizes", "links", "keys", "block").mapInArrow(_searched(k + 1, width), "k1 long, k2 long, id long, score double")
     place = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.desc("score"), "id"))
@@ -333,3 +347,13 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
     ``id``), the k nearest found among all other rows."""
     vectors = keep(_vectors(rows, id_col, vec_col), "vectors")
     return search(vectors.where(is_query), build_index(vectors, k, shard_rows), k, width)
+
+
+#: The query's rows in SQL, by comparing every pair; where a shard holds the whole table and the beam most of it, the graph finds them all.
+ORACLE_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s as (select q.vec_id as query_id, c.vec_id, list_reduce(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]), lambda a, b: a + b) as score
+  from v q, v c where q.vec_id % 20 = 0 and q.vec_id <> c.vec_id and len(q.e) = len(c.e)),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, cast(rank as int) as rank, vec_id, score from r where rank <= 20"""

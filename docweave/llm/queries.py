@@ -94,6 +94,8 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op3_url_filter": url_filter.ORACLE_SQL,
     "op4_quality_rules": quality_rules.ORACLE_SQL,
+    "op5_html_extract": html_extract.ORACLE_SQL,
     "op6_decontaminate": decontaminate.ORACLE_SQL,
     "op8_mix_sources": mixing.ORACLE_SQL,
+    "op11_nearest": nearest.ORACLE_SQL,
 }
