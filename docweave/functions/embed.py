@@ -17,9 +17,12 @@ _TOKEN = re.compile(r"[^\W_]+")
 
 
 def hashed_vector(text: str | None, dim: int = 64) -> np.ndarray:
-    """Each token adds +1 or -1 at a hashed place; unit length, zeros without tokens."""
+    """Each token adds +1 or -1 at a hashed place, or +1 where these cancel each
+    other at all places; unit length, zeros without tokens."""
     codes = np.array([zlib.crc32(t.encode()) for t in _TOKEN.findall((text or "").lower())], np.int64)
     v = np.bincount(codes % dim, np.where(codes >> 31, 1.0, -1.0), dim).astype(np.float64) if len(codes) else np.zeros(dim)
+    if len(codes) and not v.any():
+        v = np.bincount(codes % dim, minlength=dim).astype(np.float64)
     size = np.sqrt((v**2).sum())
     return (v / size if size else v).astype(np.float32)
 
