@@ -2,10 +2,18 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from docweave import queries
 from docweave.functions import embed
 
 
 @pytest.mark.parametrize("text", ["!! THIS.!! WAS!!", " keit beßö.", "in oran.", "a"])
 def test_tokens_that_cancel_have_a_vector(text):
     assert np.linalg.norm(embed.hashed_vector(text)) == pytest.approx(1, abs=1e-6)
+
+
+def test_digits_as_printf_shows_them(spark):
+    values = [36.15045, 31.49235, 0.00005, 2.5, 12345.67895, 1e-9]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", queries._four_digits(F.col("v"))).collect()
+    assert [r[1] for r in got] == [f"{r.v:.4f}" for r in got]
