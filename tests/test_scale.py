@@ -1,11 +1,14 @@
 """Results and sizes that only larger tables show, on small ones."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from docweave import queries
 from docweave.functions import embed
+from docweave.operators import retrieval
 
 
 @pytest.mark.parametrize("text", ["!! THIS.!! WAS!!", " keit beßö.", "in oran.", "a"])
@@ -17,3 +20,38 @@ def test_digits_as_printf_shows_them(spark):
     values = [36.15045, 31.49235, 0.00005, 2.5, 12345.67895, 1e-9]
     got = spark.createDataFrame([(v,) for v in values], "v double").select("v", queries._four_digits(F.col("v"))).collect()
     assert [r[1] for r in got] == [f"{r.v:.4f}" for r in got]
+
+
+def test_blocks_of_scores(spark, monkeypatch):
+    """Several blocks, frequent and rare terms, slices of queries, equal documents, text ids."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(rng.choices(words, [1 / (i + 1) for i in range(200)], k=rng.randint(0, 40))) for _ in range(150)]
+    docs = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts * 2)], "doc_id string, text string")
+    asked = spark.createDataFrame([(i, " ".join(rng.choices(words, k=9))) for i in range(40)] + [(40, "absent"), (41, None)], "query_id long, query string")
+    index = retrieval.bm25_index(docs)
+    weights = retrieval._weights(asked, index)
+    hits = retrieval._hits(index, weights, retrieval.K1, retrieval.B)
+    parts = hits.join(weights.select("query_id", "number", "idf"), "number")
+    every = parts.groupBy("query_id", "id").agg(F.round(F.sum(F.col("idf") * F.col("gain")), 6).alias("score"))
+    want = sorted(map(tuple, retrieval._ranked(every, 7, "doc_id").collect()))
+    totals = {r.query_id: r["count"] for r in every.groupBy("query_id").count().collect()}
+    monkeypatch.setattr(retrieval, "DOCUMENTS", 64)
+    monkeypatch.setattr(retrieval, "CELLS", 512)
+    for often in (0.0, 0.1, 1.0):
+        monkeypatch.setattr(retrieval, "OFTEN", often)
+        assert sorted(map(tuple, retrieval.bm25(asked, index, 7).collect())) == want
+        got = retrieval.explained_bm25(asked, index, 7).collect()
+        assert {r.query_id: r.total_found for r in got} == totals
+        assert sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in got) == want
+
+
+def test_no_row_for_a_query_and_a_document(spark):
+    """Every query shares a word with every document; what is shuffled is k rows for each query."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("the w"), F.col("id").cast("string")).alias("text"))
+    asked = spark.range(200).select(F.col("id").alias("query_id"), F.concat(F.lit("the w"), F.col("id").cast("string")).alias("query"))
+    index = retrieval.bm25_index(docs)
+    weights = retrieval._weights(asked, index)
+    rows = retrieval._sums(retrieval._hits(index, weights, retrieval.K1, retrieval.B), weights, index.n, 2)
+    assert rows.count() == 400
+    assert {r.total_found for r in retrieval.explained_bm25(asked, index, 2).collect()} == {3000}
