@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,10 +17,15 @@ from pyspark.sql import types as T
 _TOKEN = re.compile(r"[^\W_]+")
 
 
+@lru_cache(1 << 16)
+def _code(token: str) -> int:
+    return zlib.crc32(token.encode())
+
+
 def hashed_vector(text: str | None, dim: int = 64) -> np.ndarray:
     """Each token adds +1 or -1 at a hashed place, or +1 where these cancel each
     other at all places; unit length, zeros without tokens."""
-    codes = np.array([zlib.crc32(t.encode()) for t in _TOKEN.findall((text or "").lower())], np.int64)
+    codes = np.array([_code(t) for t in _TOKEN.findall((text or "").lower())], np.int64)
     v = np.bincount(codes % dim, np.where(codes >> 31, 1.0, -1.0), dim).astype(np.float64) if len(codes) else np.zeros(dim)
     if len(codes) and not v.any():
         v = np.bincount(codes % dim, minlength=dim).astype(np.float64)
@@ -30,9 +36,13 @@ def hashed_vector(text: str | None, dim: int = 64) -> np.ndarray:
 def hashed(text: Column, dim: int = 64) -> Column:
     """Deterministic term vectors in Arrow batches: an offline stand-in for a model."""
 
-    @F.pandas_udf("array<float>")
-    def embed(texts: pd.Series) -> pd.Series:
-        return pd.Series([hashed_vector(t, dim) for t in texts])
+    @F.arrow_udf("array<float>")
+    def embed(texts: pa.Array) -> pa.Array:
+        # One text at a time becomes Python's: rows may be whole documents.
+        flat = np.empty((len(texts), dim), np.float32)
+        for row, t in enumerate(texts):
+            flat[row] = hashed_vector(t.as_py(), dim)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * dim), flat.ravel())
 
     return embed(text)
 

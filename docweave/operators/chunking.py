@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,12 +76,17 @@ def recursive_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     frame = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = frame.schema["id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(i, n, c) for i, t in zip(b["id"], b["text"], strict=True) if t for n, c in enumerate(recursive_split(t, size, overlap, separators, length))]
-            yield pd.DataFrame(rows, columns=["id", "chunk_index", "text"])
-
-    return frame.mapInPandas(run, f"id {kind}, chunk_index long, text string").withColumnRenamed("id", id_col)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # A few texts at a time become Python's: a batch of them with their chunks is large.
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                every = [recursive_split(t, size, overlap, separators, length) if t else [] for t in part.column(1).to_pylist()]
+                row = np.repeat(np.arange(len(every)), [len(c) for c in every])
+                number = pa.array([n for c in every for n in range(len(c))], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), number, pa.array([x for c in every for x in c], pa.string())], names=["id", "chunk_index", "text"])
+
+    return frame.mapInArrow(run, f"id {kind}, chunk_index long, text string").withColumnRenamed("id", id_col)
 
 
 def split_sections(text: Column) -> Column:

@@ -1,14 +1,16 @@
 """Results and sizes that only larger tables show, on small ones."""
 
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from docweave import queries
 from docweave.functions import embed
-from docweave.operators import retrieval
+from docweave.operators import chunking, retrieval
 
 
 @pytest.mark.parametrize("text", ["!! THIS.!! WAS!!", " keit beßö.", "in oran.", "a"])
@@ -55,3 +57,29 @@ def test_no_row_for_a_query_and_a_document(spark):
     rows = retrieval._sums(retrieval._hits(index, weights, retrieval.K1, retrieval.B), weights, index.n, 2)
     assert rows.count() == 400
     assert {r.total_found for r in retrieval.explained_bm25(asked, index, 2).collect()} == {3000}
+
+
+def test_few_texts_at_a_time(monkeypatch):
+    """A batch of many texts doesn't become Python's strings and chunks as a whole."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(["word " * 400] * 1000)], names=["id", "text"])
+
+    class Frame:
+        """Stands for the DataFrame: what the batches of the operator's function are."""
+
+        schema = {"id": SimpleNamespace(dataType=SimpleNamespace(simpleString=lambda: "long"))}
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            self.out = list(run(iter([batch])))
+            return self
+
+        def withColumnRenamed(self, *_):
+            return self
+
+    monkeypatch.setattr(chunking.F, "col", lambda c: SimpleNamespace(alias=lambda _: c))
+    out = chunking.recursive_chunks(Frame(), size=300, overlap=60).out
+    assert max(b.num_rows for b in out) <= 64 * 20 and len(out) > 1
+    want = [(i, n, c) for i in range(1000) for n, c in enumerate(chunking.recursive_split("word " * 400, 300, 60))]
+    assert [tuple(r.values()) for b in out for r in b.to_pylist()] == want
