@@ -28,21 +28,25 @@ def computed_once(items: DataFrame, path: str, make: Callable[[DataFrame], DataF
     have no row.
     """
     spark = items.sparkSession
-    asked = items.where(F.col(key).isNotNull()).dropDuplicates([key])
-    stored = None
-    fresh = asked
+    asked = items.where(F.col(key).isNotNull())
+    # Keys are kept: the items are made anew only for what is missing.
+    keys = store.keep(asked.select(key).distinct(), "keys")
+    few = store.maybe_broadcast(keys, 80)
+    stored, missing = None, keys
     if store.exists(spark, path):
         stored = spark.read.parquet(path)
         tried = stored.groupBy(key).agg(F.count("*").alias("tries"), F.bool_or(F.col("error").isNull()).alias("made"))
         # Of the cache, which grows, only what is asked for is shuffled where that is little.
-        tried = tried.join(store.maybe_broadcast(asked.select(key), 80), key, "left_semi")
-        fresh = asked.join(tried.where(f"made or tries >= {attempts}"), key, "left_anti")
-    made = make(fresh)
-    if "error" not in made.columns:
-        made = made.withColumn("error", F.lit(None).cast("string"))
-    run = 0 if stored is None else (stored.agg(F.max("run")).first()[0] or 0) + 1
-    made.withColumn("run", F.lit(run)).write.mode("append").parquet(path)
-    every = spark.read.parquet(path).join(store.maybe_broadcast(asked.select(key), 80), key, "left_semi")
+        tried = tried.join(few, key, "left_semi")
+        missing = store.keep(keys.join(tried.where(f"made or tries >= {attempts}"), key, "left_anti"), "missing")
+    if stored is None or not missing.isEmpty():
+        fresh = (asked if stored is None else asked.join(store.maybe_broadcast(missing, 80), key, "left_semi")).dropDuplicates([key])
+        made = make(fresh)
+        if "error" not in made.columns:
+            made = made.withColumn("error", F.lit(None).cast("string"))
+        run = 0 if stored is None else (stored.agg(F.max("run")).first()[0] or 0) + 1
+        made.withColumn("run", F.lit(run)).write.mode("append").parquet(path)
+    every = spark.read.parquet(path).join(few, key, "left_semi")
     # The row without an error, or else the last one.
     best = F.max_by(F.struct(*[F.col(f"`{c}`") for c in every.columns if c != key]), F.struct(F.col("error").isNull(), F.col("run")))
     return every.groupBy(key).agg(best.alias("best")).select(key, "best.*")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docweave import queries
 from docweave.functions import embed
-from docweave.operators import chunking, retrieval
+from docweave.operators import cached, chunking, retrieval
 
 
 @pytest.mark.parametrize("text", ["!! THIS.!! WAS!!", " keit beßö.", "in oran.", "a"])
@@ -83,3 +83,17 @@ def test_few_texts_at_a_time(monkeypatch):
     assert max(b.num_rows for b in out) <= 64 * 20 and len(out) > 1
     want = [(i, n, c) for i in range(1000) for n, c in enumerate(chunking.recursive_split("word " * 400, 300, 60))]
     assert [tuple(r.values()) for b in out for r in b.to_pylist()] == want
+
+
+def test_items_are_made_for_missing_keys_only(spark, tmp_path):
+    """A call that finds all keys makes and writes nothing."""
+    path, calls = str(tmp_path / "c"), []
+    items = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], "key string, n int")
+
+    def make(fresh):
+        calls.append(fresh.count())
+        return fresh.select("key", (F.col("n") * 2).alias("twice"))
+
+    first = sorted(map(tuple, cached.computed_once(items, path, make).select("key", "twice").collect()))
+    assert first == sorted(map(tuple, cached.computed_once(items, path, make).select("key", "twice").collect())) == [("a", 2), ("b", 4)]
+    assert calls == [2]
