@@ -146,7 +146,10 @@ def semantic_split(text: Column, small: int = 1500, large: int = 1000) -> Column
     ends = F.aggregate(seen, start, step, lambda acc: F.when(acc["at"] > 0, F.concat(acc["cuts"], F.array(acc["at"]))).otherwise(acc["cuts"]))
     bounds = F.transform(F.array(F.struct(ends.alias("ends"), units.alias("units"))), lambda b: F.transform(b["ends"], lambda e, i: F.array_join(F.slice(b["units"], _before(b["ends"], i) + 1, e - _before(b["ends"], i)), "\n\n")))
     whole = (F.length(text) < small) & X.coherent(text, X.concepts(text), X.citations(text))
-    return F.when(whole, F.array(text)).otherwise(bounds[0])
+    # Where nothing can be cut, no paragraph is looked at.
+    uncut = (F.length(text) <= large) | (F.size(units) <= 1)
+    joined = F.when(F.size(units) > 0, F.array(F.array_join(units, "\n\n"))).otherwise(F.array().cast(strings))
+    return F.when(whole, F.array(text)).when(uncut, joined).otherwise(bounds[0])
 
 
 def _before(ends: Column, i: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docweave import queries
 from docweave.functions import embed
+from docweave.functions import text as X
 from docweave.operators import cached, chunking, retrieval
 
 
@@ -97,3 +98,12 @@ def test_items_are_made_for_missing_keys_only(spark, tmp_path):
     first = sorted(map(tuple, cached.computed_once(items, path, make).select("key", "twice").collect()))
     assert first == sorted(map(tuple, cached.computed_once(items, path, make).select("key", "twice").collect())) == [("a", 2), ("b", 4)]
     assert calls == [2]
+
+
+def test_uncut_sections_and_guarded_statutes(spark):
+    """What is skipped gives what a full look gives."""
+    texts = ["", "  \n\n ", " a \n\n\n\n b ", "x" * 3000, "p" * 600 + "\n\n" + "q" * 600, "M.G.L. c. 90, § 24", "mgl c 265 s. 13A", "GENERAL LAWS chapter 276 section 1", "General Law c. 1, § 2", "M.GL c. 3 § 4", "none", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: (r.c, r.s) for r in rows.select("i", chunking.semantic_split(F.col("t")).alias("c"), X.statute_citations(F.col("t")).alias("s")).collect()}
+    assert [got[i][0] for i in range(5)] == [[], [], ["a\n\nb"], ["x" * 3000], ["p" * 600, "q" * 600]]
+    assert [len(got[i][1]) for i in range(5, 11)] == [1, 1, 1, 1, 1, 0] and got[11][1] is None
