@@ -1,14 +1,16 @@
 """Main text of web pages by wrapper induction.
 
-For each host, the DOM trees of a few pages are aligned by simple tree
-matching. What the aligned pages tell makes the host's wrapper:
+For each host, the DOM trees of all its pages are aligned by simple tree
+matching with the one that has the most elements (the base). What the pages tell
+makes the host's wrapper:
 
-- the content slot: the least aligned element that holds nearly all of the
+- template texts: texts that stand in an element aligned with the same element of
+  the base on a share of EVERY of the pages;
+- the content slot: the least element of the base that holds nearly all of the
   varying text outside links; where it lies in an article or main element, that
   element;
-- template texts: texts that stand at matching places and are equal in all of
-  the aligned pages, and in half of all pages of the host that have the place;
-- link slots: places with as many texts on each page, nearly all inside links.
+- link slots: places with as many texts, nearly all inside links, on a share of
+  EVERY of the pages.
 
 A page's main text is what stands in the content slot, without template texts,
 link slots, and what its markup names as a menu, page header, footer, sidebar,
@@ -18,10 +20,10 @@ wrapper, or the page doesn't follow it (its article element holds more than
 twice as much), the text is that of the element marked as the article, and
 without one that of the least element that holds all sentences.
 
-The pages aligned are at most SAMPLE for a host, drawn by hash: one from each
-of SAMPLE cells, so a host that holds a third of all pages is never gathered.
-Template texts are counted over all pages; pages that share their longest text
-are copies of one another and count once.
+All pages count; those that share their longest text are copies of one another
+and count once. Pages are aligned each on its own, wherever they lie, so a host
+that holds a third of all pages is never gathered; what is summed is a row for
+each text and element.
 
 Defined cases: a null or empty page has an empty text; a null url is a host of
 its own; pages are extracted each on their own whatever their id; unclosed and
@@ -38,7 +40,6 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -47,12 +48,13 @@ from pyspark.sql import types as T
 
 from docweave.llm.shared import keep, maybe_broadcast, small_batches
 
-SAMPLE = 8
 #: Share of the varying text that the content slot holds, and share of a host's
-#: pages on which a template text stands.
-HELD, SUPPORT = 0.8, 0.5
+#: pages that stands for all of them (of fewer than ten, all).
+HELD, EVERY = 0.8, 0.9
 #: Places of a table that matches two lists of children, at most.
 CELLS = 40_000
+#: Elements of the trees and alignments that a task holds for later pages, about.
+HELD_ELEMENTS = 200_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>", re.S)
 _ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -272,7 +274,7 @@ def walk(root: Node) -> Page:
             label = f"{item.tag}.{_stem(item.name)}" if item.name else item.tag
             page.up.append(above)
             page.label.append(label)
-            page.place.append(xxhash.xxh64_intdigest(label.encode("utf-8", "surrogatepass"), page.place[above]))
+            page.place.append(_place(label, page.place[above]))
             page.tag.append(item.tag)
         now = (mine, rank, number, len(page.up) - 1)
         todo += [(k, now, is_header and bool(rank)) for k in reversed(item.kids)]
@@ -280,6 +282,10 @@ def walk(root: Node) -> Page:
     return page
 
 
+def _place(label: str, above: int) -> int:
+    return xxhash.xxh64_intdigest(label.encode("utf-8", "surrogatepass"), above)
+
+
 def _stem(name: str) -> str:
     """A class without its numbers, so that post-17 and post-18 match."""
     return re.sub(r"[0-9]+", "0", name)
@@ -363,33 +369,40 @@ def _densest(live: list, up: list[int]) -> list:
 
 
 def _mark(place: int, text: str) -> str:
-    return xxhash.xxh3_128_hexdigest(text.encode("utf-8", "surrogatepass"), place)
+    return _digest(place, text).hex()
+
+
+def _digest(place: int, text: str) -> bytes:
+    return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"), place)
 
 
 class Tree:
-    """An element for matching: label, children, the blocks that stand in it,
-    and ``shape``, a hash of the labels of its subtree."""
+    """An element for matching: label, children, number, and ``shape``, a hash of
+    the labels of its subtree."""
 
-    __slots__ = ("label", "text", "kids", "size", "shape", "element")
+    __slots__ = ("label", "kids", "size", "shape", "element")
 
     def __init__(self, label: str, element: int):
-        self.label, self.text, self.kids, self.size, self.shape, self.element = label, [], [], 1, 0, element
+        self.label, self.kids, self.size, self.shape, self.element = label, [], 1, 0, element
 
 
-def _tree(page: Page | Node) -> Tree:
-    """The page's elements as a tree."""
-    page = page if isinstance(page, Page) else walk(page)
-    nodes = [Tree(label, k) for k, label in enumerate(page.label)]
-    for b in page.blocks:
-        nodes[b[4]].text.append(b)
+def _rooted(up: list[int], labels: list[str]) -> Tree:
+    """The tree of elements, given each one's parent and label."""
+    nodes = [Tree(label, k) for k, label in enumerate(labels)]
     for k in range(1, len(nodes)):
-        nodes[page.up[k]].kids.append(nodes[k])
+        nodes[up[k]].kids.append(nodes[k])
     for n in reversed(nodes):
         n.size = 1 + sum(k.size for k in n.kids)
         n.shape = hash((n.label, *(k.shape for k in n.kids)))
     return nodes[0]
 
 
+def _tree(page: Page | Node) -> Tree:
+    """The page's elements as a tree."""
+    page = page if isinstance(page, Page) else walk(page)
+    return _rooted(page.up, page.label)
+
+
 def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The most pairs (i, j), sorted by i, of which j rises too."""
     ends: list[int] = []
@@ -513,6 +526,91 @@ def _longest(page: Page) -> str:
     return max((b[0] for b in page.blocks if not b[1]), key=len, default="")
 
 
+@dataclass
+class Base:
+    """The page that a host's pages are aligned with."""
+
+    up: list[int]
+    labels: list[str]
+
+    def __post_init__(self):
+        self.tree, self.place = _rooted(self.up, self.labels), _places(self.up, self.labels)
+        self.first: dict[int, int] = {}
+        for k, place in enumerate(self.place):
+            self.first.setdefault(place, k)
+
+    def aligned(self, up: list[int], labels: list[str]) -> tuple[list[int], list[bool], list[int]]:
+        """For each element of a page: the base's element that it is aligned with,
+        else the first one of the same place, else -1; whether it is aligned; its place."""
+        place = _places(up, labels)
+        at, matched = [self.first.get(p, -1) for p in place], [False] * len(place)
+        for a, b in tree_match(self.tree, _rooted(up, labels))[1]:
+            at[b.element], matched[b.element] = a.element, True
+        return at, matched, place
+
+
+def _places(up: list[int], labels: list[str]) -> list[int]:
+    out = [0]
+    for k in range(1, len(up)):
+        out.append(_place(labels[k], out[up[k]]))
+    return out
+
+
+def _texts(page: Page) -> tuple[list[int], list[bytes], list[int], list[int]]:
+    """(element, digest of place and text, characters, those in links) of a page's blocks."""
+    b = page.blocks
+    return [x[4] for x in b], [_digest(page.place[x[4]], x[0]) for x in b], [len(x[0]) for x in b], [x[5] for x in b]
+
+
+def _told(found: tuple[list[int], list[bool], list[int]], texts: tuple, stands: dict, slots: dict) -> None:
+    """Adds what an aligned page tells: to ``stands``, for each element of the
+    base and text, [pages with the text there, its characters outside links]; to
+    ``slots``, for each place and number of texts, [pages, characters, those in links]."""
+    at, matched, place = found
+    once, many = set(), {}
+    for element, mark, size, linked in zip(*texts, strict=True):
+        k = at[element]
+        if k < 0:
+            continue
+        sums = stands.setdefault((k, mark), [0, 0])
+        if matched[element] and (k, mark) not in once:
+            once.add((k, mark))
+            sums[0] += 1
+        sums[1] += max(size - linked, 0)
+        slot = many.setdefault(place[element], [0, 0, 0])
+        slot[0], slot[1], slot[2] = slot[0] + 1, slot[1] + size, slot[2] + linked
+    for where, (n, size, linked) in many.items():
+        if n >= 3:
+            sums = slots.setdefault((where, n), [0, 0, 0])
+            sums[0], sums[1], sums[2] = sums[0] + 1, sums[1] + size, sums[2] + linked
+
+
+def _content(up: list[int], labels: list[str], varying: list[int]) -> int:
+    """The place of the content slot, or 0, given the varying characters of each element."""
+    varying = list(varying)
+    kids: list[list[int]] = [[] for _ in up]
+    for k in range(len(up) - 1, 0, -1):
+        varying[up[k]] += varying[k]
+        kids[up[k]].append(k)
+    at = 0
+    while True:
+        k = max(reversed(kids[at]), key=lambda e: varying[e], default=0)
+        if not k or varying[k] < HELD * varying[0] or not kids[k] and at:
+            break
+        at = k
+    if not varying[0] or not at:
+        return 0
+    best = k = at
+    while k:
+        tag = labels[k].split(".")[0]
+        if tag in ("article", "main"):
+            best = k
+            if tag == "article":
+                break
+        k = up[k]
+    return _places(up, labels)[best]
+
+
 def wrapper(pages: list[str]) -> Wrapper:
     """The wrapper that the pages show; fewer than three different pages show none.
 
@@ -524,123 +622,117 @@ def wrapper(pages: list[str]) -> Wrapper:
         chosen.setdefault(_longest(walked), walked)
     if len(chosen) < 3:
         return Wrapper()
-    found = sorted(chosen.values(), key=lambda p: -len(p.up))
-    base, trees = found[0], [_tree(p) for p in found]
-    aligned: dict[int, list[Tree]] = {}
-    for other in trees[1:]:
-        for a, b in tree_match(trees[0], other)[1]:
-            aligned.setdefault(a.element, []).append(b)
-    nodes: list[Tree] = [trees[0]] * len(base.up)
-    todo = [trees[0]]
-    while todo:
-        n = todo.pop()
-        nodes[n.element] = n
-        todo += n.kids
-    out = Wrapper()
-    varying = [0] * len(nodes)
-    whole = len(found) - 1
-    counts = [Counter(p.place[b[4]] for b in p.blocks) for p in found]
-    for k, n in enumerate(nodes):
-        others = aligned.get(k, [])
-        same = {b[0] for b in n.text}
-        for o in others:
-            same &= {b[0] for b in o.text}
-        if len(others) == whole:
-            out.marks |= {_mark(base.place[k], t) for t in same}
-        # What varies: text outside links that isn't the same on all pages.
-        for b in [b for t in (n, *others) for b in t.text]:
-            if len(others) < whole or b[0] not in same:
-                varying[k] += max(len(b[0]) - b[5], 0)
-        every = [b for t in (n, *others) for b in t.text]
-        often = {c[base.place[k]] for c in counts}
-        if every and often == {counts[0][base.place[k]]} and min(often) >= 3 and 10 * sum(b[5] for b in every) >= 9 * sum(len(b[0]) for b in every):
-            out.links.add(base.place[k])
-    # Unaligned paragraphs count too: an element holds what its places hold on any page.
-    extra: Counter = Counter()
-    for p in found[1:]:
-        held = {id(b) for o in aligned.values() for t in o for b in t.text}
-        for b in p.blocks:
-            if id(b) not in held:
-                extra[p.place[b[4]]] += max(len(b[0]) - b[5], 0)
-    first = {}
-    for k, place in enumerate(base.place):
-        first.setdefault(place, k)
-    for place, n in extra.items():
-        if place in first:
-            varying[first[place]] += n
-    for k in range(len(nodes) - 1, 0, -1):
-        varying[base.up[k]] += varying[k]
-    at = 0
-    while True:
-        k = max((t.element for t in nodes[at].kids), key=lambda e: varying[e], default=0)
-        if not k or varying[k] < HELD * varying[0] or not nodes[k].kids and at:
-            break
-        at = k
-    if varying[0] and at:
-        best = at
-        up = at
-        while up:
-            if base.tag[up] in ("article", "main"):
-                best = up
-                if base.tag[up] == "article":
-                    break
-            up = base.up[up]
-        out.content = base.place[best]
-    return out
+    top = max(chosen.values(), key=lambda p: len(p.up))
+    base, stands, slots = Base(top.up, top.label), {}, {}
+    for p in chosen.values():
+        _told(base.aligned(p.up, p.label), _texts(p), stands, slots)
+    varying, marks = [0] * len(top.up), set()
+    for (k, mark), (n, size) in stands.items():
+        if n >= EVERY * len(chosen):
+            marks.add(mark.hex())
+        else:
+            varying[k] += size
+    links = {place for (place, _), (n, size, linked) in slots.items() if n >= EVERY * len(chosen) and 10 * linked >= 9 * size}
+    return Wrapper(_content(top.up, top.label, varying), marks, links)
 
 
 def induce(pages: list[str]) -> list[str]:
-    """Marks of the texts that stand at matching places in all of the pages."""
+    """Marks of the texts that stand in aligned elements of the pages."""
     return sorted(wrapper(pages).marks)
 
 
-def _induced(pages: pd.DataFrame) -> pd.DataFrame:
-    w = wrapper([p for p in pages["html"] if isinstance(p, str)])
-    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
-    return pd.DataFrame({"host": [pages["host"].iloc[0]], "content": [signed(w.content)], "marks": [sorted(w.marks)], "links": [sorted(map(signed, w.links))]})
-
-
 def host_of(url):
     """Lower-cased text between the first :// and the next / ? # or end."""
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)\A.*?://([^/?#]*)", 1))
 
 
+_PAGE = "host string, h long, key long, elements int, up array<int>, labels array<string>, at array<int>, marks array<binary>, sizes array<int>, linked array<int>"
+_STANDS = "host string, element int, mark binary, place long, texts int, pages long, chars long, linked long"
 WRAPPER = "host string, content long, marks array<string>, links array<long>"
 
 
-def _stand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, mark, page): the candidate marks that stand on a page, and for
-    each of their places a row with the place as mark."""
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The elements and the blocks' digests of pages (host, h, html)."""
+    types = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int32())]
     for batch in batches:
         rows = []
-        for host, text, marks in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            found, want = walk(parse(text or "")), set(marks)
-            key = xxhash.xxh3_64_intdigest(_longest(found).encode("utf-8", "surrogatepass")) >> 1
-            rows += {(host, m, key) for b in found.blocks for m in (_mark(found.place[b[4]], b[0]),) if m in want}
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["host", "mark", "page"])
+        for text in batch.column(2).to_pylist():
+            page = walk(parse(text))
+            key = xxhash.xxh3_64_intdigest(_longest(page).encode("utf-8", "surrogatepass"))
+            rows.append((_signed(key), len(page.up), page.up, page.label, *_texts(page)))
+        arrays = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["host", "h", "key", "elements", "up", "labels", "at", "marks", "sizes", "linked"])
+
+
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the pages of a batch tell (see :func:`_told`), in sums by host; rows
+    of link slots have no mark. Pages of one shape are aligned once."""
+    bases: dict[str, Base] = {}
+    known: dict[tuple[str, bytes], tuple] = {}
+    held = 0
+    types = [pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    for batch in batches:
+        told: dict[str, tuple[dict, dict]] = {}
+        for host, base_up, base_labels, up, labels, *texts in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
+            if held > HELD_ELEMENTS:
+                bases, known, held = {}, {}, 0
+            if host not in bases:
+                bases[host] = Base(base_up, base_labels)
+                held += 4 * len(base_up)
+            shape = host, xxhash.xxh3_128_digest(repr((up, labels)).encode("utf-8", "surrogatepass"))
+            if shape not in known:
+                known[shape] = bases[host].aligned(up, labels)
+                held += len(up)
+            _told(known[shape], texts, *told.setdefault(host, ({}, {})))
+        rows = [(host, k, mark, 0, 0, n, size, 0) for host, (stands, _) in told.items() for (k, mark), (n, size) in stands.items()]
+        rows += [(host, -1, None, _signed(place), c, *sums) for host, (_, slots) in told.items() for (place, c), sums in slots.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["host", "element", "mark", "place", "texts", "pages", "chars", "linked"])
+
+
+def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, content, marks, links) from a host's base and sums."""
+    for batch in batches:
+        contents = []
+        for up, labels, varying in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            sums = [0] * len(up)
+            for one in varying or ():
+                sums[one["element"]] = one["chars"]
+            contents.append(_signed(_content(up, labels, sums)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(contents, pa.int64()), batch.column(4), batch.column(5)], names=["host", "content", "marks", "links"])
 
 
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, content, marks, links) of the hosts that show a wrapper; marks are
-    those that stand on a share of SUPPORT of the host's different pages."""
-    keyed = pages.select(host_of(F.col(url_col)).alias("host"), F.xxhash64(F.col(html_col)).alias("h"), F.col(html_col).cast("string").alias("html"))
-    keyed = keyed.where(F.col("html").isNotNull())
-    drawn = keyed.groupBy("host", F.pmod("h", F.lit(SAMPLE)).alias("cell")).agg(F.min("h").alias("h")).select("host", "h")
-    drawn = keep(drawn, "drawn")
-    few = keyed.join(drawn, ["host", "h"], "left_semi").dropDuplicates(["host", "h"]).select("host", "html")
-    found = keep(few.groupBy("host").applyInPandas(_induced, WRAPPER), "wrappers")
-    some = keep(found.where(F.size("marks") > 0).select("host", "marks"), "candidates")
-    if some.isEmpty():
-        return found
-    size = some.agg(F.count("*"), F.sum(F.size("marks"))).first()
-    told = F.broadcast(some) if 64 * size[0] + 40 * size[1] <= (16 << 20) else some
-    stand = keyed.join(told, "host").select("host", "html", "marks").mapInArrow(_stand, "host string, mark string, page long")
-    hits = stand.distinct().groupBy("host", "mark").agg(F.count("*").alias("hits"))
-    # Copies of a page have one hash in most cases; the host's pages are counted by it.
-    whole = keyed.select("host", "h").distinct().groupBy("host").agg(F.count("*").alias("n"))
-    good = hits.join(whole, "host").where(F.col("hits") >= SUPPORT * F.col("n")).groupBy("host").agg(F.collect_list("mark").alias("good"))
-    out = found.join(maybe_broadcast(keep(good, "supported"), 1024), "host", "left")
-    return keep(out.select("host", "content", F.coalesce("good", F.array().cast("array<string>")).alias("marks"), "links"), "wrappers")
+    """(host, content, marks, links) of the hosts that show a wrapper, from all of their pages."""
+    html_text = F.col(html_col).cast("string")
+    keyed = pages.select(host_of(F.col(url_col)).alias("host"), F.xxhash64(html_text).alias("h"), html_text.alias("html")).where(F.col("html").isNotNull())
+    parsed = keep(keyed.mapInArrow(_parsed, _PAGE).withColumn("row", F.monotonically_increasing_id()), "parsed")
+    # Of the pages that share their longest text the one of the least hash counts.
+    each = parsed.groupBy("host", "key").agg(F.min(F.struct("h", "row", "elements")).alias("one")).select("host", "one.*")
+    each = keep(each, "different")
+    hosts = each.groupBy("host").agg(F.count("*").alias("n"), F.max(F.struct("elements", "h", "row")).alias("base"))
+    hosts = keep(hosts.where(F.col("n") >= 3).select("host", "n", F.col("base.row").alias("row"), F.col("base.elements").alias("elements")), "hosts")
+    size = hosts.agg(F.count("*"), F.sum("elements")).first()
+    base = parsed.join(maybe_broadcast(hosts.select("row", "n"), 16), "row").select("host", "n", F.col("up").alias("base_up"), F.col("labels").alias("base_labels"))
+    base = keep(base, "bases")
+    near = F.broadcast if 64 * size[0] + 32 * (size[1] or 0) <= (16 << 20) else lambda df: df
+    counted = parsed.join(maybe_broadcast(each.select("row"), 16), "row", "left_semi").join(near(base), "host")
+    told = counted.select("host", "base_up", "base_labels", "up", "labels", "at", "marks", "sizes", "linked").mapInArrow(_aligned, _STANDS)
+    sums = [F.sum(c).alias(c) for c in ("pages", "chars", "linked")]
+    told = keep(told.groupBy("host", "element", "mark", "place", "texts").agg(*sums), "told").join(near(base.select("host", "n")), "host")
+    told = told.withColumn("every", F.col("pages") >= EVERY * F.col("n"))
+    # A base's elements and the texts that stand on nearly all pages are few, whatever the number of pages.
+    by_element = told.where(F.col("mark").isNotNull()).groupBy("host", "element").agg(
+        F.sum(F.when(F.col("every"), 0).otherwise(F.col("chars"))).alias("chars"), F.collect_set(F.when(F.col("every"), F.lower(F.hex("mark")))).alias("marks")
+    )
+    stood = by_element.groupBy("host").agg(F.collect_list(F.struct("element", "chars")).alias("varying"), F.array_distinct(F.flatten(F.collect_list("marks"))).alias("marks"))
+    linked = told.where(F.col("mark").isNull() & F.col("every") & (10 * F.col("linked") >= 9 * F.col("chars"))).groupBy("host").agg(F.collect_set("place").alias("links"))
+    rows = base.join(stood, "host", "left").join(linked, "host", "left")
+    rows = rows.select("host", "base_up", "base_labels", "varying", F.coalesce("marks", F.array().cast("array<string>")).alias("marks"), F.coalesce("links", F.array().cast("array<long>")).alias("links"))
+    return keep(rows.mapInArrow(_decided, WRAPPER), "wrappers")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
