@@ -7,6 +7,12 @@ opens no other folder. ``calibrated_probes`` measures how many are needed for a
 recall; ``exact`` goes on to all lists that may still hold a nearer vector, by
 each list's radius, so that its rows are those of a search over everything.
 
+Neighbouring lists make a shelf; there are at most ``SHELVES`` whatever the number
+of rows. A query goes once to each shelf that it needs, with the numbers of its
+lists there, so what a search shuffles follows the rows and the queries, not
+queries times lists; blocks of queries and vectors meet in a join of both by
+shelf, which is never broadcast: repeated vectors make them look small on disk.
+
 Vectors that are null or hold null entries take no part; all others have one length.
 """
 
@@ -21,14 +27,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docweave.operators.vector import BLOCK, _nearest
+from docweave.operators.vector import BLOCK, _block, nearest_of
 from docweave.sources import store
 
 #: Rows that the centroids are fitted on, and lists, at most.
 FIT_ROWS, MAX_LISTS = 20_000, 4096
 #: Rounds of k-means.
 ROUNDS = 10
-_LISTED = "list int, id long, vector array<double>"
+#: Runs of lists that a query is sent to once, at most.
+SHELVES = 64
+_SHELVED = "shelf int, id long, vector array<double>, lists array<int>"
 
 
 @dataclass
@@ -41,6 +49,12 @@ class VectorIndex:
     radius: np.ndarray
     rows: np.ndarray
 
+    @property
+    def shelf(self) -> np.ndarray:
+        """The lists' shelves, of about as many rows each."""
+        before = np.cumsum(self.rows) - self.rows
+        return (before * SHELVES // max(int(self.rows.sum()), 1)).astype(np.int32)
+
 
 def _rows(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), "<f8").reshape(len(column), -1)
@@ -120,10 +134,10 @@ def open_index(spark: SparkSession, path: str) -> VectorIndex:
 
 
 def _probed(index: VectorIndex, probes: int, within: bool):
-    """(list, id, vector): each query once for each list that it is compared with:
-    its nearest ``probes``, or, with ``within``, the others that may hold a vector
-    nearer than its ``most``."""
-    centres, numbers, radius = index.centres, index.numbers, index.radius
+    """(shelf, id, vector, lists): each query once for each shelf with lists that it
+    is compared with: its nearest ``probes``, or, with ``within``, the others that may
+    hold a vector nearer than its ``most``."""
+    centres, numbers, radius, shelf = index.centres, index.numbers, index.radius, index.shelf
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,38 +154,86 @@ def _probed(index: VectorIndex, probes: int, within: bool):
                     norms = (x**2).sum(axis=1) + (centres**2).sum(axis=1).max(initial=0.0)
                     slack = 1e-9 * (most + np.sqrt(norms)) + 8 * np.sqrt(np.finfo(float).eps * x.shape[1] * norms)
                     ok = ~ok & (np.sqrt(gaps) - radius[None, :] <= (most + slack)[:, None])
-                row, at = np.nonzero(ok)
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(numbers[at]), part.column(0).take(take), part.column(1).take(take)], names=["list", "id", "vector"])
+                for one in np.unique(shelf):
+                    here = np.flatnonzero(shelf == one)
+                    part_ok = ok[:, here]
+                    row = np.flatnonzero(part_ok.any(axis=1))
+                    ends = np.concatenate([[0], np.cumsum(part_ok[row].sum(axis=1))]).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(numbers[here[np.nonzero(part_ok[row])[1]]]))
+                    take = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), one, np.int32)), part.column(0).take(take), part.column(1).take(take), lists], names=["shelf", "id", "vector", "lists"])
 
     return run
 
 
-def _packed_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(list, ids, block): rows (list, id, vector) in blocks of one list each, as they come."""
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shelf, ids, block, ends, lists): rows (shelf, id, vector, lists) in blocks
+    of one shelf each; ``lists`` one after another, each row's up to its end."""
     for batch in batches:
         at = np.asarray(batch.column(0))
+        order = np.argsort(at, kind="stable")
+        batch, at = batch.take(pa.array(order)), at[order]
         cuts = np.flatnonzero(np.diff(at)) + 1
         for start, end in zip([0, *cuts], [*cuts, len(at)], strict=True):
             for lo in range(start, end, BLOCK):
                 part = batch.slice(lo, min(BLOCK, end - lo))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(at[lo])], pa.int32()), pa.array([part.column(1).to_pylist()], pa.list_(pa.int64())), pa.array([_rows(part.column(2)).tobytes()], pa.binary())], names=["list", "ids", "block"]
-                )
+                ends = np.cumsum(np.asarray(pa.compute.list_value_length(part.column(3)))).astype(np.int32)
+                one = [pa.array([int(at[lo])], pa.int32()), *(pa.array([v], pa.list_(t)) for v, t in ((np.asarray(part.column(1)), pa.int64()), (ends, pa.int32()), (np.asarray(part.column(3).flatten()), pa.int32())))]
+                yield pa.RecordBatch.from_arrays([*one, pa.array([_rows(part.column(2)).tobytes()], pa.binary())], names=["shelf", "ids", "ends", "lists", "block"])
+
+
+_BLOCKS = "shelf int, ids array<long>, ends array<int>, lists array<int>, block binary"
 
 
-_BLOCKS = "list int, ids array<long>, block binary"
+def _shelved(index: VectorIndex):
+    """Rows (list, id, vector) as :func:`_packed` takes them."""
+    numbers, shelf = index.numbers, index.shelf
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = np.asarray(batch.column(0)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32)), pa.array(own))
+            yield pa.RecordBatch.from_arrays([pa.array(shelf[np.searchsorted(numbers, own)]), batch.column(1), batch.column(2), lists], names=["shelf", "id", "vector", "lists"])
+
+    return lambda batches: _packed(run(batches))
+
+
+def _nearest_listed(k: int):
+    """(query_id, id, distance): the k nearest of each query in a batch, of those on its lists."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for row in range(batch.num_rows):
+                ends, asked, own = (np.asarray(batch.column(i)[row].values) for i in (2, 3, 6))
+                lists, at = np.unique(own, return_inverse=True)
+                place = np.minimum(np.searchsorted(lists, asked), len(lists) - 1)
+                on = lists[place] == asked
+                ok = np.zeros((len(ends), len(lists)), bool)
+                ok[np.searchsorted(ends, np.flatnonzero(on), side="right"), place[on]] = True
+                some = ok.any(axis=1)
+                if some.any():
+                    q_ids, q = _block(batch, row, 0, 1)
+                    found.append(nearest_of(q_ids[some], q[some], *_block(batch, row, 4, 5), k, ok[some][:, at]))
+            if found:
+                q_ids, ids, gaps = (np.concatenate(x) for x in zip(*found, strict=True))
+                order = np.lexsort((ids, gaps, q_ids))
+                q_ids, ids, gaps = q_ids[order], ids[order], gaps[order]
+                best = np.arange(len(q_ids)) - np.searchsorted(q_ids, q_ids) < k
+                yield pa.RecordBatch.from_arrays([pa.array(x[best]) for x in (q_ids, ids, gaps)], names=["query_id", "id", "distance"])
+
+    return run
 
 
 def _compared(asked: DataFrame, index: VectorIndex, k: int) -> DataFrame:
-    """(query_id, id, distance): at least the k nearest of each query (list, id,
-    vector) in its lists; only folders of lists that are asked for are read."""
+    """(query_id, id, distance): at least the k nearest of each query (shelf, id,
+    vector, lists) in its lists; only folders of lists that are asked for are read."""
     asked = store.keep(asked, "probes")
-    wanted = [r[0] for r in asked.select("list").distinct().collect()]  # MAX_LISTS numbers at most
-    q = asked.hint("rebalance", "list").sortWithinPartitions("list").mapInArrow(_packed_lists, _BLOCKS)
-    x = index.lists.where(F.col("list").isin(wanted)).select("list", "id", "vector").mapInArrow(_packed_lists, _BLOCKS)
-    both = q.toDF("list", "q_ids", "q_block").join(x, "list").select("q_ids", "q_block", "ids", "block")
-    return both.mapInArrow(_nearest(k), "query_id long, id long, distance double")
+    wanted = [r[0] for r in asked.select(F.explode("lists")).distinct().collect()]  # MAX_LISTS numbers at most
+    q = asked.hint("rebalance", "shelf").mapInArrow(_packed, _BLOCKS).select("shelf", F.col("ids").alias("q_ids"), F.col("block").alias("q_block"), "ends", F.col("lists").alias("asked"))
+    x = index.lists.where(F.col("list").isin(wanted)).select("list", "id", "vector").mapInArrow(_shelved(index), _BLOCKS).drop("ends")
+    both = x.join(q.hint("merge"), "shelf").select("q_ids", "q_block", "ends", "asked", "ids", "block", "lists")
+    return both.mapInArrow(_nearest_listed(k), "query_id long, id long, distance double")
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -185,12 +247,12 @@ def search(queries: DataFrame, index: VectorIndex, k: int = 5, probes: int = 8,
     asked = _vectors(queries, id_col, vec_col)
     if not len(index.numbers):
         return asked.sparkSession.createDataFrame([], f"query_id long, rank int, {id_col} long, distance double")
-    found = _compared(asked.mapInArrow(_probed(index, probes, False), _LISTED), index, k)
+    found = _compared(asked.mapInArrow(_probed(index, probes, False), _SHELVED), index, k)
     if exact:
         found = store.keep(_best(found, k).select("query_id", "id", "distance"), "probed")
         most = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.max("distance")).otherwise(float("inf")).alias("most"))
         rest = asked.join(most, F.col("id") == F.col("query_id"), "left").select("id", "vector", F.coalesce("most", F.lit(float("inf"))).alias("most"))
-        found = found.union(_compared(rest.mapInArrow(_probed(index, probes, True), _LISTED), index, k))
+        found = found.union(_compared(rest.mapInArrow(_probed(index, probes, True), _SHELVED), index, k))
     return _best(found, k).select("query_id", "rank", F.col("id").alias(id_col), "distance")
 
 
@@ -226,5 +288,5 @@ def share_compared(queries: DataFrame, index: VectorIndex, probes: int, id_col:
         return 0.0
     rows: Column = F.element_at(F.array(*[F.lit(int(n)) for n in index.rows]), F.array_position(F.array(*[F.lit(int(n)) for n in index.numbers]), F.col("list")).cast("int"))
     asked = _vectors(queries, id_col, vec_col)
-    pairs = asked.mapInArrow(_probed(index, probes, False), _LISTED).agg(F.sum(rows)).first()[0] or 0
+    pairs = asked.mapInArrow(_probed(index, probes, False), _SHELVED).select(F.explode("lists").alias("list")).agg(F.sum(rows)).first()[0] or 0
     return pairs / max(asked.count() * int(index.rows.sum()), 1)

@@ -80,3 +80,16 @@ def test_a_collection_searched_by_its_lists(spark, tmp_path):
     row = lambda df: sorted(map(tuple, df.select("query_id", "rank", "id").collect()))
     by_lists = lifecycles.vector_search(stored, hashed, lists, probes=len(lists.numbers))(asked, 4)
     assert row(by_lists) == row(lifecycles.vector_search(stored)(asked, 4))
+
+
+def test_a_query_goes_once_to_a_shelf_and_blocks_are_never_broadcast(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    rows = list(enumerate(rng.normal(size=(3000, 6)).tolist()))
+    df = table(spark, rows)
+    index = vector_index.build_index(df.repartition(4), str(tmp_path), lists=200)
+    asked = vector_index._vectors(df.where("vec_id % 100 = 0"), "vec_id", "embedding")
+    sent = asked.mapInArrow(vector_index._probed(index, 200, False), vector_index._SHELVED).collect()
+    assert len(sent) <= 30 * vector_index.SHELVES and sum(len(r.lists) for r in sent) == 30 * len(index.numbers)
+    got = vector_index.search(df.where("vec_id % 100 = 0"), index, 5, exact=True)
+    assert found(got) == brute(rows, [r for r in rows if r[0] % 100 == 0], 5)
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().toString()
