@@ -3,9 +3,11 @@ of several layers for each shard, shard results merged.
 
 Equal vectors are one node. A node carries its least k + 1 ids: ties go to
 smaller ids and a query leaves out only its own, so no other id of a node can
-be among a query's k nearest. Nodes are dealt by hash to shards of about
-SHARD_ROWS, whatever the number of rows; each shard's graph is built in one
-task and stored as a row of flat arrays.
+be among a query's k nearest. Nodes are dealt by hash to shards; each shard's
+graph is built in one task and stored as a row of flat arrays. Shards grow with
+the root of the number of nodes, from SHARD_ROWS to MOST_ROWS: a query walks
+through every shard, so as many of them as rows would make the search grow with
+the square of the table.
 
 Graph: vectors are scaled to the shard's longest one and get one more component
 that makes all of them equally long, so the largest inner product is the
@@ -20,7 +22,9 @@ Search: blocks of query vectors meet each shard; a beam goes down the layers,
 widest in the lowest one, for all queries of a block at once. What it ends with
 is scored again on the original vectors in double precision, summed from left to
 right, so equal vectors have equal scores. Query blocks times shards is what a
-search costs; larger shards lower it (``shard_rows``).
+search costs: it grows to the power 1.5 of the rows, and with their square from
+about a million on, where shards are as large as a task may hold; larger ones
+lower it (``shard_rows``).
 
 Defined cases: vectors that are null, empty or zero, or hold null or non-finite
 components, and rows with a null id take no part; vectors are compared with
@@ -31,6 +35,7 @@ not; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,14 +45,15 @@ from pyspark.sql import functions as F
 
 from docweave.llm.shared import BROADCAST_BYTES, keep, maybe_broadcast
 
-#: Nodes of a shard, about: a bound of what one task holds, and of the products that its graph takes.
-SHARD_ROWS = 8192
+#: Nodes of a shard, about: at least, for each node of the table under the root, and at most, a bound
+#: of what one task holds and of the products that its graph takes.
+SHARD_ROWS, ROOTED, MOST_ROWS = 8192, 4096, 65536
 #: Links of a node in an upper layer; twice as many in the lowest.
 LINKS = 16
 #: Candidates from the whole layer, and from each shrinking prefix.
 NEAR, FAR = 48, 8
-#: Width of the beam in the lowest layer and in the others; nodes opened in one step.
-BEAM, NARROW, STEP = 256, 8, 4
+#: Width of the beam in the lowest layer and in the others; nodes opened in one step, an eighth of the beam at most.
+BEAM, NARROW, STEP = 256, 8, 16
 #: Query vectors of a block, rows of a product, and numbers that one gathers at most.
 BLOCK, ROWS, GATHERED = 256, 1024, 1 << 23
 _SHARD = "dim int, shard int, n int, vectors binary, ids array<long>, ends array<int>, sizes array<int>, links array<binary>"
@@ -121,7 +127,7 @@ def layer_links(x: np.ndarray, most: int) -> np.ndarray:
     """The links of a layer of nodes ``x``: a row of ``most`` places for each, -1 where free."""
     n, dim = x.shape
     out = np.full((n, most), -1, np.int32)
-    for lo, hi in _slices(n, ROWS, 2 * NEAR * dim):
+    for lo, hi in _slices(n, ROWS, max(2 * NEAR * dim, n)):
         out[lo:hi] = _thinned(x, np.arange(lo, hi), _candidates(x, lo, hi), most)
     # Every link is offered to its other end.
     start, place = np.nonzero(out >= 0)
@@ -158,11 +164,11 @@ def _beam(x: np.ndarray, links: np.ndarray, asked: np.ndarray, enter: np.ndarray
     seen = np.zeros((rows, n + 1), bool)  # the last column takes what is no node
     seen[np.arange(rows)[:, None], at] = True
     seen[:, n] = True
-    stamp = np.zeros((rows, n + 1), np.int16)
+    stamp = np.zeros(rows * (n + 1), np.int32)
     live = np.arange(rows)
     while len(live):
         score = np.where(opened[live], -np.inf, sim[live])
-        pick = np.argpartition(-score, min(STEP, width) - 1, axis=1)[:, :STEP]
+        pick = np.argpartition(-score, min(STEP, width) - 1, axis=1)[:, : max(1, min(STEP, width // 8))]
         real = ~np.isneginf(np.take_along_axis(score, pick, 1))
         going = real.any(axis=1)
         live, pick, real = live[going], pick[going], real[going]
@@ -172,15 +178,21 @@ def _beam(x: np.ndarray, links: np.ndarray, asked: np.ndarray, enter: np.ndarray
         chosen = np.where(real, at[live[:, None], pick], 0)
         new = np.where(real[:, :, None], links[chosen], -1).reshape(len(live), -1)
         new = np.where(new < 0, n, new)
-        row, turn = live[:, None], np.arange(new.shape[1], dtype=np.int16)[None, :]
-        stamp[row, new] = turn
-        fresh = ~seen[row, new] & (stamp[row, new] == turn)
-        seen[row, new] = True
-        order = np.argsort(~fresh, axis=1, kind="stable")[:, : max(int(fresh.sum(axis=1).max()), 1)]
-        new, fresh = np.take_along_axis(new, order, 1), np.take_along_axis(fresh, order, 1)
-        near = np.where(fresh, np.matmul(x[np.where(fresh, new, 0)], asked[live][:, :, None])[:, :, 0], -np.inf).astype(np.float32)
+        # Nodes that a row has not seen, each once, moved to its left end.
+        q, c = np.nonzero(~seen[live[:, None], new])
+        node = new[q, c]
+        key, turn = live[q] * (n + 1) + node, np.arange(len(q), dtype=np.int32)
+        stamp[key] = turn
+        once = stamp[key] == turn
+        q, node = q[once], node[once]
+        seen[live[q], node] = True
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        new = np.zeros((len(live), max(int(place.max(initial=0)) + 1, 1)), np.int32)
+        fresh = np.zeros(new.shape, bool)
+        new[q, place], fresh[q, place] = node, True
+        near = np.where(fresh, np.matmul(x[new], asked[live][:, :, None])[:, :, 0], -np.inf).astype(np.float32)
         all_sim = np.concatenate([sim[live], near], axis=1)
-        all_at = np.concatenate([at[live], np.where(fresh, new, -1).astype(np.int32)], axis=1)
+        all_at = np.concatenate([at[live], np.where(fresh, new, -1)], axis=1)
         all_open = np.concatenate([opened[live], ~fresh], axis=1)
         best = np.argpartition(-all_sim, width - 1, axis=1)[:, :width]
         sim[live], at[live], opened[live] = (np.take_along_axis(a, best, 1) for a in (all_sim, all_at, all_open))
@@ -291,7 +303,7 @@ def _searched(most: int, width: int):
                 keys = np.asarray(row["keys"].values).reshape(-1, 2)
                 asked = np.frombuffer(row["block"].as_buffer(), "<f8").reshape(len(keys), dim)
                 ids, ends = np.asarray(row["ids"].values), np.asarray(row["ends"].values)
-                for lo, hi in _slices(len(keys), BLOCK, width * dim):
+                for lo, hi in _slices(len(keys), BLOCK, max(width * dim, n)):
                     q, found, s = _best_ids(asked[lo:hi], vectors, x, sizes, links, ids, ends, most, width)
                     yield pa.RecordBatch.from_arrays([pa.array(a) for a in (keys[lo + q, 0], keys[lo + q, 1], found, s)], names=["k1", "k2", "id", "score"])
 
@@ -309,7 +321,12 @@ def _vectors(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return one.select("id", "vector", F.xxhash64("vector").alias("k1"), F.xxhash64(F.lit(1), "vector").alias("k2"))
 
 
-def build_index(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def rows_of_shards(n: int) -> int:
+    """Nodes of a shard, about, of a table of ``n``."""
+    return min(max(SHARD_ROWS, math.isqrt(ROOTED * n)), MOST_ROWS)
+
+
+def build_index(vectors: DataFrame, k: int, shard_rows: int | None = None) -> DataFrame:
     """The kept shards of vectors (id, vector, k1, k2)."""
     # A node's least ids; the limit is applied before the shuffle too.
     place = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("id"))
@@ -317,7 +334,8 @@ def build_index(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> Dat
     vector = F.min(F.when(F.col("place") == 1, F.col("vector"))).alias("vector")
     nodes = least.groupBy("k1", "k2").agg(vector, F.sort_array(F.collect_list("id")).alias("ids"))
     nodes = keep(nodes.withColumn("dim", F.size("vector")), "nodes")
-    shards = -(-nodes.count() // shard_rows) or 1
+    n = nodes.count()
+    shards = -(-n // (shard_rows or rows_of_shards(n))) or 1
     dealt = nodes.withColumn("shard", F.pmod("k1", F.lit(shards)).cast("int")).select("dim", "shard", "k1", "k2", "vector", "ids")
     return keep(dealt.groupBy("dim", "shard").applyInArrow(_built, _SHARD), "shards")
 
@@ -342,7 +360,7 @@ def search(queries: DataFrame, shards: DataFrame, k: int, width: int = BEAM) ->
     return each.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("one.vec_id").alias("vec_id"), F.col("one.score").alias("score"))
 
 
-def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", shard_rows: int = SHARD_ROWS, width: int = BEAM) -> DataFrame:
+def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", shard_rows: int | None = None, width: int = BEAM) -> DataFrame:
     """(query_id, rank, vec_id, score): for the rows that ``is_query`` marks (by
     ``id``), the k nearest found among all other rows."""
     vectors = keep(_vectors(rows, id_col, vec_col), "vectors")

@@ -82,6 +82,29 @@ def test_defined_cases_of_a_search(spark):
     assert again == got
 
 
+def test_shards_grow_slower_than_the_table(spark):
+    # Every query walks through every shard: from 10,256 to 51,282 vectors there were 2 and 7 of them.
+    shards = {n: -(-n // nearest.rows_of_shards(n)) for n in (500, 10_256, 51_282, 205_128, 820_512)}
+    assert shards == {500: 1, 10_256: 2, 51_282: 4, 205_128: 8, 820_512: 15}
+    assert nearest.rows_of_shards(10**9) == nearest.MOST_ROWS
+    rng = np.random.default_rng(8)
+    rows = [(i, v) for i, v in enumerate(rng.normal(size=(33_000, 4)).tolist())]
+    index = nearest.build_index(nearest._vectors(table(spark, rows), "vec_id", "embedding"), 5).select("shard", "n").collect()
+    assert len(index) == 3 and sum(r.n for r in index) == 33_000  # of about 11,626; there were 5
+
+
+def test_a_walk_sees_each_node_once():
+    # Many of a step's nodes share neighbours: the beam still ends with different nodes, and the nearest ones.
+    rng = np.random.default_rng(9)
+    v, asked = rng.normal(size=(1500, 12)), rng.normal(size=(40, 12))
+    levels = np.sort(rng.geometric(1 - 1 / nearest.LINKS, len(v)) - 1)[::-1]
+    sizes, links = nearest.graph(v, levels)
+    at = nearest.walk(nearest._rounded(v), sizes, links, np.column_stack([asked, np.zeros(40)]).astype(np.float32), 128)
+    assert all(len(set(row[row >= 0])) == (row >= 0).sum() == 128 for row in at)
+    best = np.argsort(-(asked @ v.T), axis=1)[:, :20]
+    assert sum(len(set(a) & set(b)) for a, b in zip(at, best, strict=True)) >= 0.98 * best.size
+
+
 def test_empty_tables(spark):
     none = table(spark, [(1, None)])
     assert nearest.nearest(none, F.col("id") % 20 == 0, 20).collect() == []
