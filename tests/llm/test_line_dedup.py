@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from docweave.llm.line_dedup import MIN_CHARS, SHINGLE, THRESHOLD, dedup_lines, line_classes
+from docweave.llm.line_dedup import MIN_CHARS, SHINGLE, THRESHOLD, dedup_lines, line_classes, signed_lines
 
 
 def shingles(line):
@@ -152,6 +152,17 @@ def recall(spark, lines):
     return sum(root.get(x, x) == root.get(y, y) for x, y in pairs) / len(pairs), len(pairs)
 
 
+def test_lines_are_dealt_and_normalised_once(spark):
+    rows = [(1, "A line that stands twice here\na line that stands twice here \nshort"), (2, "a line that stands only here"), (3, None)]
+    df = signed_lines(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", MIN_CHARS)
+    plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    # The shuffle of the lines, for either side of a join that reads it once; none for signatures.
+    assert sum("Exchange hashpartitioning(node" in x for x in plan) == 2 and sum("Exchange" in x for x in plan) == 2
+    assert not any("lower(" in x for x in plan if "Filter" in x)
+    got = {r.norm: (r.n, r.s0 is not None and r.s24 is not None) for r in df.collect()}
+    assert got == {"a line that stands twice here": (2, True), "a line that stands only here": (1, True)}
+
+
 def test_recall_on_lines_with_one_character_changed(spark):
     rng = random.Random(31)
     words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(2000)]
