@@ -87,34 +87,42 @@ def drop_kept(*tables: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Minima of a pass that are broadcast, in bytes: two nodes of 16 for each edge.
+FEW_BYTES = 4 << 20
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, root) of every node in ``edges(a, b)``; root is the component's
     least node.
 
     Distributed union-find by alternating large-star and small-star passes:
     each pass joins the edges with one minimum per node, so a hub's edges are
-    never gathered in one row, and AQE may split a hub's join partition.
-    Every pass is written to the shared folder; the loop ends when all edges
-    point at their roots, which takes O(log n) passes.
+    never gathered in one row, and AQE may split a hub's join partition. Where a
+    count has shown the edges to be few, the minima are broadcast, and only
+    aggregates shuffle. Every pass is written to the shared folder; the loop
+    ends when all edges point at their roots, which takes O(log n) passes.
     """
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     cur = keep(pairs.where("u <> v").distinct(), "cc")
     for _ in range(rounds):
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        few = cur.count() * 32 <= FEW_BYTES
+        sent = F.broadcast if few else lambda df: df
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = both.where("v > u").join(sent(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # Two joins read what was shuffled; without a shuffle repeats cost less than one.
+        large = large if few else large.distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(sent(down), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(down.select("u", F.col("m").alias("v")))
         small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         nxt = keep(small.where("u <> v").distinct(), "cc")
         drop_kept(cur)
         cur = nxt
         # Settled when every node has one parent and no parent has a parent.
-        parents = cur.select(F.col("v").alias("u")).distinct()
-        open_edges = cur.groupBy("u").count().where("count > 1").select("u").union(cur.select("u").join(parents, "u", "left_semi"))
-        if open_edges.isEmpty():
+        ends = cur.selectExpr("u as node", "1 as up", "0 as down").union(cur.selectExpr("v", "0", "1"))
+        ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if not ends.where("up > 1 or up = 1 and down = 1").agg(F.count("*")).first()[0]:
             break
     else:
         raise RuntimeError("components did not settle")
@@ -211,7 +219,7 @@ def _left_open(met: DataFrame, classes: DataFrame, lanes: Lanes) -> DataFrame:
     """(bucket, node, class, most, pairs, lanes) of the buckets with more than
     one class; most is the bucket's largest class, pairs bounds the pairs of
     different classes. Of two nodes one is the lead, so they are not open."""
-    each = met.join(classes.select("node", "root"), "node", "left").select("bucket", "node", *lanes.columns, F.coalesce("root", "node").alias("class"))
+    each = met.join(maybe_broadcast(classes.select("node", "root"), 16), "node", "left").select("bucket", "node", *lanes.columns, F.coalesce("root", "node").alias("class"))
     each = keep(each, "apart")
     sizes = each.groupBy("bucket", "class").agg(F.count("*").alias("size"))
     sizes = sizes.groupBy("bucket").agg(F.max(F.struct("size", "class")).alias("top"), F.sum("size").alias("n"), F.count("*").alias("classes"))
@@ -294,11 +302,11 @@ def _by_rare_tokens(nodes: DataFrame, tokens: Callable[[DataFrame], DataFrame],
 
 def _joined(classes: DataFrame, links: DataFrame) -> DataFrame:
     """``classes`` after more links(a, b) between their nodes or new ones."""
-    root = classes.select("node", "root")
+    root = maybe_broadcast(classes.select("node", "root"), 16)
     ends = links.select("a", "b").join(root.toDF("a", "u"), "a", "left").join(root.toDF("b", "v"), "b", "left")
     over = components(ends.select(F.coalesce("u", "a").alias("a"), F.coalesce("v", "b").alias("b")))
     over = over.toDF("old", "new")
-    moved = root.join(over, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
+    moved = classes.select("node", "root").join(over, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
     fresh = over.join(root, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("root"))
     return keep(moved.union(fresh), "joined")
 

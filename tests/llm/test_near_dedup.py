@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from docweave.llm import shared
 from docweave.llm.near_dedup import bag_signatures, keep_first_of_class, multiset_jaccard, near_dedup
 from docweave.llm.shared import components
 from docweave.llm.textbuf import Words, pieces, shingles
@@ -67,6 +68,34 @@ def test_components_of_chains_stars_and_loops(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_components_of_few_edges_shuffle_only_aggregates(spark, monkeypatch, few):
+    plans, keep = [], shared.keep
+
+    def kept(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, label)
+
+    monkeypatch.setattr(shared, "keep", kept)
+    if not few:
+        monkeypatch.setattr(shared, "FEW_BYTES", 0)
+    rng = random.Random(2)
+    edges = [(i, i + 1) for i in range(1, 60)] + [(200, i) for i in range(201, 240)] + [(rng.randrange(300, 360), rng.randrange(300, 360)) for _ in range(60)] + [(300, i) for i in range(340, 360)]
+    root = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        assert {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == root
+    finally:
+        spark.conf.set(name, before)
+    # The first plan makes the edges of the pass that follows.
+    assert len(plans) > 2 and all(("SortMergeJoin" not in x) == few for x in plans[1:])
+
+
 def _brute(rows):
     bags = []
     for _, t in rows:

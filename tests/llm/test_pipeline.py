@@ -63,6 +63,12 @@ def test_stages_take_effect_and_keep_clean_documents(spark, tables):
     assert seen[5].columns == [*docs.columns, "copies"] and max(r.copies for r in mixed) <= 2
 
 
+def test_a_text_without_its_lines_is_made_once(spark, tables):
+    d, _, _ = tables
+    out = P.drop_repeated_lines(spark, spark.read.parquet(f"{d}/documents.parquet"), d)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("array_join(") == 1
+
+
 def test_run_composes_the_stages(spark, tables):
     d, _, _ = tables
     got = Counter((r.doc_id, r.copies) for r in P.run(spark, d).collect())
