@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.llm.shared import keep, small_batches
-from docweave.llm.textbuf import Words, pieces
+from docweave.llm.textbuf import Words, give_back, pieces
 
 WINDOW = 13
 #: Places by which a term may stand off in a near match, in the registered query.
@@ -130,6 +130,7 @@ def _index(vocabulary):
                     names=["shard", "ids", "n_words", "terms", "ends", "positions"],
                 )
                 n += 1
+        give_back()
 
     return run
 
@@ -225,6 +226,7 @@ def _search(plan, corpus_counts, slop: int, width: int, id_name: str):
                     ],
                     names=["shard", "row", id_name, "n_words", "n_hit", "hit_positions", "items", "near_items"],
                 )
+        give_back()
 
     return run
 

@@ -55,6 +55,7 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n1 = np.bincount(at, mine, len(got)).astype(np.int64)
                 n0 = np.bincount(at, 1 - mine, len(got)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), kind), pa.int64()), pa.array(got.view(np.int64)), pa.array(n1), pa.array(n0)], names=["kind", "term", "n1", "n0"])
+    give_back()
 
 
 def term_weights(sample: DataFrame, top: int = 400, least: int = 6, z: float = 4.0) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -95,6 +96,7 @@ def gather(sample: DataFrame, extract: Callable) -> tuple[np.ndarray, np.ndarray
                 x = extract(raw, off)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).cast(pa.string()), batch.column(1).slice(lo, hi - lo).cast(pa.int64()), flat], names=["id", "label", "x"])
+        give_back()
 
     rows = sample.select("id", "label", "text").mapInArrow(run, "id string, label long, x array<double>").toArrow()
     x = np.asarray(rows.column("x").combine_chunks().flatten() if rows.num_rows else [], float)

@@ -148,6 +148,7 @@ def _bags(k: int):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array([bag[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["node", "bag"]
                 )
+        give_back()
 
     return run
 
@@ -168,6 +169,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right = batch.column(2), batch.column(3)
         sims = [multiset_jaccard(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")) for x, y in zip(left, right, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], names=["a", "b", "similarity"])
+    give_back()
 
 
 class _Bags:
@@ -215,6 +217,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 turn = np.arange(len(bag)) - np.searchsorted(bag, bag)
                 token = mix(bag + turn.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bag), node, np.int64)), pa.array(token)], names=["node", "token"])
+    give_back()
 
 
 def _odd(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,6 +233,7 @@ def _odd(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(len(bag))
         columns = [pa.array(maps[:, i].copy().view(np.int64)) for i in range(ODD)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), *columns], names=["node", "size", *ODD_COLUMNS])
+    give_back()
 
 
 def near_duplicate_classes(

@@ -13,17 +13,21 @@ from pyspark.sql import functions as F
 from docweave.sources.store import BROADCAST_BYTES, maybe_broadcast, scratch_dir
 
 
-#: Rows of an Arrow batch between the JVM and Python.
+#: Rows and bytes of an Arrow batch between the JVM and Python.
 BATCH_ROWS = 1000
+BATCH_BYTES = 2 << 20
+#: Spark's default of the bytes of a batch.
+ARROW_BYTES = "67108864b"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the memory of Arrow batches of whole texts: Spark's default of
-    10,000 rows is lowered to BATCH_ROWS for the session, since plans read it
-    when they run; another setting stays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Bounds the memory of Arrow batches of whole texts, and of rows that hold
+    many texts: Spark's defaults are lowered to BATCH_ROWS and BATCH_BYTES for
+    the session, since plans read them when they run; another setting stays."""
+    most = "spark.sql.execution.arrow.max"
+    for name, default, own in ((f"{most}RecordsPerBatch", "10000", BATCH_ROWS), (f"{most}BytesPerBatch", ARROW_BYTES, BATCH_BYTES)):
+        if spark.conf.get(name) == default:
+            spark.conf.set(name, str(own))
 
 
 @contextmanager

@@ -1,12 +1,18 @@
 """Near matches against plain loops, and test sets of several groups."""
 
+import os
 import random
 import re
+import subprocess
+import sys
 from collections import Counter
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from docweave.llm import decontaminate
+from docweave.llm.shared import BATCH_BYTES, small_batches
 
 DOC, ITEM = "doc_id long, text string", "item_id long, text string"
 
@@ -72,3 +78,26 @@ def test_a_test_set_of_several_groups(spark, case, monkeypatch):
     monkeypatch.setattr(decontaminate, "VOCABULARY_BYTES", 8 * 30)
     assert len(decontaminate.read_groups(decontaminate._blocks(b, "item_id", "text"))) > 2
     assert rows() == whole
+
+
+def test_a_batch_of_large_rows_is_bounded_in_bytes(spark):
+    # 40 rows of 200 KB in one task: the shards of an index are as large and more.
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.unset(name)
+        small_batches(spark)
+        rows = spark.range(40).coalesce(1).select(F.expr("repeat('x', 200000)").alias("text"))
+        sizes = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches), "n long").collect()
+        assert sum(r.n for r in sizes) >= 8_000_000 and max(r.n for r in sizes) <= BATCH_BYTES + 500_000
+        spark.conf.set(name, "5m")
+        small_batches(spark)
+        assert spark.conf.get(name) == "5m"
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_workers_do_not_load_pandas():
+    # Each worker of an executor would hold it for itself.
+    code = "import docweave.llm.decontaminate, docweave.llm.near_dedup, docweave.llm.toxicity, sys; print('pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(decontaminate.__file__) + "/../..", capture_output=True, text=True).stdout.strip() == "False"

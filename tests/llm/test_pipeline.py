@@ -69,6 +69,16 @@ def test_a_text_without_its_lines_is_made_once(spark, tables):
     assert out._jdf.queryExecution().optimizedPlan().toString().count("array_join(") == 1
 
 
+def test_the_index_of_documents_holds_no_rows(spark, tables, monkeypatch):
+    d, _, _ = tables
+    seen, build = [], P.decontaminate.build_index
+    monkeypatch.setattr(P.decontaminate, "build_index", lambda docs, vocabulary, id_col, text_col: seen.append(docs.schema[id_col].dataType.simpleString()) or build(docs, vocabulary, id_col, text_col))
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    out = P.drop_contaminated(spark, docs, d)
+    assert seen == ["bigint"] and docs.count() - out.count() == docs.where("doc_id between 700 and 705").count() == 6
+    assert out.where("doc_id between 700 and 705").count() == 0
+
+
 def test_run_composes_the_stages(spark, tables):
     d, _, _ = tables
     got = Counter((r.doc_id, r.copies) for r in P.run(spark, d).collect())
